@@ -112,7 +112,7 @@ def settle(rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
     doc = rows.column("doc").combine_chunks().dictionary_encode("encode").indices.to_numpy(zero_copy_only=False)[row]
     h = grams(hashes(flat), k)[first]
     ids = flat.dictionary_encode().indices.to_numpy(zero_copy_only=False)
-    own = mix(h ^ rows.column("key").to_numpy().view(np.uint64)[row])  # shards of a hot minimiser stay apart
+    own = mix(h + mix(rows.column("key").to_numpy().view(np.uint64))[row])  # shards of a hot minimiser stay apart
     order = np.argsort(own, kind="stable")
     later = np.zeros(len(first), bool)
     if len(order):
