@@ -22,7 +22,7 @@ def array(values: np.ndarray | pa.Array | list, kind: pa.DataType | None = None)
     return values if isinstance(values, pa.Array) else pa.array(values, kind)
 
 
-def with_columns(docs: DataFrame, keep: list[str], added: str, step: Callable[[pa.RecordBatch], dict], most: int = 4 << 20) -> DataFrame:
+def with_columns(docs: DataFrame, keep: list[str], added: str, step: Callable[[pa.RecordBatch], dict], most: int = 2 << 20) -> DataFrame:
     """``keep`` columns of ``docs`` plus the columns that ``step`` computes for each piece of text.
 
     A kept column with the name of an added one gives way to it.

@@ -19,7 +19,7 @@ FOLD = LOWER.copy()
 FOLD[[*range(0x00, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x80)]] = 0x20
 
 
-def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int = 2 << 20) -> Iterator[pa.RecordBatch]:
     """Cut batches so that no piece holds over ``most`` bytes of text, unless it is a single row."""
     for batch in batches:
         if not batch.num_rows:
@@ -30,6 +30,7 @@ def slices(batches: Iterable[pa.RecordBatch], column: str = "text", most: int =
             base = sizes[start - 1] if start else 0
             stop = max(start + 1, int(np.searchsorted(sizes, base + most, "right")))
             yield batch.slice(start, stop - start)
+            pa.default_memory_pool().release_unused()
             start = stop
 
 
