@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from .cluster import linked
 from .graph import components
 from .store import drop, save
-from .text import FOLD, hashes, lines, mapped, mix, slices, texts, words
+from .text import FOLD, lines, mapped, mix, slices, texts, word_hashes, words
 
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
@@ -39,14 +39,21 @@ def normal_lines(strings: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
 
 
 def simhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SimHash of each non-empty run of word hashes: bit b is set if most words have it set."""
-    bits = np.unpackbits(np.ascontiguousarray(h).view(np.uint8).reshape(-1, 8), axis=1)
+    """SimHash of each non-empty run of word hashes: bit b is set if most words have it set.
+
+    Counts of the bits stand in the bytes of eight integers, so that a sum adds eight at once; runs of over 255 words,
+    which a byte cannot count, are summed bit by bit.
+    """
+    different, place = np.unique(h, return_inverse=True)
+    bits = np.unpackbits(different.view(np.uint8).reshape(-1, 8), axis=1)
     n = np.diff(at)
     out = np.zeros((len(n), 64), np.uint8)
     full = n > 0
     if full.any():
-        ones = np.add.reduceat(bits, at[:-1][full], axis=0, dtype=np.int32)
-        out[full] = 2 * ones > n[full, None]
+        lanes = np.add.reduceat(bits.view(np.uint64)[place], at[:-1][full], axis=0)
+        out[full] = 2 * lanes.view(np.uint8).reshape(-1, 64).astype(np.int32) > n[full, None]
+    for i in np.flatnonzero(n > 255):
+        out[i] = 2 * bits[place[at[i] : at[i + 1]]].sum(axis=0, dtype=np.int64) > n[i]
     return np.packbits(out, axis=1).view(np.uint64).ravel()
 
 
@@ -67,7 +74,7 @@ def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             starts, flat, at = normal_lines(texts(piece))
-            h = hashes(flat)
+            h = word_hashes(flat)
             take = np.flatnonzero(np.diff(at) >= min_words)
             text = np.searchsorted(starts, take, "right") - 1
             sim, node = simhash(h, at)[take], digests(h, at)
@@ -88,11 +95,19 @@ def near_hashes(sims: DataFrame, blocks: int = BLOCKS, most: int = BITS) -> Data
         mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in some)
         masks.append((c, mask))
 
+    def first_key(apart: np.ndarray) -> np.ndarray:
+        """The first key that two hashes share, so that a pair comes out once."""
+        out = np.full(len(apart), 15, np.int64)
+        for c, mask in reversed(masks):
+            out[(apart & np.uint64(mask)) == 0] = c
+        return out
+
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sim = batch.column("sim").to_numpy().view(np.uint64)
             for c, mask in masks:
-                yield pa.RecordBatch.from_arrays([pa.array(mix((sim & np.uint64(mask)) + mix(np.array([c + 1], np.uint64))).view(np.int64)), batch.column("sim")], names=["key", "sim"])
+                key = mix((sim & np.uint64(mask)) + mix(np.array([c + 1], np.uint64)))
+                yield pa.RecordBatch.from_arrays([pa.array(((key & ~np.uint64(15)) | np.uint64(c)).view(np.int64)), batch.column("sim")], names=["key", "sim"])
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key0 = sim0 = np.zeros(0, np.int64)
@@ -107,7 +122,8 @@ def near_hashes(sims: DataFrame, blocks: int = BLOCKS, most: int = BITS) -> Data
             while len(at):
                 at = at[at >= gap]
                 at = at[key[at] == key[at - gap]]
-                near = at[np.bitwise_count((sim[at] ^ sim[at - gap]).view(np.uint64)) <= most]
+                apart = (sim[at] ^ sim[at - gap]).view(np.uint64)
+                near = at[(np.bitwise_count(apart) <= most) & (first_key(apart) == (key[at] & 15))]
                 a.append(sim[near])
                 b.append(sim[near - gap])
                 gap += 1
@@ -124,6 +140,16 @@ def edit_distance(a: str, b: str, most: int) -> int:
     """Levenshtein distance by bit-parallel columns (Myers, 1999), or most + 1 if it is larger."""
     if abs(len(a) - len(b)) > most:
         return most + 1
+    left, right = 0, min(len(a), len(b))
+    while left < right:  # equal ends do not count: halve until the first difference is found
+        middle = (left + right + 1) // 2
+        left, right = (middle, right) if a[:middle] == b[:middle] else (left, middle - 1)
+    a, b = a[left:], b[left:]
+    left, right = 0, min(len(a), len(b))
+    while left < right:
+        middle = (left + right + 1) // 2
+        left, right = (middle, right) if a[-middle:] == b[-middle:] else (left, middle - 1)
+    a, b = a[: len(a) - left], b[: len(b) - left]
     if not a or not b:
         return max(len(a), len(b))
     peq: dict[str, int] = {}
@@ -186,7 +212,7 @@ def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
 
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "node", "sim")).alias("wants"))
     chosen = docs.select(F.col(doc_id).alias("doc"), "text")
-    return chosen.join(per_doc, "doc").select("text", "wants").mapInArrow(run, "id binary, payload binary").dropDuplicates(["id"])
+    return chosen.join(per_doc.hint("merge"), "doc").select("text", "wants").mapInArrow(run, "id binary, payload binary").dropDuplicates(["id"])
 
 
 def removals(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -213,7 +239,7 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_word
     gone = removals(spark, docs, doc_id, min_words, similarity).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
     held = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     split = F.split("text", "\n", -1)
-    out = docs.select(*held).join(gone, F.col(doc_id) == F.col("_doc"), "left")
+    out = docs.select(*held).join(gone.hint("merge"), F.col(doc_id) == F.col("_doc"), "left")
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_gone", i.cast("int"))), "\n")
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     return out.select(

@@ -106,6 +106,12 @@ def hashes(strings: pa.Array, seed: int = 0) -> np.ndarray:
     return mix(out + U64(0x9E3779B97F4A7C15) * (np.diff(offs).astype(U64) + U64(seed + 1)))
 
 
+def word_hashes(flat: pa.Array) -> np.ndarray:
+    """``hashes`` of words, each different word hashed once."""
+    coded = flat.dictionary_encode()
+    return hashes(coded.dictionary)[coded.indices.to_numpy(zero_copy_only=False)]
+
+
 def spans(starts: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     """First word and text of every window of ``k`` words that lies in one text."""
     lens = np.diff(starts)
