@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 REGISTERS, LOW, HIGH, DEPTH = 8, -1024, 1023, 16
@@ -89,6 +89,15 @@ def literal_map(pairs: dict) -> Column:
     return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
 
 
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """``df`` with a column that is computed once for each row.
+
+    An explode of one element stands between it and later filters and projections: the optimizer would otherwise write
+    the whole expression again wherever they use a part of it.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
+
+
 def op_number(op: Column) -> Column:
     """Code of an operation's name; null for an unknown name."""
     return F.try_element_at(literal_map({o.name: o.code for o in OPS.values()}), op)

@@ -51,7 +51,7 @@ def parse(df: DataFrame, source: str = "source") -> DataFrame:
     """
     keep = [c for c in df.columns if c not in ("program", "errors", "lines")]
     read = F.transform(F.split(F.col(source), "\r?\n", -1), _line)
-    out = df.select(*keep, read.alias("_read"))
+    out = isa.once(df.select(*keep), "_read", read) if source in keep else isa.once(df, "_read", read).select(*keep, "_read")
     kept = F.filter(F.col("_read"), lambda r: r["used"])
     names = F.transform(F.col("_read"), lambda r: r["x"]["label"])
     twice = F.transform(F.col("_read"), lambda r, i: F.when(r["x"]["label"].isNotNull() & (F.array_position(names, r["x"]["label"]) <= i), F.struct(r["line"].alias("line"), F.concat(F.lit("label defined twice: "), r["x"]["label"]).alias("message"))))

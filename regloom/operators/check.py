@@ -54,8 +54,20 @@ def ranges(program: Column) -> Column:
 # passes is bounded by the longest chain of backward jumps, so size + 1 is enough; passes after the last change are
 # free, because the state then carries a flag.
 
-def _flow(code: str, start: str, push: str, kind: str) -> str:
-    """SQL of the fixpoint. ``push(state, i, j)``: new value of j from i; an edge goes to i + 1 and to the target."""
+
+def _put(k: str, j: str, value: str) -> str:
+    """SQL of an array with one element replaced."""
+    return f"concat(slice({k}, 1, {j}), array({value}), slice({k}, {j} + 2, size({k})))"
+
+
+def _both(go: str, jump: str, meet: str) -> str:
+    """SQL of the state after an instruction has told its successors; ``meet`` joins what one knew with the news."""
+    on = f"if({go} AND i + 1 < size(k), {_put('k', '(i + 1)', meet.format('k[i + 1]'))}, k)"
+    return f"transform(array({on}), q -> if({jump}, {_put('q', 'x.t', meet.format('q[x.t]'))}, q))[0]"
+
+
+def _flow(code: str, start: str, push: str) -> str:
+    """SQL of the fixpoint. ``push``: the state k after instruction i has been looked at."""
     one = f"aggregate(sequence(0, size({code}) - 1), p.known, (k, i) -> {push})"
     turn = f"transform(array({one}), q -> named_struct('known', q, 'done', q <=> p.known))[0]"
     return f"aggregate(sequence(1, size({code}) + 1), named_struct('known', {start}, 'done', false), (p, z) -> if(p.done, p, {turn})).known"
@@ -74,9 +86,10 @@ def written(code: str, userops: bool) -> str:
     go, jump = _edges("x")
     writes = isa.WRITING + ([s for s in isa.BINDINGS] if userops else [])
     mask = f"(k[i] | if(x.op IN ({isa.names(writes)}) AND x.a BETWEEN 0 AND {isa.REGISTERS - 1}, shiftleft(1, x.a), 0))"
-    take = f"transform(k, (v, j) -> if(j > 0 AND ({go} AND j = i + 1 OR {jump} AND j = x.t), if(v = -1, m, v & m), v))"
+    meet = "if({0} = -1, m, {0} & m)"
+    take = _both(go, f"({jump} AND x.t > 0)", meet)
     push = f"if(k[i] = -1, k, transform(array({code}[i]), x -> transform(array({mask}), m -> {take})[0])[0])"
-    return _flow(code, f"transform({code}, (x, i) -> if(i = 0, 0, -1))", push, "int")
+    return _flow(code, f"transform({code}, (x, i) -> if(i = 0, 0, -1))", push)
 
 
 def depths(code: str) -> str:
@@ -85,9 +98,10 @@ def depths(code: str) -> str:
     delta = "CASE x.op WHEN 'PUSH' THEN 1 WHEN 'POP' THEN -1 ELSE 0 END"
     after = f"(k[i] + {delta})"
     bad = f"CASE WHEN d < 0 THEN -2 WHEN d > {isa.DEPTH} THEN -3 ELSE d END"
-    take = f"transform(k, (v, j) -> if({go} AND j = i + 1 OR {jump} AND j = x.t, CASE WHEN v < -1 THEN v WHEN v = -1 OR v = w THEN w WHEN w < -1 THEN w ELSE -4 END, if(j = i AND w < -1, w, v)))"
+    meet = "CASE WHEN {0} < -1 THEN {0} WHEN {0} = -1 OR {0} = w THEN w ELSE -4 END"
+    take = f"if(w < -1, {_put('k', 'i', 'w')}, {_both(go, jump, meet)})"
     push = f"if(k[i] < 0, k, transform(array({code}[i]), x -> transform(array({after}), d -> transform(array({bad}), w -> {take})[0])[0])[0])"
-    return _flow(code, f"transform({code}, (x, i) -> if(i = 0, 0, -1))", push, "int")
+    return _flow(code, f"transform({code}, (x, i) -> if(i = 0, 0, -1))", push)
 
 
 def validate(df: DataFrame, program: str = "program", userops: bool = False) -> DataFrame:
@@ -101,14 +115,15 @@ def validate(df: DataFrame, program: str = "program", userops: bool = False) ->
     keep = [c for c in df.columns if c not in ("valid", "errors", "range_errors")]
     p = F.col(program)
     out = df.select(*keep, resolved(p).alias("_code"))
-    out = out.withColumns({"_mask": F.expr(f"if(size(_code) = 0, null, {written('_code', userops)})"), "_depth": F.expr(f"if(size(_code) = 0, null, {depths('_code')})")})
+    flow = f"named_struct('mask', if(size(_code) = 0, null, {written('_code', userops)}), 'depth', if(size(_code) = 0, null, {depths('_code')}))"
+    out = isa.once(out, "_flow", F.expr(flow))
     slots = F.filter(F.transform(p, lambda x, i: F.when(x["op"].startswith("USEROP_"), F.concat(F.lit("userop at "), i.cast("string")))), lambda x: x.isNotNull())
     doubled = F.transform(isa.duplicate_labels(p), lambda x: F.concat(F.lit("label defined twice: "), x))
     unknown = F.transform(targets(p), lambda x: F.concat(F.lit("unknown target: "), x))
     code = F.col("_code")
-    prints = F.expr("filter(transform(_code, (x, i) -> if(x.op = 'PRINT' AND NOT coalesce(_mask[i] >= 0 AND (_mask[i] & shiftleft(1, x.a)) <> 0, false), concat('print of an unwritten register at ', i), null)), x -> x IS NOT NULL)")
+    prints = F.expr("filter(transform(_code, (x, i) -> if(x.op = 'PRINT' AND NOT coalesce(_flow.mask[i] >= 0 AND (_flow.mask[i] & shiftleft(1, x.a)) <> 0, false), concat('print of an unwritten register at ', i), null)), x -> x IS NOT NULL)")
     says = "CASE d WHEN -2 THEN 'stack underflow' WHEN -3 THEN 'stack overflow' ELSE 'stack depth differs between paths' END"
-    stack = F.expr(f"filter(transform(_depth, (d, i) -> if(d < -1, concat({says}, ' at ', i), null)), x -> x IS NOT NULL)")
+    stack = F.expr(f"filter(transform(_flow.depth, (d, i) -> if(d < -1, concat({says}, ' at ', i), null)), x -> x IS NOT NULL)")
     none = F.array().cast("array<string>")
     stages = [arity(p), F.concat(doubled, unknown)] + ([] if userops else [slots]) + [F.coalesce(prints, none), F.coalesce(stack, none)]
     errors = F.coalesce(*(F.when(F.size(s) > 0, s) for s in stages), none)
