@@ -103,7 +103,7 @@ def run(df: DataFrame, program: str = "program", steps: bool = True, limit: Colu
         limit = F.when(back, F.greatest(size, F.lit(4096))).otherwise(size)
     bound = F.greatest(F.lit(1), (F.lit(limit) if isinstance(limit, int) else limit).cast("int"))
     held = df.select(*(c for c in df.columns if c not in made), resolved(F.col(program)).alias("_code"), bound.alias("_fuel"))
-    held = isa.once(held, "_end", F.expr(_fold("_code", "_fuel", steps)))
+    held = isa.once(held, "_end", F.expr(f"if(_code IS NULL, NULL, {_fold('_code', '_fuel', steps)})"))
     status = F.when(F.col("_end.status") == "running", "step_cap").otherwise(F.col("_end.status"))
     if strict:
         status = F.when(status == "halted", status).otherwise(F.raise_error(F.concat(F.lit("program failed: "), status)))
