@@ -100,7 +100,7 @@ def alloc_registers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _shape(spark: SparkSession, sf_dir: str, tier: str) -> DataFrame:
     n, k = (F.col("id") % 5 + 4).cast("int"), (F.col("id") % 7 + 2).cast("int")
-    out = _seeded(spark, sf_dir).withColumns({"n": n, "k": k})
+    out = _seeded(spark, sf_dir).repartition(64, "id").withColumns({"n": n, "k": k})
     if tier == "tier2":
         out = out.withColumns({"b": (F.col("id") % 4).cast("int"), "l": (F.col("id") % 9).cast("int"), "use_stack": F.col("id") % 2 == 0, "stack_frames": F.lit(2), "k": (F.col("id") % 5 + 4).cast("int")})
     return generate.make(out, tier)
@@ -508,5 +508,5 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def exact_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branched programs that follow Python's generator, with validity and output, for the seeds of all orders."""
-    made = exact.make(_seeded(spark, sf_dir), "tier2", "medium")
-    return plain(vm.run(check.validate(made), steps=False).select("id", F.size("program").alias("length"), "valid", "status", F.col("trace.output").alias("output")))
+    made = exact.make(_seeded(spark, sf_dir).repartition(64, "id"), "tier2", "medium")
+    return plain(vm.run(check.validate(made), steps=False, limit=vm.fuel(F.col("program"), F.col("l"))).select("id", F.size("program").alias("length"), "valid", "status", F.col("trace.output").alias("output")))
