@@ -118,19 +118,17 @@ def near_hashes(sims: DataFrame, blocks: int = BLOCKS, most: int = BITS) -> Data
             key = np.concatenate((key0, batch.column("key").to_numpy()))
             sim = np.concatenate((sim0, batch.column("sim").to_numpy()))
             at = np.arange(fresh, len(key))
-            gap, a, b = 1, [], []
+            gap = 1
             while len(at):
                 at = at[at >= gap]
                 at = at[key[at] == key[at - gap]]
                 apart = (sim[at] ^ sim[at - gap]).view(np.uint64)
                 near = at[(np.bitwise_count(apart) <= most) & (first_key(apart) == (key[at] & 15))]
-                a.append(sim[near])
-                b.append(sim[near - gap])
+                if len(near):
+                    yield pa.RecordBatch.from_arrays([pa.array(sim[near]), pa.array(sim[near - gap])], names=["a", "b"])
                 gap += 1
             tail = key == key[-1]
             key0, sim0 = key[tail], sim[tail]
-            if a:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
 
     dealt = sims.select("sim").mapInArrow(keyed, "key long, sim long").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(pairs, "a long, b long")

@@ -5,6 +5,7 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 
@@ -108,3 +109,19 @@ def test_pipeline_runs(spark):
 
     out = corpus_pipeline.run(spark, SF)
     assert {"doc_id", "text", "domain", "copies"} <= set(out.columns) and 0 < out.count() <= 200
+
+
+def test_components(spark):
+    """A chain, a hub, a loop and nulls, over several partitions: every node but the roots once, with the least of its group."""
+    from regloom.llm.graph import components, thinned
+
+    links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 300)] + [(500, 500), (None, 1), (600, None)]
+    df = spark.createDataFrame(links, "a bigint, b bigint").repartition(7)
+    want = {i: 1 for i in range(2, 41)} | {i: 100 for i in range(101, 300)}
+    got = [tuple(r) for r in components(spark, df).collect()]
+    assert len(got) == len(want) and dict(got) == want
+    binary = components(spark, df.select(*(F.encode(F.lpad(F.col(c).cast("string"), 4, "0"), "utf-8").alias(c) for c in "ab")))
+    assert {int(bytes(a)): int(bytes(b)) for a, b in binary.collect()} == want
+    short = {tuple(r) for r in components(spark, thinned(df.where("a <> b"), most=3)).collect()}
+    assert short == set(want.items())
+    assert components(spark, df.where("a < 0")).count() == 0
