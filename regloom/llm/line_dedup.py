@@ -172,6 +172,26 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+#: How many words of either line to pass over at a difference, fewest first.
+STEPS = sorted(((s, t) for s in range(5) for t in range(5) if s or t), key=lambda p: (max(p), sum(p)))
+
+
+def at_most(a: str, b: str, most: int) -> int:
+    """An upper bound of the edit distance, by pairing words and meeting again soon after each difference; stops over ``most``."""
+    x, y = a.split(" "), b.split(" ")
+    i = j = cost = 0
+    while i < len(x) and j < len(y) and cost <= most:
+        if x[i] == y[j]:
+            i, j = i + 1, j + 1
+            continue
+        s, t = next(((s, t) for s, t in STEPS if i + s < len(x) and j + t < len(y) and x[i + s] == y[j + t]), (1, 1))
+        cost += max(sum(map(len, x[i : i + s])) + s, sum(map(len, y[j : j + t])) + t)
+        i, j = i + s, j + t
+    if cost > most:
+        return cost
+    return cost + max(sum(map(len, x[i:])) + len(x) - i, sum(map(len, y[j:])) + len(y) - j)
+
+
 def matcher(similarity: float, most: int = BITS):
     """Links of (SimHash, line) payloads within ``most`` bits and of enough edit similarity, enough to connect all."""
 
@@ -185,7 +205,7 @@ def matcher(similarity: float, most: int = BITS):
                 other, near = int(near[-1]), near[:-1]
                 longest = max(len(strings[me]), len(strings[other]))
                 allowed = int((1 - similarity) * longest + 1e-9)
-                if edit_distance(strings[me], strings[other], allowed) <= allowed:
+                if at_most(strings[me], strings[other], allowed) <= allowed or edit_distance(strings[me], strings[other], allowed) <= allowed:
                     a, b = sorted((int(label[me]), int(label[other])))
                     label[label == b] = a
                     yield other, me
