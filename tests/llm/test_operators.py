@@ -125,20 +125,3 @@ def test_components(spark):
     short = {tuple(r) for r in components(spark, thinned(df.where("a <> b"), most=3)).collect()}
     assert short == set(want.items())
     assert components(spark, df.where("a < 0")).count() == 0
-
-
-def test_bound_of_the_edit_distance():
-    """Word pairing never gives less than the edit distance, and finds a few changed, added and lost words cheap."""
-    import random
-
-    from regloom.llm.line_dedup import at_most, edit_distance
-
-    draw = random.Random(5)
-    for _ in range(2000):
-        a = [draw.choice(["a", "bb", "ccc", "dd", "e"]) for _ in range(draw.randint(1, 12))]
-        b = [w for w in a if draw.random() < 0.8] + ["zz"] * draw.randint(0, 2) or ["q"]
-        a, b = " ".join(a), " ".join(b)
-        assert at_most(a, b, 1000) >= edit_distance(a, b, 1000)
-    words = [f"word{i}" for i in range(100)]
-    other = words[:10] + ["new"] + words[10:40] + words[41:70] + ["changed"] + words[71:]
-    assert at_most(" ".join(words), " ".join(other), 200) < 25
