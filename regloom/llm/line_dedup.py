@@ -29,6 +29,7 @@ from .text import FOLD, lines, mapped, mix, slices, texts, word_hashes, words
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
 BLOCKS, BITS = 5, 3
+LOOK = 32
 
 
 def normal_lines(strings: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -134,8 +135,23 @@ def near_hashes(sims: DataFrame, blocks: int = BLOCKS, most: int = BITS) -> Data
     return dealt.mapInArrow(pairs, "a long, b long")
 
 
+def least_cost(plus: int, minus: int, rows: int, column: int, ahead: int) -> int:
+    """Least distance that any path through this column can still end with.
+
+    Row i of the column costs ``column`` plus the differences above it, and at least as many edits follow as the numbers
+    of rows and columns that are left differ by.
+    """
+    size = (rows + 7) // 8
+    up, down = (np.unpackbits(np.frombuffer(v.to_bytes(size, "little"), np.uint8), bitorder="little", count=rows).view(np.int8) for v in (plus, minus))
+    cost = np.concatenate(([column], column + np.cumsum(up - down, dtype=np.int64)))
+    return int((cost + np.abs(np.arange(rows, -1, -1) - ahead)).min())
+
+
 def edit_distance(a: str, b: str, most: int) -> int:
-    """Levenshtein distance by bit-parallel columns (Myers, 1999), or most + 1 if it is larger."""
+    """Levenshtein distance by bit-parallel columns (Myers, 1999), or most + 1 if it is larger.
+
+    Now and then the whole column is looked at, so that unlike strings end soon after their cost passes ``most``.
+    """
     if abs(len(a) - len(b)) > most:
         return most + 1
     left, right = 0, min(len(a), len(b))
@@ -156,7 +172,13 @@ def edit_distance(a: str, b: str, most: int) -> int:
     ones = (1 << len(a)) - 1
     top = 1 << (len(a) - 1)
     plus, minus, score = ones, 0, len(a)  # vertical differences of +1 and -1
+    look = max(LOOK, most)  # columns before which no look is worth its cost
     for j, ch in enumerate(b):
+        if j == look:
+            cost = least_cost(plus, minus, len(a), j, len(b) - j)
+            if cost > most:
+                return most + 1
+            look += max(LOOK, most - cost)
         eq = peq.get(ch, 0)
         vertical = eq | minus
         level = (((eq & plus) + plus) ^ plus) | eq
@@ -172,6 +194,49 @@ def edit_distance(a: str, b: str, most: int) -> int:
     return score
 
 
+def same_until(a: str, b: str, i: int, j: int) -> int:
+    """How many characters from a[i] and b[j] on are equal: doubling steps, then halving ones."""
+    n, step, most = 0, 16, min(len(a) - i, len(b) - j)
+    while n < most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+        n += step
+        step *= 2
+    while step and n < most:
+        if n + step <= most and a[i + n : i + n + step] == b[j + n : j + n + step]:
+            n += step
+        step //= 2
+    return min(n, most)
+
+
+def script_cost(a: str, b: str, most: int, gram: int = 8, window: int = 32) -> int:
+    """Length of an edit script from a to b, so no less than their distance; most + 1 if none as short is found at once.
+
+    Behind each difference the next run of ``gram`` equal characters within ``window`` is looked for.
+    """
+    i = j = cost = 0
+    while cost <= most:
+        n = same_until(a, b, i, j)
+        i, j = i + n, j + n
+        if max(len(a) - i, len(b) - j) <= gram:
+            return min(cost + max(len(a) - i, len(b) - j), most + 1)
+        for skip in range(min(window, len(a) - i - gram) + 1):
+            at = b.find(a[i + skip : i + skip + gram], j, j + window + gram)
+            if at >= 0:
+                break
+        else:
+            rest = cost + max(len(a) - i, len(b) - j)
+            return rest if rest <= most else most + 1
+        cost += max(skip, at - j)
+        i, j = i + skip, at
+    return most + 1
+
+
+def within(a: str, b: str, most: int) -> bool:
+    """Whether the edit distance is at most ``most``: a script found at once tells, or else the exact distance."""
+    if abs(len(a) - len(b)) > most:
+        return False
+    return script_cost(a, b, most) <= most or edit_distance(a, b, most) <= most
+
+
 def matcher(similarity: float, most: int = BITS):
     """Links of (SimHash, line) payloads within ``most`` bits and of enough edit similarity, enough to connect all."""
 
@@ -185,7 +250,7 @@ def matcher(similarity: float, most: int = BITS):
                 other, near = int(near[-1]), near[:-1]
                 longest = max(len(strings[me]), len(strings[other]))
                 allowed = int((1 - similarity) * longest + 1e-9)
-                if edit_distance(strings[me], strings[other], allowed) <= allowed:
+                if within(strings[me], strings[other], allowed):
                     a, b = sorted((int(label[me]), int(label[other])))
                     label[label == b] = a
                     yield other, me
@@ -223,7 +288,7 @@ def removals(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_w
     members = save(spark, rooted.join(shared, "root").select("node", "root", "sim", "first"), "line-members")
     wanted = members.select("first.doc", "first.line", "node", "sim")
     found = linked(spark, members.select("node", "root"), wanted_lines(docs, doc_id, wanted), matcher(similarity), "near-lines")
-    grouped = nodes.join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    grouped = nodes.join(found, "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     firsts = grouped.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     again = grouped.select("node", "root").join(firsts.select("root", "first"), "root").select("node", "first")
     gone = table.join(again, "node").where(F.struct("doc", "line") != F.col("first"))

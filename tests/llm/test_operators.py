@@ -79,7 +79,7 @@ def test_lines_of_odd_rows(spark):
 def test_edit_distance_against_brute_force():
     import random
 
-    from regloom.llm.line_dedup import edit_distance
+    from regloom.llm.line_dedup import edit_distance, script_cost, within
 
     def plain(a, b):
         row = list(range(len(b) + 1))
@@ -95,6 +95,12 @@ def test_edit_distance_against_brute_force():
         a, b = ("".join(r.choice("abc") for _ in range(r.randint(0, 14))) for _ in "ab")
         most = r.randint(0, 14)
         assert min(edit_distance(a, b, most), most + 1) == min(plain(a, b), most + 1)
+    for _ in range(300):  # long enough for looks at whole columns and for scripts
+        a = "".join(r.choice("abcd ") for _ in range(r.randint(0, 150)))
+        b = "".join(r.choice(("", c + "x", "y")) if r.random() < 0.1 else c for c in a) if r.random() < 0.7 else a[::-1]
+        most, true = r.randint(0, 60), plain(a, b)
+        assert edit_distance(a, b, most) == min(true, most + 1)
+        assert within(a, b, most) == (true <= most) and script_cost(a, b, 999) >= true
 
 
 def test_language_held_out(spark):
