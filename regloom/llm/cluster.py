@@ -43,10 +43,8 @@ class Union:
         return True
 
 
-def candidates(spark: SparkSession, keys: DataFrame, name: str) -> DataFrame:
-    """(node, root) of all ids of ``keys`` (id, key) that share a key with another id, roots included."""
-    shared = keys.groupBy("key").agg(F.min("id").alias("p"), F.max("id").alias("q")).where("p <> q").select("key", "p")
-    links = keys.join(shared, "key").where("id <> p").select(F.col("id").alias("a"), F.col("p").alias("b"))
+def candidates(spark: SparkSession, links: DataFrame, name: str) -> DataFrame:
+    """(node, root) of all ids that links (a, b) connect, roots included."""
     found = components(spark, links, name)
     return found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())
 

@@ -24,8 +24,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import Union, candidates, linked
+from .graph import stars
 from .store import save
-from .text import LOWER, grams, hashes, mapped, mix, slices, texts, words
+from .text import LOWER, binaries, grams, groups, hashes, mapped, mix, slices, texts, words
+
+#: Keys in a bucket, about.
+BUCKET = 1 << 19
 
 
 def sets(strings: pa.Array, n: int) -> list[np.ndarray]:
@@ -159,26 +163,71 @@ def matcher(num: int, den: int):
     return match
 
 
-def features(docs: DataFrame, doc_id: str, n: int, threshold: float) -> DataFrame:
-    """(doc, n, digest, keys) of every row; digest and keys are null for an empty set."""
-    low = intervals(1 << 34, threshold)
+def features(docs: DataFrame, doc_id: str, n: int) -> DataFrame:
+    """(doc, n, digest) of every row; the digest is null for an empty set."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            size, digest, keys = [], [], []
+            size, digest = [], []
             for s in sets(texts(piece), n):
                 size.append(len(s))
-                if not len(s):
-                    digest.append(None)
-                    keys.append(None)
-                    continue
                 total = [int(mix(s + np.uint64(c)).sum()) for c in (1, 2)]
-                digest.append(b"".join(int(v).to_bytes(8, "big") for v in total))
-                keys.append(signatures(s, low, threshold).view(np.int64))
-            yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(size, pa.int64()), pa.array(digest, pa.binary()), pa.array(keys, pa.list_(pa.int64()))], names=["doc", "n", "digest", "keys"])
+                digest.append(b"".join(int(v).to_bytes(8, "big") for v in total) if len(s) else None)
+            yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(size, pa.int64()), pa.array(digest, pa.binary())], names=["doc", "n", "digest"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, n long, digest binary, keys array<long>")
+    return docs.select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, n long, digest binary")
+
+
+def meetings(key: np.ndarray, owner: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in order with an owner each, and links (a, b) of the other owners of a key to that one."""
+    order = np.argsort(key, kind="stable")
+    key, owner = key[order], owner[order]
+    first = np.diff(key, prepend=~key[:1]) != 0
+    head = owner[first]
+    leader = head[np.cumsum(first) - 1]
+    apart = owner != leader
+    return key[first], head, owner[apart], leader[apart]
+
+
+def sharing(docs: DataFrame, doc_id: str, n: int, threshold: float, buckets: int) -> DataFrame:
+    """Links (a, b) that connect all rows that share a key.
+
+    Keys travel packed by bucket, each once for a piece of text: rows of a piece that share one are linked there.
+    """
+    low = intervals(1 << 34, threshold)
+    kind = docs.schema[doc_id].dataType.simpleString()
+
+    def deal(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for piece in slices(batches):
+            keys = [signatures(s, low, threshold) if len(s) else s for s in sets(texts(piece), n)]
+            key, owner, x, y = meetings(np.concatenate(keys), np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            if not len(key):
+                continue
+            bucket = ((key >> np.uint64(20)) % np.uint64(buckets)).astype(np.int32)
+            order = np.lexsort((owner, bucket))
+            key, owner, bucket = key[order], owner[order], bucket[order]
+            at = np.append(np.flatnonzero(np.diff(bucket, prepend=-1)), len(bucket))
+            ids = piece.column("doc")
+            rows = len(at) - 1
+            held = pa.ListArray.from_arrays(pa.array(at, pa.int32()), ids.take(pa.array(owner)))
+            a, b = stars(ids.take(pa.array(x)), ids.take(pa.array(y)))
+            cuts = pa.array(len(a) * np.arange(rows + 1) // rows, pa.int32())  # links lie in any row
+            some = [pa.ListArray.from_arrays(cuts, v) for v in (a, b)]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket[at[:-1]]), binaries(at, key), held, *some], names=["bucket", "key", "id", "a", "b"])
+
+    def meet(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in groups(batches, ["bucket"]):
+            flat = {c: pa.concat_arrays([x.flatten() for x in table.column(c).chunks]) for c in ("id", "a", "b")}
+            key = np.concatenate([np.frombuffer(k.as_buffer(), np.uint64) for k in table.column("key")])
+            ids = flat["id"].dictionary_encode()
+            _, _, x, y = meetings(key, ids.indices.to_numpy())
+            left, right = (pa.concat_arrays([flat[c], ids.dictionary.take(pa.array(v))]) for c, v in (("a", x), ("b", y)))
+            yield pa.RecordBatch.from_arrays(list(stars(left, right)), names=["a", "b"])
+
+    some = docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), "text")
+    dealt = some.mapInArrow(deal, f"bucket int, key binary, id array<{kind}>, a array<{kind}>, b array<{kind}>")
+    return dealt.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(meet, f"a {kind}, b {kind}")
 
 
 def payloads(docs: DataFrame, n: int) -> DataFrame:
@@ -196,10 +245,11 @@ def join(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", n: int =
 
     Two rows link if their sets have an intersection of at least num / den of the union.
     """
-    made = save(spark, features(docs, doc_id, n, num / den), "shingles")
+    made = save(spark, features(docs, doc_id, n), "shingles")
     classes = save(spark, made.where("n > 0").groupBy("digest").agg(F.min("doc").alias("rep")), "classes")
-    keys = made.where("doc is not null").select(F.col("doc").alias("id"), F.explode("keys").alias("key"))
-    members = candidates(spark, keys, "near").join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
+    size = made.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    buckets = max(64, int(2 * size * (den - num) / num) // BUCKET + 1)
+    members = candidates(spark, sharing(docs, doc_id, n, num / den, buckets), "near").join(classes.select(F.col("rep").alias("node")).distinct(), "node", "left_semi")
     members = save(spark, members, "members")
     chosen = docs.select(F.col(doc_id).alias("id"), "text").join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     found = linked(spark, members, payloads(chosen, n), matcher(num, den), "near")

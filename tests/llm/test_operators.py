@@ -38,12 +38,13 @@ def shingles(text, n):
     return {tuple(w[i : i + n]) for i in range(len(w) - n + 1)} or ({tuple(w)} if w else set())
 
 
-def test_jaccard_join_against_brute_force(spark):
+@pytest.mark.parametrize("n, num", [(3, 90), (5, 80)])
+def test_jaccard_join_against_brute_force(spark, n, num):
     from regloom.llm import jaccard_join
 
     docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark, docs).collect()}
-    sets = {r.doc_id: shingles(r.text or "", 3) for r in docs.collect()}
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_join.join(spark, docs, n=n, num=num).collect()}
+    sets = {r.doc_id: shingles(r.text or "", n) for r in docs.collect()}
     root = {d: d for d in sets}
 
     def find(x):
@@ -55,7 +56,7 @@ def test_jaccard_join_against_brute_force(spark):
     for i, a in enumerate(ids):
         for b in ids[:i]:
             x, y = sets[a], sets[b]
-            if x and y and 100 * len(x & y) >= 90 * len(x | y):
+            if x and y and 100 * len(x & y) >= num * len(x | y):
                 p, q = sorted((find(a), find(b)))
                 root[q] = p
     assert got == {d: (len(sets[d]), find(d)) for d in ids}
