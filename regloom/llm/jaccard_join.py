@@ -2,7 +2,7 @@
 
 A document is the set of its hashed word n-grams, all sets ordered by the same (hash) order. Documents that link must
 agree on all of at least one of H + 1 parts of the hash space, H being the largest symmetric difference that the
-threshold allows at their sizes; such parts are the keys that bring candidates together, so no link is lost. Each
+threshold allows at their sizes; the fuller parts are the keys that bring candidates together, so no link is lost. Each
 candidate group stores its sets in a compressed trie. A set walks the trie with a running count of what either side
 misses, shared by all sets below a node; a subtree is left as soon as misses plus the bound on remaining lengths
 exceed what its sizes allow, or if all of it is in the walker's group already.
@@ -55,17 +55,27 @@ def intervals(most: int, threshold: float) -> np.ndarray:
 
 
 def signatures(s: np.ndarray, low: np.ndarray, threshold: float) -> np.ndarray:
-    """Keys of a set: for its size interval and the one below, the sum of each part of the hash space."""
+    """Keys of a set: for its size interval and the one below, the sum of each of its fuller parts of the hash space.
+
+    There are a quarter more parts than ``most`` + 1. A set that can differ in d places keeps the parts of at least m
+    n-grams, m being the largest with over d such parts. Of two sets that link, the one with the larger m keeps a part
+    in which they agree; the other's m is no larger, so it keeps that part as well.
+    """
     at = int(np.searchsorted(low, len(s), "right")) - 1
     m, keys = mix(s + np.uint64(0x51ED27)), []
     for i in (at, at - 1):
         if i < 0:
             continue
         # sizes a <= b of the pair, a in interval i: the difference is at most (a + b)(1 - t)/(1 + t) <= a (1 - t)/t
-        parts = int((low[i + 1] - 1) * (1 - threshold) / threshold + 1e-9) + 1
+        most = int((low[i + 1] - 1) * (1 - threshold) / threshold + 1e-9)
+        parts = most + 1 + most // 4
+        place = (s % np.uint64(parts)).astype(np.int64)
         total = np.zeros(parts, np.uint64)
-        np.add.at(total, (s % np.uint64(parts)).astype(np.int64), m)
-        keys.append(mix(total + mix(np.arange(parts, dtype=np.uint64) + np.uint64(i << 32))))
+        np.add.at(total, place, m)
+        held = np.bincount(place, minlength=parts)
+        differ = min(most, int(len(s) * (1 - threshold) / threshold + 1e-9))
+        full = np.flatnonzero(held >= np.sort(held)[parts - 1 - differ])
+        keys.append(mix(total[full] + mix(full.astype(np.uint64) + np.uint64(i << 32))))
     return np.concatenate(keys)
 
 

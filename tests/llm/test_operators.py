@@ -62,6 +62,28 @@ def test_jaccard_join_against_brute_force(spark, n, num):
     assert got == {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def test_linked_sets_share_a_key():
+    import random
+
+    import numpy as np
+
+    from regloom.llm.jaccard_join import intervals, signatures
+    from regloom.llm.text import mix
+
+    r, tried = random.Random(5), 0
+    for _ in range(4000):
+        t = r.choice((0.8, 0.9, 0.5))
+        size = r.randint(1, 12) if r.random() < 0.5 else r.randint(12, 150)
+        pool = mix(np.array([r.getrandbits(60) for _ in range(2 * size)], np.uint64))
+        x = set(pool[:size].tolist())
+        y = set(r.sample(sorted(x), max(1, size - r.randint(0, int(size * (1 - t)) + 1)))) | set(pool[size : size + r.randint(0, int(size * (1 - t)) + 1)].tolist())
+        if len(x & y) >= t * len(x | y) - 1e-12:
+            tried += 1
+            a, b = (signatures(np.array(sorted(v), np.uint64), intervals(1 << 20, t), t) for v in (x, y))
+            assert set(a.tolist()) & set(b.tolist())
+    assert tried > 500
+
+
 def test_substrings_of_odd_rows(spark):
     from regloom.llm import substring_dedup
 
