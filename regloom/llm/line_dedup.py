@@ -1,10 +1,11 @@
 """Fuzzy line deduplication.
 
 Lines are normalised (lower case, digits to 0, other ASCII signs to blanks, blanks collapsed); lines of fewer than
-``min_words`` words are left alone. Equal normalised lines are one node (128-bit hash). Every node has a 64-bit SimHash
-of its words; hashes at a distance of at most h = 3 agree on at least 2 of 5 blocks, so the 10 pairs of blocks are the
-keys of a pigeonhole join. Nodes within h bits of each other link if their edit similarity is at least 0.8, and of each
-connected group the first occurrence (least doc_id, then line) stays.
+``min_words`` words are left alone. Equal normalised lines are one node (128-bit hash). Every node has 64 min-hashes of
+its runs of five bytes: sixteen keys of four of them each, and a sketch of one bit of each. Nodes that share a key, whose
+lengths allow the similarity and whose sketches are at most BITS apart are candidates. Candidates link if their edit
+similarity is at least 0.8, and of each connected group the first occurrence (least doc_id, then line) stays. Candidates
+are found with a probability: of a pair that shares the part J of its runs, by a key with 1 - (1 - J^4)^16.
 
 Defined results: null texts stay null and have no lines; empty texts stay empty; rows that repeat a doc_id share their
 removals by line number; rows with a null doc_id keep all their lines and are no occurrence. Texts and lines of any
@@ -14,7 +15,6 @@ length are handled whole. Input columns named n_lines or n_removed give way to t
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -24,11 +24,13 @@ from pyspark.sql import functions as F
 from .cluster import linked
 from .graph import components
 from .store import drop, save
-from .text import FOLD, lines, mapped, mix, slices, texts, word_hashes, words
+from .text import FOLD, lines, mapped, mix, raw, slices, texts, word_hashes, words
 
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
-BLOCKS, BITS = 5, 3
+GRAM, KEYS, EACH, BITS = 5, 16, 4, 22
+_FACTORS = mix(np.arange(1, KEYS * EACH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
+_SHIFTS = mix(np.arange(1001, KEYS * EACH + 1001, dtype=np.uint64)).astype(np.uint32)
 LOOK = 32
 
 
@@ -39,23 +41,30 @@ def normal_lines(strings: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return starts, words_, at
 
 
-def simhash(h: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """SimHash of each non-empty run of word hashes: bit b is set if most words have it set.
-
-    Counts of the bits stand in the bytes of eight integers, so that a sum adds eight at once; runs of over 255 words,
-    which a byte cannot count, are summed bit by bit.
-    """
-    different, place = np.unique(h, return_inverse=True)
-    bits = np.unpackbits(different.view(np.uint8).reshape(-1, 8), axis=1)
-    n = np.diff(at)
-    out = np.zeros((len(n), 64), np.uint8)
-    full = n > 0
-    if full.any():
-        lanes = np.add.reduceat(bits.view(np.uint64)[place], at[:-1][full], axis=0)
-        out[full] = 2 * lanes.view(np.uint8).reshape(-1, 64).astype(np.int32) > n[full, None]
-    for i in np.flatnonzero(n > 255):
-        out[i] = 2 * bits[place[at[i] : at[i + 1]]].sum(axis=0, dtype=np.int64) > n[i]
-    return np.packbits(out, axis=1).view(np.uint64).ravel()
+def sketches(flat: pa.Array, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sketch, characters and keys (KEYS of 32 bits in a row) of the lines ``take``, from min-hashes of their runs of bytes."""
+    offs, data = raw(flat)
+    n = len(flat)
+    text = np.full(len(data) + n + GRAM, 0x20, np.uint8)
+    text[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offs))] = data
+    start = (offs + np.arange(n + 1))[at]
+    if not len(take):
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, KEYS), np.uint32)
+    signs = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
+    size = (np.diff(signs[start])[take] - 1).astype(np.int32)
+    count = np.maximum(np.diff(start)[take] - GRAM + 1, 1)
+    cuts = np.cumsum(count) - count
+    place = np.arange(count.sum()) + np.repeat(start[take] - cuts, count)
+    run = np.zeros(len(place), np.uint64)
+    for i in range(GRAM):
+        run = (run << np.uint64(8)) | text[place + i]
+    h = (mix(run) >> np.uint64(32)).astype(np.uint32)
+    least = np.stack([np.minimum.reduceat(h * f + c, cuts) for f, c in zip(_FACTORS, _SHIFTS)], 1)
+    sketch = np.packbits(((least >> np.uint32(3)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
+    parts, key = least.reshape(-1, KEYS, EACH).astype(np.uint64), np.zeros((len(take), KEYS), np.uint64)
+    for i in range(EACH):
+        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
+    return sketch, size, (key >> np.uint64(32)).astype(np.uint32)
 
 
 def digests(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -70,7 +79,7 @@ def digests(h: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
-    """(doc, line, node, sim) of every line of enough words."""
+    """(doc, line, node, sim, size, keys) of every line of enough words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -78,60 +87,50 @@ def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
             h = word_hashes(flat)
             take = np.flatnonzero(np.diff(at) >= min_words)
             text = np.searchsorted(starts, take, "right") - 1
-            sim, node = simhash(h, at)[take], digests(h, at)
-            yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), pa.array([node[i] for i in take.tolist()], pa.binary()), pa.array(sim.view(np.int64))], names=["doc", "line", "node", "sim"])
+            node, (sim, size, keys) = digests(h, at), sketches(flat, at, take)
+            keys = pa.array([bytes(k) for k in keys.view(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), pa.array([node[i] for i in take.tolist()], pa.binary()), pa.array(sim), pa.array(size), keys], names=["doc", "line", "node", "sim", "size", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, line int, node binary, sim long")
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, line int, node binary, sim long, size int, keys binary")
 
 
-def near_hashes(sims: DataFrame, blocks: int = BLOCKS, most: int = BITS) -> DataFrame:
-    """(a, b) of different SimHashes (column sim, distinct) at a distance of at most ``most`` bits, found by shared blocks.
+def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> DataFrame:
+    """(a, b) of different sketches (sim, size, keys) that share a key, at most ``most`` bits apart and of like size.
 
     Rows are dealt by key; each is compared with the rows before it that have the same key, across batches as well.
     """
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = []
-    for c, some in enumerate(combinations(range(blocks), blocks - most)):
-        mask = sum(((1 << (edges[b + 1] - edges[b])) - 1) << edges[b] for b in some)
-        masks.append((c, mask))
-
-    def first_key(apart: np.ndarray) -> np.ndarray:
-        """The first key that two hashes share, so that a pair comes out once."""
-        out = np.full(len(apart), 15, np.int64)
-        for c, mask in reversed(masks):
-            out[(apart & np.uint64(mask)) == 0] = c
-        return out
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sim = batch.column("sim").to_numpy().view(np.uint64)
-            for c, mask in masks:
-                key = mix((sim & np.uint64(mask)) + mix(np.array([c + 1], np.uint64)))
-                yield pa.RecordBatch.from_arrays([pa.array(((key & ~np.uint64(15)) | np.uint64(c)).view(np.int64)), batch.column("sim")], names=["key", "sim"])
+            if not batch.num_rows:
+                continue
+            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32).reshape(-1, KEYS).astype(np.int64)
+            for c in range(KEYS):
+                yield pa.RecordBatch.from_arrays([pa.array((keys[:, c] << 4) | c), batch.column("sim"), batch.column("size")], names=["key", "sim", "size"])
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key0 = sim0 = np.zeros(0, np.int64)
+        held = [np.zeros(0, np.int64)] * 3
         for batch in batches:
             if not batch.num_rows:
                 continue
-            fresh = len(key0)
-            key = np.concatenate((key0, batch.column("key").to_numpy()))
-            sim = np.concatenate((sim0, batch.column("sim").to_numpy()))
+            fresh = len(held[0])
+            key, sim, size = (np.concatenate((old, batch.column(c).to_numpy())) for old, c in zip(held, ("key", "sim", "size")))
             at = np.arange(fresh, len(key))
             gap = 1
             while len(at):
                 at = at[at >= gap]
                 at = at[key[at] == key[at - gap]]
-                apart = (sim[at] ^ sim[at - gap]).view(np.uint64)
-                near = at[(np.bitwise_count(apart) <= most) & (first_key(apart) == (key[at] & 15))]
+                apart = np.bitwise_count((sim[at] ^ sim[at - gap]).view(np.uint64))
+                short, long = np.minimum(size[at], size[at - gap]), np.maximum(size[at], size[at - gap])
+                near = at[(apart > 0) & (apart <= most) & (long - short <= (1 - similarity) * long + 1e-9)]
                 if len(near):
                     yield pa.RecordBatch.from_arrays([pa.array(sim[near]), pa.array(sim[near - gap])], names=["a", "b"])
                 gap += 1
             tail = key == key[-1]
-            key0, sim0 = key[tail], sim[tail]
+            held = [key[tail], sim[tail], size[tail]]
 
-    dealt = sims.select("sim").mapInArrow(keyed, "key long, sim long").repartition("key").sortWithinPartitions("key")
+    dealt = lines_.select("sim", "size", "keys").mapInArrow(keyed, "key long, sim long, size int").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(pairs, "a long, b long")
 
 
@@ -238,7 +237,7 @@ def within(a: str, b: str, most: int) -> bool:
 
 
 def matcher(similarity: float, most: int = BITS):
-    """Links of (SimHash, line) payloads within ``most`` bits and of enough edit similarity, enough to connect all."""
+    """Links of (sketch, line) payloads within ``most`` bits and of enough edit similarity, enough to connect all."""
 
     def match(payloads: list[bytes]) -> Iterator[tuple[int, int]]:
         sims = np.array([int.from_bytes(p[:8], "little") for p in payloads], np.uint64)
@@ -259,7 +258,7 @@ def matcher(similarity: float, most: int = BITS):
 
 
 def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """(id, payload) of the lines named by ``wanted`` (doc, line, node, sim): SimHash and normalised line."""
+    """(id, payload) of the lines named by ``wanted`` (doc, line, node, sim): sketch and normalised line."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -281,13 +280,14 @@ def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
 def removals(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc, gone): for each document with any, the numbers of the lines that occur earlier in their group."""
     table = save(spark, line_table(docs, doc_id, min_words), "lines")
-    nodes = save(spark, table.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n")), "line-nodes")
-    near = components(spark, near_hashes(nodes.select("sim").distinct()), "simhash")
+    nodes = save(spark, table.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.min(F.struct("sim", "size", "keys")).alias("sketch"), F.count("*").alias("n")).select("node", "first", "sketch.*", "n"), "line-nodes")
+    near = components(spark, near_sketches(nodes, similarity), "sketches")
     rooted = nodes.select("node", "sim", "first", "n").join(near.withColumnRenamed("node", "sim"), "sim", "left").withColumn("root", F.coalesce("root", "sim"))
     shared = rooted.groupBy("root").agg(F.count("*").alias("nodes")).where("nodes > 1").select("root")
     members = save(spark, rooted.join(shared, "root").select("node", "root", "sim", "first"), "line-members")
     wanted = members.select("first.doc", "first.line", "node", "sim")
     found = linked(spark, members.select("node", "root"), wanted_lines(docs, doc_id, wanted), matcher(similarity), "near-lines")
+    found = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())  # a root with one occurrence counts too
     grouped = nodes.join(found, "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     firsts = grouped.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     again = grouped.select("node", "root").join(firsts.select("root", "first"), "root").select("node", "first")

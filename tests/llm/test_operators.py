@@ -99,6 +99,37 @@ def test_lines_of_odd_rows(spark):
     assert out[1].n_removed == 0 and out[2].n_removed == 1 and out[3].n_removed == 1 and out[4].text is None and out[5].text == ""
 
 
+def test_near_lines_against_brute_force(spark):
+    """Recall of links of edit similarity 0.8 and more: a word replaced, signs changed, words put in or taken away."""
+    import random
+
+    from regloom.llm import line_dedup
+
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    pairs = []
+    while len(pairs) < 300:
+        first = [word() for _ in range(r.choice((8, 10, 15, 20, 40, 60)))]
+        second = list(first)
+        at = r.randrange(len(second))
+        kind = len(pairs) % 4
+        if kind == 0:
+            second[at] = word()
+        elif kind == 1:
+            second.insert(at, word())
+        elif kind == 2:
+            del second[at]
+        else:
+            second[at] = "q" + second[at][1:] + "z"
+        a, b = " ".join(first), " ".join(second)
+        if a != b and line_dedup.edit_distance(a, b, len(a)) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            pairs.append((a, b))
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id bigint, text string").repartition(5)
+    gone = {x.doc for x in line_dedup.removals(spark, docs).collect()}
+    assert gone <= {2 * i + 1 for i in range(len(pairs))}  # no unlike lines
+    assert len(gone) >= 0.95 * len(pairs)
+
+
 def test_edit_distance_against_brute_force():
     import random
 
