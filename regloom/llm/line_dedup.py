@@ -1,8 +1,8 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case, digits to 0, other ASCII signs to blanks, blanks collapsed); lines of fewer than
-``min_words`` words are left alone. Equal normalised lines are one node (128-bit hash). Every node has 64 min-hashes of
-its runs of five bytes: sixteen keys of four of them each, and a sketch of one bit of each. Nodes that share a key, whose
+Lines are normalised (lower case, digits to 0, other ASCII signs to blanks, blanks collapsed); lines
+without a word are left alone. Equal normalised lines are one node (128-bit hash), however short. For near lines, every
+node of at least ``min_words`` words has 64 min-hashes of its runs of five bytes: sixteen keys of four of them each, and a sketch of one bit of each. Nodes that share a key, whose
 lengths allow the similarity and whose sketches are at most BITS apart are candidates. Candidates link if their edit
 similarity is at least 0.8, and of each connected group the first occurrence (least doc_id, then line) stays. Candidates
 are found with a probability: of a pair that shares the part J of its runs, by a key with 1 - (1 - J^4)^16.
@@ -79,17 +79,19 @@ def digests(h: np.ndarray, at: np.ndarray) -> list[bytes]:
 
 
 def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
-    """(doc, line, node, sim, size, keys) of every line of enough words."""
+    """(doc, line, node, sim, size, keys) of every line with a word; the last three are null for lines of fewer than ``min_words`` words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             starts, flat, at = normal_lines(texts(piece))
             h = word_hashes(flat)
-            take = np.flatnonzero(np.diff(at) >= min_words)
+            take = np.flatnonzero(np.diff(at) > 0)
+            full = np.diff(at)[take] >= max(min_words, 1)
             text = np.searchsorted(starts, take, "right") - 1
-            node, (sim, size, keys) = digests(h, at), sketches(flat, at, take)
+            node, (sim, size, keys) = digests(h, at), sketches(flat, at, take[full])
+            near = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
             keys = pa.array([bytes(k) for k in keys.view(np.uint8)], pa.binary())
-            yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), pa.array([node[i] for i in take.tolist()], pa.binary()), pa.array(sim), pa.array(size), keys], names=["doc", "line", "node", "sim", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), pa.array([node[i] for i in take.tolist()], pa.binary()), pa.array(sim).take(near), pa.array(size).take(near), keys.take(near)], names=["doc", "line", "node", "sim", "size", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, line int, node binary, sim long, size int, keys binary")
@@ -281,8 +283,8 @@ def removals(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_w
     """(doc, gone): for each document with any, the numbers of the lines that occur earlier in their group."""
     table = save(spark, line_table(docs, doc_id, min_words), "lines")
     nodes = save(spark, table.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.min(F.struct("sim", "size", "keys")).alias("sketch"), F.count("*").alias("n")).select("node", "first", "sketch.*", "n"), "line-nodes")
-    near = components(spark, near_sketches(nodes, similarity), "sketches")
-    rooted = nodes.select("node", "sim", "first", "n").join(near.withColumnRenamed("node", "sim"), "sim", "left").withColumn("root", F.coalesce("root", "sim"))
+    near = components(spark, near_sketches(nodes.where("sim is not null"), similarity), "sketches")
+    rooted = nodes.where("sim is not null").select("node", "sim", "first", "n").join(near.withColumnRenamed("node", "sim"), "sim", "left").withColumn("root", F.coalesce("root", "sim"))
     shared = rooted.groupBy("root").agg(F.count("*").alias("nodes")).where("nodes > 1").select("root")
     members = save(spark, rooted.join(shared, "root").select("node", "root", "sim", "first"), "line-members")
     wanted = members.select("first.doc", "first.line", "node", "sim")

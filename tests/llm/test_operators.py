@@ -130,6 +130,14 @@ def test_near_lines_against_brute_force(spark):
     assert len(gone) >= 0.95 * len(pairs)
 
 
+def test_short_lines_are_cut_if_equal(spark):
+    from regloom.llm import line_dedup
+
+    docs = spark.createDataFrame([(1, "Home\nread more\n\n--\none of a kind"), (2, "HOME\nread mode\n\n--\nOne of a kind!")], "doc_id bigint, text string")
+    out = {r.doc_id: (r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(spark, docs).collect()}
+    assert out == {1: ("Home\nread more\n\n--\none of a kind", 5, 0), 2: ("read mode\n\n--", 5, 2)}
+
+
 def test_edit_distance_against_brute_force():
     import random
 
