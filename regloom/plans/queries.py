@@ -6,6 +6,8 @@ Integers come out as BIGINT and arrays as text, so that other engines can be hel
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -123,17 +125,28 @@ def gen_branched_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(vm.run(made, steps=False).select("id", asm.render(F.col("program")).alias("text"), "valid", "status", F.col("trace.output").alias("output")))
 
 
-def _emitted(tier: str, bucket: str | None, n: int) -> Query:
+def _recipe(spark: SparkSession, sf_dir: str, tier: str) -> specs.Recipe:
+    """The recipe with one row for each order, dealt over training and buckets in its proportions; its whole size at most."""
+    whole = specs.RECIPES[tier]
+    n, total = table(spark, sf_dir, "orders").count(), sum(rows for _, _, rows, _ in specs.files(whole))
+    part = lambda rows: max(1, min(rows, -(-rows * n // total)))
+    return replace(whole, train=part(whole.train), buckets=tuple((name, part(rows), axes) for name, rows, axes in whole.buckets))
+
+
+def _emitted(tier: str) -> Query:
+    """Rows of training and of every bucket."""
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        recipe = specs.RECIPES[tier].sized(n, n)
-        return datasets.to_json(datasets.rows(spark, recipe, "train" if bucket is None else "eval", bucket, per_part=max(1, n // 16)))
+        recipe = _recipe(spark, sf_dir, tier)
+        files = [datasets.rows(spark, recipe, split, bucket, per_part=min(5000, max(1, n // 16))) for split, bucket, n, _ in specs.files(recipe)]
+        return datasets.to_json(reduce(DataFrame.unionAll, files))
 
     run.__name__ = f"emit_{tier}"
     return run
 
 
-for _tier, _bucket, _n in (("tier0", None, 2000), ("tier1", "len_32", 2000), ("tier2", None, 200)):
-    query(_emitted(_tier, _bucket, _n))
+for _tier in specs.RECIPES:
+    query(_emitted(_tier))
 
 
 # Execution -----------------------------------------------------------------------------------------------------------
@@ -499,8 +512,9 @@ def asm_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that do not come back from their JSON; none is right."""
-    recipe = specs.RECIPES["tier1"].sized(500, 500)
-    made = datasets.rows(spark, recipe, "eval", "len_16", mode="counter", per_part=100).drop("idx")
+    recipe = _recipe(spark, sf_dir, "tier1")
+    files = [datasets.rows(spark, recipe, split, bucket, mode="counter", per_part=min(5000, max(1, n // 16))) for split, bucket, n, _ in specs.files(recipe)]
+    made = reduce(DataFrame.unionAll, files).drop("idx")
     lines = datasets.to_json(made)
     return datasets.to_json(datasets.from_json(lines, "tier1")).exceptAll(lines)
 

@@ -97,3 +97,13 @@ def test_round_trips_are_empty(spark):
     for name in ("decode_roundtrip", "replay_mismatches", "json_roundtrip"):
         assert q[name](spark, SF).count() == 0, name
     assert asm.render(F.col("x")) is not None
+
+
+def test_emit_queries_cover_every_file(spark):
+    orders = spark.read.parquet(f"{SF}/orders.parquet").count()
+    for tier in ("tier0", "tier1"):
+        meta = F.from_json("value", "meta STRUCT<split:STRING,bucket:STRING>")["meta"]
+        got = {(r.split, r.bucket): r["count"] for r in entry.queries()[f"emit_{tier}"](spark, SF).select(meta.alias("m")).groupBy("m.split", "m.bucket").count().collect()}
+        files = specs.files(specs.RECIPES[tier])
+        total = sum(n for _, _, n, _ in files)
+        assert got == {(s, b): -(-n * orders // total) for s, b, n, _ in files}
