@@ -27,7 +27,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_token_counts(spark: SparkSession, sf_dir: str, tokenizers: str | None = None) -> DataFrame:
     vocabulary = f"{tokenizers or token_counts.default_tokenizers()}/byte_bpe_50k.tiktoken"
-    return token_counts.count(table(spark, sf_dir, "documents"), vocabulary)
+    return token_counts.count(spark, table(spark, sf_dir, "documents"), vocabulary)
 
 
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -16,17 +16,19 @@ from __future__ import annotations
 
 import base64
 import importlib.util
+import uuid
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
+import pyarrow.fs as fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .store import folder, save
 from .text import slices, texts
 
 BLOCK = 1 << 20
@@ -51,56 +53,79 @@ def encoding(path: str):
     return tiktoken.Encoding("own", pat_str=PIECES, mergeable_ranks=ranks, special_tokens={})
 
 
-def token_blocks(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
-    """Write-side: the texts of each partition as one flat stream of uint16 ids, cut into blocks of ``block`` tokens.
+def opened(path: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a path or URI, and the path in it."""
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
 
-    (file, block, payload, ids): ids lists the documents whose separators lie in the block, in order.
+
+def write_files(spark: SparkSession, docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", separator: int = SEPARATOR) -> DataFrame:
+    """(file, ordinal, id) of the texts, written to the shared folder as a flat file of little-endian uint16 ids by each task.
+
+    The files hold nothing but ids. A task that runs again writes a file of its own; the list names those that count.
     """
+    root = f"{folder(spark)}/regloom/tokens-{uuid.uuid4().hex}"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoding(vocabulary).encode_ordinary
-        file, number = TaskContext.get().partitionId(), 0
-        held: list[np.ndarray] = []
-        size, ids, kind = 0, [], None
-
-        def made(flat: np.ndarray, docs_: list) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([str(file)]), pa.array([number], pa.int64()), pa.array([flat.tobytes()], pa.binary()), pa.array([docs_], pa.list_(kind))], names=["file", "block", "payload", "ids"])
-
-        for piece in slices(batches):
-            kind = piece.column("doc").type
-            for name, text in zip(piece.column("doc").to_pylist(), texts(piece).to_pylist()):
-                row = np.array([*encode(text), separator], np.uint16)
-                held.append(row)
-                size += len(row)
-                ids.append((size, name))
-                while size >= block:
-                    flat = np.concatenate(held)
-                    inside = [x for end, x in ids if end <= block]
-                    yield made(flat[:block], inside)
-                    number += 1
-                    held, size = [flat[block:]], size - block
-                    ids = [(end - block, x) for end, x in ids if end > block]
-        if size:
-            yield made(np.concatenate(held), [x for _, x in ids])
-
-    name = docs.schema[doc_id].dataType.simpleString()
-    return docs.select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"file string, block long, payload binary, ids array<{name}>")
-
-
-def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK) -> DataFrame:
-    """(file, block, payload) of flat token files (each below 2 GB, one task a file): little-endian ids of ``width`` bytes."""
+        file, n = f"{root}/{uuid.uuid4().hex}.bin", 0
+        system, place = opened(file)
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+        with system.open_output_stream(place) as out:
+            for piece in slices(batches):
+                for text in texts(piece).to_pylist():
+                    out.write(np.array([*encode(text), separator], "<u2").tobytes())
+                yield pa.RecordBatch.from_arrays([pa.array([file] * piece.num_rows, pa.string()), pa.array(np.arange(n, n + piece.num_rows)), piece.column("doc")], names=["file", "ordinal", "id"])
+                n += piece.num_rows
+
+    kind = docs.schema[doc_id].dataType.simpleString()
+    made = docs.select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"file string, ordinal long, id {kind}")
+    return save(spark, made, "token-files")
+
+
+def sizes(spark: SparkSession, paths: list[str]) -> list[tuple[str, int]]:
+    """(file, bytes) of files, patterns and folders; names that start with _ or . are left out of folders."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    out = []
+    for path in paths:
+        where = jvm.org.apache.hadoop.fs.Path(path)
+        system = where.getFileSystem(conf)
+        found = list(system.globStatus(where) or [])
+        if not found:
+            raise FileNotFoundError(path)
+        for one in found:
+            inside = list(system.listStatus(one.getPath())) if one.isDirectory() else [one]
+            out += [(x.getPath().toString(), x.getLen()) for x in inside if x is one or (x.isFile() and x.getPath().getName()[0] not in "_.")]
+    return out
+
+
+def read_files(spark: SparkSession, path: str | list[str], width: int = 2, block: int = BLOCK) -> DataFrame:
+    """(file, block, payload) of flat token files of any size: little-endian ids of ``width`` bytes.
+
+    There is a row for each (file, offset, length), dealt over tasks; each reads its own ranges.
+    """
+    found = sizes(spark, [path] if isinstance(path, str) else path)
+    for file, size in found:
+        if size % width:
+            raise ValueError(f"{file}: {size} bytes are no whole number of {width}-byte tokens")
+    step = block * width
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for file, content in zip(batch.column("path").to_pylist(), batch.column("content")):
-                data = content.as_buffer()
-                if data.size % width:
-                    raise ValueError(f"{file}: {data.size} bytes are no whole number of {width}-byte tokens")
-                for n, at in enumerate(range(0, data.size, block * width)):
-                    part = data.slice(at, min(block * width, data.size - at))
-                    yield pa.RecordBatch.from_arrays([pa.array([file]), pa.array([n], pa.int64()), pa.array([part.to_pybytes()], pa.binary())], names=["file", "block", "payload"])
+            for row in batch.to_pylist():
+                system, place = opened(row["file"])
+                at, length = row["block"] * step, min(step, row["size"] - row["block"] * step)
+                with system.open_input_file(place) as source:
+                    part = source.read_at(length, at)
+                if len(part) != length:
+                    raise OSError(f"{row['file']}: {len(part)} of {length} bytes at {at}")
+                yield pa.RecordBatch.from_arrays([pa.array([row["file"]]), pa.array([row["block"]], pa.int64()), pa.array([part], pa.binary())], names=["file", "block", "payload"])
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, "file string, block long, payload binary")
+    listed = spark.createDataFrame([x for x in found if x[1]], "file string, size long")
+    ranges = listed.select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(size - 1) div {step}"))).alias("block"))
+    tasks = max(1, min(sum(-(-size // step) for _, size in found), max(spark.sparkContext.defaultParallelism, sum(size for _, size in found) >> 26)))
+    return ranges.repartition(tasks).mapInArrow(run, "file string, block long, payload binary")
 
 
 def scan(blocks: DataFrame, separator: int = SEPARATOR, width: int = 2) -> DataFrame:
@@ -145,7 +170,11 @@ def stitch(reports: DataFrame) -> DataFrame:
     return done.unionByName(tail.select("file", F.col("n").cast("long").alias("ordinal"), "n_tokens", F.lit(False).alias("terminated"), *none))
 
 
-def count(docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
-    """doc_id and n_tokens of every row: texts become flat token streams, which are scanned for separators."""
-    found = stitch(scan(token_blocks(docs, vocabulary, doc_id, separator, block), separator))
-    return found.where("terminated").select(F.col("id").alias(doc_id), "n_tokens")
+def count(spark: SparkSession, docs: DataFrame, vocabulary: str, doc_id: str = "doc_id", separator: int = SEPARATOR, block: int = BLOCK) -> DataFrame:
+    """doc_id and n_tokens of every row: texts become flat token files, which are read by ranges and scanned for separators."""
+    names = write_files(spark, docs, vocabulary, doc_id, separator)
+    files = [r.file for r in names.select("file").distinct().collect()]  # one for each task that wrote
+    found = stitch(scan(read_files(spark, files, block=block), separator)).where("terminated")
+    name = F.substring_index("file", "/", -1).alias("_file")
+    found = found.select(name, F.col("ordinal").alias("_ordinal"), "n_tokens")
+    return names.select(name, F.col("ordinal").alias("_ordinal"), "id").join(found, ["_file", "_ordinal"]).select(F.col("id").alias(doc_id), "n_tokens")

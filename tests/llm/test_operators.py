@@ -99,6 +99,36 @@ def test_lines_of_odd_rows(spark):
     assert out[1].n_removed == 0 and out[2].n_removed == 1 and out[3].n_removed == 1 and out[4].text is None and out[5].text == ""
 
 
+def test_token_files_by_ranges(spark, tmp_path):
+    """Documents cut over several blocks and files, one that is not terminated, and a file without tokens."""
+    import random
+
+    import numpy as np
+
+    from regloom.llm import token_counts
+
+    r, want = random.Random(2), set()
+    for name in ("a.bin", "b c.bin"):
+        lengths = [r.choice((0, 1, 3, 6, 7, 40)) for _ in range(50)]
+        flat = [x for n in lengths for x in [5] * n + [9]] + [5] * 17
+        np.array(flat, "<u2").tofile(tmp_path / name)
+        want |= {(name, i, n, True) for i, n in enumerate(lengths)} | {(name, 50, 17, False)}
+    (tmp_path / "empty.bin").write_bytes(b"")
+    blocks = token_counts.read_files(spark, str(tmp_path), block=7)
+    assert blocks.rdd.getNumPartitions() > 2  # a file is not one task
+    found = token_counts.stitch(token_counts.scan(blocks, separator=9)).collect()
+    assert len(found) == len(want) and {(x.file.rpartition("/")[2].replace("%20", " "), x.ordinal, x.n_tokens, x.terminated) for x in found} == want
+
+
+def test_token_counts_through_files(spark):
+    from regloom.llm import token_counts
+
+    vocabulary = f"{token_counts.default_tokenizers()}/byte_bpe_50k.tiktoken"
+    encode = token_counts.encoding(vocabulary).encode_ordinary
+    got = [(r.doc_id, r.n_tokens) for r in token_counts.count(spark, odd(spark).repartition(3), vocabulary, block=50).collect()]
+    assert sorted(got, key=str) == sorted(((r.doc_id, len(encode(r.text or ""))) for r in odd(spark).collect()), key=str)
+
+
 def test_near_lines_against_brute_force(spark):
     """Recall of links of edit similarity 0.8 and more: a word replaced, signs changed, words put in or taken away."""
     import random
