@@ -60,7 +60,9 @@ def linked(spark: SparkSession, members: DataFrame, items: DataFrame, matcher: M
     dealt = held.join(sized, "root").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("root", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "id", "payload")
-    dealt = dealt.repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
+    # a number of partitions of its own: small in bytes, costly to match, so tasks must not be merged by size
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+    dealt = dealt.repartition(parts, "root", "i", "j").sortWithinPartitions("root", "i", "j")
     kind = items.schema["id"].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,15 +1,20 @@
 """Fuzzy line deduplication.
 
-Lines are normalised (lower case, digits to 0, other ASCII signs to blanks, blanks collapsed); lines
-without a word are left alone. Equal normalised lines are one node (128-bit hash), however short. For near lines, every
-node of at least ``min_words`` words has 64 min-hashes of its runs of five bytes: sixteen keys of four of them each, and a sketch of one bit of each. Nodes that share a key, whose
-lengths allow the similarity and whose sketches are at most BITS apart are candidates. Candidates link if their edit
-similarity is at least 0.8, and of each connected group the first occurrence (least doc_id, then line) stays. Candidates
-are found with a probability: of a pair that shares the part J of its runs, by a key with 1 - (1 - J^4)^16.
+Lines are normalised (lower case, digits to 0, other ASCII signs to blanks, blanks collapsed); lines without a word are
+left alone. Equal normalised lines are one node (128-bit hash), however short. A node of at least ``min_words`` words
+is near another if their edit similarity is at least 0.8.
+
+The features of a line are its long words, and each shorter word together with its successor. Their 64-bit SimHash is
+what two lines are first compared by; at most BITS bits may differ. A join on blocks of the SimHash itself would have to
+let so many bits differ that its blocks say nothing, so the blocks are KEYS keys of EACH minima of the features' hashes
+(one-permutation min-hash, empty bins filled from others of the line). A pair whose features agree in the share J meets in
+a key with 1 - (1 - J^3)^16. Lines that meet and pass the SimHash are candidates; of each group of candidates the edit
+similarity is checked, and of each connected group the first occurrence (least doc_id, then line) stays.
 
 Defined results: null texts stay null and have no lines; empty texts stay empty; rows that repeat a doc_id share their
-removals by line number; rows with a null doc_id keep all their lines and are no occurrence. Texts and lines of any
-length are handled whole. Input columns named n_lines or n_removed give way to the output's.
+removals by line number; rows with a null doc_id keep all their lines and are no occurrence; an empty table gives no
+rows. Of equal or near lines the one of least (doc_id, line) is first, so there are no ties but between rows of one id.
+Texts and lines of any length are handled whole. Input columns named n_lines or n_removed give way to the output's.
 """
 
 from __future__ import annotations
@@ -18,19 +23,22 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import linked
-from .graph import components
+from .graph import components, stars
 from .store import drop, save
-from .text import FOLD, lines, mapped, mix, raw, slices, texts, word_hashes, words
+from .text import FOLD, binaries, lines, mapped, mix, slices, texts, word_hashes, words
 
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
-GRAM, KEYS, EACH, BITS = 5, 16, 4, 22
-_FACTORS = mix(np.arange(1, KEYS * EACH + 1, dtype=np.uint64)).astype(np.uint32) | np.uint32(1)
-_SHIFTS = mix(np.arange(1001, KEYS * EACH + 1001, dtype=np.uint64)).astype(np.uint32)
+ALONE, KEYS, EACH, BITS = 7, 16, 3, 22
+BINS = KEYS * EACH
+NONE, GOLD = ~np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
+#: Bit i of a byte as byte i of a word: sums of up to 255 such words count eight bits at once.
+_LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 LOOK = 32
 
 
@@ -41,30 +49,57 @@ def normal_lines(strings: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return starts, words_, at
 
 
-def sketches(flat: pa.Array, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Sketch, characters and keys (KEYS of 32 bits in a row) of the lines ``take``, from min-hashes of their runs of bytes."""
-    offs, data = raw(flat)
-    n = len(flat)
-    text = np.full(len(data) + n + GRAM, 0x20, np.uint8)
-    text[np.arange(len(data)) + np.repeat(np.arange(n), np.diff(offs))] = data
-    start = (offs + np.arange(n + 1))[at]
+def features(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the features of the lines ``take`` in a row, where each line's start, and how many it has."""
+    n = np.diff(at)[take]
+    starts = np.cumsum(n) - n
+    place = np.arange(n.sum()) + np.repeat(at[take] - starts, n)
+    word = h[place]
+    after = np.append(word[1:], np.uint64(0))
+    after[starts + n - 1] = 0
+    long = pc.binary_length(flat).to_numpy(zero_copy_only=False)[place] >= ALONE
+    return np.where(long, mix(word + np.uint64(1)), mix(word * GOLD + after)), starts, n
+
+
+def simhashes(feature: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """64 bits of each line: those that over half of its features have."""
+    parts = -(-n // 255)
+    owner = np.repeat(np.arange(len(n)), parts)
+    first = np.cumsum(parts) - parts
+    begin = starts[owner] + 255 * (np.arange(len(owner)) - first[owner])
+    by = feature.view(np.uint8).reshape(-1, 8)
+    count = np.stack([np.add.reduceat(_LANES[by[:, i]], begin) for i in range(8)], 1).view(np.uint8).reshape(-1, 64)
+    bits = 2 * np.add.reduceat(count.astype(np.int64), first, axis=0) > n[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.int64).ravel()
+
+
+def minima(feature: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """BINS values of each line: the least hash in each bin of its features; an empty bin takes that of another bin."""
+    line = np.repeat(np.arange(len(n)), n)
+    place = lambda h: (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
+    least = np.full(len(n) * BINS, NONE)
+    np.minimum.at(least, line * BINS + place(feature), np.minimum(mix(feature ^ np.uint64(0x51ED27)), NONE - np.uint64(1)))
+    out, empty, turn = least.copy(), np.flatnonzero(least == NONE), 0
+    while len(empty):
+        turn += 1
+        other = least[empty // BINS * BINS + place(mix((empty % BINS + 1000 * turn).astype(np.uint64) * GOLD))]
+        full = other != NONE
+        out[empty[full]] = other[full]
+        empty = empty[~full]
+    return out.reshape(-1, BINS)
+
+
+def sketches(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """SimHash, characters and keys (KEYS of 48 bits, as three numbers of 16 each) of the lines ``take``."""
     if not len(take):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, KEYS), np.uint32)
-    signs = np.concatenate(([0], np.cumsum((text & 0xC0) != 0x80)))
-    size = (np.diff(signs[start])[take] - 1).astype(np.int32)
-    count = np.maximum(np.diff(start)[take] - GRAM + 1, 1)
-    cuts = np.cumsum(count) - count
-    place = np.arange(count.sum()) + np.repeat(start[take] - cuts, count)
-    run = np.zeros(len(place), np.uint64)
-    for i in range(GRAM):
-        run = (run << np.uint64(8)) | text[place + i]
-    h = (mix(run) >> np.uint64(32)).astype(np.uint32)
-    least = np.stack([np.minimum.reduceat(h * f + c, cuts) for f, c in zip(_FACTORS, _SHIFTS)], 1)
-    sketch = np.packbits(((least >> np.uint32(3)) & np.uint32(1)).astype(np.uint8), axis=1).view(np.int64).ravel()
-    parts, key = least.reshape(-1, KEYS, EACH).astype(np.uint64), np.zeros((len(take), KEYS), np.uint64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, BINS), np.uint16)
+    feature, starts, n = features(flat, h, at, take)
+    signs = np.concatenate(([0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False))))
+    size = (signs[at[take + 1]] - signs[at[take]] + n - 1).astype(np.int32)
+    parts, key = minima(feature, n).reshape(-1, KEYS, EACH), np.zeros((len(take), KEYS), np.uint64)
     for i in range(EACH):
-        key = mix(key * np.uint64(0x9E3779B97F4A7C15) + parts[:, :, i])
-    return sketch, size, (key >> np.uint64(32)).astype(np.uint32)
+        key = mix(key * GOLD + parts[:, :, i])
+    return simhashes(feature, starts, n), size, key.view(np.uint16).reshape(-1, KEYS, 4)[:, :, :3].reshape(-1, BINS)
 
 
 def digests(h: np.ndarray, at: np.ndarray) -> list[bytes]:
@@ -88,9 +123,9 @@ def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
             take = np.flatnonzero(np.diff(at) > 0)
             full = np.diff(at)[take] >= max(min_words, 1)
             text = np.searchsorted(starts, take, "right") - 1
-            node, (sim, size, keys) = digests(h, at), sketches(flat, at, take[full])
+            node, (sim, size, keys) = digests(h, at), sketches(flat, h, at, take[full])
             near = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
-            keys = pa.array([bytes(k) for k in keys.view(np.uint8)], pa.binary())
+            keys = binaries(np.arange(len(keys) + 1) * BINS, keys.ravel())
             yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), pa.array([node[i] for i in take.tolist()], pa.binary()), pa.array(sim).take(near), pa.array(size).take(near), keys.take(near)], names=["doc", "line", "node", "sim", "size", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -98,21 +133,26 @@ def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
 
 
 def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> DataFrame:
-    """(a, b) of different sketches (sim, size, keys) that share a key, at most ``most`` bits apart and of like size.
+    """Links (a, b) that connect the sketches (sim, size, keys) which share a key, are at most ``most`` bits apart and of like size.
 
     Rows are dealt by key; each is compared with the rows before it that have the same key, across batches as well.
+    What connects is thinned to stars before it leaves the task, so a group of n gives about n links.
     """
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys = np.frombuffer(b"".join(batch.column("keys").to_pylist()), np.uint32).reshape(-1, KEYS).astype(np.int64)
+            held = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("keys")), "<u2").reshape(-1, KEYS, 3).astype(np.int64)
+            key = (held[:, :, 0] << 4) | (held[:, :, 1] << 20) | (held[:, :, 2] << 36)
             for c in range(KEYS):
-                yield pa.RecordBatch.from_arrays([pa.array((keys[:, c] << 4) | c), batch.column("sim"), batch.column("size")], names=["key", "sim", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, c] | c), batch.column("sim"), batch.column("size")], names=["key", "sim", "size"])
+
+    def thin(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(list(stars(*(pa.array(np.concatenate(x)) for x in zip(*found)))), names=["a", "b"])
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int64)] * 3
+        held, found, n = [np.zeros(0, np.int64)] * 3, [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -127,10 +167,19 @@ def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> Dat
                 short, long = np.minimum(size[at], size[at - gap]), np.maximum(size[at], size[at - gap])
                 near = at[(apart > 0) & (apart <= most) & (long - short <= (1 - similarity) * long + 1e-9)]
                 if len(near):
-                    yield pa.RecordBatch.from_arrays([pa.array(sim[near]), pa.array(sim[near - gap])], names=["a", "b"])
+                    found.append((sim[near], sim[near - gap]))
+                    n += len(near)
+                if n > 1 << 20:
+                    again = thin(found)
+                    found, n = [(again.column("a").to_numpy(), again.column("b").to_numpy())], again.num_rows
+                    if n > 1 << 19:
+                        yield again
+                        found, n = [], 0
                 gap += 1
             tail = key == key[-1]
             held = [key[tail], sim[tail], size[tail]]
+        if n:
+            yield thin(found)
 
     dealt = lines_.select("sim", "size", "keys").mapInArrow(keyed, "key long, sim long, size int").repartition("key").sortWithinPartitions("key")
     return dealt.mapInArrow(pairs, "a long, b long")
