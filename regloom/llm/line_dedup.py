@@ -8,7 +8,7 @@ The features of a line are its long words, and each shorter word together with i
 what two lines are first compared by; at most BITS bits may differ. A join on blocks of the SimHash itself would have to
 let so many bits differ that its blocks say nothing, so the blocks are KEYS keys of EACH minima of the features' hashes
 (one-permutation min-hash, empty bins filled from others of the line). A pair whose features agree in the share J meets in
-a key with 1 - (1 - J^3)^16. Lines that meet and pass the SimHash are candidates; of each group of candidates the edit
+a key with 1 - (1 - J^3)^10. Lines that meet and pass the SimHash are candidates; of each group of candidates the edit
 similarity is checked, and of each connected group the first occurrence (least doc_id, then line) stays.
 
 Defined results: null texts stay null and have no lines; empty texts stay empty; rows that repeat a doc_id share their
@@ -34,7 +34,7 @@ from .text import FOLD, binaries, lines, mapped, mix, slices, texts, word_hashes
 
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
-ALONE, KEYS, EACH, BITS = 7, 16, 3, 22
+ALONE, KEYS, EACH, BITS = 7, 10, 3, 22
 BINS = KEYS * EACH
 NONE, GOLD = ~np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 #: Bit i of a byte as byte i of a word: sums of up to 255 such words count eight bits at once.
@@ -102,15 +102,15 @@ def sketches(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) ->
     return simhashes(feature, starts, n), size, key.view(np.uint16).reshape(-1, KEYS, 4)[:, :, :3].reshape(-1, BINS)
 
 
-def digests(h: np.ndarray, at: np.ndarray) -> list[bytes]:
-    """A 128-bit hash of each line's words in order."""
+def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A 128-bit hash of each line's words in order, as two numbers."""
     place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
     out = []
     for c in (1, 2):
         v = mix(h + mix((place.astype(np.uint64) << np.uint64(2)) + np.uint64(c)))
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
         out.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
-    return [bytes(r) for r in np.stack(out, 1).view(np.uint8).reshape(-1, 16)]
+    return np.stack(out, 1)
 
 
 def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
@@ -126,7 +126,7 @@ def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
             node, (sim, size, keys) = digests(h, at), sketches(flat, h, at, take[full])
             near = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
             keys = binaries(np.arange(len(keys) + 1) * BINS, keys.ravel())
-            yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), pa.array([node[i] for i in take.tolist()], pa.binary()), pa.array(sim).take(near), pa.array(size).take(near), keys.take(near)], names=["doc", "line", "node", "sim", "size", "keys"])
+            yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), binaries(np.arange(len(take) + 1) * 2, node[take].ravel()), pa.array(sim).take(near), pa.array(size).take(near), keys.take(near)], names=["doc", "line", "node", "sim", "size", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
     return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, line int, node binary, sim long, size int, keys binary")
@@ -287,15 +287,22 @@ def within(a: str, b: str, most: int) -> bool:
     return script_cost(a, b, most) <= most or edit_distance(a, b, most) <= most
 
 
+#: Bytes of a payload before the line: SimHash and keys.
+HEAD = 8 + 2 * BINS
+
+
 def matcher(similarity: float, most: int = BITS):
-    """Links of (sketch, line) payloads within ``most`` bits and of enough edit similarity, enough to connect all."""
+    """Links of (SimHash, keys, line) payloads that meet in a key within ``most`` bits and are like enough, enough to connect all."""
 
     def match(payloads: list[bytes]) -> Iterator[tuple[int, int]]:
         sims = np.array([int.from_bytes(p[:8], "little") for p in payloads], np.uint64)
-        strings = [p[8:].decode() for p in payloads]
+        keys = np.frombuffer(b"".join(p[8:HEAD] for p in payloads), "<u2").reshape(-1, KEYS, EACH).astype(np.int64)
+        keys = keys[:, :, 0] | (keys[:, :, 1] << 16) | (keys[:, :, 2] << 32)
+        strings = [p[HEAD:].decode() for p in payloads]
         label = np.arange(len(payloads))
         for me in range(1, len(payloads)):
             near = np.flatnonzero(np.bitwise_count(sims[:me] ^ sims[me]) <= most)
+            near = near[(keys[near] == keys[me]).any(1)]
             while len(near := near[label[near] != label[me]]):
                 other, near = int(near[-1]), near[:-1]
                 longest = max(len(strings[me]), len(strings[other]))
@@ -309,7 +316,7 @@ def matcher(similarity: float, most: int = BITS):
 
 
 def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """(id, payload) of the lines named by ``wanted`` (doc, line, node, sim): sketch and normalised line."""
+    """(id, payload) of the lines named by ``wanted`` (doc, line, node, sim, keys): SimHash, keys and normalised line."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
@@ -320,10 +327,10 @@ def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
                 starts, found, at = normal_lines(pa.array([flat[w["line"]] for w in some], pa.string()))
                 for i, w in enumerate(some):
                     ids.append(w["node"])
-                    out.append(w["sim"].to_bytes(8, "little", signed=True) + " ".join(found.slice(at[i], at[i + 1] - at[i]).to_pylist()).encode())
+                    out.append(w["sim"].to_bytes(8, "little", signed=True) + w["keys"] + " ".join(found.slice(at[i], at[i + 1] - at[i]).to_pylist()).encode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=["id", "payload"])
 
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "node", "sim")).alias("wants"))
+    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "node", "sim", "keys")).alias("wants"))
     chosen = docs.select(F.col(doc_id).alias("doc"), "text")
     return chosen.join(per_doc.hint("merge"), "doc").select("text", "wants").mapInArrow(run, "id binary, payload binary").dropDuplicates(["id"])
 
@@ -333,10 +340,10 @@ def removals(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_w
     table = save(spark, line_table(docs, doc_id, min_words), "lines")
     nodes = save(spark, table.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.min(F.struct("sim", "size", "keys")).alias("sketch"), F.count("*").alias("n")).select("node", "first", "sketch.*", "n"), "line-nodes")
     near = components(spark, near_sketches(nodes.where("sim is not null"), similarity), "sketches")
-    rooted = nodes.where("sim is not null").select("node", "sim", "first", "n").join(near.withColumnRenamed("node", "sim"), "sim", "left").withColumn("root", F.coalesce("root", "sim"))
+    rooted = nodes.where("sim is not null").select("node", "sim", "keys", "first", "n").join(near.withColumnRenamed("node", "sim"), "sim", "left").withColumn("root", F.coalesce("root", "sim"))
     shared = rooted.groupBy("root").agg(F.count("*").alias("nodes")).where("nodes > 1").select("root")
-    members = save(spark, rooted.join(shared, "root").select("node", "root", "sim", "first"), "line-members")
-    wanted = members.select("first.doc", "first.line", "node", "sim")
+    members = save(spark, rooted.join(shared, "root").select("node", "root", "sim", "keys", "first"), "line-members")
+    wanted = members.select("first.doc", "first.line", "node", "sim", "keys")
     found = linked(spark, members.select("node", "root"), wanted_lines(docs, doc_id, wanted), matcher(similarity), "near-lines")
     found = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())  # a root with one occurrence counts too
     grouped = nodes.join(found, "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
