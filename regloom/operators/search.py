@@ -37,16 +37,24 @@ def best(df: DataFrame, idx: str, least_ops: int = 5, scan: int | None = None, w
     sig = signature(F.col("program"), F.col("trace"))
     held = held.withColumn("signature", sig).where(F.col("signature.n_opcodes") >= least_ops)
     rank = F.struct(score(F.col("signature")).alias("score"), (-F.col(idx)).alias("earliest"))
-    row = F.struct(*(F.col(c) for c in held.columns if c not in by))
-    return held.groupBy(*by).agg(F.max_by(row, rank).alias("row")).where("row IS NOT NULL").select(*by, "row.*")
+    top = held.select(*by, F.struct("signature").alias("_s"), rank.alias("rank")).groupBy(*by).agg(F.max("rank").alias("rank")).where("rank IS NOT NULL")
+    return _chosen(held, top.select(*(F.col(c).alias(f"_{c}") for c in by), (-F.col("rank.earliest")).alias("_at")), idx, by)
+
+
+def _chosen(df: DataFrame, top: DataFrame, idx: str, by: list[str]) -> DataFrame:
+    """The rows of ``df`` named by ``top`` (_at and the groups with an underscore): whole rows are neither sorted nor shuffled."""
+    same = F.col(idx) == F.col("_at")
+    for c in by:
+        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
+    return df.join(top, same, "left_semi").select(*by, *(c for c in df.columns if c not in by))
 
 
 def first(df: DataFrame, idx: str, match: Column, scan: int | None = None, by: list[str] = ()) -> DataFrame:
     """The matching row of least ``idx`` in each group."""
     held = df.where(F.col(idx) < scan) if scan is not None else df
     held = held.where(match)
-    row = F.struct(*(F.col(c) for c in held.columns if c not in by))
-    return held.groupBy(*by).agg(F.min_by(row, F.col(idx)).alias("row")).where("row IS NOT NULL").select(*by, "row.*")
+    top = held.groupBy(*by).agg(F.min(idx).alias("_at")).where("_at IS NOT NULL")
+    return _chosen(held, top.select(*(F.col(c).alias(f"_{c}") for c in by), "_at"), idx, by)
 
 
 def clamps(program: Column, trace: Column) -> Column:

@@ -90,7 +90,7 @@ def distinct_outputs(df: DataFrame, by: list[str] = (), trace: str = "trace") ->
 def first_rows(df: DataFrame, order: list[str], n: int, by: list[str] = ()) -> DataFrame:
     """The first ``n`` rows of each group in the given order, with their ``place`` from 0. ``n`` is the feature, not a cap."""
     place = F.row_number().over((W.partitionBy(*by) if by else W.partitionBy(F.lit(0))).orderBy(*order))
-    return df.withColumn("place", place - 1).where(F.col("place") < n)
+    return df.withColumn("place", place).where(F.col("place") <= n).withColumn("place", F.col("place") - 1)
 
 
 def before_jumps(df: DataFrame, by: list[str] = (), program: str = "program") -> DataFrame:

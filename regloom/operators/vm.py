@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 from ..functions import isa
 
+#: Steps of the inner fold.
+SPAN = 64
 _EMPTY = "cast(array() AS array<int>)"
 _CLAMP = f"greatest({isa.LOW}, least({isa.HIGH}, %s))"
 
@@ -75,32 +77,36 @@ def _fold(code: str, fuel: str, steps: bool) -> str:
     new = f"transform(array({_value('i', 's')}), v -> named_struct('regs', {regs}, 'stack', {stack}, 'pc', {to}))[0]"
     fail = "named_struct('pc', s.pc, 'regs', s.regs, 'stack', s.stack, 'output', s.output, 'steps', s.steps, 'status', f)"
     step = f"transform(array({code}[s.pc]), i -> transform(array({_fault('i', 's')}), f -> if(f IS NOT NULL, {fail}, transform(array({new}), n -> {after})[0]))[0])[0]"
-    return f"aggregate(sequence(1, {fuel}), {start}, (s, z) -> if(s.status <> 'running', s, {step}))"
+    # Spans of SPAN steps: what is left of the fuel after the program's end costs a look at each span, and step records
+    # are appended to the short list of a span, which joins the long one at its end.
+    state = lambda steps: f"named_struct('pc', s.pc, 'regs', s.regs, 'stack', s.stack, 'output', s.output, 'steps', {steps}, 'status', s.status)"
+    spans = f"sequence(0, ({fuel} - 1) div {SPAN})"
+    inside = f"aggregate(sequence(1, cast(least({SPAN}, {fuel} - y * {SPAN}) AS int)), {state(none)}, (s, z) -> if(s.status <> 'running', s, {step}))"
+    joined = f"transform(array(s.steps), before -> transform(array({inside}), s -> {state('concat(before, s.steps)')})[0])[0]"
+    return f"aggregate({spans}, {start}, (s, y) -> if(s.status <> 'running', s, {joined}))"
 
 
-def fuel(program: Column, loops: Column | int = 0, cap: int = isa.STEP_CAP) -> Column:
+def fuel(program: Column, loops: Column | int = 0, cap: Column | int = isa.STEP_CAP) -> Column:
     """Steps that suffice for a program whose loops run ``loops`` times in all; without backward jumps its size is enough."""
     defined = F.transform(program, lambda x: x["label"])
     back = F.exists(F.transform(program, lambda x, i: F.array_position(defined, x["target"]).between(1, i + 1)), lambda x: x)
     turns = F.lit(loops) if isinstance(loops, int) else loops
-    many = F.least(F.size(program).cast("long") * (1 + turns), F.lit(cap))
-    return F.greatest(F.lit(1), F.when(back, many).otherwise(F.least(F.size(program), F.lit(cap)))).cast("int")
+    most = F.lit(cap) if isinstance(cap, int) else cap
+    many = F.least(F.size(program).cast("long") * (1 + turns), most)
+    return F.greatest(F.lit(1), F.when(back, many).otherwise(F.least(F.size(program), most))).cast("int")
 
 
 def run(df: DataFrame, program: str = "program", steps: bool = True, limit: Column | int | None = None, strict: bool = False) -> DataFrame:
     """``df`` with ``trace`` (steps, output, halted), ``regs`` and ``stack`` at the end, and ``status``.
 
-    ``limit``: most steps of a row. By default the size for programs that only jump forward, and 4096 for others; a
-    program that is not done by then has status step_cap (it is an error exactly if it would need another step).
+    ``limit``: most steps of a row. By default the size for programs that only jump forward, and 4096 for others, since
+    an endless loop runs to the limit; ``fuel`` gives what a program with known turns needs, up to the machine's cap of
+    1,000,000. A program that is not done by then has status step_cap (exactly if it would need another step).
     ``steps=False`` keeps no step records: the fold is then linear in the steps.
     Columns of ``df`` with the names of added ones give way.
     """
     made = {"trace", "regs", "stack", "status"}
-    size = F.size(program)
-    if limit is None:
-        defined = F.transform(F.col(program), lambda x: x["label"])
-        back = F.exists(F.transform(F.col(program), lambda x, i: F.array_position(defined, x["target"]).between(1, i + 1)), lambda x: x)
-        limit = F.when(back, F.greatest(size, F.lit(4096))).otherwise(size)
+    limit = fuel(F.col(program), F.lit(isa.STEP_CAP), F.greatest(F.size(program), F.lit(4096))) if limit is None else limit
     bound = F.greatest(F.lit(1), (F.lit(limit) if isinstance(limit, int) else limit).cast("int"))
     held = df.select(*(c for c in df.columns if c not in made), resolved(F.col(program)).alias("_code"), bound.alias("_fuel"))
     held = isa.once(held, "_end", F.expr(f"if(_code IS NULL, NULL, {_fold('_code', '_fuel', steps)})"))

@@ -122,7 +122,7 @@ def gen_register_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
 def gen_branched_run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Branched programs of the counter mode with their validity and outcome."""
     made = check.validate(_shape(spark, sf_dir, "tier2"))
-    return plain(vm.run(made, steps=False).select("id", asm.render(F.col("program")).alias("text"), "valid", "status", F.col("trace.output").alias("output")))
+    return plain(vm.run(made, steps=False, limit=vm.fuel(F.col("program"), F.col("l"))).select("id", asm.render(F.col("program")).alias("text"), "valid", "status", F.col("trace.output").alias("output")))
 
 
 def _recipe(spark: SparkSession, sf_dir: str, tier: str) -> specs.Recipe:
@@ -494,8 +494,8 @@ def asm_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def asm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Source line of each executed step."""
-    parsed = asm.parse(sources(spark, sf_dir).where("id % 7 <> 0"))
+    """Source line of each executed step; a source with errors is no program and has none."""
+    parsed = asm.parse(sources(spark, sf_dir)).where("program IS NOT NULL")
     steps = vm.step_rows(vm.run(parsed), ["id"])
     lines = parsed.select("id", F.posexplode("lines").alias("n", "idx")).select("id", (F.col("n") + 1).alias("line"), "idx")
     return plain(compare.active_lines(steps, lines, ["id"]))

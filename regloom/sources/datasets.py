@@ -39,7 +39,8 @@ def rows(spark: SparkSession, recipe: Recipe, split: str, bucket: str | None = N
         made = generate.make(spec.withColumns(specs.axes(recipe, bucket, F.concat(F.col("seed").cast("string"), F.lit("|axes")))), recipe.tier)
     else:
         raise ValueError(f"mode is 'exact' or 'counter', not {mode!r}")
-    ran = vm.run(made, strict=True)
+    turns = F.col("l") if "l" in made.columns else F.lit(0)
+    ran = vm.run(made, strict=True, limit=vm.fuel(F.col("program"), turns))
     meta = F.struct("tier", "split", "bucket", "seed", F.struct(*recipe.axes).alias("axes"), F.array(*(F.lit(r) for r in recipe.renders)).alias("renders"))
     return ran.select("idx", meta.alias("meta"), "program", "trace", tokens.renders(F.col("program"), F.col("trace"), list(recipe.renders)).alias("renders"))
 
@@ -80,8 +81,8 @@ def _get(spark: SparkSession, path: str) -> str:
 def digests(spark: SparkSession, path: str, pattern: str = "*.{json,jsonl,parquet,txt}") -> DataFrame:
     """(path, sha256, rows) of the files under a folder. A file is hashed by one task; parts keep that small."""
     found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    newline = F.lit(bytearray(b"\n"))
-    return found.select("path", F.sha2("content", 256).alias("sha256"), (F.length("content") - F.length(F.expr("replace(cast(content AS string), '\\n', '')").cast("binary"))).cast("bigint").alias("rows")) if newline is not None else found
+    rows_ = F.length("content") - F.length(F.expr("replace(cast(content AS string), '\\n', '')").cast("binary"))
+    return found.select("path", F.sha2("content", 256).alias("sha256"), rows_.cast("bigint").alias("rows"))
 
 
 def emit(spark: SparkSession, recipe: Recipe, out_dir: str, seed_base: int = 0, mode: str = "exact", single: bool = False, per_part: int = 5000, commit: str = "unknown") -> str:
