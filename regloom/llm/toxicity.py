@@ -1,15 +1,23 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-The examples are a bounded sample of labelled texts (at most ``max_examples``, those of least id hash). Terms are
-words and word beginnings that occur in significantly more toxic texts than chance allows (a Chernoff bound against the
-number tested), so that neither chance words nor stop words carry the cosine. Blocks of neighbouring examples keep, for
-each term, the largest weight in the block; blocks are opened by falling upper bound until no unopened block can reach
-the k-th best cosine, so the neighbours are exact. Votes weigh by cosine against a prior, and a leave-one-out table
-over the examples turns votes into calibrated scores. Evidence: ids and cosines of the neighbours.
-
-Defined results: null and empty texts, and texts without a term, have no neighbours and get the score that such texts
-have among the examples. Without examples every score is the prior 0. Equal cosines are ranked by example order.
-Repeated rows are scored each on its own; texts are read whole; input columns named like an output column give way.
+The examples are a bounded sample of labelled texts (at most ``max_examples``, those of least id hash). Their terms are
+all their words and the beginnings of their longer words; none is left out. A term weighs (1 + log tf) * idf * relevance,
+relevance being how surely the term is commoner in examples of label 1 (log odds over its standard error, FLOOR at least):
+by tf * idf alone the chance likeness of long texts hides what is toxic in them. The examples lie in blocks; for each term
+and block the index keeps the largest weight, which bounds what the term adds in a block. The share of the HEAD most
+frequent terms is a product of dense matrices; the k-th best of these partial cosines is a threshold, and the postings of
+all other terms are read only in the blocks whose bound reaches it, so the neighbours are exact.
+
+Votes weigh by cosine against a prior, and a leave-one-out table over the examples turns votes into calibrated scores.
+Evidence: ids and cosines of the neighbours. Counts and leave-one-out votes are made by tasks; the index, bounded by
+``max_examples``, goes to the executors as one broadcast.
+
+Defined results: null and empty texts, and texts without a term, have no neighbours and the vote of the prior. Without
+examples, or with those of one label only, every score is the share of label 1 among them (0 if there are none). Equal
+cosines are ranked by example order, which is that of the ids. A label row with a null id or another label than 0 and 1 is
+left out; of several labels of an id the largest counts; repeated documents are one example. Ids may be of any type that
+has an order. Rows with a null id and repeated rows are scored each on its own; texts are read whole; an empty table
+gives no rows; input columns named like an output column give way.
 """
 
 from __future__ import annotations
@@ -20,6 +28,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,217 +36,223 @@ from .frames import with_columns
 from .text import FOLD, mapped, slices, texts, words
 
 BLOCK = 64
-PREFIXES = (5, 7)
+PREFIX = 5
+FLOOR = 0.05
+HEAD = 512
+ROOM = 1 << 21  # (text, term, block) entries that a search holds at once
 
 
 @dataclass
 class Index:
-    """Unit vectors of the examples by term, cut into blocks of BLOCK examples."""
+    """Unit vectors of the examples. Postings and blocks of term t lie from ``post_at[t]`` and ``block_at[t]`` on."""
 
-    terms: list[str] = field(default_factory=list)
-    idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    ids: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    terms: pa.Array = field(default_factory=lambda: pa.array([], pa.string()))
+    weight: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    ids: pa.Array = field(default_factory=lambda: pa.array([], pa.int64()))
     label: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    postings: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # of a term: examples, weights
-    blocks: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = field(default_factory=list)  # blocks, maxima, first posting
+    example: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    value: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    block_at: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int32))
+    most: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, np.int64))  # where the postings of a block start
+    head: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))  # row of each term in ``dense``, or -1
+    dense: np.ndarray = field(default_factory=lambda: np.zeros((0, 0)))  # weights of the most frequent terms by example
     prior: float = 0.0
-    edges: np.ndarray = field(default_factory=lambda: np.zeros(0))
-    score: np.ndarray = field(default_factory=lambda: np.zeros(1))
-    empty: float = 0.0
+    table: np.ndarray = field(default_factory=lambda: np.zeros(10))  # calibrated score by tenth of the vote
 
     @property
     def n_blocks(self) -> int:
         return -(-len(self.ids) // BLOCK)
 
 
-def build(terms: list[str], idf: np.ndarray, ids: np.ndarray, label: np.ndarray, rows: list[dict[int, float]]) -> Index:
-    """Index of examples given as {term: weight}, not yet of unit length."""
-    by_term: list[list[tuple[int, float]]] = [[] for _ in terms]
-    for e, row in enumerate(rows):
-        norm = np.sqrt(sum(w * w for w in row.values()))
-        for t, w in row.items():
-            by_term[t].append((e, w / norm))
-    index = Index(terms, idf, ids, label)
-    for found in by_term:
-        example = np.array([e for e, _ in found], np.int64)
-        weight = np.array([w for _, w in found])
-        block, first = np.unique(example // BLOCK, return_index=True)
-        most = np.maximum.reduceat(weight, first) if len(first) else np.zeros(0)
-        index.postings.append((example, weight))
-        index.blocks.append((block, most, np.append(first, len(example))))
-    return index
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[i], start[i] + 1, ... for size[i] places, one after the other."""
+    return np.arange(size.sum()) + np.repeat(start - (np.cumsum(size) - size), size)
 
 
-def nearest(index: Index, query: dict[int, float], k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-    """The k examples of largest cosine (above 0) with ``query``, and the cosines. Exact, equal ones by example order."""
-    norm = np.sqrt(sum(w * w for w in query.values()))
-    if not norm or not index.n_blocks:
-        return np.zeros(0, np.int64), np.zeros(0)
-    bound = np.zeros(index.n_blocks)
-    for t, w in query.items():
-        block, most, _ = index.blocks[t]
-        bound[block] += w / norm * most
-    order = np.lexsort((np.arange(len(bound)), -bound))
-    best, cos = np.zeros(0, np.int64), np.zeros(0)
-    for b in order:
-        if bound[b] <= 0 or len(best) == k and bound[b] < cos[-1] - 1e-12:
-            break
-        score = np.zeros(BLOCK)
-        for t, w in query.items():
-            block, _, first = index.blocks[t]
-            at = np.searchsorted(block, b)
-            if at < len(block) and block[at] == b:
-                part = slice(first[at], first[at + 1])
-                score[index.postings[t][0][part] - b * BLOCK] += w / norm * index.postings[t][1][part]
-        if 0 <= skip - b * BLOCK < BLOCK:
-            score[skip - b * BLOCK] = 0
-        found = np.flatnonzero(score > 0)
-        best, cos = np.append(best, found + b * BLOCK), np.append(cos, score[found])
-        keep = np.lexsort((best, -cos))[:k]
-        best, cos = best[keep], cos[keep]
-    return best, cos
-
-
-def vote(index: Index, best: np.ndarray, cos: np.ndarray, weight: float) -> float:
-    """Labels of the neighbours weighted by cosine, with ``weight`` votes for the prior."""
-    return float((cos @ index.label[best] + weight * index.prior) / (cos.sum() + weight))
+def counted(strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """Text, term and count of all terms of each text, and the terms."""
+    flat, starts = words(mapped(strings, FOLD))
+    coded = flat.dictionary_encode()
+    plain = coded.dictionary
+    long = np.flatnonzero(pc.utf8_length(plain).to_numpy(zero_copy_only=False) > PREFIX)
+    heads = pc.binary_join_element_wise(pc.utf8_slice_codeunits(plain.take(pa.array(long)), 0, PREFIX), "-", "").dictionary_encode()
+    head = np.full(len(plain), -1, np.int64)
+    head[long] = heads.indices.to_numpy(zero_copy_only=False) + len(plain)
+    ids = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    text = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    more = head[ids] if len(ids) else ids
+    terms = pa.concat_arrays([plain, heads.dictionary])
+    pair, n = np.unique(np.concatenate((text, text[more >= 0])) * max(1, len(terms)) + np.concatenate((ids, more[more >= 0])), return_counts=True)
+    return pair // max(1, len(terms)), pair % max(1, len(terms)), n, terms
+
+
+def vectors(index: Index, strings: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Where each text's terms start, term numbers in the index, and weights of unit length."""
+    text, term, n, found = counted(strings)
+    number = pc.fill_null(pc.index_in(found, value_set=index.terms), -1).to_numpy(zero_copy_only=False)
+    at = number[term] if len(term) else term
+    text, n, at = text[at >= 0], n[at >= 0], at[at >= 0]
+    w = (1 + np.log(n)) * index.weight[at] if len(at) else np.zeros(0)
+    norm = np.sqrt(np.bincount(text, w * w, len(strings)))
+    return np.searchsorted(text, np.arange(len(strings) + 1)), at, w / norm[text]
+
+
+def build(index: Index, rows: np.ndarray, terms: np.ndarray, values: np.ndarray) -> Index:
+    """Postings and block maxima of (example, term, weight of unit length) added to an index."""
+    order = np.lexsort((rows, terms))
+    rows, terms, values = rows[order], terms[order], values[order]
+    key = terms * max(1, index.n_blocks) + rows // BLOCK
+    df = np.bincount(terms, minlength=len(index.terms))
+    top = np.lexsort((np.arange(len(df)), -df))[:HEAD]
+    index.head = np.full(len(df), -1, np.int64)
+    index.head[top] = np.arange(len(top))
+    index.dense = np.zeros((len(top), index.n_blocks * BLOCK))
+    often = index.head[terms] >= 0
+    index.dense[index.head[terms[often]], rows[often]] = values[often]
+    rows, terms, values, key = (x[~often] for x in (rows, terms, values, key))
+    index.example, index.value = rows.astype(np.int32), values
+    first = np.flatnonzero(np.diff(key, prepend=-1))
+    index.block, index.first = (rows[first] // BLOCK).astype(np.int32), np.append(first, len(rows))
+    index.most = np.maximum.reduceat(values, first) if len(first) else np.zeros(0)
+    index.block_at = np.searchsorted(terms[first], np.arange(len(index.terms) + 1))
+    return index
 
 
-def readings(flat: pa.Array) -> Iterator[tuple[pa.Array, np.ndarray]]:
-    """What a word is read as, with the places of the words read so: itself, and its longer beginnings as ``xyz-``."""
-    yield flat, np.arange(len(flat))
-    size = pc.utf8_length(flat).to_numpy(zero_copy_only=False)
-    for n in PREFIXES:
-        at = np.flatnonzero(size > n)
-        yield pc.binary_join_element_wise(pc.utf8_slice_codeunits(flat.take(pa.array(at)), 0, n), "-", ""), at
+def nearest(index: Index, starts: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For each text the k examples of largest cosine (above 0), -1 beyond, and the cosines; ``skip`` is an example to leave out."""
+    n = len(starts) - 1
+    best, cosine = np.full((n, k), -1, np.int64), np.zeros((n, k))
+    size = np.diff(index.block_at)[term] if len(term) else np.zeros(0, np.int64)
+    upto = np.concatenate(([0], np.cumsum(size)))[starts]
+    a = 0
+    while a < n:  # as many texts at once as there is room for
+        b = max(a + 1, min(a + 256, int(np.searchsorted(upto, upto[a] + ROOM, "right")) - 1))
+        part = slice(starts[a], starts[b])
+        best[a:b], cosine[a:b] = _nearest(index, starts[a : b + 1] - starts[a], term[part], weight[part], k, None if skip is None else skip[a:b])
+        a = b
+    return best, cosine
+
+
+def _nearest(index: Index, starts: np.ndarray, term: np.ndarray, weight: np.ndarray, k: int, skip: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    n, blocks = len(starts) - 1, index.n_blocks
+    if not len(term) or not blocks:
+        return np.full((n, k), -1, np.int64), np.zeros((n, k))
+    text = np.repeat(np.arange(n), np.diff(starts))
+    often = index.head[term] >= 0
+    query = np.zeros((n, len(index.dense)))
+    query[text[often], index.head[term[often]]] = weight[often]
+    score = query @ index.dense
+    text, term, weight = text[~often], term[~often], weight[~often]
+    size = index.block_at[term + 1] - index.block_at[term]
+    entry = ranges(index.block_at[term], size)
+    owner, w = np.repeat(text, size), np.repeat(weight, size)
+    cell = owner * blocks + index.block[entry]
+    tail = np.bincount(cell, w * index.most[entry], n * blocks).reshape(n, blocks)
+    kept = (np.arange(0), np.arange(0)) if skip is None else (np.flatnonzero(skip >= 0), skip[skip >= 0])
+    score[kept] = 0
+    width = min(k, score.shape[1])
+    least = -np.partition(-score, width - 1, axis=1)[:, width - 1]
+    opened = (tail > 0) & (score.reshape(n, blocks, BLOCK).max(2) + tail >= least[:, None] - 1e-9)
+    some = np.flatnonzero(opened.ravel()[cell])
+    long = index.first[entry[some] + 1] - index.first[entry[some]]
+    post = ranges(index.first[entry[some]], long)
+    at = np.repeat(owner[some], long) * score.shape[1] + index.example[post]
+    score += np.bincount(at, np.repeat(w[some], long) * index.value[post], score.size).reshape(score.shape)
+    score[kept] = 0
+    score = np.round(score, 12)  # sums in another order must not part equal cosines
+    floor = -np.partition(-score, width - 1, axis=1)[:, width - 1]
+    row, col = np.nonzero((score >= floor[:, None]) & (score > 0))
+    order = np.lexsort((col, -score[row, col], row))
+    row, col = row[order], col[order]
+    place = np.arange(len(row)) - np.searchsorted(row, np.arange(n))[row]
+    row, col, place = row[place < k], col[place < k], place[place < k]
+    best, cosine = np.full((n, k), -1, np.int64), np.zeros((n, k))
+    best[row, place], cosine[row, place] = col, score[row, col]
+    return best, cosine
+
+
+def votes(index: Index, best: np.ndarray, cosine: np.ndarray, weight: float) -> np.ndarray:
+    """Labels of the neighbours weighted by cosine, with ``weight`` votes for the prior."""
+    label = np.append(index.label, 0.0)[best]
+    return ((cosine * label).sum(1) + weight * index.prior) / (cosine.sum(1) + weight)
 
 
-def terms_of(strings: pa.Array, terms: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Text and term number of every occurrence of a term."""
-    flat, starts = words(mapped(strings, FOLD))
-    coded = flat.dictionary_encode()  # every different word is looked up once
-    ids = coded.indices.to_numpy(zero_copy_only=False)
-    texts_, terms_ = [], []
-    for read, place in readings(coded.dictionary):
-        term = np.full(len(coded.dictionary), -1, np.int64)
-        term[place] = pc.fill_null(pc.index_in(read, value_set=terms), -1).to_numpy(zero_copy_only=False)
-        found = term[ids] if len(term) else np.zeros(0, np.int64)
-        hit = np.flatnonzero(found >= 0)
-        texts_.append(np.searchsorted(starts, hit, "right") - 1)
-        terms_.append(found[hit])
-    return np.concatenate(texts_), np.concatenate(terms_)
-
-
-def vectors(text: np.ndarray, term: np.ndarray, idf: np.ndarray, n: int) -> list[dict[int, float]]:
-    """{term: (1 + log tf) * idf} of each of n texts."""
-    pair, tf = np.unique(text * max(1, len(idf)) + term, return_counts=True)
-    out: list[dict[int, float]] = [{} for _ in range(n)]
-    for p, c in zip(pair.tolist(), tf.tolist()):
-        t = p % len(idf)
-        out[p // len(idf)][t] = (1 + np.log(c)) * idf[t]
-    return out
+def tenth(vote: np.ndarray) -> np.ndarray:
+    return np.minimum((vote * 10 + 1e-9).astype(np.int64), 9)
 
 
 def examples(docs: DataFrame, labels: DataFrame, label: str, doc_id: str, max_examples: int) -> DataFrame:
-    """(doc_id, label, text) of at most ``max_examples`` labelled rows, those of least hash of the id."""
+    """(doc_id, label, text) of at most ``max_examples`` labelled rows, those of least hash of the id; one row for each id."""
     chosen = labels.where(F.col(label).isin(0, 1) & F.col(doc_id).isNotNull()).groupBy(F.col(doc_id).alias("doc_id")).agg(F.max(label).alias("label"))
     chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_examples)
-    return docs.select(F.col(doc_id).alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    found = docs.select(F.col(doc_id).alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("text").alias("text"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", max_examples: int = 20_000, k: int = 16, prior_votes: float = 1.0, max_terms: int = 4096) -> Index:
-    """Choose terms, index the examples and calibrate. Size is bounded by ``max_examples`` and ``max_terms``.
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", doc_id: str = "doc_id", max_examples: int = 2048, k: int = 16, prior_votes: float = 0.1) -> Broadcast:
+    """Index and calibrate the examples. What reaches the driver are their terms, bounded by ``max_examples``.
 
     ``labels`` must hold only rows that may be learned from. Equal texts among the examples count once.
     """
-    chosen = examples(docs, labels, label, doc_id, max_examples)
-
-    def present(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    spark = docs.sparkSession
+    chosen = examples(docs, labels, label, doc_id, max_examples).persist()
+    single = chosen.groupBy(F.sha2(F.coalesce("text", F.lit("")), 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    told = chosen.join(F.broadcast(single), "doc_id").persist()
+    ids = told.select("doc_id", F.col("label").cast("double").alias("label")).orderBy("doc_id").toArrow()
+    index = Index(ids=pa.concat_arrays(ids.column("doc_id").chunks) if len(ids) else Index().ids, label=ids.column("label").to_numpy().astype(float))
+    n, positive = len(index.label), float(index.label.sum())
+    index.prior = positive / n if n else 0.0
+    if not 0 < positive < n:
+        index.ids, index.label, index.table = index.ids.slice(0, 0), index.label[:0], np.full(10, index.prior)
+        return spark.sparkContext.broadcast(index)
+    numbered = told.join(F.broadcast(spark.createDataFrame(pa.table({"doc_id": index.ids, "number": pa.array(np.arange(n))}))), "doc_id")
+
+    def posted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            flat, starts = words(mapped(texts(piece), FOLD))
-            coded = flat.dictionary_encode()
-            size = max(1, len(coded.dictionary))
-            pair = np.unique(np.repeat(np.arange(len(starts) - 1), np.diff(starts)) * size + coded.indices.to_numpy(zero_copy_only=False))
-            label = np.asarray(piece.column("label").to_numpy(zero_copy_only=False))
-            for read, place in readings(coded.dictionary):
-                kinds = read.dictionary_encode()
-                if not len(kinds):
-                    continue
-                kind = np.full(size, -1, np.int64)
-                kind[place] = kinds.indices.to_numpy(zero_copy_only=False)
-                have = kind[pair % size] >= 0
-                both = np.unique((pair // size)[have] * len(kinds.dictionary) + kind[pair % size][have])
-                text, term = both // len(kinds.dictionary), both % len(kinds.dictionary)
-                n, pos = np.bincount(term, minlength=len(kinds.dictionary)), np.bincount(term[label[text] == 1], minlength=len(kinds.dictionary))
-                yield pa.RecordBatch.from_arrays([kinds.dictionary, pa.array(n.astype(np.int64)), pa.array(pos.astype(np.int64))], names=["term", "n", "pos"])
-
-    single = chosen.groupBy(F.sha2("text", 256).alias("h")).agg(F.min("doc_id").alias("doc_id")).select("doc_id")
-    chosen = chosen.join(F.broadcast(single), "doc_id").dropDuplicates(["doc_id"]).persist()
-    n, positive = chosen.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0))).first()
-    if not n or not positive or positive == n:
-        chosen.unpersist()
-        return Index(prior=float(positive / n) if n else 0.0, score=np.array([float(positive / n) if n else 0.0]), empty=float(positive / n) if n else 0.0)
-    prior = positive / n
-    seen = chosen.mapInArrow(present, "term string, n long, pos long").groupBy("term").agg(F.sum("n").alias("n"), F.sum("pos").alias("pos")).persist()
-    tested = seen.count()
-    share = F.col("pos") / F.col("n")
-    safe = lambda x: F.when(x > 0, x * F.log(x)).otherwise(0.0)
-    gain = F.col("n") * (safe(share) + safe(1 - share) - share * float(np.log(prior)) - (1 - share) * float(np.log(1 - prior)))
-    good = seen.where((gain > float(np.log(tested)) + 3.0) & (share > prior)).orderBy(F.desc(gain), "term").limit(max_terms).toPandas().sort_values("term")
-    seen.unpersist()
-    terms = good.term.tolist()
-    idf = np.log(n / good.n.to_numpy(dtype=float)) if terms else np.zeros(0)
-    idf = np.maximum(idf, 1e-3)
-    value_set = pa.array(terms, pa.string())
-
-    def coded(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            text, term, count, terms = counted(texts(piece))
+            yield pa.RecordBatch.from_arrays([piece.column("number").take(pa.array(text)), terms.take(pa.array(term)), pa.array(count), piece.column("label").take(pa.array(text)).cast(pa.int32())], names=["number", "term", "n", "label"])
+
+    got = numbered.select("number", "label", "text").mapInArrow(posted, "number long, term string, n long, label int").toArrow()
+    coded = pa.concat_arrays(got.column("term").combine_chunks().chunks if isinstance(got.column("term").combine_chunks(), pa.ChunkedArray) else [got.column("term").combine_chunks()]).dictionary_encode()
+    term, row = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), got.column("number").to_numpy()
+    index.terms = coded.dictionary
+    with_, toxic = np.bincount(term, minlength=len(index.terms)), np.bincount(term, index.label[row], len(index.terms))
+    odds = np.log((toxic + 0.5) / (positive + 1)) - np.log((with_ - toxic + 0.5) / (n - positive + 1))
+    sure = odds / np.sqrt(1 / (toxic + 0.5) + 1 / (with_ - toxic + 0.5))
+    index.weight = np.log(1 + n / with_) * np.maximum(sure, FLOOR)
+    value = (1 + np.log(got.column("n").to_numpy())) * index.weight[term]
+    norm = np.sqrt(np.bincount(row, value * value, n))
+    build(index, row, term, value / norm[row])
+    sent = spark.sparkContext.broadcast(index)
+
+    def left_out(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            text, term = terms_of(texts(piece), value_set)
-            lists = [[] for _ in range(piece.num_rows)]
-            for i, t in zip(text.tolist(), term.tolist()):
-                lists[i].append(t)
-            yield pa.RecordBatch.from_arrays([piece.column("doc_id").cast(pa.int64()), piece.column("label").cast(pa.int32()), pa.array(lists, pa.list_(pa.int32()))], names=["doc_id", "label", "terms"])
+            best, cosine = nearest(sent.value, *vectors(sent.value, texts(piece)), k, piece.column("number").to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(votes(sent.value, best, cosine, prior_votes)), piece.column("label").cast(pa.float64())], names=["vote", "label"])
 
-    rows = chosen.mapInArrow(coded, "doc_id long, label int, terms array<int>").toPandas().sort_values("doc_id")
+    tried = numbered.select("number", "label", "text").repartition(spark.sparkContext.defaultParallelism).mapInArrow(left_out, "vote double, label double")
+    each = {r.at: (r.n, r.hits) for r in tried.groupBy(F.least(F.floor(F.col("vote") * 10 + 1e-9), F.lit(9)).cast("int").alias("at")).agg(F.count("*").alias("n"), F.sum("label").alias("hits")).collect()}
     chosen.unpersist()
-    some = rows[rows.terms.map(len) > 0]
-    text = np.repeat(np.arange(len(some)), some.terms.map(len).to_numpy()) if len(some) else np.zeros(0, np.int64)
-    term = np.concatenate(some.terms.to_list()).astype(np.int64) if len(some) else np.zeros(0, np.int64)
-    vecs = vectors(text, term, idf, len(some))
-    order = sorted(range(len(some)), key=lambda e: sorted(vecs[e].items(), key=lambda x: -x[1])[0][0])  # like examples share blocks
-    index = build(terms, idf, some.doc_id.to_numpy()[order], some.label.to_numpy()[order].astype(float), [vecs[e] for e in order])
-    index.prior = prior
-    none = rows[rows.terms.map(len) == 0]
-    index.empty = float((none.label.sum() + prior) / (len(none) + 1))
-    own = [vecs[e] for e in order]
-    votes = np.array([vote(index, *nearest(index, own[e], k, e), prior_votes) for e in range(len(own))])
-    index.edges = np.linspace(0, 1, 11)[1:-1]
-    at = np.searchsorted(index.edges, votes, "right")
-    hits, seen_n = np.bincount(at, index.label, minlength=10), np.bincount(at, minlength=10)
-    middle = (np.arange(10) + 0.5) / 10
-    index.score = np.maximum.accumulate((hits + 4 * middle) / (seen_n + 4))
-    return index
+    told.unpersist()
+    seen, hits = (np.array([each.get(i, (0, 0.0))[j] for i in range(10)], float) for j in (0, 1))
+    index.table = np.maximum.accumulate((hits + 4 * (np.arange(10) + 0.5) / 10) / (seen + 4))
+    sent.unpersist()
+    return spark.sparkContext.broadcast(index)
 
 
-def assess(docs: DataFrame, index: Index, keep: list[str], k: int = 16, prior_votes: float = 1.0, threshold: float = 0.3) -> DataFrame:
+def assess(docs: DataFrame, index: Broadcast, keep: list[str], k: int = 16, prior_votes: float = 0.1, threshold: float = 0.3) -> DataFrame:
     """``keep`` columns, score, predicted, and the neighbours as evidence (ids and cosines) of every row."""
-    value_set = pa.array(index.terms, pa.string())
 
     def step(piece: pa.RecordBatch) -> dict:
-        n = piece.num_rows
-        score, ids, cosines = np.full(n, index.empty), [[] for _ in range(n)], [[] for _ in range(n)]
-        if index.terms:
-            text, term = terms_of(texts(piece), value_set)
-            hit = np.unique(text)
-            done: dict = {}  # texts with the same vector need one search
-            for i, vec in zip(hit.tolist(), vectors(np.searchsorted(hit, text), term, index.idf, len(hit))):
-                key = tuple(sorted(vec.items()))
-                if key not in done:
-                    best, cos = nearest(index, vec, k)
-                    v = vote(index, best, cos, prior_votes)
-                    left = min(9, int(np.searchsorted(index.edges, v, "right")))
-                    done[key] = (float(index.score[left]), index.ids[best].tolist(), cos.tolist())
-                score[i], ids[i], cosines[i] = done[key]
-        return {"score": score, "predicted": (score >= threshold).astype(np.int32), "evidence": pa.array(ids, pa.list_(pa.int64())), "cosines": pa.array(cosines, pa.list_(pa.float64()))}
-
-    return with_columns(docs, keep, "score double, predicted int, evidence array<long>, cosines array<double>", step)
+        x: Index = index.value
+        best, cosine = nearest(x, *vectors(x, texts(piece)), k)
+        score = x.table[tenth(votes(x, best, cosine, prior_votes))]
+        there = best >= 0
+        at = pa.array(np.concatenate(([0], np.cumsum(there.sum(1)))).astype(np.int32))
+        ids = x.ids.take(pa.array(best[there]))
+        return {"score": score, "predicted": (score >= threshold).astype(np.int32), "evidence": pa.ListArray.from_arrays(at, ids), "cosines": pa.ListArray.from_arrays(at, pa.array(cosine[there]))}
+
+    kind = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}.get(index.value.ids.type, "long")
+    return with_columns(docs, keep, f"score double, predicted int, evidence array<{kind}>, cosines array<double>", step)
