@@ -7,9 +7,10 @@ and is extended word by word within the reach of a window. An item of fewer than
 length and is fingerprinted by its whole hash, at every place of a document.
 
 Defined results: null and empty texts have no words and no hits; an item without words has no windows. Repeated items
-are counted by item_id once. Repeated documents each get a row; rows that repeat a doc_id share their hits. An empty
-table on either side gives no hits. Texts are read whole. Null item ids cannot be reported and are left out of the
-item list, though their words still count as hit.
+are counted by item_id once. Every row of documents gets hits of its own, by its text, whether its doc_id is null, repeated or
+neither. An empty table on either side gives no hits. Texts are read whole. Null item ids cannot be reported and are left
+out of the item list, though their words still count as hit. Items are sorted as strings, so their order has no ties.
+Of documents only doc_id and text are read by ``report``; ``clean`` keeps all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import save
@@ -104,8 +105,13 @@ def bitmap(prints: DataFrame) -> np.ndarray:
     return total
 
 
+def row_key() -> Column:
+    """What rows are joined by: equal for equal texts alone, so ids need be neither set nor unique."""
+    return F.md5(F.coalesce("text", F.lit("")))
+
+
 def candidates(docs: DataFrame, doc_id: str, bits: np.ndarray, lengths: list[int]) -> DataFrame:
-    """(doc_id, n_words, found) of every row: the fingerprints that the bit map lets through, with their contexts."""
+    """(id, doc, n_words, found) of every row, doc being its key: the fingerprints that the bit map lets through, with their contexts."""
     kind = docs.schema[doc_id].dataType.simpleString()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,9 +124,9 @@ def candidates(docs: DataFrame, doc_id: str, bits: np.ndarray, lengths: list[int
             low, text, joined = contexts(flat, starts, at[hit], size[hit])
             offs = np.searchsorted(text, np.arange(piece.num_rows + 1))
             found = pa.StructArray.from_arrays([pa.array(fp[hit].view(np.int64)), pa.array((at[hit] - low).astype(np.int32)), pa.array((low - starts[text]).astype(np.int32)), pa.array(size[hit].astype(np.int32)), pa.array(joined, pa.string())], names=["fp", "at", "from", "size", "words"])
-            yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), found)], names=["doc", "n_words", "found"])
+            yield pa.RecordBatch.from_arrays([piece.column("id"), piece.column("doc"), pa.array(np.diff(starts)), pa.ListArray.from_arrays(pa.array(offs.astype(np.int32)), found)], names=["id", "doc", "n_words", "found"])
 
-    return docs.select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, n_words long, found array<{FP}>")
+    return docs.select(F.col(doc_id).alias("id"), row_key().alias("doc"), "text").mapInArrow(run, f"id {kind}, doc string, n_words long, found array<{FP}>")
 
 
 def extend(pairs: DataFrame, kind: str) -> DataFrame:
@@ -157,11 +163,11 @@ def extend(pairs: DataFrame, kind: str) -> DataFrame:
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> tuple[DataFrame, DataFrame]:
-    """All documents (doc, n_words, found) and the spans (doc, start, stop, items) that they share with items."""
+    """All documents (id, doc, n_words, found) and, once for each text, the spans (doc, start, stop, items) that they share with items."""
     prints = save(spark, fingerprints(items, item_id), "bench")
     lengths = sorted(r.size for r in prints.where("size > 0").select("size").distinct().collect())
     made = save(spark, candidates(docs, doc_id, bitmap(prints), lengths), "fingerprints")
-    left = made.where(F.size("found") > 0).select("doc", F.explode("found").alias("f")).select("doc", "f.*")
+    left = made.where(F.size("found") > 0).dropDuplicates(["doc"]).select("doc", F.explode("found").alias("f")).select("doc", "f.*")
     right = prints.select("fp", "size", F.col("at").alias("item_at"), F.col("words").alias("item_words"), "items")
     kind = made.schema["doc"].dataType.simpleString()
     return made, extend(left.join(right, ["fp", "size"]), kind)
@@ -169,23 +175,26 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "
 
 def report(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id") -> DataFrame:
     """Every row's doc_id, n_words, n_hit, n_items, items (sorted as strings), contaminated."""
-    made, spans_ = hits(spark, docs, items, doc_id, item_id)
+    return hit_counts(spark, *hits(spark, docs, items, doc_id, item_id)).withColumnRenamed("id", doc_id).drop("doc")
+
+
+def hit_counts(spark: SparkSession, made: DataFrame, spans_: DataFrame) -> DataFrame:
+    """(id, doc, n_words, n_hit, n_items, items, contaminated) of every row."""
     spans_ = save(spark, spans_, "spans")
     places = spans_.select("doc", "start", "stop").distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("start", "stop"))).alias("s"))
     union = F.aggregate("s", F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda acc, x: F.struct((acc.n + F.greatest(F.lit(0), x.stop - F.greatest(x.start, acc.end))).alias("n"), F.greatest(acc.end, x.stop).alias("end")))
     places = places.select("doc", union.n.cast("long").alias("n_hit"))
     named = spans_.select("doc", F.explode("items").alias("item")).distinct().groupBy("doc").agg(F.sort_array(F.collect_list(F.col("item").cast("string"))).alias("items"))
-    out = made.select("doc", "n_words").join(places.join(named, "doc", "left"), "doc", "left")
+    out = made.select("id", "doc", "n_words").join(places.join(named, "doc", "left"), "doc", "left")
     none = F.array().cast("array<string>")
     return out.select(
-        F.col("doc").alias(doc_id), "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
+        "id", "doc", "n_words", F.coalesce("n_hit", F.lit(0).cast("long")).alias("n_hit"), F.size(F.coalesce("items", none)).cast("long").alias("n_items"),
         F.coalesce("items", none).alias("items"), (F.coalesce("n_hit", F.lit(0)) > 0).alias("contaminated"),
     )
 
 
 def clean(spark: SparkSession, docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", most_hit: float = 0.0) -> DataFrame:
-    """The rows of ``docs`` whose share of hit words is at most ``most_hit``; rows with a null id are judged clean."""
-    dirty = report(spark, docs, items, doc_id, item_id).where(F.col("n_hit") > most_hit * F.col("n_words")).select(doc_id)
-    return docs.join(dirty.distinct(), doc_id, "left_anti")
-
-
+    """The rows of ``docs`` whose share of hit words is at most ``most_hit``."""
+    found = hit_counts(spark, *hits(spark, docs, items, doc_id, item_id))
+    dirty = found.where(F.col("n_hit") > most_hit * F.col("n_words")).select(F.col("doc").alias("_key")).distinct()
+    return docs.withColumn("_row", row_key()).join(dirty, F.col("_row") == F.col("_key"), "left_anti").drop("_row")

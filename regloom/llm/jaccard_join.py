@@ -11,7 +11,8 @@ Equal sets are one class (128-bit digest), represented by the least doc_id, so c
 
 Defined results: null texts and texts without words have an empty set, n_shingles 0 and their own doc_id as group;
 with fewer than n words the whole sequence is the only n-gram. Repeated rows link as equal sets. Rows with a null
-doc_id get a null group unless an equal text has an id. Texts are read whole.
+doc_id get a null group unless an equal text has an id. An empty table gives no rows; of the columns only the id and the
+text are read; the least id names a group, so ties cannot be. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from .cluster import Union, candidates, linked
 from .graph import stars
-from .store import save
+from .store import drop, save
 from .text import LOWER, binaries, grams, groups, hashes, mapped, mix, slices, texts, words
 
 #: Keys in a bucket, about.
@@ -263,5 +264,6 @@ def join(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", n: int =
     members = save(spark, members, "members")
     chosen = docs.select(F.col(doc_id).alias("id"), "text").join(members.select(F.col("node").alias("id")).distinct(), "id", "left_semi")
     found = linked(spark, members, payloads(chosen, n), matcher(num, den), "near")
+    drop(spark, members)
     out = made.select("doc", "n", "digest").join(classes, "digest", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     return out.select(F.col("doc").alias(doc_id), F.col("n").alias("n_shingles"), F.coalesce("root", "rep", "doc").alias("component_id"))

@@ -1,11 +1,12 @@
 """Language identification by error-correcting output codes.
 
 Every language gets a codeword. For each bit a binary classifier over hashed letter trigrams (log odds of the
-languages whose bit is 1 against the others) gives a margin; the codeword with the least logistic loss over all
+languages whose bit is 1 against the others; a trigram is of UTF-8 bytes, so about a letter and a half beyond ASCII) gives a margin; the codeword with the least logistic loss over all
 margins is the prediction, and a small lead over the second marks it as ambiguous.
 
 Defined results: null texts and texts without a letter give ``und`` with score 0. Rows with a null language never
-train. Repeated rows train as often as they occur. Without any training row every prediction is ``und``. Very long
+train, whatever their id. Repeated rows train as often as they occur; equal losses go to the first language by name; an
+empty table gives no rows. Without any training row every prediction is ``und``. Very long
 texts are read whole. Input columns named like an output column give way to it.
 """
 
@@ -91,15 +92,14 @@ def counts(docs: DataFrame, language: str) -> DataFrame:
     return part.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, language: str = "lang", max_languages: int = 64, smoothing: float = 0.5) -> Model:
-    """Train on every row of ``docs`` with a language. The ``max_languages`` commonest languages are learned.
+def fit(docs: DataFrame, language: str = "lang", smoothing: float = 0.5) -> Model:
+    """Train on every row of ``docs`` with a language; every language found is learned.
 
-    What reaches the driver is at most max_languages * (BUCKETS + 1) sums, whatever the input's size.
+    What reaches the driver is at most BUCKETS + 1 sums for each language, whatever the input's size.
     """
     table = counts(docs, language).persist()
-    top = [r.lang for r in table.where("bucket = -1").orderBy(F.desc("n"), "lang").limit(max_languages).collect()]
-    names = sorted(top)
-    got = table.where(F.col("lang").isin(names) & (F.col("bucket") >= 0)).toPandas() if names else None
+    names = sorted(r.lang for r in table.where("bucket = -1").select("lang").collect())
+    got = table.where("bucket >= 0").toPandas() if names else None
     table.unpersist()
     codes = codewords(len(names))
     freq = np.full((len(names), BUCKETS), smoothing)

@@ -4,7 +4,7 @@ Each rule is a test on counts of one text. Cost and rejection of every rule are
 then run by rejection per cost, each only on the texts that all earlier rules let pass. The verdict does not depend
 on the order, only the work does.
 
-Defined results: a null text counts as an empty one and is rejected as too short; repeated rows are judged each on
+Defined results: a null text counts as an empty one and is rejected as too short; ids are not looked at; repeated rows are judged each on
 their own; texts are read whole; an empty table gives no rows and keeps the given order of rules. Input columns named
 like an output column give way to it.
 """
@@ -20,9 +20,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .frames import with_columns
-from .text import SEP, covered, grams, hashes, lines, mix, raw, spans, sums, texts, words
+from .text import SEP, covered, lines, raw, spans, sums, texts, words
 
 _SYMBOL = np.zeros(256, bool)
 _SYMBOL[list(b"#*$%&|<>")] = True
@@ -100,13 +101,10 @@ class Page:
         first, text = spans(starts, 3)
         if not len(first):
             return np.zeros(len(starts) - 1, np.int64)
-        if len(coded.dictionary) < 1 << 21:
-            key = (ids[first] << np.uint64(42)) | (ids[first + 1] << np.uint64(21)) | ids[first + 2]
-        else:  # a single text of over two million different words
-            key = grams(hashes(flat), 3)[first]
-        h = mix(key + mix(text.astype(np.uint64) + np.uint64(1)))
-        order = np.argsort(h)
-        same = (h[order[1:]] == h[order[:-1]]) & (key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
+        two = np.unique((ids[first] << np.uint64(32)) | ids[first + 1], return_inverse=True)[1].astype(np.uint64)
+        key = (two << np.uint64(32)) | ids[first + 2]  # numbers of words, not hashes: exact at any size of a text
+        order = np.lexsort((key, text))
+        same = (key[order[1:]] == key[order[:-1]]) & (text[order[1:]] == text[order[:-1]])
         twice = np.zeros(len(first), bool)
         twice[order[1:]] |= same
         twice[order[:-1]] |= same
@@ -137,28 +135,47 @@ COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
 def plan(docs: DataFrame, rules: list[Rule] = RULES, sample_rows: int = 1000) -> list[str]:
-    """Rule names by rejection per cost, measured on at most ``sample_rows`` texts. It changes the work, no verdict."""
-    rows = docs.select("text").limit(sample_rows).toArrow().column("text").combine_chunks()
+    """Rule names by rejection per cost on ``sample_rows`` texts of least hash, of all files. It changes the work, no verdict.
+
+    Greedy: the next rule is the one that rejects most, per second, of what the rules chosen so far let pass.
+    """
+    rows = docs.select("text").orderBy(F.xxhash64("text")).limit(sample_rows).toArrow().column("text").combine_chunks()
     strings = pc.fill_null(rows.cast(pa.string()), "")
     if not len(strings):
         return [r.name for r in rules]
-    rank = []
-    for i, rule in enumerate(rules):
+    bad, cost = [], []
+    for rule in rules:
         began = time.perf_counter()
-        share = float(np.mean(rule.fails(Page(strings))))
-        rank.append((-(share + 1e-6) / (time.perf_counter() - began), i))
-    return [rules[i].name for _, i in sorted(rank)]
+        bad.append(rule.fails(Page(strings)).astype(bool))
+        cost.append(time.perf_counter() - began)
+    return ordered([r.name for r in rules], np.array(bad), cost)
+
 
+def ordered(names: list[str], bad: np.ndarray, cost: list[float]) -> list[str]:
+    """Names of rules (rows of ``bad``: which texts each rejects) by rejection per cost given the earlier ones."""
+    left, alive, out = list(range(len(names))), np.ones(bad.shape[1], bool), []
+    while left:
+        best = max(left, key=lambda i: ((bad[i] & alive).mean() + 1e-6) / max(cost[i], 1e-9))
+        out.append(names[best])
+        alive &= ~bad[best]
+        left.remove(best)
+    return out
 
-def cascade(strings: pa.Array, rules: list[Rule]) -> np.ndarray:
-    """Index of the first rule that each text fails, or -1; a rule sees only what passed the earlier ones."""
+
+def cascade(strings: pa.Array, rules: list[Rule], known: dict | None = None) -> np.ndarray:
+    """Index of the first rule that each text fails, or -1; a rule sees only what passed the earlier ones.
+
+    ``known``: counts of the texts that need not be made again, by the page's names.
+    """
     failed = np.full(len(strings), -1, np.int64)
     alive, page, seen = np.arange(len(strings)), Page(strings), np.arange(len(strings))
+    vars(page).update(known or {})
     for i, rule in enumerate(rules):
         if not len(alive):
             break
         if len(alive) < 0.8 * len(seen):  # fewer texts left: count only those anew
             page, seen = Page(strings.take(pa.array(alive))), alive
+            vars(page).update({k: tuple(x[alive] for x in v) if isinstance(v, tuple) else v[alive] for k, v in (known or {}).items()})
         bad = np.zeros(len(strings), bool)
         bad[seen] = rule.fails(page)
         failed[alive[bad[alive]]] = i
@@ -186,7 +203,8 @@ def assess(docs: DataFrame, keep: list[str], rules: list[Rule] = RULES, order: l
             rest = [r for r in chosen if r.name not in base]
             passed = np.flatnonzero(~out["base_failed"])
             names = [r.name for r in BASE] + [r.name for r in rest]
-            got = cascade(strings.take(pa.array(passed)), rest)
+            known = {c: getattr(page, c)[passed] for c in ("n_words", "word_chars", "n_symbols")} | {"_lines": tuple(x[passed] for x in page._lines)}
+            got = cascade(strings.take(pa.array(passed)), rest, known)
             failed[passed] = np.where(got >= 0, got + len(BASE), -1)
             for i in reversed(range(len(BASE))):
                 failed[bad[i]] = i

@@ -152,7 +152,7 @@ def mixing_sql(source: str = "documents") -> str:
         "WITH " + ",\n".join(parts) + """,
 p AS (SELECT domain, lang, source, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS e, budget - CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END * tokens AS rest FROM leaf JOIN g3 USING (domain, lang, source)),
 k AS (SELECT r.*, e, rest, md5(concat_ws(':', '7', e::varchar, doc_id::varchar)) AS key FROM r JOIN p USING (domain, lang, source)),
-t AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens ROWS UNBOUNDED PRECEDING) <= rest AS take FROM k)
+t AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY key, n_tokens RANGE UNBOUNDED PRECEDING) <= rest AS take FROM k)
 SELECT doc_id, domain, lang, source, n_tokens, (e + CASE WHEN take THEN 1 ELSE 0 END)::bigint AS copies FROM t WHERE e > 0 OR take
 """
     )

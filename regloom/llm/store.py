@@ -14,10 +14,12 @@ _own: dict[str, str] = {}
 
 
 def folder(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; a fresh local one only where it is unset."""
+    """The shared folder named by spark.checkpoint.dir; where it is unset a fresh local one in local mode, else an error."""
     named = spark.conf.get(DIR, None)
     if named:
         return named.rstrip("/")
+    if spark.sparkContext.master.split("[")[0] != "local":
+        raise RuntimeError(f"{DIR} must name a folder that the driver and all executors share")
     key = spark.sparkContext.applicationId
     return _own.setdefault(key, "file://" + tempfile.mkdtemp(prefix="regloom-"))
 

@@ -10,7 +10,8 @@ it can, and the first occurrences that are left travel on, one window each, deal
 
 Defined results: null and empty texts have no words and lose none; a text of fewer than k words is never cut; of
 rows that repeat a doc_id the same starts are no repeats of each other, and all share the cuts of the id. Rows with a
-null doc_id count as the earliest occurrences and are not cut. Texts are read whole.
+null doc_id count as the earliest occurrences and are not cut. An empty table gives no rows; input columns named
+n_words, n_removed or kept give way. Texts are read whole.
 """
 
 from __future__ import annotations
@@ -95,10 +96,11 @@ def hot_minimisers(docs: DataFrame, k: int, least: int = 2048) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["mini", "n"])
 
     counted = docs.select("text").mapInArrow(run, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    many = counted.where(F.col("n") > least).select("mini", "n").toLocalIterator()
-    rows = [(r.mini, r.n) for r in many]
-    floor = max(least, sum(n for _, n in rows) >> 22)
-    return np.sort(np.array([m for m, n in rows if n > floor], np.int64))
+    many = counted.where(F.col("n") > least).persist()
+    total = many.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
+    top = many.where(F.col("n") > max(least, total >> 22)).select("mini").toArrow()  # fewer than 2^22 can be above it
+    many.unpersist()
+    return np.sort(top.column("mini").to_numpy())
 
 
 def settle(rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, pa.Array, np.ndarray]:

@@ -9,7 +9,8 @@ earlier block. Only these reports are shuffled.
 Defined results: an empty document between two separators has 0 tokens; tokens after a file's last separator are a
 document that is marked as not terminated; files without tokens give no rows. For texts: null and empty texts are
 documents of 0 tokens, a separator's name inside a text is ordinary text, texts are read whole, repeated rows are
-documents of their own.
+documents of their own, with a null id as with any other; an empty table gives no rows. Of its columns only the id and the
+text are read. The vocabulary file travels to the executors with the job.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from pathlib import Path
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as fs
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,9 +68,11 @@ def write_files(spark: SparkSession, docs: DataFrame, vocabulary: str, doc_id: s
     The files hold nothing but ids. A task that runs again writes a file of its own; the list names those that count.
     """
     root = f"{folder(spark)}/regloom/tokens-{uuid.uuid4().hex}"
+    spark.sparkContext.addFile(vocabulary)
+    name = Path(vocabulary).name
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoding(vocabulary).encode_ordinary
+        encode = encoding(SparkFiles.get(name)).encode_ordinary
         file, n = f"{root}/{uuid.uuid4().hex}.bin", 0
         system, place = opened(file)
         system.create_dir(place.rpartition("/")[0], recursive=True)
