@@ -1,7 +1,8 @@
 """Documents to a training mix: language ID, line dedup, near-duplicate join, decontamination, mixing.
 
-Each stage reads what its predecessor wrote. A null doc_id is never dropped by a join on ids; rows that repeat a doc_id
-share their fate. No stage can be expressed in SQL as a whole (a trained classifier comes first), so ORACLE_SQL is None.
+Each stage reads what its predecessor wrote. Rows with a null doc_id are judged each on its own by every stage but line
+dedup and the near-duplicate join, which leave them alone; rows that repeat a doc_id share their fate in those two.
+Columns that documents has beyond its own go through; one named lang, domain, n_tokens or copies gives way to the mix. No stage can be expressed in SQL as a whole (a trained classifier comes first), so ORACLE_SQL is None.
 """
 
 from __future__ import annotations
@@ -44,8 +45,7 @@ def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of the mix, with domain, n_tokens and how many copies are to be read."""
-    chosen = mixing.mix(spark, docs, levels(), weights=WEIGHTS).select(F.col("doc_id").alias("_id"), "domain", "n_tokens", "copies")
-    return docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("_id"))).drop("_id")
+    return mixing.mix(spark, docs, levels(), weights=WEIGHTS, keep=docs.columns)
 
 
 STAGES = [("language ID", language), ("line dedup", lines), ("n-gram Jaccard join", near_duplicates), ("benchmark decontamination", benchmark), ("mixing to weights", mixture)]
