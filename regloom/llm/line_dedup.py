@@ -34,7 +34,7 @@ from .text import FOLD, binaries, lines, mapped, mix, slices, texts, word_hashes
 
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
-ALONE, KEYS, EACH, BITS = 7, 10, 3, 22
+ALONE, KEYS, EACH, BITS = 7, 10, 3, 16
 BINS = KEYS * EACH
 NONE, GOLD = ~np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 #: Bit i of a byte as byte i of a word: sums of up to 255 such words count eight bits at once.
@@ -300,16 +300,28 @@ def matcher(similarity: float, most: int = BITS):
         keys = keys[:, :, 0] | (keys[:, :, 1] << 16) | (keys[:, :, 2] << 32)
         strings = [p[HEAD:].decode() for p in payloads]
         label = np.arange(len(payloads))
+
+        def links(me: int, other: int) -> bool:
+            longest = max(len(strings[me]), len(strings[other]))
+            if not within(strings[me], strings[other], int((1 - similarity) * longest + 1e-9)):
+                return False
+            a, b = sorted((int(label[me]), int(label[other])))
+            label[label == b] = a
+            return True
+
         for me in range(1, len(payloads)):
-            near = np.flatnonzero(np.bitwise_count(sims[:me] ^ sims[me]) <= most)
+            apart = np.bitwise_count(sims[:me] ^ sims[me])
+            near = np.flatnonzero(apart <= most)
+            if not len(near):
+                continue
+            likest = int(near[apart[near].argmin()])  # a link to it settles most of a large group at once
+            if (keys[likest] == keys[me]).any() and links(me, likest):
+                yield likest, me
+            near = near[(label[near] != label[me]) & (near != likest)]
             near = near[(keys[near] == keys[me]).any(1)]
             while len(near := near[label[near] != label[me]]):
                 other, near = int(near[-1]), near[:-1]
-                longest = max(len(strings[me]), len(strings[other]))
-                allowed = int((1 - similarity) * longest + 1e-9)
-                if within(strings[me], strings[other], allowed):
-                    a, b = sorted((int(label[me]), int(label[other])))
-                    label[label == b] = a
+                if links(me, other):
                     yield other, me
 
     return match
