@@ -287,42 +287,89 @@ def within(a: str, b: str, most: int) -> bool:
     return script_cost(a, b, most) <= most or edit_distance(a, b, most) <= most
 
 
+def distances(text: str, others: list[str]) -> np.ndarray:
+    """Edit distances of ``text`` to each of ``others``, found together.
+
+    The columns of all others lie side by side in one number, a blank bit above each, so that every step of the
+    bit-parallel method serves all of them. A distance is the last column's sum: len(text) + rises - falls.
+    """
+    sizes = np.array([len(o) for o in others])
+    starts = np.cumsum(sizes + 1) - sizes - 1
+    signs = np.frombuffer(("\0".join(others) + "\0").encode("utf-32-le"), np.uint32)
+    number = lambda bits: int.from_bytes(np.packbits(bits, bitorder="little").tobytes(), "little")
+    held = np.ones(len(signs), bool)
+    held[starts + sizes] = False
+    first = np.zeros(len(signs), bool)
+    first[starts[sizes > 0]] = True
+    peq = {ch: number((signs == ord(ch)) & held) for ch in set(text)}
+    ones, low = number(held), number(first)
+    plus, minus = ones, 0
+    for ch in text:
+        eq = peq[ch]
+        vertical = eq | minus
+        level = ((((eq & plus) + plus) ^ plus) | eq) & ones
+        rise = ((minus | (ones ^ (level | plus))) << 1 | low) & ones
+        fall = ((plus & level) << 1) & ones
+        plus = fall | (ones ^ (vertical | rise))
+        minus = rise & vertical
+    size = (len(signs) + 7) // 8
+    up, down = (np.unpackbits(np.frombuffer(v.to_bytes(size, "little"), np.uint8), bitorder="little", count=len(signs)).astype(np.int64) for v in (plus, minus))
+    return len(text) + np.add.reduceat(up - down, starts)
+
+
 #: Bytes of a payload before the line: SimHash and keys.
 HEAD = 8 + 2 * BINS
+#: Classes of characters that are counted to tell unlike lines apart.
+SIGNS = 32
 
 
 def matcher(similarity: float, most: int = BITS):
-    """Links of (SimHash, keys, line) payloads that meet in a key within ``most`` bits and are like enough, enough to connect all."""
+    """Links of (SimHash, keys, line) payloads that meet in a key within ``most`` bits and are like enough, enough to connect all.
+
+    A line is compared with the likest one before it, then with ever more at a time of those not yet in its group. Lines
+    whose counts of characters differ by more than the edits allowed are unlike without a comparison.
+    """
 
     def match(payloads: list[bytes]) -> Iterator[tuple[int, int]]:
         sims = np.array([int.from_bytes(p[:8], "little") for p in payloads], np.uint64)
         keys = np.frombuffer(b"".join(p[8:HEAD] for p in payloads), "<u2").reshape(-1, KEYS, EACH).astype(np.int64)
         keys = keys[:, :, 0] | (keys[:, :, 1] << 16) | (keys[:, :, 2] << 32)
         strings = [p[HEAD:].decode() for p in payloads]
+        sizes = np.array([len(s) for s in strings])
+        counts = np.stack([np.bincount(np.frombuffer(s.encode("utf-32-le"), np.uint32) % SIGNS, minlength=SIGNS) for s in strings]).astype(np.int32)
         label = np.arange(len(payloads))
 
-        def links(me: int, other: int) -> bool:
-            longest = max(len(strings[me]), len(strings[other]))
-            if not within(strings[me], strings[other], int((1 - similarity) * longest + 1e-9)):
-                return False
+        def link(me: int, other: int) -> tuple[int, int]:
             a, b = sorted((int(label[me]), int(label[other])))
             label[label == b] = a
-            return True
+            return other, me
 
         for me in range(1, len(payloads)):
-            apart = np.bitwise_count(sims[:me] ^ sims[me])
-            near = np.flatnonzero(apart <= most)
-            if not len(near):
-                continue
-            likest = int(near[apart[near].argmin()])  # a link to it settles most of a large group at once
-            if (keys[likest] == keys[me]).any() and links(me, likest):
-                yield likest, me
-            near = near[(label[near] != label[me]) & (near != likest)]
+            near = np.flatnonzero(np.bitwise_count(sims[:me] ^ sims[me]) <= most)
             near = near[(keys[near] == keys[me]).any(1)]
-            while len(near := near[label[near] != label[me]]):
-                other, near = int(near[-1]), near[:-1]
-                if links(me, other):
-                    yield other, me
+            allowed = ((1 - similarity) * np.maximum(sizes[near], sizes[me]) + 1e-9).astype(np.int64)
+            change = counts[near] - counts[me]
+            maybe = np.maximum(np.maximum(change, 0).sum(1), np.maximum(-change, 0).sum(1)) <= allowed
+            near, allowed = near[maybe], allowed[maybe]
+            order = np.argsort(np.bitwise_count(sims[near] ^ sims[me]), kind="stable")
+            near, allowed = near[order], allowed[order]
+            take = 1
+            while len(near):
+                rest = []
+                for other, edits in zip(near[:take].tolist(), allowed[:take].tolist()):
+                    if label[other] != label[me]:
+                        if script_cost(strings[me], strings[other], edits) <= edits:
+                            yield link(me, other)
+                        else:
+                            rest.append((other, edits))
+                rest = [(other, edits) for other, edits in rest if label[other] != label[me]]
+                found = distances(strings[me], [strings[o] for o, _ in rest]) if len(rest) > 2 else [edit_distance(strings[me], strings[o], e) for o, e in rest]
+                for (other, edits), distance in zip(rest, found):
+                    if distance <= edits and label[other] != label[me]:
+                        yield link(me, other)
+                near, allowed, take = near[take:], allowed[take:], min(4 * take, 256)
+                left = label[near] != label[me]
+                near, allowed = near[left], allowed[left]
 
     return match
 
