@@ -57,17 +57,19 @@ def components(spark: SparkSession, links: DataFrame, name: str = "links") -> Da
     """(node, root) of every node of ``links`` (a, b) but the roots, root being its group's least node.
 
     Large-star and small-star rounds (Kiveris et al., 2014), each written to the shared folder. Nulls and loops are
-    ignored; no links give no rows. Each task first thins its links to stars, so that groups within one task need no
-    round, and partial aggregation finds the least neighbour of hubs before any shuffle.
+    ignored; no links give no rows. Rounds end when all links are stars to their least node. Each task first thins its
+    links to stars, so that groups within one task need no round, and partial aggregation finds the least neighbour of
+    hubs before any shuffle.
     """
     edges = thinned(links.where("a <> b"))
     edges = save(spark, edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), name)
 
-    def state(edges: DataFrame) -> tuple:
-        return tuple(edges.agg(F.count("*"), F.sum(F.hash("a", "b").cast("bigint"))).first())
+    def done(edges: DataFrame) -> bool:
+        """Whether every node has one link down, to a node that has none: links are stars, or there are none."""
+        ends = edges.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(1).alias("down"), F.lit(0).alias("up")), F.struct(F.col("b").alias("node"), F.lit(0).alias("down"), F.lit(1).alias("up")))).alias("e")).select("e.*")
+        return ends.groupBy("node").agg(F.sum("down").alias("down"), F.max("up").alias("up")).where("down > 1 or (down = 1 and up = 1)").isEmpty()
 
-    last = state(edges)
-    while True:
+    while not done(edges):
         both = edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
@@ -75,9 +77,6 @@ def components(spark: SparkSession, links: DataFrame, name: str = "links") -> Da
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(low, "a").select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e")).select("e.*")
         new = save(spark, small.where("a <> b").distinct(), name)
-        mark = state(new)
         drop(spark, edges)
         edges = new
-        if mark == last:
-            return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
-        last = mark
+    return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))

@@ -129,6 +129,27 @@ def test_token_counts_through_files(spark):
     assert sorted(got, key=str) == sorted(((r.doc_id, len(encode(r.text or ""))) for r in odd(spark).collect()), key=str)
 
 
+def test_distances_found_together():
+    import random
+
+    from regloom.llm.line_dedup import distances, edit_distance
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(last + (x != y), row[j] + 1, row[j - 1] + 1)
+        return row[-1]
+
+    r = random.Random(7)
+    line = lambda: "".join(r.choice("ab \u00e9\U0001f600") for _ in range(r.choice((0, 1, 7, 8, 31, 70))))
+    for _ in range(40):
+        text, others = line(), [line() for _ in range(r.randint(1, 9))]
+        want = [plain(text, o) for o in others]
+        assert distances(text, others).tolist() == want == [edit_distance(text, o, 1000) for o in others]
+
+
 def test_near_lines_against_brute_force(spark):
     """Recall of links of edit similarity 0.8 and more: a word replaced, signs changed, words put in or taken away."""
     import random
