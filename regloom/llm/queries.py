@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, lang_id, line_dedup, lm_score, mixing, quality_rules, substring_dedup, token_counts, toxicity
+from . import decontaminate, filter_audit, jaccard_join, lang_id, line_dedup, lm_score, mixing, quality_rules, substring_dedup, token_counts, toxicity
 from .frames import remainder
 
 #: Target weights of the mix: whole numbers by path in the tree (domain, lang, source).
@@ -78,6 +78,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.hold_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
+def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 WORDS = r"coalesce(regexp_extract_all(text, '[^\x20\x09-\x0D]+'), [])"
 
 SUBSTRINGS = rf"""
@@ -125,6 +129,25 @@ FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
 
 
+AUDIT = rf"""
+WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, {WORDS} AS w FROM documents),
+f AS (SELECT doc_id, part, (len(w) < 100)::int + 2 * (100 * len(list_distinct(w)) < 80 * len(w))::int
+  + 4 * (100 * (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g'))) > 10 * length(t))::int + 8 * regexp_matches(t, '[#$%&*|]')::int
+  + 16 * coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)::int AS mask FROM d),
+l AS (SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY 1),
+c AS (SELECT part, mask, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f LEFT JOIN l USING (doc_id) GROUP BY ALL),
+k AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS x, unnest([1, 2, 4, 8, 16]) AS bit),
+o AS (SELECT a.x || b.x || c.x || d.x || e.x AS filter_order FROM k a, k b, k c, k d, k e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31 AND a.bit | b.bit | c.bit | d.bit | e.bit = 31),
+s AS (SELECT filter_order, step, k.bit AS own, (SELECT coalesce(sum(e.bit), 0) FROM k e WHERE strpos(filter_order, e.x) < step) AS before
+  FROM o, (SELECT unnest([1, 2, 3, 4, 5]) AS step), k WHERE substr(filter_order, step, 1) = k.x),
+r AS (SELECT part, filter_order, step, own, coalesce(sum(n) FILTER (mask & (own | before::int) = 0), 0)::bigint AS kept,
+  coalesce(sum(n) FILTER (mask & own > 0 AND mask & before::int = 0), 0)::bigint AS removed, coalesce(sum(n) FILTER (mask & own > 0 AND mask & before::int > 0), 0)::bigint AS redundant,
+  coalesce(sum(n) FILTER (mask = own), 0)::bigint AS unique_fails, coalesce(sum(good) FILTER (mask & own > 0 AND mask & before::int = 0), 0)::bigint AS good_lost,
+  coalesce(sum(toxic) FILTER (mask & own > 0 AND mask & before::int = 0), 0)::bigint AS toxic_lost FROM c, s GROUP BY ALL)
+SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::bigint AS shapley FROM r
+"""
+
+
 def mixing_sql(source: str = "documents") -> str:
     """The mix of op4 in SQL: three rounds of water-filling, then epochs and a running sum in hash order."""
     number = "try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS bigint) % 3"
@@ -159,9 +182,9 @@ SELECT doc_id, domain, lang, source, n_tokens, (e + CASE WHEN take THEN 1 ELSE 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_mixing, op5_language_id, op6_jaccard_join, op7_lm_score, op8_line_dedup, op9_decontaminate, op10_toxicity)
+    found = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_mixing, op5_language_id, op6_jaccard_join, op7_lm_score, op8_line_dedup, op9_decontaminate, op10_toxicity, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op4_mixing": mixing_sql(), "op9_decontaminate": LEAKS}
+    return {"op2_substring_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op4_mixing": mixing_sql(), "op9_decontaminate": LEAKS, "op13_filter_audit": AUDIT}
