@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, jaccard_join, lang_id, line_dedup, lm_score, mixing, quality_rules, substring_dedup, token_counts, toxicity
+from . import decontaminate, filter_audit, jaccard_join, lang_id, line_dedup, lm_score, merkle, mixing, quality_rules, substring_dedup, token_counts, toxicity
 from .frames import remainder
 
 #: Target weights of the mix: whole numbers by path in the tree (domain, lang, source).
@@ -78,6 +78,14 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.hold_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fields = ["doc_id", "source", "lang", "n_chars", "text"]
+    cut = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields]
+    leaf = merkle.leaf_of(*(F.col(c) for c in fields))
+    claimed = F.when(remainder("doc_id", 2) == 0, merkle.leaf_of(*cut)).otherwise(leaf)
+    return merkle.manifest(spark, table(spark, sf_dir, "documents"), leaf, claimed=claimed).select("doc_id", *merkle.ADDED)
+
+
 def op13_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -148,6 +156,42 @@ SELECT * EXCLUDE (own), sum(removed) OVER (PARTITION BY part, own)::bigint AS sh
 """
 
 
+def _enc(column: str) -> str:
+    return f"coalesce(strlen({column}::varchar) || ':' || {column}::varchar, '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_enc(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+MANIFEST = rf"""
+WITH RECURSIVE p(n) AS (SELECT unnest(range(0, 256))),
+t AS (SELECT n, n AS c FROM p), t1 AS (SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t),
+{", ".join(f"t{i} AS (SELECT n, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END AS c FROM t{i - 1})" for i in range(2, 9))},
+crc(doc_id, rest, c) AS (SELECT DISTINCT doc_id, doc_id::varchar, 4294967295::bigint FROM documents WHERE doc_id IS NOT NULL
+  UNION ALL SELECT doc_id, substr(rest, 2), xor(crc.c // 256, t8.c) FROM crc JOIN t8 ON t8.n = xor(crc.c % 256, ascii(rest)) WHERE rest <> ''),
+d AS (SELECT doc_id, source, leaf, CASE WHEN xor(c, 4294967295) % 2 = 0 THEN cut ELSE leaf END AS claimed, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g
+  FROM (SELECT doc_id, source, {_leaf("text")} AS leaf, {_leaf("replace(text, chr(10), '')")} AS cut FROM documents) LEFT JOIN (SELECT doc_id, c FROM crc WHERE rest = '') USING (doc_id)),
+row_ AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM d),
+node(g, lvl, i, w, x) AS (SELECT g, 0, pos, count(*) OVER (PARTITION BY g), leaf FROM row_
+  UNION ALL SELECT g, lvl + 1, i // 3, (w + 2) // 3, sha256(string_agg(x, '' ORDER BY i)) FROM node WHERE w > 1 GROUP BY g, lvl, i // 3, w),
+high(lvl, i, w, x) AS (SELECT 0, g, count(*) OVER (), x FROM node WHERE w = 1
+  UNION ALL SELECT lvl + 1, i // 3, (w + 2) // 3, sha256(string_agg(x, '' ORDER BY i)) FROM high WHERE w > 1 GROUP BY lvl, i // 3, w),
+root AS (SELECT x AS root FROM high WHERE w = 1),
+side AS (SELECT a.g, a.lvl, a.i, coalesce(string_agg(b.x, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.x, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM node a JOIN node b ON a.g = b.g AND a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.w > 1 GROUP BY ALL),
+wide AS (SELECT a.lvl, a.i, coalesce(string_agg(b.x, '' ORDER BY b.i) FILTER (b.i < a.i), '') AS l, coalesce(string_agg(b.x, '' ORDER BY b.i) FILTER (b.i > a.i), '') AS r
+  FROM high a JOIN high b ON a.lvl = b.lvl AND a.i // 3 = b.i // 3 WHERE a.w > 1 GROUP BY ALL),
+step AS (SELECT g, pos, lvl AS k, l, r FROM row_ JOIN side USING (g) WHERE side.i = pos // (3 ** lvl)::bigint
+  UNION ALL SELECT g, pos, 1000 + lvl, l, r FROM row_ JOIN wide ON wide.i = g // (3 ** lvl)::bigint),
+place AS (SELECT *, row_number() OVER (PARTITION BY g, pos ORDER BY k) AS nth FROM step),
+proof AS (SELECT g, pos, sha256(string_agg(l || r, '' ORDER BY k)) AS proof_sha256, count(*) AS steps FROM step GROUP BY ALL),
+fold(g, pos, nth, x) AS (SELECT g, pos, 0::bigint, claimed FROM row_ UNION ALL SELECT g, pos, fold.nth + 1, sha256(l || x || r) FROM fold JOIN place p USING (g, pos) WHERE p.nth = fold.nth + 1)
+SELECT doc_id, leaf, s.x AS subroot, root, coalesce(proof_sha256, sha256('')) AS proof_sha256, fold.x AS folded_root, fold.x = root AS verified
+FROM row_ CROSS JOIN root JOIN (SELECT g, x FROM node WHERE w = 1) s USING (g) LEFT JOIN proof USING (g, pos) JOIN fold USING (g, pos) WHERE fold.nth = coalesce(steps, 0)
+"""
+
+
 def mixing_sql(source: str = "documents") -> str:
     """The mix of op4 in SQL: three rounds of water-filling, then epochs and a running sum in hash order."""
     number = "try_cast(nullif(regexp_extract(source, '([0-9]+)$', 1), '') AS bigint) % 3"
@@ -182,9 +226,9 @@ SELECT doc_id, domain, lang, source, n_tokens, (e + CASE WHEN take THEN 1 ELSE 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_mixing, op5_language_id, op6_jaccard_join, op7_lm_score, op8_line_dedup, op9_decontaminate, op10_toxicity, op13_filter_audit)
+    found = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_mixing, op5_language_id, op6_jaccard_join, op7_lm_score, op8_line_dedup, op9_decontaminate, op10_toxicity, op12_merkle_manifest, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_substring_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op4_mixing": mixing_sql(), "op9_decontaminate": LEAKS, "op13_filter_audit": AUDIT}
+    return {"op2_substring_dedup": SUBSTRINGS, "op3_quality_rules": QUALITY, "op4_mixing": mixing_sql(), "op9_decontaminate": LEAKS, "op12_merkle_manifest": MANIFEST, "op13_filter_audit": AUDIT}
