@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, filter_audit, jaccard_join, lang_id, line_dedup, lm_score, merkle, mixing, quality_rules, substring_dedup, token_counts, toxicity
+from . import decontaminate, filter_audit, jaccard_join, lang_id, line_dedup, lm_score, merkle, mixing, quality_rules, resharding, substring_dedup, token_counts, toxicity
 from .frames import remainder
+from .store import folder
 
 #: Target weights of the mix: whole numbers by path in the tree (domain, lang, source).
 WEIGHTS = {("web",): 5, ("books",): 3, ("news",): 2, ("web", "en"): 3, ("books", "en"): 2}
@@ -78,6 +80,16 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", lang_id.hold_out("doc_id").alias("held_out"), "score", "predicted", "evidence")
 
 
+def op11_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 16 shards by a hash of the source, of which one holds a third of all rows, to 24 of equal bytes."""
+    docs = table(spark, sf_dir, "documents")
+    old, path = F.pmod(F.crc32(F.coalesce("source", F.lit(""))), F.lit(16)), f"{folder(spark)}/regloom/shards-{uuid.uuid4().hex}"
+    resharding.reshard(spark, docs.withColumn("old_shard", old.cast("int")), F.col("old_shard"), [1] * 24, path)
+    out = resharding.read(spark, path, docs.withColumn("old_shard", old.cast("int")).schema)
+    crc = F.coalesce(F.crc32("text"), F.lit(0)).alias("text_crc32")
+    return out.select("doc_id", resharding.row_size().alias("size"), crc, F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), "old_shard")
+
+
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     fields = ["doc_id", "source", "lang", "n_chars", "text"]
     cut = [F.replace("text", F.lit("\n"), F.lit("")) if c == "text" else F.col(c) for c in fields]
@@ -226,7 +238,7 @@ SELECT doc_id, domain, lang, source, n_tokens, (e + CASE WHEN take THEN 1 ELSE 0
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_mixing, op5_language_id, op6_jaccard_join, op7_lm_score, op8_line_dedup, op9_decontaminate, op10_toxicity, op12_merkle_manifest, op13_filter_audit)
+    found = (op1_token_counts, op2_substring_dedup, op3_quality_rules, op4_mixing, op5_language_id, op6_jaccard_join, op7_lm_score, op8_line_dedup, op9_decontaminate, op10_toxicity, op11_resharding, op12_merkle_manifest, op13_filter_audit)
     return {f.__name__: f for f in found}
 
 
