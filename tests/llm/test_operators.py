@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 
 SF = "/root/testdata/sf0.001"
-SQL = ["op2_substring_dedup", "op3_quality_rules", "op4_mixing", "op9_decontaminate"]
+SQL = ["op2_substring_dedup", "op3_quality_rules", "op4_mixing", "op9_decontaminate", "op12_merkle_manifest", "op13_filter_audit"]
 
 
 @pytest.mark.parametrize("name", SQL)
