@@ -162,6 +162,11 @@ _PREDICTED = """p AS (SELECT id, regs AS truth, list_transform(regs, lambda v, i
 q AS (SELECT id, truth, CASE WHEN id % 5 = 0 THEN changed[1:6] ELSE changed END AS model FROM p),
 pairs AS (SELECT id, CAST(i - 1 AS BIGINT) AS idx, CAST(truth[i] AS BIGINT) AS truth, CAST(model[i] AS BIGINT) AS model, i > len(model) OR truth[i] <> model[i] AS diverges FROM (SELECT *, unnest(range(1, 9)) AS i FROM q))"""
 
+_BUNDLES = """b AS (SELECT id, CASE id % 13 WHEN 0 THEN 'not JSON' WHEN 1 THEN 'schema' WHEN 2 THEN 'groundTruth.trace.halted' WHEN 3 THEN 'not an object' WHEN 7 THEN 'prediction' WHEN 8 THEN 'source' WHEN 9 THEN 'values' END AS problem,
+  CASE id % 13 WHEN 4 THEN 'unparsed' WHEN 5 THEN 'mismatch' WHEN 6 THEN 'skipped' ELSE 'match' END AS parity, output[1] + (id % 13 = 5)::INT AS stored, output[1] + (id % 3 = 0)::INT AS told FROM ended),
+c AS (SELECT id, problem, CASE WHEN problem IS NULL THEN parity END AS parity, CASE WHEN problem IS NULL THEN CASE WHEN stored = told THEN -1 ELSE 0 END::BIGINT END AS place,
+  CASE WHEN problem IS NULL THEN CASE WHEN stored = told THEN 1.0 ELSE 0.0 END::DOUBLE END AS score FROM b)"""
+
 _JUMP_TEXT = "'L' || pc || ':' || CASE WHEN op = 'LOAD' THEN 'LOAD R' || a || ' ' || lit WHEN op IN ('HALT', 'NOP') THEN op WHEN op = 'JMP' THEN 'JMP L' || t WHEN op = 'JZ' THEN 'JZ R' || a || ' L' || t WHEN op IN ('PUSH', 'POP', 'PRINT') THEN op || ' R' || a WHEN op IN ('MOV', 'NEG') THEN op || ' R' || a || ' R' || b ELSE op || ' R' || a || ' R' || b || ' R' || c END"
 
 
@@ -218,6 +223,8 @@ SELECT here.id, string_agg({_TEXT}, '' ORDER BY code.pc) || '? ' AS input_text,
         "first_divergence": machine(f", {_PREDICTED} SELECT id, coalesce(min(idx) FILTER (diverges), -1) AS place, CASE WHEN bool_or(diverges) THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM pairs GROUP BY id"),
         "changed_register": machine(f", b AS (SELECT id, t, regs, {_BEFORE} AS before FROM steps) SELECT id, t, CAST(list_position(list_transform(range(1, 9), lambda r: regs[r] <> before[r]), true) - 1 AS BIGINT) AS register FROM b"),
         "stack_views": machine(f"SELECT id, t, coalesce({joined('list_reverse(stack)')}, '') AS top_down, CAST(len(stack) AS BIGINT) AS depth, len(stack)::DOUBLE / {isa.DEPTH} AS fill FROM steps", True),
+        "bundle_parity": machine(f", {_BUNDLES} SELECT * FROM c"),
+        "bundle_summary": machine(f", {_BUNDLES} SELECT problem, parity, count(*) AS n, sum(coalesce(score, 0))::DOUBLE AS right FROM c GROUP BY ALL"),
         "replay_mismatches": "SELECT l_orderkey AS id FROM lineitem WHERE false",
         "asm_parse_errors": "SELECT DISTINCT l_orderkey AS id, CAST(e.line AS BIGINT) AS line, e.message AS message FROM lineitem, (VALUES (2, 'unknown operation: FROB'), (3, 'not a register: R9')) e(line, message) WHERE l_orderkey % 7 = 0",
         "asm_lines": machine("SELECT id, t, pc, pc + 1 AS line FROM steps WHERE id % 7 <> 0", True),

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import isa, tokens
 from ..operators import asm, check, compare, exact, expand, generate, search, stats, vm
-from ..sources import datasets, programs, specs
+from ..sources import bundles, datasets, programs, specs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -476,6 +476,37 @@ def replay_mismatches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compare.mismatches(again, {"stored": "trace"}).select("id")
 
 
+def damaged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, value) bundles of all orders, predictions wrong for every third; by id modulo 13 nine kinds of damage."""
+    ran = _rendered(spark, sf_dir)
+    wrong = (F.col("id") % 3 == 0).cast("int")
+    predictions = ran.select("id", F.posexplode("trace.output").alias("idx", "value")).select("id", "idx", (F.col("value") + wrong).alias("value"))
+    kind = F.col("id") % 13
+    output = F.transform("trace.output", lambda v: F.when(kind == 5, v + 1).otherwise(v))
+    stored = ran.withColumn("trace", F.struct(F.col("trace.steps").alias("steps"), output.alias("output"), (F.col("trace.halted") & (kind != 6)).alias("halted")))
+    made = bundles.assemble(stored, predictions, ["id"], F.struct(F.lit("orders").alias("generator"), F.col("id").alias("seed"), F.struct(F.size("program").alias("n")).alias("spec")))
+    whole = bundles.text(F.col("bundle"))
+    value = (
+        F.when(kind == 0, F.substring(whole, F.lit(1), F.length(whole) - 3)).when(kind == 1, F.replace(whole, F.lit(bundles.TAG), F.lit("other/v0"))).when(kind == 2, F.replace(whole, F.lit('"halted" : true'), F.lit('"halted" : "true"')))
+        .when(kind == 3, F.concat(F.lit("["), whole, F.lit("]"))).when(kind == 4, F.replace(whole, F.lit('"source" : "'), F.lit('"source" : "FROB R1\\n'))).when(kind == 7, F.replace(whole, F.lit('"prediction"'), F.lit('"predicted"')))
+        .when(kind == 8, F.regexp_replace(whole, r'"source" : "[^"]*"', '"source" : 5')).when(kind == 9, F.regexp_replace(whole, r'"regs" : \[[^\]]*\]', '"regs" : ["x"]')).otherwise(whole)
+    )
+    return made.select("id", value.alias("value"))
+
+
+@query
+def bundle_parity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each bundle's problem or, if it is sound, its parity with a rerun of its text and the first difference of its prediction."""
+    told = bundles.judged(bundles.checked(damaged(spark, sf_dir)))
+    return plain(told.select("id", "problem", "parity", "place", "score"))
+
+
+@query
+def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = bundles.judged(bundles.checked(damaged(spark, sf_dir)))
+    return plain(told.groupBy("problem", "parity").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("right")))
+
+
 # Assembly ------------------------------------------------------------------------------------------------------------
 
 
