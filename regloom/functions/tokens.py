@@ -101,6 +101,45 @@ def render_probe(program: Column, trace: Column, t: Column) -> Column:
     return _prompt(F.concat(encode(F.slice(program, 1, step["pc"] + 1)), _ids("?")), F.concat(registers(step["regs"]), _ids("NEWLINE")))
 
 
+def templates_of(given: dict[str, list[tuple[str, list[int]]]]) -> Column:
+    """Templates by symbol as a map column, from (operation, arguments) lines; ``expand.check_templates`` tells bad ones."""
+    lines = lambda rows: F.array(*(isa.instruction(op, args) for op, args in rows)).cast(isa.PROGRAM) if rows else F.array().cast(isa.PROGRAM)
+    return F.create_map(*(x for symbol, rows in given.items() for x in (F.lit(symbol), lines(rows))))
+
+
+def decomposed(program: Column, templates: Column, bindings: dict[str, str] = isa.BINDINGS) -> Column:
+    """Ids of a program in which every userop is followed by DECOMP and the lines of its template, with the call's registers.
+
+    A userop without a template makes the row fail.
+    """
+    others, symbols = other_labels(program), isa.literal_map(bindings)
+    regs = isa.literal_map({o.name: o.registers for o in isa.OPS.values()})
+
+    def told(x: Column) -> Column:
+        found = F.try_element_at(templates, F.try_element_at(symbols, x["op"]))
+        found = F.when(found.isNull(), F.raise_error(F.concat(F.lit("no template for "), x["op"])).cast(isa.PROGRAM)).otherwise(found)
+
+        def filled(t: Column) -> Column:
+            args = F.transform(t["args"], lambda a, k: F.when(k < F.try_element_at(regs, t["op"]), F.get(x["args"], a)).otherwise(a))
+            return line(F.struct(t["op"].alias("op"), args.alias("args"), F.lit(None).cast("string").alias("label"), t["target"].alias("target")), others, bindings)
+
+        called = F.try_element_at(symbols, x["op"]).isNotNull()
+        return F.concat(line(x, others, bindings), F.when(called, F.concat(_ids("DECOMP"), F.flatten(F.transform(found, filled)))).otherwise(F.array().cast(_INTS)))
+
+    return F.flatten(F.transform(program, told))
+
+
+def render_userops(demos: Column, target: Column, templates: Column | None = None, bindings: dict[str, str] = isa.BINDINGS) -> Column:
+    """input: each demonstration's program and output, then the target's program; target: its output.
+
+    ``demos``: an array of structs (program with userops, output of its expansion); ``target``: one such struct.
+    ``templates``: a map of symbol to lines; with it, demonstrations show what each userop stands for, the target never does.
+    """
+    shown = lambda p: encode(p, bindings) if templates is None else decomposed(p, templates, bindings)
+    told = F.flatten(F.transform(demos, lambda d: F.concat(shown(d["program"]), _values(d["output"]))))
+    return _prompt(F.concat(told, encode(target["program"], bindings)), _values(target["output"]))
+
+
 def probe_targets(trace: Column) -> Column:
     """Registers after each step."""
     return F.transform(trace["steps"], lambda s: s["regs"])

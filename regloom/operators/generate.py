@@ -1,7 +1,8 @@
 """Programs from seeds, in the JVM (counter mode): each draw is a slice of a SHA-256 of the seed and a counter.
 
 No draw depends on an earlier one, so that programs are Column expressions: no Python worker, no state. Other engines
-give the same programs from the same formula. ``exact`` has the mode that follows Python's Mersenne Twister instead.
+give the same programs from the same formula. ``exact`` draws from Python's
+Mersenne Twister instead and builds its programs from the same pieces.
 """
 
 from __future__ import annotations
@@ -88,7 +89,7 @@ def register_trace(df: DataFrame, seed: str = "seed", n: str = "n", k: str = "k"
     wrote = F.filter(F.transform("_body", lambda x: F.get(x["args"], F.lit(0))), lambda r: ~F.array_contains(quiet, r))
     pool = F.when(F.size(wrote) > 0, wrote).otherwise(F.array_except("_active", quiet))
     target = _pick(pool, F.get(words(_key(s, "print")), F.lit(0))) if random_print else F.when(F.size(wrote) > 0, F.element_at(pool, -1)).otherwise(F.get(pool, F.lit(0)))
-    tail = F.array(isa.instruction("PRINT", [target]), isa.instruction("HALT"))
+    tail = ending(target)
     return out.withColumn("program", F.concat(F.col("_body").cast(_PROGRAM), tail.cast(_PROGRAM))).drop("_active", "_body")
 
 
@@ -101,6 +102,40 @@ def _program(*parts: Column) -> Column:
     return F.concat(*(p.cast(_PROGRAM) for p in parts))
 
 
+def branch(test: Column, c: Column, x: Column, y: Column, then: Column, other: Column | None, other_at: Column, end_at: Column) -> Column:
+    """A test into ``c``; if it gives 0 control goes to ``other`` (null or None: to the end), else ``then`` runs. MOV tests ``y`` alone."""
+    head = F.when(test == "MOV", F.array(isa.instruction("MOV", [c, y]))).otherwise(F.array(isa.instruction(test, [c, x, y])))
+    end = F.array(isa.instruction("NOP", label=end_at))
+    plain = _program(head, F.array(isa.instruction("JZ", [c], target=end_at)), then, end)
+    if other is None:
+        return plain
+    both = _program(head, F.array(isa.instruction("JZ", [c], target=other_at)), then, F.array(isa.instruction("JMP", target=end_at)), _labelled(other, other_at), end)
+    return F.when(other.isNull(), plain).otherwise(both)
+
+
+def loop(kind: Column, c: Column, one: Column, turns: Column, body: Column, top: Column, done: Column, limit: Column | None = None, diff: Column | None = None) -> Column:
+    """A loop of ``turns`` rounds: after (counts down, tested at the end), before (tested at the top) or up (counts up to ``limit``)."""
+    load, back, end = F.array(isa.instruction("LOAD", [c, turns])), F.array(isa.instruction("JMP", target=top)), F.array(isa.instruction("NOP", label=done))
+    down, leave = F.array(isa.instruction("SUB", [c, c, one])), lambda label=None: F.array(isa.instruction("JZ", [c], label, done))
+    after = _program(load, _labelled(body, top), down, leave(), back, end)
+    before = _program(load, leave(top), body, down, back, end)
+    made = F.when(kind == "before", before)
+    if limit is not None:
+        start = F.array(isa.instruction("LOAD", [c, F.lit(0)]), isa.instruction("LOAD", [limit, turns]))
+        count = F.array(isa.instruction("ADD", [c, c, one]), isa.instruction("SUB", [diff, limit, c]), isa.instruction("JZ", [diff], target=done))
+        made = made.when(kind == "up", _program(start, _labelled(body, top), count, back, end))
+    return made.otherwise(after)
+
+
+def frame(save: Column, back: Column, body: Column) -> Column:
+    """A value kept on the stack around ``body``."""
+    return _program(F.array(isa.instruction("PUSH", [save])), body, F.array(isa.instruction("POP", [back])))
+
+
+def ending(shown: Column) -> Column:
+    return F.array(isa.instruction("PRINT", [shown]), isa.instruction("HALT"))
+
+
 def branched(df: DataFrame, seed: str = "seed") -> DataFrame:
     """Adds ``program`` from n, k, b, l, use_stack, stack_frames: b branches, loops that run l times in all, stack frames.
 
@@ -124,43 +159,34 @@ def branched(df: DataFrame, seed: str = "seed") -> DataFrame:
     active, free, one, each = F.col("_active"), F.col("_free"), F.col("_one"), F.col("_each")
     name = lambda kind, i, end: F.concat(F.lit("L"), (i * 2 + {"b": 0, "l": 1000}[kind] + end).cast("string"))
 
-    def branch(i: Column) -> Column:
+    def branch_at(i: Column) -> Column:
         def made(d: Column) -> Column:
             a, b, c = _pick(active, F.get(d, F.lit(0))), _pick(active, F.get(d, F.lit(1))), _pick(free, F.get(d, F.lit(2)))
             roll = F.get(d, F.lit(3)) % 5
             test = F.when(roll == 0, _pick(F.array(*(F.lit(x) for x in ("ADD", "SUB", "MUL"))), F.get(d, F.lit(4)))).otherwise(_pick(F.array(F.lit("LT"), F.lit("EQ")), F.get(d, F.lit(4))))
             then, other = fill(s, F.concat(F.lit("then|"), i.cast("string")), each, active, free), fill(s, F.concat(F.lit("else|"), i.cast("string")), each, active, free)
-            head = F.array(isa.instruction(test, [c, a, b]))
-            end = F.array(isa.instruction("NOP", label=name("b", i, 1)))
-            plain = _program(head, F.array(isa.instruction("JZ", [c], target=name("b", i, 1))), then, end)
-            both = _program(head, F.array(isa.instruction("JZ", [c], target=name("b", i, 0))), then, F.array(isa.instruction("JMP", target=name("b", i, 1))), _labelled(other, name("b", i, 0)), end)
-            return F.when(roll < 3, plain).otherwise(both)
+            return branch(test, c, a, b, then, F.when(roll >= 3, other), name("b", i, 0), name("b", i, 1))
 
         return F.get(F.transform(F.array(words(_key(s, "branch", i))), made), F.lit(0))
 
-    def loop(i: Column) -> Column:
+    def loop_at(i: Column) -> Column:
         c, turns = F.get(F.col("_counters"), i), F.get(F.col("_cuts"), i + 1) - F.get(F.col("_cuts"), i)
         body = fill(s, F.concat(F.lit("loop|"), i.cast("string")), each, active, free)
-        top, done = name("l", i, 0), name("l", i, 1)
-        down, back, end = F.array(isa.instruction("SUB", [c, c, one])), F.array(isa.instruction("JMP", target=top)), F.array(isa.instruction("NOP", label=done))
-        load = F.array(isa.instruction("LOAD", [c, turns]))
-        leave = lambda label=None: F.array(isa.instruction("JZ", [c], label, done))
-        after = _program(load, _labelled(body, top), down, leave(), back, end)
-        before = _program(load, leave(top), body, down, back, end)
-        return F.when(F.get(words(_key(s, "loop", i)), F.lit(0)) % 2 == 0, after).otherwise(before)
-
-    def frame(i: Column) -> Column:
+        kind = F.when(F.get(words(_key(s, "loop", i)), F.lit(0)) % 2 == 0, "after").otherwise("before")
+        return loop(kind, c, one, turns, body, name("l", i, 0), name("l", i, 1))
+
+    def frame_at(i: Column) -> Column:
         d = words(_key(s, "frame", i))
         body = fill(s, F.concat(F.lit("frame|"), i.cast("string")), F.greatest(F.lit(2), F.expr("_each div 2")).cast("int"), active, free)
-        return _program(F.array(isa.instruction("PUSH", [_pick(active, F.get(d, F.lit(0)))])), body, F.array(isa.instruction("POP", [_pick(free, F.get(d, F.lit(1)))])))
+        return frame(_pick(active, F.get(d, F.lit(0))), _pick(free, F.get(d, F.lit(1))), body)
 
     def repeated(n: Column, make) -> Column:
         return F.when(n > 0, F.flatten(F.transform(F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0))), make))).otherwise(F.array().cast(_PROGRAM))
 
     start = F.array(isa.instruction("LOAD", [one, 1]), isa.instruction("LOAD", [F.col("_shown"), _literal(F.get(words(_key(s, "print")), F.lit(1)))]))
     frames = F.when(F.col("use_stack"), F.col("stack_frames")).otherwise(0)
-    tail = F.array(isa.instruction("PRINT", [F.col("_shown")]), isa.instruction("HALT"))
-    parts = [start, fill(s, "start", F.greatest(size, F.lit(4)), active, free), repeated(F.col("b"), branch), repeated(F.col("_loops"), loop), repeated(frames, frame), tail]
+    tail = ending(F.col("_shown"))
+    parts = [start, fill(s, "start", F.greatest(size, F.lit(4)), active, free), repeated(F.col("b"), branch_at), repeated(F.col("_loops"), loop_at), repeated(frames, frame_at), tail]
     return out.withColumn("program", _program(*parts)).drop("_active", "_one", "_loops", "_counters", "_free", "_each", "_cuts", "_shown")
 
 

@@ -140,6 +140,29 @@ x AS (
   UNION ALL SELECT id, pc, 0, 'LOAD', [a, -1] FROM m WHERE symbol = 'ABS' UNION ALL SELECT id, pc, 1, 'MUL', [a, a, b] FROM m WHERE symbol = 'ABS')"""
 _X_TEXT = "CASE op WHEN 'LOAD' THEN 'LOAD R' || args[1] || ' ' || args[2] WHEN 'HALT' THEN 'HALT' ELSE op || ' ' || array_to_string(list_transform(args, lambda v: 'R' || v), ' ') END || chr(10)"
 
+_CALL_TEXT = f"CASE op WHEN 'MOV' THEN 'DOUBLE R' || a || ' R' || b || ' ' || chr(10) WHEN 'NEG' THEN 'ABS R' || a || ' R' || b || ' ' || chr(10) WHEN 'EQ' THEN 'MAX R' || a || ' R' || b || ' R' || c || ' ' || chr(10) ELSE {_TEXT} END"
+
+
+def userops(shown: bool) -> str:
+    """Prompts of customers: programs with calls, run as expanded ones; ``shown``: with the calls' templates."""
+    calls = {n: isa.ID[n] for n in isa.BASE} | {"MOV": isa.ID["DOUBLE"], "EQ": isa.ID["MAX"], "NEG": isa.ID["ABS"]}
+    part = "list_concat(own.ids, CASE WHEN dec.ids IS NULL THEN [] ELSE list_concat([%d], dec.ids) END)" % isa.ID["DECOMP"] if shown else "own.ids"
+    text = "own.x || coalesce('DECOMP ' || dec.x, '')" if shown else "own.x"
+    plain_code = code().replace("code AS (", "calls AS (")
+    return f"""WITH RECURSIVE {plain_code}, {_EXPANDED.replace("FROM code", "FROM calls")},
+y AS (SELECT id, pc, k, op, args[1] AS a, args[2] AS b, args[3] AS c, args[2] AS lit FROM x),
+code AS (SELECT id, CAST(row_number() OVER (PARTITION BY id ORDER BY pc, k) - 1 AS INT) AS pc, op, a, b, c, lit, 0 AS t FROM y),
+{VM},
+own AS (SELECT id, pc, {line_ids(calls)} AS ids, {_CALL_TEXT} AS x FROM calls),
+dec AS (SELECT y.id, y.pc, flatten(list({line_ids({n: isa.ID[n] for n in isa.BASE})} ORDER BY k)) AS ids, string_agg({_TEXT}, '' ORDER BY k) AS x FROM y SEMI JOIN (SELECT id, pc FROM m WHERE symbol IS NOT NULL) USING (id, pc) GROUP BY y.id, y.pc),
+prog AS (SELECT own.id, flatten(list(own.ids ORDER BY own.pc)) AS bare, flatten(list({part} ORDER BY own.pc)) AS ids, string_agg(own.x, '' ORDER BY own.pc) AS bare_x, string_agg({text}, '' ORDER BY own.pc) AS x FROM own LEFT JOIN dec USING (id, pc) GROUP BY own.id),
+told AS (SELECT o_custkey AS customer, prog.*, list_concat({number('output[1]')}, [{isa.ID['NEWLINE']}]) AS out, output[1] || chr(10) AS out_x, row_number() OVER (PARTITION BY o_custkey ORDER BY prog.id DESC) AS r
+  FROM prog JOIN ended USING (id) JOIN orders ON o_orderkey = prog.id)
+SELECT customer AS id, count(*) - 1 AS demos, '{isa.ID['BOS']},' || array_to_string(flatten(list(CASE WHEN r = 1 THEN bare ELSE list_concat(ids, out) END ORDER BY told.id)), ',') || ',{isa.ID['EOS']}' AS input_ids,
+  '{isa.ID['BOS']},' || array_to_string(any_value(out) FILTER (r = 1), ',') || ',{isa.ID['EOS']}' AS target_ids, string_agg(CASE WHEN r = 1 THEN bare_x ELSE x || out_x END, '' ORDER BY told.id) AS input_text, any_value(out_x) FILTER (r = 1) AS target_text
+FROM told GROUP BY customer"""
+
+
 SPLIT = "'part_' || (id % 3)"
 
 _INDEX = {"p25": "n // 4", "p50": "n // 2", "p75": "(3 * n) // 4", "p95": "least(n - 1, CAST(floor(CAST(0.95 AS DOUBLE) * n) AS BIGINT))", "p99": "least(n - 1, CAST(floor(CAST(0.99 AS DOUBLE) * n) AS BIGINT))"}
@@ -200,6 +223,8 @@ SELECT here.id, string_agg({_TEXT}, '' ORDER BY code.pc) || '? ' AS input_text,
         "macro_expand": f"WITH {code()}, {_EXPANDED} SELECT id, string_agg({_X_TEXT}, '' ORDER BY pc, k) AS text FROM x GROUP BY id",
         "macro_expand_rows": f"WITH {code()}, {_EXPANDED} SELECT id, CAST(pc AS BIGINT) AS pc, CAST(k AS BIGINT) AS k, op, coalesce({joined('args')}, '') AS args FROM x",
         "userop_render": f"WITH {code()}, lines AS (SELECT id, pc, {line_ids({n: isa.ID[n] for n in isa.BASE} | {'MOV': isa.ID['DOUBLE'], 'EQ': isa.ID['MAX'], 'NEG': isa.ID['ABS']})} AS ids FROM code), {_PROGRAMS} SELECT id, {joined('ids')} AS ids FROM programs",
+        "userop_prompts": userops(False),
+        "userop_prompts_decomposed": userops(True),
         "op_freq": f"WITH {code()} SELECT op, count(*) AS n FROM code GROUP BY op",
         "op_freq_totals": f"WITH {code()} SELECT split, op, count(*) AS n, CAST(grouping(split) AS BIGINT) AS is_total FROM (SELECT {SPLIT} AS split, op FROM code) GROUP BY GROUPING SETS ((split, op), (op))",
         "op_share": f"WITH {code()} SELECT bin, n, 100.0::DOUBLE * n / sum(n) OVER () AS percent FROM (SELECT CAST(CASE op {' '.join(f"WHEN '{n}' THEN {isa.OPS[n].code}" for n in isa.BASE)} END AS BIGINT) AS bin, count(*) AS n FROM code GROUP BY 1)",
@@ -223,6 +248,9 @@ SELECT here.id, string_agg({_TEXT}, '' ORDER BY code.pc) || '? ' AS input_text,
         "first_divergence": machine(f", {_PREDICTED} SELECT id, coalesce(min(idx) FILTER (diverges), -1) AS place, CASE WHEN bool_or(diverges) THEN 0.0 ELSE 1.0 END::DOUBLE AS score FROM pairs GROUP BY id"),
         "changed_register": machine(f", b AS (SELECT id, t, regs, {_BEFORE} AS before FROM steps) SELECT id, t, CAST(list_position(list_transform(range(1, 9), lambda r: regs[r] <> before[r]), true) - 1 AS BIGINT) AS register FROM b"),
         "stack_views": machine(f"SELECT id, t, coalesce({joined('list_reverse(stack)')}, '') AS top_down, CAST(len(stack) AS BIGINT) AS depth, len(stack)::DOUBLE / {isa.DEPTH} AS fill FROM steps", True),
+        "file_digests": """WITH f AS (SELECT substr(o_orderpriority, 1, 1) AS bucket, (o_orderkey // 10000)::BIGINT AS chunk, count(*) AS rows,
+  string_agg(o_orderkey || ',' || o_custkey || ',' || o_orderpriority || chr(10), '' ORDER BY o_orderkey) AS x FROM orders GROUP BY 1, 2)
+SELECT bucket, chunk, strlen(x)::BIGINT AS bytes, sha256(x) AS sha256, rows FROM f""",
         "bundle_parity": machine(f", {_BUNDLES} SELECT * FROM c"),
         "bundle_summary": machine(f", {_BUNDLES} SELECT problem, parity, count(*) AS n, sum(coalesce(score, 0))::DOUBLE AS right FROM c GROUP BY ALL"),
         "replay_mismatches": "SELECT l_orderkey AS id FROM lineitem WHERE false",

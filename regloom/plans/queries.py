@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import isa, tokens
 from ..operators import asm, check, compare, exact, expand, generate, search, stats, vm
-from ..sources import bundles, datasets, programs, specs
+from ..sources import bundles, datasets, digest, programs, scratch, specs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -303,6 +303,30 @@ def userop_render(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(_calls(spark, sf_dir).select("id", tokens.encode(F.col("program")).alias("ids")))
 
 
+def _userop_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, demos, target) for each customer: programs with calls of its orders, the last one is to be solved."""
+    calls = _calls(spark, sf_dir)
+    ran = vm.run(calls.withColumns({"calls": F.col("program"), "program": expand.expand(F.col("program"), TEMPLATES)}), steps=False)
+    case = F.struct("id", F.col("calls").alias("program"), F.col("trace.output").alias("output"))
+    owner = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.col("o_custkey").alias("customer"))
+    held = ran.join(owner, "id").groupBy(F.col("customer").alias("id")).agg(F.array_sort(F.collect_list(case)).alias("_all"))
+    return held.select("id", F.slice("_all", F.lit(1), F.size("_all") - 1).alias("demos"), F.element_at("_all", -1).alias("target"))
+
+
+def _userops(name: str, templates: dict | None) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        prompt = tokens.with_text(tokens.render_userops(F.col("demos"), F.col("target"), None if templates is None else tokens.templates_of(templates)))
+        made = isa.once(_userop_cases(spark, sf_dir), "p", prompt)
+        return plain(made.select("id", F.size("demos").alias("demos"), "p.input_ids", "p.target_ids", "p.input_text", "p.target_text"))
+
+    run.__name__ = name
+    return run
+
+
+query(_userops("userop_prompts", None))
+query(_userops("userop_prompts_decomposed", TEMPLATES))
+
+
 # Statistics ----------------------------------------------------------------------------------------------------------
 
 
@@ -540,6 +564,18 @@ def asm_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Files ---------------------------------------------------------------------------------------------------------------
 
 
+@query
+def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SHA-256, bytes and rows of files: orders as text in order of their keys, a file for each priority and 10,000 keys."""
+    orders, path = table(spark, sf_dir, "orders"), scratch.fresh(spark, "order-files")
+    line = F.concat_ws(",", F.col("o_orderkey").cast("string"), F.col("o_custkey").cast("string"), F.col("o_orderpriority"))
+    keyed = orders.select(F.substring("o_orderpriority", 1, 1).alias("bucket"), F.expr("o_orderkey div 10000").alias("chunk"), "o_orderkey", line.alias("value"))
+    ordered = keyed.repartition("bucket", "chunk").sortWithinPartitions("bucket", "chunk", "o_orderkey").select("bucket", "chunk", "value")
+    ordered.write.partitionBy("bucket", "chunk").text(path)
+    place = lambda n: F.regexp_extract("path", f"/{n}=([^/]+)/", 1)
+    return plain(digest.digests(spark, path, "*.txt").select(place("bucket").alias("bucket"), place("chunk").cast("bigint").alias("chunk"), "bytes", "sha256", "rows"))
+
+
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that do not come back from their JSON; none is right."""

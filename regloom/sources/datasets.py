@@ -16,10 +16,11 @@ from pyspark.sql import functions as F
 
 from ..functions import isa, tokens
 from ..operators import exact, generate, vm
-from . import specs
+from . import digest, specs
 from .specs import RECIPES, Recipe
 
 VERSION = "0.1.0"
+FILES = "*.{json,jsonl,parquet,txt}"
 PROMPT = "STRUCT<input_ids:ARRAY<INT>,target_ids:ARRAY<INT>,input_text:STRING,target_text:STRING>"
 _AXES = {"tier0": "n:INT", "tier1": "n:INT,k:INT", "tier2": "n:INT,k:INT,b:INT,l:INT,use_stack:BOOLEAN,stack_frames:INT"}
 
@@ -78,13 +79,6 @@ def _get(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def digests(spark: SparkSession, path: str, pattern: str = "*.{json,jsonl,parquet,txt}") -> DataFrame:
-    """(path, sha256, rows) of the files under a folder. A file is hashed by one task; parts keep that small."""
-    found = spark.read.format("binaryFile").option("pathGlobFilter", pattern).option("recursiveFileLookup", "true").load(path)
-    rows_ = F.length("content") - F.length(F.expr("replace(cast(content AS string), '\\n', '')").cast("binary"))
-    return found.select("path", F.sha2("content", 256).alias("sha256"), rows_.cast("bigint").alias("rows"))
-
-
 def emit(spark: SparkSession, recipe: Recipe, out_dir: str, seed_base: int = 0, mode: str = "exact", single: bool = False, per_part: int = 5000, commit: str = "unknown") -> str:
     """Write a dataset under out_dir/tier and return the path of its manifest.
 
@@ -103,7 +97,7 @@ def emit(spark: SparkSession, recipe: Recipe, out_dir: str, seed_base: int = 0,
             continue
         lines.write.text(f"{base}/{name}")
         root = f"{base}/{name}".rstrip("/")
-        for r in digests(spark, root).orderBy("path").toLocalIterator():  # a row for each part file
+        for r in digest.digests(spark, root, FILES).orderBy("path").toLocalIterator():  # a row for each part file
             files[f"{name}/{r.path.rpartition('/')[2]}"] = {"rows": r.rows, "sha256": r.sha256}
     told = {"tier": recipe.tier, "seed_base": seed_base, "version": VERSION, "commit": commit, "generated_at": datetime.now(timezone.utc).isoformat().replace("+00:00", "Z"), "files": files}
     _put(spark, f"{base}/manifest.json", json.dumps(told, indent=2))
@@ -135,7 +129,7 @@ def verify(spark: SparkSession, dataset: str) -> DataFrame:
     listed = spark.createDataFrame([(f, e["sha256"], int(e["rows"])) for f, e in told["files"].items()], "file string, want string, want_rows bigint")
     fs, where = _fs(spark, root)
     prefix = fs.makeQualified(where).toUri().getPath().rstrip("/") + "/"
-    found = digests(spark, root, "*.{jsonl,json,parquet,txt}").withColumn("file", F.substring_index("path", prefix, -1)).where("file <> 'manifest.json'")
+    found = digest.digests(spark, root, FILES).withColumn("file", F.substring_index("path", prefix, -1)).where("file <> 'manifest.json'")
     problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("want").isNull(), "not in the manifest").when(F.col("sha256") != F.col("want"), "digest differs").when(F.col("rows") != F.col("want_rows"), "row count differs")
     return listed.join(found, "file", "full_outer").select(F.col("file").alias("path"), problem.alias("problem")).where("problem IS NOT NULL")
 

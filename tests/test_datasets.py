@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from regloom.functions import tokens
 from regloom.operators import asm, check, exact, vm
 from regloom.sources import datasets, specs
 
@@ -24,10 +25,10 @@ def test_exact_programs(spark):
     """Two documented rows: seed and axes give a program of a known length and output."""
     rows = [(1, "3896364871974659895", 14, 2, 16, [1]), (2, "16891817541285102663", 8, 4, 10, [94])]
     for _, seed, n, k, length, output in rows:
-        lines = exact.register_trace(exact.random.Random(int(seed)), n, k)
-        df = spark.createDataFrame([(exact._structs([lines])[0],)], f"program {exact.isa.PROGRAM}")
+        drawn = exact.register_trace(exact.Draws(int(seed)), n, k)
+        df = spark.createDataFrame([(drawn,)], f"d {exact.KINDS['tier1']}").select(exact.built_trace(F.col("d")).alias("program"))
         r = check.validate(vm.run(df)).first()
-        assert len(lines) == length and list(r.trace.output) == output and r.valid
+        assert len(r.program) == length and list(r.trace.output) == output and r.valid
 
 
 @pytest.mark.parametrize("tier", ["tier0", "tier1", "tier2"])
@@ -75,6 +76,44 @@ def test_userop_programs(spark):
     assert len(r.programs) == 3 and all(any(x.op == "USEROP_0" for x in p) for p in r.programs)
 
 
+def test_structures_of_drawn_programs(spark):
+    """Lines and labels of each kind of branch, loop and frame, from given draws."""
+    one = [{"op": "ADD", "args": [4, 4, 4]}]
+    d = {"one": 1, "shown": 4, "value": -7, "limit": 5, "diff": 6, "start": one}
+    d["branches"] = [{"test": "LT", "c": 2, "x": 3, "y": 4, "then": one, "other": None, "at": 0}, {"test": "MOV", "c": 2, "x": 3, "y": 4, "then": one, "other": one, "at": 1}]
+    d["loops"] = [{"kind": k, "c": 7, "turns": 2, "body": one, "at": 3 + 2 * i} for i, k in enumerate(("after", "before", "up"))]
+    d["frames"] = [{"save": 2, "back": 3, "body": one}]
+    text = spark.createDataFrame([(d,)], f"d {exact.BRANCHED}").select(asm.render(exact.built_branched(F.col("d")))).first()[0]
+    assert text.splitlines() == [
+        "LOAD R1 1", "LOAD R4 -7", "ADD R4 R4 R4",
+        "LT R2 R3 R4", "JZ R2 L0", "ADD R4 R4 R4", "L0:NOP",
+        "MOV R2 R4", "JZ R2 L1", "ADD R4 R4 R4", "JMP L2", "L1:ADD R4 R4 R4", "L2:NOP",
+        "LOAD R7 2", "L3:ADD R4 R4 R4", "SUB R7 R7 R1", "JZ R7 L4", "JMP L3", "L4:NOP",
+        "LOAD R7 2", "L5:JZ R7 L6", "ADD R4 R4 R4", "SUB R7 R7 R1", "JMP L5", "L6:NOP",
+        "LOAD R7 0", "LOAD R5 2", "L7:ADD R4 R4 R4", "ADD R7 R7 R1", "SUB R6 R5 R7", "JZ R6 L8", "JMP L7", "L8:NOP",
+        "PUSH R2", "ADD R4 R4 R4", "POP R3", "PRINT R4", "HALT",
+    ]
+
+
+def test_userop_prompts(spark):
+    case = "STRUCT<program:%s,output:ARRAY<INT>>" % tokens.isa.PROGRAM
+    call = [("LOAD", [0, -3], None, None), ("USEROP_0", [1, 0], "L2", None), ("USEROP_3", [1, 0, 2], None, None)]
+    rows = [(1, [(call, [5, -6])], (call, [7])), (2, [], (call[:1], []))]
+    df = spark.createDataFrame(rows, f"id int, demos ARRAY<{case}>, target {case}")
+    templates = {"DOUBLE": [("ADD", [0, 1, 1])], "MOD": [("LOAD", [0, -1]), ("MUL", [0, 0, 2])]}
+    lines = "LOAD R0-3\nL2:DOUBLE R1 R0 \nMOD R1 R0 R2 \n"
+    shown = "LOAD R0-3\nL2:DOUBLE R1 R0 \nDECOMP ADD R1 R0 R0 \nMOD R1 R0 R2 \nDECOMP LOAD R1-1\nMUL R1 R1 R2 \n"
+    for given, demo in ((None, lines), (templates, shown)):
+        p = tokens.with_text(tokens.render_userops(F.col("demos"), F.col("target"), None if given is None else tokens.templates_of(given)))
+        got = {r.id: r.p for r in df.select("id", p.alias("p")).collect()}
+        assert (got[1].input_text, got[1].target_text) == (demo + "5\n-6\n" + lines, "7\n") and (got[2].input_text, got[2].target_text) == ("LOAD R0-3\n", "")
+    bound = {**tokens.isa.BINDINGS, "USEROP_0": "SIGN"}
+    p = tokens.with_text(tokens.render_userops(F.col("demos"), F.col("target"), tokens.templates_of({"SIGN": templates["DOUBLE"], "MOD": templates["MOD"]}), bound))
+    assert df.where("id = 1").select(p["input_text"]).first()[0] == shown.replace("DOUBLE", "SIGN") + "5\n-6\n" + lines.replace("DOUBLE", "SIGN")
+    with pytest.raises(Exception, match="no template"):
+        df.select(tokens.render_userops(F.col("demos"), F.col("target"), tokens.templates_of({"DOUBLE": templates["DOUBLE"]}))).collect()
+
+
 NAMES = ["alu_div", "vm_forward_jumps", "render_cot_modified", "length_summary", "gen_register_trace", "best_example", "walk_program", "divergence_join", "stack_balance", "asm_parse_errors"]
 
 
