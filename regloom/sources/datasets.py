@@ -1,15 +1,15 @@
 """Datasets on disk: JSON lines or Parquet with a manifest of digests, written last.
 
 Rows are made, run and rendered in parallel, without a shuffle: each partition is an index range and becomes one part
-file, in order. The manifest has rows and SHA-256 of every part, computed by the executors. ``single`` writes one file
-for each split instead, as older readers want it; its digest is one pass over an ordered stream and does not scale.
+file, in order. The manifest has rows and SHA-256 of every part, computed by the executors in one job over all files.
+``single`` writes one file for each split instead, as older readers want it; that is one ordered stream and does not scale.
 """
 
 from __future__ import annotations
 
-import hashlib
 import json
 from datetime import datetime, timezone
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -79,7 +79,23 @@ def _get(spark: SparkSession, path: str) -> str:
         stream.close()
 
 
-def emit(spark: SparkSession, recipe: Recipe, out_dir: str, seed_base: int = 0, mode: str = "exact", single: bool = False, per_part: int = 5000, commit: str = "unknown") -> str:
+def revision() -> str:
+    """The commit of the library's own checkout, "unknown" outside one."""
+    git = Path(__file__).resolve().parents[2] / ".git"
+    try:
+        head = (git / "HEAD").read_text().strip()
+        if not head.startswith("ref: "):
+            return head
+        name = head.removeprefix("ref: ")
+        if (git / name).exists():
+            return (git / name).read_text().strip()
+        packed = [line.split() for line in (git / "packed-refs").read_text().splitlines() if line.endswith(f" {name}")]
+        return packed[0][0]
+    except (OSError, IndexError):
+        return "unknown"
+
+
+def emit(spark: SparkSession, recipe: Recipe, out_dir: str, seed_base: int = 0, mode: str = "exact", single: bool = False, per_part: int = 5000, commit: str | None = None) -> str:
     """Write a dataset under out_dir/tier and return the path of its manifest.
 
     An old manifest goes first and the new one comes last, so that a manifest always means a whole dataset.
@@ -87,34 +103,38 @@ def emit(spark: SparkSession, recipe: Recipe, out_dir: str, seed_base: int = 0,
     base = f"{out_dir.rstrip('/')}/{recipe.tier}"
     fs, manifest = _fs(spark, f"{base}/manifest.json")
     fs.delete(manifest, False)
-    files: dict[str, dict] = {}
+    names = []
     for split, bucket, _, _ in specs.files(recipe):
-        name = "train.jsonl" if bucket is None else f"eval/{bucket}.jsonl"
+        names.append("train.jsonl" if bucket is None else f"eval/{bucket}.jsonl")
         lines = to_json(rows(spark, recipe, split, bucket, seed_base, mode, per_part))
-        fs.delete(_fs(spark, f"{base}/{name}")[1], True)
+        fs.delete(_fs(spark, f"{base}/{names[-1]}")[1], True)
         if single:
-            files[name] = _stream(spark, lines, f"{base}/{name}")
-            continue
-        lines.write.text(f"{base}/{name}")
-        root = f"{base}/{name}".rstrip("/")
-        for r in digest.digests(spark, root, FILES).orderBy("path").toLocalIterator():  # a row for each part file
-            files[f"{name}/{r.path.rpartition('/')[2]}"] = {"rows": r.rows, "sha256": r.sha256}
-    told = {"tier": recipe.tier, "seed_base": seed_base, "version": VERSION, "commit": commit, "generated_at": datetime.now(timezone.utc).isoformat().replace("+00:00", "Z"), "files": files}
+            _stream(spark, lines, f"{base}/{names[-1]}")
+        else:
+            lines.write.text(f"{base}/{names[-1]}")
+    files = {}
+    for r in _files(spark, base).orderBy("file").toLocalIterator():  # a row for each part file
+        if any(r.file == n or r.file.startswith(f"{n}/") for n in names):
+            files[r.file] = {"rows": r.rows, "sha256": r.sha256}
+    told = {"tier": recipe.tier, "seed_base": seed_base, "version": VERSION, "commit": commit or revision(), "generated_at": datetime.now(timezone.utc).isoformat().replace("+00:00", "Z"), "files": files}
     _put(spark, f"{base}/manifest.json", json.dumps(told, indent=2))
     return f"{base}/manifest.json"
 
 
-def _stream(spark: SparkSession, lines: DataFrame, path: str) -> dict:
+def _stream(spark: SparkSession, lines: DataFrame, path: str) -> None:
     """One file from an ordered stream of lines, partition by partition."""
     fs, where = _fs(spark, path)
-    out, sha, n = fs.create(where, True), hashlib.sha256(), 0
+    out = fs.create(where, True)
     for row in lines.toLocalIterator():
-        data = (row.value + "\n").encode()
-        out.write(bytearray(data))
-        sha.update(data)
-        n += 1
+        out.write(bytearray((row.value + "\n").encode()))
     out.close()
-    return {"rows": n, "sha256": sha.hexdigest()}
+
+
+def _files(spark: SparkSession, dataset: str) -> DataFrame:
+    """Digests of a dataset's files with ``file``, the place under its folder."""
+    fs, where = _fs(spark, dataset)
+    prefix = fs.makeQualified(where).toUri().getPath().rstrip("/") + "/"
+    return digest.digests(spark, dataset, FILES).withColumn("file", F.substring_index("path", prefix, -1))
 
 
 def load_manifest(spark: SparkSession, dataset: str) -> dict:
@@ -127,9 +147,7 @@ def verify(spark: SparkSession, dataset: str) -> DataFrame:
     told = load_manifest(spark, dataset)
     root = dataset.rstrip("/")
     listed = spark.createDataFrame([(f, e["sha256"], int(e["rows"])) for f, e in told["files"].items()], "file string, want string, want_rows bigint")
-    fs, where = _fs(spark, root)
-    prefix = fs.makeQualified(where).toUri().getPath().rstrip("/") + "/"
-    found = digest.digests(spark, root, FILES).withColumn("file", F.substring_index("path", prefix, -1)).where("file <> 'manifest.json'")
+    found = _files(spark, root).where("file <> 'manifest.json'")
     problem = F.when(F.col("sha256").isNull(), "missing").when(F.col("want").isNull(), "not in the manifest").when(F.col("sha256") != F.col("want"), "digest differs").when(F.col("rows") != F.col("want_rows"), "row count differs")
     return listed.join(found, "file", "full_outer").select(F.col("file").alias("path"), problem.alias("problem")).where("problem IS NOT NULL")
 
