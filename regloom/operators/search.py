@@ -27,34 +27,44 @@ def score(sig: Column) -> Column:
     return F.struct(*(sig[n].cast("int").alias(n) for n in ("output_nonzero", "last_regs_nonzero", "clamping_seen", "n_opcodes")))
 
 
-def best(df: DataFrame, idx: str, least_ops: int = 5, scan: int | None = None, where: Column | None = None, by: list[str] = ()) -> DataFrame:
-    """The row of highest score, the earliest of equals, in each group: an argmax with map-side combine, not a sort.
+def _rank(sig: Column, idx: str) -> Column:
+    return F.struct(score(sig).alias("score"), (-F.col(idx)).alias("earliest"))
 
+
+def best(df: DataFrame, idx: str, least_ops: int = 5, scan: int | None = None, where: Column | None = None, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """(by, idx, signature, keep) of the row of highest score, the earliest of equals, in each group.
+
+    One pass: an argmax with map-side combine over the few columns that come out, no sort and no second look at the rows.
     ``scan``: only rows with ``idx`` below it are looked at. No row qualifies: no row comes out.
     """
     held = df.where(F.col(idx) < scan) if scan is not None else df
     held = held.where(where) if where is not None else held
-    sig = signature(F.col("program"), F.col("trace"))
-    held = held.withColumn("signature", sig).where(F.col("signature.n_opcodes") >= least_ops)
-    rank = F.struct(score(F.col("signature")).alias("score"), (-F.col(idx)).alias("earliest"))
-    top = held.select(*by, F.struct("signature").alias("_s"), rank.alias("rank")).groupBy(*by).agg(F.max("rank").alias("rank")).where("rank IS NOT NULL")
-    return _chosen(held, top.select(*(F.col(c).alias(f"_{c}") for c in by), (-F.col("rank.earliest")).alias("_at")), idx, by)
+    held = isa.once(held, "signature", signature(F.col("program"), F.col("trace"))).where(F.col("signature.n_opcodes") >= least_ops)
+    return _argmax(held, _rank(F.col("signature"), idx), [idx, "signature", *keep], by)
+
 
+def _argmax(df: DataFrame, rank: Column, columns: list[str], by: list[str]) -> DataFrame:
+    """``columns`` of the row of greatest rank in each group."""
+    columns = list(dict.fromkeys(columns))
+    top = df.select(*by, F.struct(*columns).alias("_row"), rank.alias("_rank")).groupBy(*by).agg(F.max_by("_row", "_rank").alias("_row"))
+    return top.where("_row IS NOT NULL").select(*by, *(F.col(f"_row.{c}").alias(c) for c in columns if c not in by))
 
-def _chosen(df: DataFrame, top: DataFrame, idx: str, by: list[str]) -> DataFrame:
-    """The rows of ``df`` named by ``top`` (_at and the groups with an underscore): whole rows are neither sorted nor shuffled."""
-    same = F.col(idx) == F.col("_at")
-    for c in by:
-        same = same & F.col(c).eqNullSafe(F.col(f"_{c}"))
-    return df.join(top, same, "left_semi").select(*by, *(c for c in df.columns if c not in by))
+
+def pick(df: DataFrame, idx: str, where: Column, least_ops: int = 5, scan: int | None = None, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """(by, idx, signature, keep, fallback): of each group the best row that meets ``where`` and has ``least_ops``
+    operations; if there is none, its first row, with ``fallback`` true. Both come from the same pass."""
+    held = df.where(F.col(idx) < scan) if scan is not None else df
+    held = isa.once(held, "signature", signature(F.col("program"), F.col("trace")))
+    fits = F.coalesce(where, F.lit(False)) & (F.col("signature.n_opcodes") >= least_ops)
+    held = held.withColumn("fallback", ~fits)
+    rank = F.struct((~F.col("fallback")).alias("fits"), F.when(~F.col("fallback"), score(F.col("signature"))).alias("score"), (-F.col(idx)).alias("earliest"))
+    return _argmax(held, rank, [idx, "signature", *keep, "fallback"], by)
 
 
-def first(df: DataFrame, idx: str, match: Column, scan: int | None = None, by: list[str] = ()) -> DataFrame:
-    """The matching row of least ``idx`` in each group."""
+def first(df: DataFrame, idx: str, match: Column, scan: int | None = None, by: list[str] = (), keep: list[str] = ()) -> DataFrame:
+    """(by, idx, keep) of the matching row of least ``idx`` in each group, in one pass."""
     held = df.where(F.col(idx) < scan) if scan is not None else df
-    held = held.where(match)
-    top = held.groupBy(*by).agg(F.min(idx).alias("_at")).where("_at IS NOT NULL")
-    return _chosen(held, top.select(*(F.col(c).alias(f"_{c}") for c in by), "_at"), idx, by)
+    return _argmax(held.where(match), -F.col(idx), [idx, *keep], by)
 
 
 def clamps(program: Column, trace: Column) -> Column:

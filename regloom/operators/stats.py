@@ -118,3 +118,31 @@ def rebalance(df: DataFrame, most: int, trace: str = "trace", width: int = 100,
     bin_ = F.floor(F.get(F.col(f"{trace}.output"), F.lit(0)) / width)
     rank = F.row_number().over(W.partitionBy("_bin").orderBy(F.xxhash64(*order), *order))
     return df.withColumn("_bin", bin_).withColumn("_rank", rank).where(F.col("_rank") <= most).drop("_bin", "_rank")
+
+
+def sketches(df: DataFrame, value: str, by: list[str], k: int = 400, lg: int = 14) -> DataFrame:
+    """(by, n, quantiles, distinct): mergeable sketches of a whole-number column for each group, nulls left out.
+
+    ``quantiles``: a KLL sketch, of rank error about 1.33 / k ** 0.9 either way; ``distinct``: a HyperLogLog sketch of
+    relative error about 1.04 / 2 ** (lg / 2). Their size does not grow with the rows.
+    """
+    held = df.where(F.col(value).isNotNull()).withColumn("_v", F.col(value).cast("bigint"))
+    return held.groupBy(*by).agg(F.count("*").alias("n"), F.expr(f"kll_sketch_agg_bigint(_v, {k})").alias("quantiles"), F.hll_sketch_agg("_v", lg).alias("distinct"))
+
+
+def merged(kept: DataFrame, by: list[str] = (), k: int = 400) -> DataFrame:
+    """Sketches of several groups put together, without another look at the values."""
+    return kept.groupBy(*by).agg(F.sum("n").alias("n"), F.expr(f"kll_merge_agg_bigint(quantiles, {k})").alias("quantiles"), F.hll_union_agg("distinct").alias("distinct"))
+
+
+def told(kept: DataFrame, by: list[str] = (), ranks: tuple[float, ...] = (0.25, 0.5, 0.75, 0.95, 0.99)) -> DataFrame:
+    """(by, n, distinct, and a column for each rank: p25 and so on) that the sketches stand for."""
+    found = [F.expr(f"kll_sketch_get_quantile_bigint(quantiles, {r}D)").alias(f"p{round(100 * r)}") for r in ranks]
+    return kept.select(*by, "n", F.hll_sketch_estimate("distinct").alias("distinct"), *found)
+
+
+def frequency_document(df: DataFrame, by: list[str], program: str = "program") -> DataFrame:
+    """(by, op_freq): counts of operations as one JSON object for each group, the commonest first, equals by name."""
+    ranked = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("less"), "op")))
+    counts = op_frequency(df, by, program).groupBy(*by).agg(ranked.alias("_r"))
+    return counts.select(*by, F.to_json(F.map_from_entries(F.transform("_r", lambda x: F.struct(x["op"].alias("key"), (-x["less"]).alias("value"))))).alias("op_freq"))

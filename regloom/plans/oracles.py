@@ -238,6 +238,17 @@ SELECT here.id, string_agg({_TEXT}, '' ORDER BY code.pc) || '? ' AS input_text,
         "rebalanced": machine("SELECT bin, least(n, 20) AS n, 100.0::DOUBLE * least(n, 20) / sum(least(n, 20)) OVER () AS percent FROM (SELECT CAST(floor(output[1] / 100) AS BIGINT) AS bin, count(*) AS n FROM ended GROUP BY 1)"),
         "best_example": machine(f", {_SIGNED} SELECT split, id, n_opcodes, clamping_seen, output_nonzero FROM sig WHERE n_opcodes >= 4 QUALIFY row_number() OVER (PARTITION BY split ORDER BY output_nonzero DESC, last DESC, clamping_seen DESC, n_opcodes DESC, id) = 1"),
         "first_clamp": machine(f", {_SIGNED} SELECT split, id, {joined('output')} AS output FROM sig WHERE clamping_seen AND output_nonzero QUALIFY row_number() OVER (PARTITION BY split ORDER BY id) = 1"),
+        "pick_with_fallback": machine(f""", {_SIGNED}, f AS (SELECT id % 997 AS part, id, n_opcodes, n_opcodes >= 5 AND n + 2 BETWEEN 6 AND 9 AS fits, output_nonzero, last, clamping_seen FROM sig JOIN size USING (id))
+SELECT part, id, n_opcodes, NOT fits AS fallback FROM f QUALIFY row_number() OVER (PARTITION BY part ORDER BY fits DESC, fits AND output_nonzero DESC, fits AND last DESC, fits AND clamping_seen DESC, CASE WHEN fits THEN n_opcodes END DESC, id) = 1"""),
+        "op_freq_documents": f"WITH {code()}, c AS (SELECT {SPLIT} AS split, op, count(*) AS n FROM code GROUP BY 1, 2) SELECT split, '{{' || string_agg('\"' || op || '\":' || n, ',' ORDER BY n DESC, op) || '}}' AS op_freq FROM c GROUP BY split",
+        "sketched_totals": "SELECT measure, n, d AS distinct, true AS ok FROM (SELECT count(*) AS n, count(DISTINCT CAST(round(o_totalprice * 100) AS BIGINT)) AS d FROM orders), (SELECT unnest(['p25', 'p50', 'p75', 'p95', 'p99']) AS measure)",
+        "file_order": "SELECT row_number() OVER () - 1 AS idx, l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_partkey FROM lineitem",
+        "first_in_files": "SELECT row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, o_orderkey, o_custkey FROM orders QUALIFY idx < 2000",
+        "packed_copy": "WITH l AS (SELECT l_orderkey AS id, count(*) + 1 AS n FROM lineitem GROUP BY 1) SELECT (o_custkey % 40)::VARCHAR AS bucket, count(*) AS n, sum(l.n)::BIGINT AS lines FROM l JOIN orders ON o_orderkey = id WHERE id % 5 = 0 AND o_custkey % 40 IN (SELECT c_custkey FROM customer WHERE c_custkey < 40 AND c_mktsegment = 'BUILDING') GROUP BY 1",
+        "sql_lines": f"""WITH {code()}, w AS (SELECT id, op, CASE op WHEN 'LOAD' THEN [a, lit] WHEN 'PRINT' THEN [a] WHEN 'HALT' THEN [] ELSE [a, b] END AS args FROM code), v AS (SELECT id, op, args[1] * 300 - 900 AS a, args[2] - 3 AS b FROM w),
+k AS (SELECT id, count(DISTINCT op) AS k FROM code GROUP BY id)
+SELECT op, count(*) AS n, count(DISTINCT id) AS programs, sum(coalesce(CASE op WHEN 'LOAD' THEN {clamped('a')} WHEN 'MOV' THEN a WHEN 'ADD' THEN {clamped('a + b')} WHEN 'SUB' THEN {clamped('a - b')} WHEN 'MUL' THEN {clamped('a * b')}
+  WHEN 'DIV' THEN CASE WHEN b = 0 THEN 0 ELSE {clamped('sign(a) * sign(b) * (abs(a) // abs(b))')} END WHEN 'NEG' THEN {clamped('-a')} WHEN 'EQ' THEN (a = b)::INT WHEN 'LT' THEN (a < b)::INT END, 0))::BIGINT AS total, max(k) AS most FROM v JOIN k USING (id) GROUP BY op""",
         "zero_divisions": machine(f", b AS (SELECT s.id, s.pc, op, c, before FROM (SELECT *, {_BEFORE} AS before FROM steps) s JOIN code ON s.id = code.id AND s.pc = code.pc) SELECT id, string_agg(pc::VARCHAR, ',' ORDER BY pc) AS places FROM b WHERE op = 'DIV' AND before[c + 1] = 0 GROUP BY id"),
         "walk_program": machine(f"SELECT code.id, CAST(code.pc AS BIGINT) AS idx, op, CASE WHEN regs IS NOT NULL THEN {joined('regs')} END AS regs_after, CAST(emitted AS BIGINT) AS emitted FROM code LEFT JOIN steps ON code.id = steps.id AND code.pc = steps.pc", True),
         "print_write_check": f"WITH {code()}, m AS (SELECT id, pc, op, a, bit_or(CASE WHEN op IN {tuple(isa.FILL)} THEN 1 << a ELSE 0 END) OVER (PARTITION BY id ORDER BY pc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM code) SELECT id, CAST(pc AS BIGINT) AS pc, CAST(a AS BIGINT) AS a, (coalesce(seen, 0) & (1 << a)) <> 0 AS ok FROM m WHERE op = 'PRINT'",

@@ -12,9 +12,9 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import isa, tokens
+from ..functions import isa, sql, tokens
 from ..operators import asm, check, compare, exact, expand, generate, search, stats, vm
-from ..sources import bundles, datasets, digest, programs, scratch, specs
+from ..sources import bundles, datasets, digest, programs, scan, scratch, specs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -397,6 +397,27 @@ def rebalanced(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(stats.output_bins(stats.rebalance(ran, 20)))
 
 
+@query
+def op_freq_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.frequency_document(straight(spark, sf_dir).withColumn("split", split()), ["split"])
+
+
+@query
+def sketched_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order prices in cents: totals merged from sketches of each priority, held against exact ranks and counts.
+
+    ``ok``: the rank of each quantile lies within 1.5 % of the one asked for, and the distinct count within 4 %.
+    """
+    cents = table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("split"), F.round(F.col("o_totalprice") * 100).cast("bigint").alias("cents"))
+    told = stats.told(stats.merged(stats.sketches(cents, "cents", ["split"]))).first()  # one row
+    ranks = {"p25": 0.25, "p50": 0.5, "p75": 0.75, "p95": 0.95, "p99": 0.99}
+    below = [F.sum((F.col("cents") <= told[q]).cast("bigint")).alias(q) for q in ranks]
+    exact_ = cents.agg(F.count("cents").alias("n"), F.countDistinct("cents").alias("distinct"), *below)
+    near = lambda q, r: (F.abs(F.col(q) / F.col("n") - r) <= 0.015) & (F.abs(F.lit(told.distinct) / F.col("distinct") - 1) <= 0.04)
+    each = F.explode(F.array(*(F.struct(F.lit(q).alias("measure"), near(q, r).alias("ok")) for q, r in ranks.items())))
+    return plain(exact_.select("n", "distinct", each.alias("e")).select("e.measure", "n", "distinct", "e.ok"))
+
+
 # Search --------------------------------------------------------------------------------------------------------------
 
 
@@ -408,8 +429,16 @@ def best_example(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def first_clamp(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = search.first(_rendered(spark, sf_dir).withColumn("split", split()), "id", search.clamps(F.col("program"), F.col("trace")), by=["split"])
-    return plain(found.select("split", "id", "trace.output"))
+    ran = _rendered(spark, sf_dir).withColumns({"split": split(), "output": F.col("trace.output")})
+    return plain(search.first(ran, "id", search.clamps(F.col("program"), F.col("trace")), by=["split"], keep=["output"]))
+
+
+@query
+def pick_with_fallback(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each of 997 groups the best program of 6 to 9 lines and 5 operations, or else the group's first program."""
+    ran = _rendered(spark, sf_dir).withColumn("part", F.col("id") % 997)
+    found = search.pick(ran, "id", F.size("program").between(6, 9), least_ops=5, by=["part"])
+    return plain(found.select("part", "id", "signature.n_opcodes", "fallback"))
 
 
 @query
@@ -576,6 +605,42 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(digest.digests(spark, path, "*.txt").select(place("bucket").alias("bucket"), place("chunk").cast("bigint").alias("chunk"), "bytes", "sha256", "rows"))
 
 
+@query
+def file_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines with their number in the order of files and rows."""
+    return plain(scan.numbered(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey")))
+
+
+@query
+def first_in_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 2,000 rows over several files of JSON lines, in the order of their names."""
+    path, schema = scratch.fresh(spark, "order-lines"), "o_orderkey bigint, o_custkey bigint"
+    table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey").repartitionByRange(8, "o_orderkey").sortWithinPartitions("o_orderkey").write.json(path)
+    files = spark.read.schema(schema).json(path).inputFiles()
+    return plain(scan.first_rows(lambda some: spark.read.schema(schema).json(some), files, 2000))
+
+
+@query
+def packed_copy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs written by split and bucket, and those of the buckets of building customers read again: a join that prunes."""
+    path, code = scratch.fresh(spark, "packed"), jumping(spark, sf_dir)
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), (F.col("o_custkey") % 40).cast("string").alias("bucket"))
+    datasets.pack(code.join(orders, "id").withColumn("split", F.when(F.col("id") % 5 == 0, "eval").otherwise("train")), path)
+    chosen = table(spark, sf_dir, "customer").where("c_custkey < 40 and c_mktsegment = 'BUILDING'").select((F.col("c_custkey") % 40).cast("string").alias("bucket"))
+    found = datasets.packed(spark, path, "eval").withColumn("bucket", F.col("bucket").cast("string")).join(chosen, "bucket")
+    return plain(found.groupBy("bucket").agg(F.count("*").alias("n"), F.sum(F.size("program")).alias("lines")))
+
+
+@query
+def sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Written in SQL alone, over views and the registered functions: what each operation's lines would give on fixed operands."""
+    sql.register(spark)
+    straight(spark, sf_dir).createOrReplaceTempView("regloom_programs")
+    return plain(spark.sql("""
+        SELECT l.op, count(*) AS n, count(DISTINCT p.id) AS programs, sum(coalesce(vm_alu(l.op, get(l.args, 0) * 300 - 900, get(l.args, 1) - 3), 0)) AS total, max(vm_op_count(p.program)) AS most
+        FROM regloom_programs p, LATERAL vm_lines(p.program) l GROUP BY l.op"""))
+
+
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that do not come back from their JSON; none is right."""

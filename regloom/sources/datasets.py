@@ -180,5 +180,19 @@ def all_splits(spark: SparkSession, dataset: str, tier: str = "tier1") -> DataFr
 
 
 def to_parquet(spark: SparkSession, dataset: str, out: str, tier: str = "tier1") -> None:
-    """The columnar copy, a folder for each split, so that readers prune by split."""
-    all_splits(spark, dataset, tier).write.mode("overwrite").partitionBy("split").parquet(out)
+    """The columnar copy: a folder for each split and bucket (train: none), so that readers prune by both."""
+    rows_ = all_splits(spark, dataset, tier)
+    pack(rows_.withColumn("bucket", F.regexp_extract("split", "^eval_(.*)$", 1)).withColumn("split", F.when(F.col("bucket") != "", "eval").otherwise("train")), out)
+
+
+def pack(rows_: DataFrame, out: str, mode: str = "overwrite", per_file: int = 1_000_000) -> None:
+    """Rows with columns split and bucket as Parquet by folders. A folder's rows go to as many tasks as AQE finds fit."""
+    rows_.hint("rebalance", "split", "bucket").write.mode(mode).option("maxRecordsPerFile", per_file).partitionBy("split", "bucket").parquet(out)
+
+
+def packed(spark: SparkSession, out: str, split: str | None = None, bucket: str | None = None) -> DataFrame:
+    """The columnar copy, or the folders of a split and bucket alone; a join on split or bucket prunes while it runs."""
+    found = spark.read.parquet(out)
+    for name, value in (("split", split), ("bucket", bucket)):
+        found = found if value is None else found.where(F.col(name) == value)
+    return found
