@@ -86,7 +86,7 @@ def names(kind: list[str] | tuple[str, ...]) -> str:
 
 def literal_map(pairs: dict) -> Column:
     """A constant map; folded once by the optimizer."""
-    return F.create_map(*(F.lit(x) for pair in pairs.items() for x in pair))
+    return F.create_map(*(x if isinstance(x, Column) else F.lit(x) for pair in pairs.items() for x in pair))
 
 
 def once(df: DataFrame, name: str, value: Column) -> DataFrame:

@@ -193,6 +193,19 @@ c AS (SELECT id, problem, CASE WHEN problem IS NULL THEN parity END AS parity, C
 _JUMP_TEXT = "'L' || pc || ':' || CASE WHEN op = 'LOAD' THEN 'LOAD R' || a || ' ' || lit WHEN op IN ('HALT', 'NOP') THEN op WHEN op = 'JMP' THEN 'JMP L' || t WHEN op = 'JZ' THEN 'JZ R' || a || ' L' || t WHEN op IN ('PUSH', 'POP', 'PRINT') THEN op || ' R' || a WHEN op IN ('MOV', 'NEG') THEN op || ' R' || a || ' R' || b ELSE op || ' R' || a || ' R' || b || ' R' || c END"
 
 
+_NUMBER = "CASE WHEN {0} % 2 = 0 THEN 10001 + {0} // 2 ELSE {0} END"
+_LABELLED = f"""'L' || ({_NUMBER.format('pc')}) || ':' || CASE WHEN op = 'LOAD' THEN 'LOAD R' || a || CASE WHEN lit < 0 THEN '' ELSE ' ' END || lit WHEN op IN ('HALT', 'NOP') THEN op || ' ' WHEN op = 'JMP' THEN 'JMP L' || ({_NUMBER.format('t')})
+  WHEN op = 'JZ' THEN 'JZ R' || a || ' L' || ({_NUMBER.format('t')}) WHEN op IN ('PUSH', 'POP', 'PRINT') THEN op || ' R' || a || ' ' WHEN op IN ('MOV', 'NEG') THEN op || ' R' || a || ' R' || b || ' ' ELSE op || ' R' || a || ' R' || b || ' R' || c || ' ' END || chr(10)"""
+
+PROGRAM_JSON = machine(f""", {_LINES}, {_PROGRAMS},
+p AS (SELECT id, list({{'op': op, 'args': CASE WHEN op = 'LOAD' THEN [a, lit] WHEN op IN {_THREE} THEN [a, b, c] WHEN op IN ('MOV', 'NEG') THEN [a, b] WHEN op = 'PRINT' THEN [a] ELSE [] END, 'label': NULL::VARCHAR, 'target': NULL::VARCHAR}} ORDER BY pc) AS program,
+  string_agg({_TEXT}, '' ORDER BY pc) AS x, count(*) AS n FROM code GROUP BY id),
+s AS (SELECT id, list({{'pc': pc, 'regs': regs, 'stack': stack, 'emitted': emitted}} ORDER BY t) AS steps FROM steps GROUP BY id)
+SELECT to_json({{'meta': {{'tier': 'orders', 'split': {SPLIT}, 'bucket': NULL::VARCHAR, 'seed': id, 'axes': {{'n': n}}, 'renders': ['direct']}}, 'program': program, 'trace': {{'steps': s.steps, 'output': output, 'halted': true}},
+  'renders': {{'direct': {{'input_ids': list_concat(list_concat([{isa.ID['BOS']}], ids), [{isa.ID['EOS']}]), 'target_ids': list_concat(list_concat([{isa.ID['BOS']}], {number('output[1]')}), [{isa.ID['NEWLINE']}, {isa.ID['EOS']}]), 'input_text': x, 'target_text': output[1] || chr(10)}}}}}})::VARCHAR AS value
+FROM p JOIN s USING (id) JOIN ended USING (id) JOIN programs USING (id)""")
+
+
 def oracle_sql() -> dict[str, str]:
     out = {f"alu_{op}": f"WITH {OPERANDS} SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, a, b, CAST({x} AS BIGINT) AS value FROM o" for op, x in ALU.items()}
     joined = _ARRAY.format
@@ -249,6 +262,13 @@ SELECT part, id, n_opcodes, NOT fits AS fallback FROM f QUALIFY row_number() OVE
 k AS (SELECT id, count(DISTINCT op) AS k FROM code GROUP BY id)
 SELECT op, count(*) AS n, count(DISTINCT id) AS programs, sum(coalesce(CASE op WHEN 'LOAD' THEN {clamped('a')} WHEN 'MOV' THEN a WHEN 'ADD' THEN {clamped('a + b')} WHEN 'SUB' THEN {clamped('a - b')} WHEN 'MUL' THEN {clamped('a * b')}
   WHEN 'DIV' THEN CASE WHEN b = 0 THEN 0 ELSE {clamped('sign(a) * sign(b) * (abs(a) // abs(b))')} END WHEN 'NEG' THEN {clamped('-a')} WHEN 'EQ' THEN (a = b)::INT WHEN 'LT' THEN (a < b)::INT END, 0))::BIGINT AS total, max(k) AS most FROM v JOIN k USING (id) GROUP BY op""",
+        "decode_programs": f"""WITH {code(True)}, x AS (SELECT id, string_agg({_JUMP_TEXT} || chr(10), '' ORDER BY pc) AS x FROM code GROUP BY id),
+e AS (SELECT *, CASE WHEN id % 5 = 0 THEN 'no NEWLINE at the end' WHEN id % 7 = 1 THEN 'bad line: PAD' WHEN id % 11 = 3 THEN 'unknown id' WHEN id % 13 = 4 THEN 'bad line: JZ R1' END AS error FROM x)
+SELECT id, CASE WHEN error IS NULL THEN x END AS text, error FROM e""",
+        "encode_labels": f"WITH {code(True)} SELECT id, string_agg({_LABELLED}, '' ORDER BY pc) AS text FROM code GROUP BY id",
+        "program_json": PROGRAM_JSON,
+        "replay_report": f"WITH {code()} SELECT id, id % 9 = 0 AS output_differs, (id % 10 = 0)::BIGINT AS steps_short FROM size WHERE id % 9 = 0 OR id % 10 = 0",
+        "asm_duplicate_labels": f"WITH {code(True)} SELECT id, CASE WHEN id % 4 <> 0 THEN n + 1 END::BIGINT AS length, (n + k)::BIGINT AS line, CASE k WHEN 2 THEN 'label defined twice: L0' WHEN 3 THEN 'label defined twice: L1' END AS message FROM size, (SELECT unnest([0, 2, 3]) AS k) WHERE CASE WHEN id % 4 = 0 THEN k > 0 ELSE k = 0 END".replace("(n + k)::BIGINT AS line", "CASE WHEN k > 0 THEN n + k END::BIGINT AS line"),
         "zero_divisions": machine(f", b AS (SELECT s.id, s.pc, op, c, before FROM (SELECT *, {_BEFORE} AS before FROM steps) s JOIN code ON s.id = code.id AND s.pc = code.pc) SELECT id, string_agg(pc::VARCHAR, ',' ORDER BY pc) AS places FROM b WHERE op = 'DIV' AND before[c + 1] = 0 GROUP BY id"),
         "walk_program": machine(f"SELECT code.id, CAST(code.pc AS BIGINT) AS idx, op, CASE WHEN regs IS NOT NULL THEN {joined('regs')} END AS regs_after, CAST(emitted AS BIGINT) AS emitted FROM code LEFT JOIN steps ON code.id = steps.id AND code.pc = steps.pc", True),
         "print_write_check": f"WITH {code()}, m AS (SELECT id, pc, op, a, bit_or(CASE WHEN op IN {tuple(isa.FILL)} THEN 1 << a ELSE 0 END) OVER (PARTITION BY id ORDER BY pc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM code) SELECT id, CAST(pc AS BIGINT) AS pc, CAST(a AS BIGINT) AS a, (coalesce(seen, 0) & (1 << a)) <> 0 AS ok FROM m WHERE op = 'PRINT'",

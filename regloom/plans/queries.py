@@ -212,6 +212,32 @@ def decode_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.where(~F.col("program").eqNullSafe(F.col("back.program"))).select("id", F.col("back.error").alias("error"))
 
 
+@query
+def decode_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs read back from their ids as text; for some ids a newline is missing, a line is none, or an id is unknown."""
+    ids, i = tokens.encode(F.col("program")), F.col("id")
+    more = lambda *x: F.concat(ids, F.array(*(F.lit(v) for v in x)))
+    cut = F.when(i % 5 == 0, F.slice(ids, F.lit(1), F.size(ids) - 1)).when(i % 7 == 1, more(isa.ID["PAD"], isa.ID["NEWLINE"])).when(i % 11 == 3, more(99)).when(i % 13 == 4, more(isa.ID["JZ"], isa.ID["R1"], isa.ID["NEWLINE"])).otherwise(ids)
+    told = isa.once(jumping(spark, sf_dir), "d", tokens.decode(cut))
+    return told.select("id", asm.render(F.col("d.program")).alias("text"), F.col("d.error").alias("error"))
+
+
+@query
+def encode_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token text of programs in which every second label is a name; names are numbered by first definition."""
+    named = lambda x: F.when(F.regexp_extract(x, "([0-9]+)$", 1).cast("int") % 2 == 0, F.concat(F.lit("at_"), F.substring(x, 2, 9))).otherwise(x)
+    p = F.transform("program", lambda x: F.struct(x["op"].alias("op"), x["args"].alias("args"), named(x["label"]).alias("label"), named(x["target"]).alias("target")))
+    return jumping(spark, sf_dir).withColumn("program", p).select("id", tokens.text(tokens.encode(F.col("program"))).alias("text"))
+
+
+@query
+def program_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order programs as dataset rows: one compact JSON line each."""
+    meta = F.struct(F.lit("orders").alias("tier"), split().alias("split"), F.lit(None).cast("string").alias("bucket"), F.col("id").alias("seed"), F.struct(F.size("program").alias("n")).alias("axes"), F.array(F.lit("direct")).alias("renders"))
+    ran = _rendered(spark, sf_dir)
+    return datasets.to_json(ran.select(meta.alias("meta"), "program", "trace", tokens.renders(F.col("program"), F.col("trace"), ["direct"]).alias("renders")))
+
+
 def _rendered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vm.run(straight(spark, sf_dir))
 
@@ -498,8 +524,10 @@ def divergence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def divergence_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The same by a full outer join of long tables."""
-    p = _predicted(spark, sf_dir)
+    """The same by a full outer join of long tables; what both sides come from is run once and kept as a table."""
+    path = scratch.fresh(spark, "predicted")
+    _predicted(spark, sf_dir).write.parquet(path)
+    p = spark.read.parquet(path)
     long = lambda c: p.select("id", F.posexplode(c).alias("idx", "value"))
     return plain(compare.aligned(long("truth"), long("model"), ["id"]))
 
@@ -560,6 +588,17 @@ def bundle_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(told.groupBy("problem", "parity").agg(F.count("*").alias("n"), F.sum(F.coalesce("score", F.lit(0.0))).alias("right")))
 
 
+@query
+def replay_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs whose stored trace is not what a run of their text gives: every ninth has a wrong output, every tenth lacks a step."""
+    ran = vm.run(straight(spark, sf_dir)).select("id", asm.render(F.col("program")).alias("source"), "trace")
+    steps = F.when(F.col("id") % 10 == 0, F.slice("trace.steps", F.lit(1), F.size("trace.steps") - 1)).otherwise(F.col("trace.steps"))
+    output = F.when(F.col("id") % 9 == 0, F.transform("trace.output", lambda v: v + 1)).otherwise(F.col("trace.output"))
+    stored = ran.select("id", "source", F.struct(steps.alias("steps"), output.alias("output"), F.col("trace.halted").alias("halted")).alias("stored"))
+    found = compare.mismatches(vm.run(asm.parse(stored)), {"stored": "trace"})
+    return found.select("id", (~F.col("stored.output").eqNullSafe(F.col("trace.output"))).alias("output_differs"), (F.size("trace.steps") - F.size("stored.steps")).cast("bigint").alias("steps_short"))
+
+
 # Assembly ------------------------------------------------------------------------------------------------------------
 
 
@@ -576,6 +615,15 @@ def asm_parse_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(parsed.select("id", F.explode("errors").alias("e")).select("id", "e.line", "e.message"))
 
 
+@query
+def asm_duplicate_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every fourth source defines its first two labels again at its end: the lines that say so, and no program."""
+    text = asm.render(F.col("program"))
+    twice = jumping(spark, sf_dir).select("id", F.when(F.col("id") % 4 == 0, F.concat(text, F.lit("L0:\nL1: NOP ; again\n"))).otherwise(text).alias("source"))
+    parsed = asm.parse(twice)
+    return plain(parsed.select("id", F.size("program").alias("length"), F.explode_outer("errors").alias("e")).select("id", F.when(F.col("length") >= 0, F.col("length")).alias("length"), "e.line", "e.message"))
+
+
 @query
 def asm_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Source line of each executed step; a source with errors is no program and has none."""
