@@ -193,6 +193,21 @@ c AS (SELECT id, problem, CASE WHEN problem IS NULL THEN parity END AS parity, C
 _JUMP_TEXT = "'L' || pc || ':' || CASE WHEN op = 'LOAD' THEN 'LOAD R' || a || ' ' || lit WHEN op IN ('HALT', 'NOP') THEN op WHEN op = 'JMP' THEN 'JMP L' || t WHEN op = 'JZ' THEN 'JZ R' || a || ' L' || t WHEN op IN ('PUSH', 'POP', 'PRINT') THEN op || ' R' || a WHEN op IN ('MOV', 'NEG') THEN op || ' R' || a || ' R' || b ELSE op || ' R' || a || ' R' || b || ' R' || c END"
 
 
+#: Dataflow over programs that jump forward only: one pass in order reaches the fixpoint. -1: control cannot come.
+_FLOW = f"""prog AS (SELECT id, list({{'op': op, 'a': a, 't': t}} ORDER BY pc) AS code, CAST(count(*) AS INT) AS size FROM code GROUP BY id),
+flow AS (SELECT id, 0 AS i, list_transform(range(size), lambda k: CASE WHEN k = 0 THEN 0 ELSE -1 END) AS masks, list_transform(range(size), lambda k: CASE WHEN k = 0 THEN 0 ELSE -1 END) AS depths FROM prog
+  UNION ALL SELECT id, i + 1,
+    CASE WHEN m < 0 THEN masks ELSE list_transform(masks, lambda v, k: CASE WHEN (op NOT IN ('HALT', 'JMP') AND k = i + 2) OR (op IN ('JZ', 'JMP') AND k = t + 1) THEN CASE WHEN v = -1 THEN m | w ELSE v & (m | w) END ELSE v END) END,
+    CASE WHEN d < 0 THEN depths ELSE list_transform(depths, lambda v, k: CASE WHEN e < 0 AND k = i + 1 THEN e
+      WHEN e >= 0 AND ((op NOT IN ('HALT', 'JMP') AND k = i + 2) OR (op IN ('JZ', 'JMP') AND k = t + 1)) THEN CASE WHEN v < -1 THEN v WHEN v = -1 OR v = e THEN e ELSE -4 END ELSE v END) END
+  FROM (SELECT *, CASE WHEN d + delta < 0 THEN -2 WHEN d + delta > {isa.DEPTH} THEN -3 ELSE d + delta END AS e FROM (SELECT flow.*, code[i + 1].op AS op, code[i + 1].t AS t, masks[i + 1] AS m, depths[i + 1] AS d,
+    CASE WHEN code[i + 1].op IN {tuple(isa.WRITING)} THEN 1 << code[i + 1].a ELSE 0 END AS w, CASE code[i + 1].op WHEN 'PUSH' THEN 1 WHEN 'POP' THEN -1 ELSE 0 END AS delta FROM flow JOIN prog USING (id) WHERE i < size))),
+known AS (SELECT id, code, masks, depths FROM flow JOIN prog USING (id) WHERE i = size),
+marks AS (SELECT id, unnest(range(len(code))) AS i, unnest(code) AS x, unnest(masks) AS m, unnest(depths) AS d FROM known),
+told AS (SELECT id, string_agg('print of an unwritten register at ' || i, ';' ORDER BY i) FILTER (x.op = 'PRINT' AND NOT (m >= 0 AND m & (1 << x.a) <> 0)) AS prints,
+  string_agg(CASE d WHEN -2 THEN 'stack underflow' WHEN -3 THEN 'stack overflow' ELSE 'stack depth differs between paths' END || ' at ' || i, ';' ORDER BY i) FILTER (d < -1) AS stack FROM marks GROUP BY id),
+errors AS (SELECT id, prints IS NULL AND stack IS NULL AS valid, coalesce(prints, stack, '') AS errors FROM told)"""
+
 _NUMBER = "CASE WHEN {0} % 2 = 0 THEN 10001 + {0} // 2 ELSE {0} END"
 _LABELLED = f"""'L' || ({_NUMBER.format('pc')}) || ':' || CASE WHEN op = 'LOAD' THEN 'LOAD R' || a || CASE WHEN lit < 0 THEN '' ELSE ' ' END || lit WHEN op IN ('HALT', 'NOP') THEN op || ' ' WHEN op = 'JMP' THEN 'JMP L' || ({_NUMBER.format('t')})
   WHEN op = 'JZ' THEN 'JZ R' || a || ' L' || ({_NUMBER.format('t')}) WHEN op IN ('PUSH', 'POP', 'PRINT') THEN op || ' R' || a || ' ' WHEN op IN ('MOV', 'NEG') THEN op || ' R' || a || ' R' || b || ' ' ELSE op || ' R' || a || ' R' || b || ' R' || c || ' ' END || chr(10)"""
@@ -269,6 +284,8 @@ SELECT id, CASE WHEN error IS NULL THEN x END AS text, error FROM e""",
         "program_json": PROGRAM_JSON,
         "replay_report": f"WITH {code()} SELECT id, id % 9 = 0 AS output_differs, (id % 10 = 0)::BIGINT AS steps_short FROM size WHERE id % 9 = 0 OR id % 10 = 0",
         "asm_duplicate_labels": f"WITH {code(True)} SELECT id, CASE WHEN id % 4 <> 0 THEN n + 1 END::BIGINT AS length, (n + k)::BIGINT AS line, CASE k WHEN 2 THEN 'label defined twice: L0' WHEN 3 THEN 'label defined twice: L1' END AS message FROM size, (SELECT unnest([0, 2, 3]) AS k) WHERE CASE WHEN id % 4 = 0 THEN k > 0 ELSE k = 0 END".replace("(n + k)::BIGINT AS line", "CASE WHEN k > 0 THEN n + k END::BIGINT AS line"),
+        "program_errors": f"WITH RECURSIVE {code(True)}, {_FLOW} SELECT id, valid, errors FROM errors",
+        "validate_programs": f"WITH RECURSIVE {code(True)}, {_FLOW} SELECT valid, CASE WHEN valid THEN 'none' ELSE regexp_replace(string_split(errors, ';')[1], ' at [0-9]+$', '') END AS kind, count(*) AS n FROM errors GROUP BY ALL",
         "zero_divisions": machine(f", b AS (SELECT s.id, s.pc, op, c, before FROM (SELECT *, {_BEFORE} AS before FROM steps) s JOIN code ON s.id = code.id AND s.pc = code.pc) SELECT id, string_agg(pc::VARCHAR, ',' ORDER BY pc) AS places FROM b WHERE op = 'DIV' AND before[c + 1] = 0 GROUP BY id"),
         "walk_program": machine(f"SELECT code.id, CAST(code.pc AS BIGINT) AS idx, op, CASE WHEN regs IS NOT NULL THEN {joined('regs')} END AS regs_after, CAST(emitted AS BIGINT) AS emitted FROM code LEFT JOIN steps ON code.id = steps.id AND code.pc = steps.pc", True),
         "print_write_check": f"WITH {code()}, m AS (SELECT id, pc, op, a, bit_or(CASE WHEN op IN {tuple(isa.FILL)} THEN 1 << a ELSE 0 END) OVER (PARTITION BY id ORDER BY pc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM code) SELECT id, CAST(pc AS BIGINT) AS pc, CAST(a AS BIGINT) AS a, (coalesce(seen, 0) & (1 << a)) <> 0 AS ok FROM m WHERE op = 'PRINT'",

@@ -489,6 +489,12 @@ def validate_programs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plain(told.groupBy("valid", kind.alias("kind")).agg(F.count("*").alias("n")))
 
 
+@query
+def program_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each program with jumps is told: prints that some path leaves unwritten, else faults of the stack."""
+    return check.validate(jumping(spark, sf_dir)).select("id", "valid", F.array_join("errors", ";").alias("errors"))
+
+
 @query
 def print_write_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     code = stats.instructions(straight(spark, sf_dir), ["id"]).withColumn("a", F.get("args", F.lit(0)))
