@@ -49,59 +49,64 @@ def ranges(program: Column) -> Column:
     return F.filter(F.transform(program, fault), lambda x: x.isNotNull())
 
 
-# Both analyses walk all instructions in order, again and again, until nothing changes. A state array holds what is
-# known at the start of each instruction; a pass pushes each instruction's result to where it can go on. The number of
-# passes is bounded by the longest chain of backward jumps, so size + 1 is enough; passes after the last change are
-# free, because the state then carries a flag.
+# Both analyses walk all instructions in order, again and again, until nothing changes. What control brings from the
+# instruction before is one value; only places that a jump can reach (slots, few of them) are remembered from walk to
+# walk. So a walk costs one step for each instruction, and as many more as there are slots for each jump.
 
 
-def _put(k: str, j: str, value: str) -> str:
-    """SQL of an array with one element replaced."""
-    return f"concat(slice({k}, 1, {j}), array({value}), slice({k}, {j} + 2, size({k})))"
-
-
-def _both(go: str, jump: str, meet: str) -> str:
-    """SQL of the state after an instruction has told its successors; ``meet`` joins what one knew with the news."""
-    on = f"if({go} AND i + 1 < size(k), {_put('k', '(i + 1)', meet.format('k[i + 1]'))}, k)"
-    return f"transform(array({on}), q -> if({jump}, {_put('q', 'x.t', meet.format('q[x.t]'))}, q))[0]"
+def slotted(code: str) -> str:
+    """SQL of the instructions with their index ``i``, the slot ``s`` that they are and the slot ``ts`` that they jump to."""
+    slots = f"array_sort(array_distinct(filter(transform({code}, x -> if(x.op IN ('JZ', 'JMP'), x.t, null)), t -> t IS NOT NULL)))"
+    found = "nullif(array_position(t, cast({0} AS int)), 0) - 1"
+    one = f"named_struct('i', i, 'op', x.op, 'a', x.a, 's', {found.format('i')}, 'ts', if(x.op IN ('JZ', 'JMP') AND x.t IS NOT NULL, {found.format('x.t')}, null))"
+    return f"transform(array({slots}), t -> named_struct('slots', t, 'code', transform({code}, (x, i) -> {one})))[0]"
 
 
-def _flow(code: str, start: str, push: str) -> str:
-    """SQL of the fixpoint. ``push``: the state k after instruction i has been looked at."""
-    one = f"aggregate(sequence(0, size({code}) - 1), p.known, (k, i) -> {push})"
-    turn = f"transform(array({one}), q -> named_struct('known', q, 'done', q <=> p.known))[0]"
-    return f"aggregate(sequence(1, size({code}) + 1), named_struct('known', {start}, 'done', false), (p, z) -> if(p.done, p, {turn})).known"
+def _put(k: str, j: str, value: str) -> str:
+    """SQL of an array with one element replaced."""
+    return f"transform({k}, (e, j) -> if(j = {j}, {value}, e))"
 
 
-def _edges(i: str) -> tuple[str, str]:
-    """SQL conditions: control can pass on to the next instruction; it can go to the target."""
-    return f"({i}.op NOT IN ('HALT', 'JMP'))", f"({i}.op IN ('JZ', 'JMP') AND {i}.t IS NOT NULL)"
+def _walks(where: str, init: str, step: str) -> str:
+    """SQL of the state after the last walk: ``step`` makes k (cur, slots, bad) from it and instruction x."""
+    once = f"aggregate({where}.code, named_struct('cur', 0, 'slots', p.slots, 'bad', p.bad), (k, x) -> {step})"
+    turn = f"transform(array({once}), q -> named_struct('slots', q.slots, 'bad', q.bad, 'done', q.slots = p.slots))[0]"
+    none = "cast(array() AS array<struct<i:int,d:int>>)"
+    return f"aggregate(sequence(1, size({where}.code) + 1), named_struct('slots', transform({where}.slots, z -> {init}), 'bad', {none}, 'done', false), (p, z) -> if(p.done, p, {turn}))"
 
 
-def written(code: str, userops: bool) -> str:
-    """SQL of an array: a mask of the registers surely written before each instruction.
+def unwritten(where: str, userops: bool) -> str:
+    """SQL of the indexes of prints whose register is not surely written, as (i, d); prints out of control's reach count.
 
-    It is -1 where control cannot come. A userop writes its first register if ``userops``.
+    A userop writes its first register if ``userops``.
     """
-    go, jump = _edges("x")
     writes = isa.WRITING + ([s for s in isa.BINDINGS] if userops else [])
-    mask = f"(k[i] | if(x.op IN ({isa.names(writes)}) AND x.a BETWEEN 0 AND {isa.REGISTERS - 1}, shiftleft(1, x.a), 0))"
-    meet = "if({0} = -1, m, {0} & m)"
-    take = _both(go, f"({jump} AND x.t > 0)", meet)
-    push = f"if(k[i] = -1, k, transform(array({code}[i]), x -> transform(array({mask}), m -> {take})[0])[0])"
-    return _flow(code, f"transform({code}, (x, i) -> if(i = 0, 0, -1))", push)
+    out = f"(m | if(x.op IN ({isa.names(writes)}) AND x.a BETWEEN 0 AND {isa.REGISTERS - 1}, shiftleft(1, x.a), 0))"
+    meet = lambda a, b: f"CASE WHEN {a} = -1 THEN {b} WHEN {b} = -1 THEN {a} ELSE {a} & {b} END"
+    known = lambda slots: f"if(x.s IS NULL, k.cur, {meet(f'{slots}[x.s]', 'k.cur')})"
+    cur = f"if(m = -1 OR x.op IN ('HALT', 'JMP'), -1, {out})"
+    step = f"transform(array({known('k.slots')}), m -> named_struct('cur', {cur}, 'slots', if(m = -1 OR x.ts IS NULL, k.slots, {_put('k.slots', 'x.ts', meet('e', out))}), 'bad', k.bad))[0]"
+    wrong = "x.op = 'PRINT' AND NOT coalesce(m >= 0 AND (m & shiftleft(1, x.a)) <> 0, false)"
+    last = f"transform(array({known('f.slots')}), m -> named_struct('cur', {cur}, 'bad', if({wrong}, array_append(k.bad, named_struct('i', x.i, 'd', 0)), k.bad)))[0]"
+    return f"transform(array({_walks(where, '-1', step)}), f -> aggregate({where}.code, named_struct('cur', 0, 'bad', f.bad), (k, x) -> {last}).bad)[0]"
 
 
-def depths(code: str) -> str:
-    """SQL of an array: the stack depth before each instruction; -1 unreached, -2 underflow, -3 overflow, -4 paths differ."""
-    go, jump = _edges("x")
-    delta = "CASE x.op WHEN 'PUSH' THEN 1 WHEN 'POP' THEN -1 ELSE 0 END"
-    after = f"(k[i] + {delta})"
-    bad = f"CASE WHEN d < 0 THEN -2 WHEN d > {isa.DEPTH} THEN -3 ELSE d END"
-    meet = "CASE WHEN {0} < -1 THEN {0} WHEN {0} = -1 OR {0} = w THEN w ELSE -4 END"
-    take = f"if(w < -1, {_put('k', 'i', 'w')}, {_both(go, jump, meet)})"
-    push = f"if(k[i] < 0, k, transform(array({code}[i]), x -> transform(array({after}), d -> transform(array({bad}), w -> {take})[0])[0])[0])"
-    return _flow(code, f"transform({code}, (x, i) -> if(i = 0, 0, -1))", push)
+def misstacked(where: str) -> str:
+    """SQL of the indexes where the stack fails, as (i, d): d is -2 underflow, -3 overflow, -4 paths that differ.
+
+    What has failed once stays so and passes nothing on.
+    """
+    meet = lambda a, b: f"CASE WHEN {a} < -1 THEN {a} WHEN {a} = -1 THEN {b} WHEN {b} = -1 OR {a} = {b} THEN {a} ELSE -4 END"
+    before = f"if(x.s IS NULL, k.cur, {meet('k.slots[x.s]', 'k.cur')})"
+    depth = f"(d + CASE x.op WHEN 'PUSH' THEN 1 WHEN 'POP' THEN -1 ELSE 0 END)"
+    after = f"CASE WHEN d < 0 THEN d WHEN {depth} < 0 THEN -2 WHEN {depth} > {isa.DEPTH} THEN -3 ELSE {depth} END"
+    own = f"if(x.s IS NULL, k.slots, {_put('k.slots', 'x.s', 'if(w < -1, w, d)')})"
+    told = f"if(w < 0 OR x.ts IS NULL, o, {_put('o', 'x.ts', meet('e', 'w'))})"
+    bad = "if(w < -1 AND x.s IS NULL, array_append(k.bad, named_struct('i', x.i, 'd', w)), k.bad)"
+    made = f"transform(array({own}), o -> named_struct('cur', if(w < 0 OR x.op IN ('HALT', 'JMP'), -1, w), 'slots', {told}, 'bad', {bad}))[0]"
+    step = f"transform(array({before}), d -> transform(array({after}), w -> {made})[0])[0]"
+    at = f"filter(transform({where}.slots, (t, s) -> named_struct('i', t, 'd', f.slots[s])), x -> x.d < -1)"
+    return f"transform(array({_walks(where, '-1', step)}), f -> array_sort(array_distinct(concat(f.bad, {at}))))[0]"
 
 
 def validate(df: DataFrame, program: str = "program", userops: bool = False) -> DataFrame:
@@ -115,15 +120,16 @@ def validate(df: DataFrame, program: str = "program", userops: bool = False) ->
     keep = [c for c in df.columns if c not in ("valid", "errors", "range_errors")]
     p = F.col(program)
     out = df.select(*keep, resolved(p).alias("_code"))
-    flow = f"named_struct('mask', if(size(_code) = 0, null, {written('_code', userops)}), 'depth', if(size(_code) = 0, null, {depths('_code')}))"
+    out = isa.once(out, "_slots", F.expr(f"if(size(_code) > 0, {slotted('_code')}, null)"))
+    flow = f"if(_slots IS NULL, null, named_struct('prints', {unwritten('_slots', userops)}, 'stack', {misstacked('_slots')}))"
     out = isa.once(out, "_flow", F.expr(flow))
     slots = F.filter(F.transform(p, lambda x, i: F.when(x["op"].startswith("USEROP_"), F.concat(F.lit("userop at "), i.cast("string")))), lambda x: x.isNotNull())
     doubled = F.transform(isa.duplicate_labels(p), lambda x: F.concat(F.lit("label defined twice: "), x))
     unknown = F.transform(targets(p), lambda x: F.concat(F.lit("unknown target: "), x))
     code = F.col("_code")
-    prints = F.expr("filter(transform(_code, (x, i) -> if(x.op = 'PRINT' AND NOT coalesce(_flow.mask[i] >= 0 AND (_flow.mask[i] & shiftleft(1, x.a)) <> 0, false), concat('print of an unwritten register at ', i), null)), x -> x IS NOT NULL)")
-    says = "CASE d WHEN -2 THEN 'stack underflow' WHEN -3 THEN 'stack overflow' ELSE 'stack depth differs between paths' END"
-    stack = F.expr(f"filter(transform(_flow.depth, (d, i) -> if(d < -1, concat({says}, ' at ', i), null)), x -> x IS NOT NULL)")
+    prints = F.expr("transform(_flow.prints, x -> concat('print of an unwritten register at ', x.i))")
+    says = "CASE x.d WHEN -2 THEN 'stack underflow' WHEN -3 THEN 'stack overflow' ELSE 'stack depth differs between paths' END"
+    stack = F.expr(f"transform(_flow.stack, x -> concat({says}, ' at ', x.i))")
     none = F.array().cast("array<string>")
     stages = [arity(p), F.concat(doubled, unknown)] + ([] if userops else [slots]) + [F.coalesce(prints, none), F.coalesce(stack, none)]
     errors = F.coalesce(*(F.when(F.size(s) > 0, s) for s in stages), none)

@@ -286,6 +286,8 @@ SELECT id, CASE WHEN error IS NULL THEN x END AS text, error FROM e""",
         "asm_duplicate_labels": f"WITH {code(True)} SELECT id, CASE WHEN id % 4 <> 0 THEN n + 1 END::BIGINT AS length, (n + k)::BIGINT AS line, CASE k WHEN 2 THEN 'label defined twice: L0' WHEN 3 THEN 'label defined twice: L1' END AS message FROM size, (SELECT unnest([0, 2, 3]) AS k) WHERE CASE WHEN id % 4 = 0 THEN k > 0 ELSE k = 0 END".replace("(n + k)::BIGINT AS line", "CASE WHEN k > 0 THEN n + k END::BIGINT AS line"),
         "program_errors": f"WITH RECURSIVE {code(True)}, {_FLOW} SELECT id, valid, errors FROM errors",
         "validate_programs": f"WITH RECURSIVE {code(True)}, {_FLOW} SELECT valid, CASE WHEN valid THEN 'none' ELSE regexp_replace(string_split(errors, ';')[1], ' at [0-9]+$', '') END AS kind, count(*) AS n FROM errors GROUP BY ALL",
+        "golden_differences": """SELECT o_orderkey AS id, CASE WHEN o_orderkey % 50 = 1 THEN 'new' WHEN o_orderkey % 50 = 2 THEN 'length,output' ELSE 'output' END AS problem FROM orders WHERE o_orderkey % 50 IN (1, 2, 27)
+UNION ALL SELECT -o_orderkey, 'missing' FROM orders WHERE o_orderkey % 50 = 3""",
         "zero_divisions": machine(f", b AS (SELECT s.id, s.pc, op, c, before FROM (SELECT *, {_BEFORE} AS before FROM steps) s JOIN code ON s.id = code.id AND s.pc = code.pc) SELECT id, string_agg(pc::VARCHAR, ',' ORDER BY pc) AS places FROM b WHERE op = 'DIV' AND before[c + 1] = 0 GROUP BY id"),
         "walk_program": machine(f"SELECT code.id, CAST(code.pc AS BIGINT) AS idx, op, CASE WHEN regs IS NOT NULL THEN {joined('regs')} END AS regs_after, CAST(emitted AS BIGINT) AS emitted FROM code LEFT JOIN steps ON code.id = steps.id AND code.pc = steps.pc", True),
         "print_write_check": f"WITH {code()}, m AS (SELECT id, pc, op, a, bit_or(CASE WHEN op IN {tuple(isa.FILL)} THEN 1 << a ELSE 0 END) OVER (PARTITION BY id ORDER BY pc ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS seen FROM code) SELECT id, CAST(pc AS BIGINT) AS pc, CAST(a AS BIGINT) AS a, (coalesce(seen, 0) & (1 << a)) <> 0 AS ok FROM m WHERE op = 'PRINT'",

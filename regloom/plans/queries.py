@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions import isa, sql, tokens
 from ..operators import asm, check, compare, exact, expand, generate, search, stats, vm
-from ..sources import bundles, datasets, digest, programs, scan, scratch, specs
+from ..sources import bundles, datasets, digest, golden, programs, scan, scratch, specs
 
 Query = Callable[[SparkSession, str], DataFrame]
 _found: dict[str, Query] = {}
@@ -695,6 +695,16 @@ def sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         FROM regloom_programs p, LATERAL vm_lines(p.program) l GROUP BY l.op"""))
 
 
+@query
+def golden_differences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Programs generated for the seeds of all orders against a stored table of them in which some rows were changed, left out or added."""
+    made, path = _shape(spark, sf_dir, "tier1").select("id", "program"), scratch.fresh(spark, "golden")
+    now, i = golden.told(made, ["id"]), F.col("id")
+    stored = now.where(i % 50 != 1).withColumns({"length": F.when(i % 50 == 2, F.col("length") + 1).otherwise(F.col("length")), "output": F.when(i % 25 == 2, "x").otherwise(F.col("output"))})
+    stored.unionAll(now.where(i % 50 == 3).withColumn("id", -i)).write.parquet(path)
+    return golden.differences(spark.read.parquet(path), now, ["id"])
+
+
 @query
 def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that do not come back from their JSON; none is right."""

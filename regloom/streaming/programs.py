@@ -8,7 +8,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import isa
 from ..operators import asm, vm
 
 
@@ -26,6 +25,3 @@ def op_counts(programs: DataFrame, window: str = "1 minute", late: str = "10 min
     """Count of each operation in tumbling windows of ``ts``; rows later than ``late`` are left out, and their state with them."""
     each = programs.withWatermark("ts", late).select("ts", F.explode(F.transform("program", lambda x: x["op"])).alias("op"))
     return each.groupBy(F.window("ts", window), "op").agg(F.count("*").alias("n")).select("window.start", "window.end", "op", "n")
-
-
-PROGRAM = isa.PROGRAM
