@@ -31,6 +31,7 @@ import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import from_arrow_type
 
 from .frames import with_columns
 from .text import FOLD, mapped, slices, texts, words
@@ -254,5 +255,5 @@ def assess(docs: DataFrame, index: Broadcast, keep: list[str], k: int = 16, prio
         ids = x.ids.take(pa.array(best[there]))
         return {"score": score, "predicted": (score >= threshold).astype(np.int32), "evidence": pa.ListArray.from_arrays(at, ids), "cosines": pa.ListArray.from_arrays(at, pa.array(cosine[there]))}
 
-    kind = {pa.int64(): "long", pa.int32(): "int", pa.string(): "string"}.get(index.value.ids.type, "long")
+    kind = from_arrow_type(index.value.ids.type).simpleString()
     return with_columns(docs, keep, f"score double, predicted int, evidence array<{kind}>, cosines array<double>", step)

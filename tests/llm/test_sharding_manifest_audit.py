@@ -248,3 +248,17 @@ def test_audit_against_all_orders(spark):
     # one shuffle of texts, none of exploded words
     plan = filter_audit.word_totals(d)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange") == 1 and plan.index("Exchange") > plan.index("Generate")
+
+
+@pytest.mark.parametrize("kind", ["decimal(20,0)", "date", "string", "int"])
+def test_toxicity_takes_ids_of_any_ordered_type(spark, kind):
+    from regloom.llm import toxicity
+
+    rows = [(i, f"word{i % 7} word{i % 5} " + ("vile words here" if i % 3 == 0 else "plain words there"), int(i % 3 == 0)) for i in range(60)]
+    df = spark.createDataFrame(rows, "n int, text string, toxic int")
+    as_id = F.date_add(F.lit("2020-01-01").cast("date"), F.col("n")) if kind == "date" else F.col("n").cast(kind)
+    d = df.withColumn("doc_id", as_id)
+    got = toxicity.assess(d.select("doc_id", "text"), toxicity.fit(d, d.where("n % 2 = 0")), ["doc_id"])
+    assert dict(got.dtypes)["evidence"] == f"array<{kind}>"
+    told = {r.doc_id: r for r in got.collect()}
+    assert all((told[r.doc_id].predicted == 1) == (r.toxic == 1) and set(told[r.doc_id].evidence) <= set(told) for r in d.collect())
