@@ -75,11 +75,17 @@ def checked(df: DataFrame, value: str = "value", tag: str = TAG) -> DataFrame:
     """``df`` with ``problem`` and ``bundle`` (null if there is a problem). The text's parts are looked at as they are, so
     that a number does not pass for a text."""
     held = isa.once(df.select(*(c for c in df.columns if c not in ("problem", "bundle"))), "_v", F.try_parse_json(value))
-    kind = lambda path: F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("_v"), path, "variant")), F.lit(""))
-    problem = F.when(F.col("_v").isNull(), "not JSON").when(~kind("$").startswith("OBJECT"), "not an object")
-    problem = problem.when((kind("$.schema") != "STRING") | (F.coalesce(F.try_variant_get(F.col("_v"), "$.schema", "string"), F.lit("")) != tag), "schema")
+    shallow = {"OBJECT": "map<string,variant>", "ARRAY": "array<variant>"}  # a look at one level, however much lies below
+
+    def fits(path: str, want: str) -> Column:
+        if want in shallow:
+            return F.try_variant_get(F.col("_v"), path, shallow[want]).isNotNull()
+        return F.coalesce(F.schema_of_variant(F.try_variant_get(F.col("_v"), path, "variant")), F.lit("")) == want
+
+    problem = F.when(F.col("_v").isNull(), "not JSON").when(~fits("$", "OBJECT"), "not an object")
+    problem = problem.when(~fits("$.schema", "STRING") | (F.coalesce(F.try_variant_get(F.col("_v"), "$.schema", "string"), F.lit("")) != tag), "schema")
     for path, want in PARTS.items():
-        problem = problem.when(~kind(path).startswith(want), path[2:])
+        problem = problem.when(~fits(path, want), path[2:])
     held = isa.once(held, "_problem", problem)
     parsed = F.when(F.col("_problem").isNull(), F.from_json(value, f"{_BODY}, {_BROKEN} STRING", {"columnNameOfCorruptRecord": _BROKEN}))
     held = isa.once(held, "_parsed", parsed)
