@@ -135,7 +135,6 @@ def test_round_trips_are_empty(spark):
     q = entry.queries()
     for name in ("decode_roundtrip", "replay_mismatches", "json_roundtrip"):
         assert q[name](spark, SF).count() == 0, name
-    assert asm.render(F.col("x")) is not None
 
 
 def test_emit_queries_cover_every_file(spark):
