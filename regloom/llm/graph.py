@@ -13,21 +13,27 @@ from pyspark.sql import functions as F
 from .store import drop, save
 
 
-def stars(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
-    """Links that connect what the links (a, b) connect: of each node to the least node of its group."""
-    coded = pa.concat_arrays([a, b]).dictionary_encode()
-    order = pc.sort_indices(coded.dictionary).to_numpy()
-    up = np.arange(len(order))
-    rank = np.empty_like(up)
-    rank[order] = up
-    code = rank[coded.indices.to_numpy()]
-    x, y = code[: len(a)], code[len(a) :]
+def united(up: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The least member of each number's group once x[i] and y[i] are joined; ``up`` holds that from before."""
+    x, y = up[x], up[y]
+    x, y = x[x != y], y[x != y]
     while len(x):
         np.minimum.at(up, np.maximum(x, y), np.minimum(x, y))
-        while (higher := up[up]).tobytes() != up.tobytes():
+        while not np.array_equal(higher := up[up], up):
             up = higher
         x, y = up[x], up[y]
         x, y = x[x != y], y[x != y]
+    return up
+
+
+def stars(a: pa.Array, b: pa.Array) -> tuple[pa.Array, pa.Array]:
+    """Links that connect what the links (a, b) connect: of each node to the least node of its group."""
+    coded = pa.concat_arrays([a, b]).dictionary_encode()
+    order = pc.sort_indices(coded.dictionary).to_numpy()
+    rank = np.empty_like(order, dtype=np.int64)
+    rank[order] = np.arange(len(order))
+    code = rank[coded.indices.to_numpy()]
+    up = united(np.arange(len(order)), code[: len(a)], code[len(a) :])
     low = np.flatnonzero(up != np.arange(len(up)))
     return coded.dictionary.take(pa.array(order[low])), coded.dictionary.take(pa.array(order[up[low]]))
 

@@ -8,8 +8,11 @@ The features of a line are its long words, and each shorter word together with i
 what two lines are first compared by; at most BITS bits may differ. A join on blocks of the SimHash itself would have to
 let so many bits differ that its blocks say nothing, so the blocks are KEYS keys of EACH minima of the features' hashes
 (one-permutation min-hash, empty bins filled from others of the line). A pair whose features agree in the share J meets in
-a key with 1 - (1 - J^3)^10. Lines that meet and pass the SimHash are candidates; of each group of candidates the edit
-similarity is checked, and of each connected group the first occurrence (least doc_id, then line) stays.
+a key with 1 - (1 - J^3)^10. Lines of at most SHORT words have too few features to rely on that: they have further keys,
+the line without each of its words and the line itself, so that two short lines that differ in one word (replaced, put in
+or taken away) always meet, and no bits are asked of them. Lines that meet and pass the SimHash are candidates; of each
+group of candidates the edit similarity is checked, and of each connected group the first occurrence (least doc_id, then
+line) stays.
 
 Defined results: null texts stay null and have no lines; empty texts stay empty; rows that repeat a doc_id share their
 removals by line number; rows with a null doc_id keep all their lines and are no occurrence; an empty table gives no
@@ -28,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .cluster import linked
-from .graph import components, stars
+from .graph import components, stars, united
 from .store import drop, save
 from .text import FOLD, binaries, lines, mapped, mix, slices, texts, word_hashes, words
 
@@ -36,6 +39,7 @@ _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
 ALONE, KEYS, EACH, BITS = 7, 10, 3, 16
 BINS = KEYS * EACH
+SHORT = KEYS  # words; a line of as many has no room for itself as a key beside the line without each word
 NONE, GOLD = ~np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 #: Bit i of a byte as byte i of a word: sums of up to 255 such words count eight bits at once.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
@@ -89,17 +93,45 @@ def minima(feature: np.ndarray, n: np.ndarray) -> np.ndarray:
     return out.reshape(-1, BINS)
 
 
-def sketches(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """SimHash, characters and keys (KEYS of 48 bits, as three numbers of 16 each) of the lines ``take``."""
+def without_one(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """KEYS keys of each line of n <= SHORT words from ``begin`` on: without its words in turn, then whole; the rest repeat the first."""
+    if not len(n):
+        return np.zeros((0, KEYS), np.uint64)
+    place = np.arange(SHORT)
+    word, there = h[np.minimum(begin[:, None] + place, len(h) - 1)], place < n[:, None]
+    here, moved = (np.where(there, mix(word + mix((place + shift).astype(np.uint64) * GOLD)), np.uint64(0)) for shift in (1, 0))
+    whole, rest = here.sum(1, dtype=np.uint64), moved.sum(1, dtype=np.uint64)
+    before, upto = np.cumsum(here, 1, dtype=np.uint64) - here, np.cumsum(moved, 1, dtype=np.uint64)
+    size = n.astype(np.uint64)[:, None]
+    key = np.where(there, mix(before + rest[:, None] - upto + size - np.uint64(1)), mix(whole[:, None] + size))
+    return np.where(place <= n[:, None], key, key[:, :1])
+
+
+def sketches(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """SimHash, characters and keys of the lines ``take``: KEYS of 48 bits, as three numbers of 16 each, twice as many for short lines.
+
+    The lowest bit of a key tells the further keys of short lines, which have no order, from those of a place.
+    """
     if not len(take):
-        return np.zeros(0, np.int64), np.zeros(0, np.int32), np.zeros((0, BINS), np.uint16)
+        return np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.binary())
     feature, starts, n = features(flat, h, at, take)
     signs = np.concatenate(([0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False))))
     size = (signs[at[take + 1]] - signs[at[take]] + n - 1).astype(np.int32)
-    parts, key = minima(feature, n).reshape(-1, KEYS, EACH), np.zeros((len(take), KEYS), np.uint64)
+    short = n <= SHORT
+    key, parts = np.zeros((len(take), 2 * KEYS), np.uint64), minima(feature, n).reshape(-1, KEYS, EACH)
     for i in range(EACH):
-        key = mix(key * GOLD + parts[:, :, i])
-    return simhashes(feature, starts, n), size, key.view(np.uint16).reshape(-1, KEYS, 4)[:, :, :3].reshape(-1, BINS)
+        key[:, :KEYS] = mix(key[:, :KEYS] * GOLD + parts[:, :, i])
+    key[:, :KEYS] &= ~np.uint64(1)
+    key[short, KEYS:] = without_one(h, at[take[short]], n[short]) | np.uint64(1)
+    held = key.view(np.uint16).reshape(len(take), 2 * KEYS, 4)[:, :, :3].reshape(len(take), 2 * BINS)
+    there = np.repeat(np.stack((np.ones(len(take), bool), short), 1), BINS, axis=1)
+    return simhashes(feature, starts, n), size, binaries(np.concatenate(([0], np.cumsum(BINS + BINS * short))), held[there])
+
+
+def whole_keys(held: bytes) -> np.ndarray:
+    """KEYS numbers below 2^48 for each line, from the bytes of as many keys of all."""
+    parts = np.frombuffer(held, "<u2").reshape(-1, KEYS, EACH).astype(np.int64)
+    return parts[:, :, 0] | (parts[:, :, 1] << 16) | (parts[:, :, 2] << 32)
 
 
 def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -125,7 +157,6 @@ def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
             text = np.searchsorted(starts, take, "right") - 1
             node, (sim, size, keys) = digests(h, at), sketches(flat, h, at, take[full])
             near = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
-            keys = binaries(np.arange(len(keys) + 1) * BINS, keys.ravel())
             yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), binaries(np.arange(len(take) + 1) * 2, node[take].ravel()), pa.array(sim).take(near), pa.array(size).take(near), keys.take(near)], names=["doc", "line", "node", "sim", "size", "keys"])
 
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -133,40 +164,52 @@ def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
 
 
 def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> DataFrame:
-    """Links (a, b) that connect the sketches (sim, size, keys) which share a key, are at most ``most`` bits apart and of like size.
+    """Links (a, b) that connect the sketches (sim, size, keys) which share a key, are at most ``most`` bits apart (or have
+    the key of short lines) and are of like size.
 
-    Rows are dealt by key; each is compared with the rows before it that have the same key, across batches as well.
-    What connects is thinned to stars before it leaves the task, so a group of n gives about n links.
+    Rows are dealt by key; each is compared with the rows before it that have the same key, across batches as well, until
+    all rows of the key are connected: many variants of one line need a few comparisons each. Unlike rows of one key are
+    all compared. What connects is thinned to stars before it leaves the task, so a group of n gives about n links.
     """
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held = np.frombuffer(b"".join(x.as_buffer() for x in batch.column("keys")), "<u2").reshape(-1, KEYS, 3).astype(np.int64)
-            key = (held[:, :, 0] << 4) | (held[:, :, 1] << 20) | (held[:, :, 2] << 36)
+            keys, sim, size = batch.column("keys"), batch.column("sim"), batch.column("size")
+            key = whole_keys(b"".join(keys[i].as_buffer().slice(0, WIDE) for i in range(len(keys))))
             for c in range(KEYS):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, c] | c), batch.column("sim"), batch.column("size")], names=["key", "sim", "size"])
+                yield pa.RecordBatch.from_arrays([pa.array(key[:, c] << 4 | c), sim, size], names=["key", "sim", "size"])
+            short = np.flatnonzero(pc.binary_length(keys).to_numpy() > WIDE)
+            key = whole_keys(b"".join(keys[i].as_buffer().slice(WIDE) for i in short.tolist()))
+            for c in range(KEYS):
+                new = (key[:, c] != key[:, 0]) | (c == 0)
+                take = pa.array(short[new])
+                yield pa.RecordBatch.from_arrays([pa.array(key[new, c] << 4 | 15), sim.take(take), size.take(take)], names=["key", "sim", "size"])
 
     def thin(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(stars(*(pa.array(np.concatenate(x)) for x in zip(*found)))), names=["a", "b"])
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, found, n = [np.zeros(0, np.int64)] * 3, [], 0
+        held, label, found, n = [np.zeros(0, np.int64)] * 3, np.zeros(0, np.int64), [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
             fresh = len(held[0])
             key, sim, size = (np.concatenate((old, batch.column(c).to_numpy())) for old, c in zip(held, ("key", "sim", "size")))
-            at = np.arange(fresh, len(key))
-            gap = 1
+            label = np.concatenate((label, np.arange(fresh, len(key))))
+            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+            at, gap, look, joined = np.arange(fresh, len(key)), 1, 4, []
             while len(at):
                 at = at[at >= gap]
                 at = at[key[at] == key[at - gap]]
                 apart = np.bitwise_count((sim[at] ^ sim[at - gap]).view(np.uint64))
                 short, long = np.minimum(size[at], size[at - gap]), np.maximum(size[at], size[at - gap])
-                near = at[(apart > 0) & (apart <= most) & (long - short <= (1 - similarity) * long + 1e-9)]
+                like = ((apart <= most) | (key[at] & 15 == 15)) & (long - short <= (1 - similarity) * long + 1e-9)
+                near = at[(like | (apart == 0)) & (label[at] != label[at - gap])]
                 if len(near):
+                    joined.append((near, near - gap))
                     found.append((sim[near], sim[near - gap]))
                     n += len(near)
                 if n > 1 << 20:
@@ -176,13 +219,20 @@ def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> Dat
                         yield again
                         found, n = [], 0
                 gap += 1
-            tail = key == key[-1]
-            held = [key[tail], sim[tail], size[tail]]
+                if gap >= look and len(at):
+                    if joined:
+                        label, joined = united(label, *(np.concatenate(x) for x in zip(*joined))), []
+                    apart_yet = np.add.reduceat(label != label[starts][run], starts) > 0
+                    at, look = at[apart_yet[run[at]]], 2 * look
+            if joined:
+                label = united(label, *(np.concatenate(x) for x in zip(*joined)))
+            held = [x[starts[-1] :] for x in (key, sim, size)]
+            label = label[starts[-1] :] - starts[-1]
         if n:
             yield thin(found)
 
     dealt = lines_.select("sim", "size", "keys").mapInArrow(keyed, "key long, sim long, size int").repartition("key").sortWithinPartitions("key")
-    return dealt.mapInArrow(pairs, "a long, b long")
+    return dealt.mapInArrow(pairs, "a long, b long").where("a <> b")
 
 
 def least_cost(plus: int, minus: int, rows: int, column: int, ahead: int) -> int:
@@ -317,8 +367,8 @@ def distances(text: str, others: list[str]) -> np.ndarray:
     return len(text) + np.add.reduceat(up - down, starts)
 
 
-#: Bytes of a payload before the line: SimHash and keys.
-HEAD = 8 + 2 * BINS
+#: Bytes of KEYS keys. A payload is the SimHash, the keys, and the line behind a byte that says how many times KEYS they are.
+WIDE = 2 * BINS
 #: Classes of characters that are counted to tell unlike lines apart.
 SIGNS = 32
 
@@ -332,9 +382,10 @@ def matcher(similarity: float, most: int = BITS):
 
     def match(payloads: list[bytes]) -> Iterator[tuple[int, int]]:
         sims = np.array([int.from_bytes(p[:8], "little") for p in payloads], np.uint64)
-        keys = np.frombuffer(b"".join(p[8:HEAD] for p in payloads), "<u2").reshape(-1, KEYS, EACH).astype(np.int64)
-        keys = keys[:, :, 0] | (keys[:, :, 1] << 16) | (keys[:, :, 2] << 32)
-        strings = [p[HEAD:].decode() for p in payloads]
+        keys = whole_keys(b"".join(p[9 : 9 + WIDE] for p in payloads))
+        further = [whole_keys(p[9 + WIDE : 9 + 2 * WIDE])[0].tolist() if p[8] > 1 else () for p in payloads]
+        by_key: dict[int, list[int]] = {}  # short lines seen, by key
+        strings = [p[9 + WIDE * p[8] :].decode() for p in payloads]
         sizes = np.array([len(s) for s in strings])
         counts = np.stack([np.bincount(np.frombuffer(s.encode("utf-32-le"), np.uint32) % SIGNS, minlength=SIGNS) for s in strings]).astype(np.int32)
         label = np.arange(len(payloads))
@@ -344,9 +395,19 @@ def matcher(similarity: float, most: int = BITS):
             label[label == b] = a
             return other, me
 
-        for me in range(1, len(payloads)):
+        def meets(me: int) -> set[int]:
+            found = set()
+            for k in set(further[me]):
+                seen = by_key.setdefault(k, [])
+                found.update(seen)
+                seen.append(me)
+            return found
+
+        for me in range(len(payloads)):
             near = np.flatnonzero(np.bitwise_count(sims[:me] ^ sims[me]) <= most)
             near = near[(keys[near] == keys[me]).any(1)]
+            if further[me]:
+                near = np.union1d(near, np.array(list(meets(me)), np.int64))
             allowed = ((1 - similarity) * np.maximum(sizes[near], sizes[me]) + 1e-9).astype(np.int64)
             change = counts[near] - counts[me]
             maybe = np.maximum(np.maximum(change, 0).sum(1), np.maximum(-change, 0).sum(1)) <= allowed
@@ -386,7 +447,7 @@ def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
                 starts, found, at = normal_lines(pa.array([flat[w["line"]] for w in some], pa.string()))
                 for i, w in enumerate(some):
                     ids.append(w["node"])
-                    out.append(w["sim"].to_bytes(8, "little", signed=True) + w["keys"] + " ".join(found.slice(at[i], at[i + 1] - at[i]).to_pylist()).encode())
+                    out.append(w["sim"].to_bytes(8, "little", signed=True) + bytes([len(w["keys"]) // WIDE]) + w["keys"] + " ".join(found.slice(at[i], at[i + 1] - at[i]).to_pylist()).encode())
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=["id", "payload"])
 
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "node", "sim", "keys")).alias("wants"))

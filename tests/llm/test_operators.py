@@ -181,6 +181,47 @@ def test_near_lines_against_brute_force(spark):
     assert len(gone) >= 0.95 * len(pairs)
 
 
+def test_short_lines_meet_if_one_word_differs(spark):
+    """Lines of 5 to 10 words with one word replaced, put in or taken away: every link of similarity 0.8 and more is found."""
+    import random
+
+    from regloom.llm import line_dedup
+
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(2, 9)))
+    pairs = []
+    while len(pairs) < 200:
+        first = [word() for _ in range(r.randint(5, 10))]
+        second, at = list(first), r.randrange(len(first))
+        if len(pairs) % 3 == 0:
+            second[at] = word()
+        elif len(pairs) % 3 == 1 and len(first) < 10:
+            second.insert(at, word())
+        elif len(first) > 5:
+            del second[at]
+        a, b = " ".join(first), " ".join(second)
+        if a != b and line_dedup.edit_distance(a, b, len(a)) <= int(0.2 * max(len(a), len(b)) + 1e-9):
+            pairs.append((a, b))
+    docs = spark.createDataFrame([(2 * i + k, p[k]) for i, p in enumerate(pairs) for k in (0, 1)], "doc_id bigint, text string").repartition(5)
+    assert {x.doc for x in line_dedup.removals(spark, docs).collect()} == {2 * i + 1 for i in range(len(pairs))}
+
+
+def test_many_variants_of_one_line(spark):
+    """Variants that share keys, over several batches of a task: one group, and far fewer links than pairs."""
+    from regloom.llm import line_dedup
+    from regloom.llm.graph import components
+
+    letters = lambda i: "".join(chr(97 + int(d)) for d in str(i))
+    same, n = "home news sport weather travel business culture radio music food help", 3000
+    docs = spark.createDataFrame([(i, f"{same} page {letters(i)} of {letters(i // 7)}") for i in range(n)], "doc_id bigint, text string")
+    table = line_dedup.line_table(docs, "doc_id", 5).persist()
+    links = line_dedup.near_sketches(table, 0.8).persist()
+    found = components(spark, links)
+    assert links.count() <= 10 * n
+    assert found.select("root").distinct().count() == 1 and found.count() == table.select("sim").distinct().count() - 1
+    table.unpersist(), links.unpersist()
+
+
 def test_short_lines_are_cut_if_equal(spark):
     from regloom.llm import line_dedup
 
