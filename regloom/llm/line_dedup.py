@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from .cluster import linked
 from .graph import components, stars, united
 from .store import drop, save
-from .text import FOLD, binaries, lines, mapped, mix, slices, texts, word_hashes, words
+from .text import FOLD, binaries, groups, lines, mapped, mix, slices, texts, word_hashes, words
 
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
@@ -44,6 +44,7 @@ NONE, GOLD = ~np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 #: Bit i of a byte as byte i of a word: sums of up to 255 such words count eight bits at once.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 LOOK = 32
+BUCKET = 1 << 20  # keys that a task holds at a time, but for those of one key
 
 
 def normal_lines(strings: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
@@ -167,71 +168,77 @@ def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> Dat
     """Links (a, b) that connect the sketches (sim, size, keys) which share a key, are at most ``most`` bits apart (or have
     the key of short lines) and are of like size.
 
-    Rows are dealt by key; each is compared with the rows before it that have the same key, across batches as well, until
-    all rows of the key are connected: many variants of one line need a few comparisons each. Unlike rows of one key are
-    all compared. What connects is thinned to stars before it leaves the task, so a group of n gives about n links.
+    Rows are dealt by key, packed by bucket of keys; each is compared with the others of its key until all of them are
+    connected: many variants of one line need a few comparisons each. Unlike rows of one key are all compared. What
+    connects is thinned to stars before it leaves the task, so a group of n gives about n links.
     """
+    buckets = max(64, -(-lines_.count() * KEYS // BUCKET))
+
+    def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        key, sim, size = (np.concatenate(x) for x in zip(*held))
+        bucket = (mix(key.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+        order = np.argsort(bucket, kind="stable")
+        full, n = np.unique(bucket, return_counts=True)
+        cuts = np.append(0, np.cumsum(n))
+        return pa.RecordBatch.from_arrays([pa.array(full), *(binaries(cuts, x[order]) for x in (key, sim, size))], names=["bucket", "key", "sim", "size"])
 
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, n = [], 0
         for batch in batches:
             if not batch.num_rows:
                 continue
-            keys, sim, size = batch.column("keys"), batch.column("sim"), batch.column("size")
+            keys, sim, size = batch.column("keys"), batch.column("sim").to_numpy(), batch.column("size").to_numpy()
             key = whole_keys(b"".join(keys[i].as_buffer().slice(0, WIDE) for i in range(len(keys))))
-            for c in range(KEYS):
-                yield pa.RecordBatch.from_arrays([pa.array(key[:, c] << 4 | c), sim, size], names=["key", "sim", "size"])
+            held.append(((key << 4 | np.arange(KEYS)).ravel(), np.repeat(sim, KEYS), np.repeat(size, KEYS)))
             short = np.flatnonzero(pc.binary_length(keys).to_numpy() > WIDE)
             key = whole_keys(b"".join(keys[i].as_buffer().slice(WIDE) for i in short.tolist()))
-            for c in range(KEYS):
-                new = (key[:, c] != key[:, 0]) | (c == 0)
-                take = pa.array(short[new])
-                yield pa.RecordBatch.from_arrays([pa.array(key[new, c] << 4 | 15), sim.take(take), size.take(take)], names=["key", "sim", "size"])
+            line, c = np.nonzero((key != key[:, :1]) | (np.arange(KEYS) == 0))
+            held.append((key[line, c] << 4 | 15, sim[short[line]], size[short[line]]))
+            n += sum(len(x[0]) for x in held[-2:])
+            if n >= BUCKET:
+                yield packed(held)
+                held, n = [], 0
+        if n:
+            yield packed(held)
+
+    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in groups(batches, ["bucket"]):
+            key, sim, size = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("key", np.int64), ("sim", np.int64), ("size", np.int32)))
+            order = np.argsort(key)
+            yield from (thin(x) for x in joins(key[order], sim[order], size[order]))
 
     def thin(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(stars(*(pa.array(np.concatenate(x)) for x in zip(*found)))), names=["a", "b"])
 
-    def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, label, found, n = [np.zeros(0, np.int64)] * 3, np.zeros(0, np.int64), [], 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            fresh = len(held[0])
-            key, sim, size = (np.concatenate((old, batch.column(c).to_numpy())) for old, c in zip(held, ("key", "sim", "size")))
-            label = np.concatenate((label, np.arange(fresh, len(key))))
-            starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
-            run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
-            at, gap, look, joined = np.arange(fresh, len(key)), 1, 4, []
-            while len(at):
-                at = at[at >= gap]
-                at = at[key[at] == key[at - gap]]
-                apart = np.bitwise_count((sim[at] ^ sim[at - gap]).view(np.uint64))
-                short, long = np.minimum(size[at], size[at - gap]), np.maximum(size[at], size[at - gap])
-                like = ((apart <= most) | (key[at] & 15 == 15)) & (long - short <= (1 - similarity) * long + 1e-9)
-                near = at[(like | (apart == 0)) & (label[at] != label[at - gap])]
-                if len(near):
-                    joined.append((near, near - gap))
-                    found.append((sim[near], sim[near - gap]))
-                    n += len(near)
-                if n > 1 << 20:
-                    again = thin(found)
-                    found, n = [(again.column("a").to_numpy(), again.column("b").to_numpy())], again.num_rows
-                    if n > 1 << 19:
-                        yield again
-                        found, n = [], 0
-                gap += 1
-                if gap >= look and len(at):
-                    if joined:
-                        label, joined = united(label, *(np.concatenate(x) for x in zip(*joined))), []
-                    apart_yet = np.add.reduceat(label != label[starts][run], starts) > 0
-                    at, look = at[apart_yet[run[at]]], 2 * look
-            if joined:
-                label = united(label, *(np.concatenate(x) for x in zip(*joined)))
-            held = [x[starts[-1] :] for x in (key, sim, size)]
-            label = label[starts[-1] :] - starts[-1]
+    def joins(key: np.ndarray, sim: np.ndarray, size: np.ndarray) -> Iterator[list[tuple[np.ndarray, np.ndarray]]]:
+        label, found, n, joined = np.arange(len(key)), [], 0, []
+        starts = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+        run = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(key))))
+        at, gap, look = np.arange(len(key)), 1, 4
+        while len(at):
+            at = at[at >= gap]
+            at = at[run[at] == run[at - gap]]
+            apart = np.bitwise_count((sim[at] ^ sim[at - gap]).view(np.uint64))
+            short, long = np.minimum(size[at], size[at - gap]), np.maximum(size[at], size[at - gap])
+            like = ((apart <= most) | (key[at] & 15 == 15)) & (long - short <= (1 - similarity) * long + 1e-9)
+            near = at[(like | (apart == 0)) & (label[at] != label[at - gap])]
+            if len(near):
+                joined.append((near, near - gap))
+                found.append((sim[near], sim[near - gap]))
+                n += len(near)
+            if n > BUCKET:
+                yield found
+                found, n = [], 0
+            gap += 1
+            if gap >= look and len(at):
+                if joined:
+                    label, joined = united(label, *(np.concatenate(x) for x in zip(*joined))), []
+                apart_yet = np.add.reduceat(label != label[starts][run], starts) > 0
+                at, look = at[apart_yet[run[at]]], 2 * look
         if n:
-            yield thin(found)
+            yield found
 
-    dealt = lines_.select("sim", "size", "keys").mapInArrow(keyed, "key long, sim long, size int").repartition("key").sortWithinPartitions("key")
+    dealt = lines_.select("sim", "size", "keys").mapInArrow(keyed, "bucket int, key binary, sim binary, size binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(pairs, "a long, b long").where("a <> b")
 
 
