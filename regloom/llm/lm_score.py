@@ -1,69 +1,63 @@
 """Language-model scores by a hierarchical Pitman-Yor model.
 
-Restaurants: one for each context (the previous token, hashed to ``contexts`` ids), all with one common parent for
-single tokens, whose base is uniform over the training vocabulary and one unknown token. The seating of a dish (token)
-is kept as counts of customers and tables. Given the numbers of tables of all restaurants, dishes are independent of
-each other: so dishes are dealt over tasks, each task re-seats its dishes by block Gibbs sweeps (the tables of a dish
-in a restaurant are drawn from the Chinese-restaurant conditional given everything else), and the tables of every
-restaurant are summed between rounds. The last round averages the predictive probability over several sweeps.
-
-Frequent tokens (over 1 / 16384 of a piece of text, at most 4096) never travel: their restaurants are summed to a
-bounded table and they are scored where the text is. All others go to buckets by token hash as packed arrays, so the
-shuffle grows with the corpus and no bucket holds a frequent token. Discounts are estimated from how many counts are
-1 and 2; draws are seeded by bucket and sweep, so a lost task repeats them.
-
-Tokens are told apart by a 64-bit hash. Defined results: null and empty texts are a single end token; rows that repeat
-a doc_id are one document with the tokens of all; rows with a null doc_id are scored together and never trained on.
-Without training rows every probability is that of the unknown token, 1. An empty table gives no rows; of the columns
-only the id and the text are read. Texts are read whole.
+Restaurants: one for each previous token (or the start of a text) that training holds, whatever their number; all share
+a parent for single tokens, whose base is uniform over the training vocabulary and one unknown token. A context that
+training doesn't hold is an empty restaurant, so its tokens are told by the parent alone.
+
+The seating is a table with a row for each (context, token): its customers ``c`` and tables ``t``. A round of block
+Gibbs sampling sums customers and tables by context, tables by token (the customers of the parent), joins both sums to
+the rows and draws the tables of each row by the Chinese-restaurant conditional: the generalised Stirling numbers times
+the rising weights of further tables in the context and in the parent, the row's own tables taken out. All rows are
+drawn at once from the sums of the round before, as parallel samplers do; that, groups of a tenth beyond 64 customers,
+and parent tables that open only where a dish has none, are the approximations. Strengths follow the auxiliary variables
+of the Pitman-Yor process at their expected values, each round; discounts come from how many counts are 1 and 2. The
+predictive probability of every row is averaged over the last rounds.
+
+Counts are summed in the task, then by Spark, so a frequent pair is one row for each piece of text. For scoring, pairs
+with at least 1 / 16384 of all tokens (so at most 16384 of them) are looked up where the text is; the others travel to
+buckets by pair, packed, where rows stream past the probabilities of their bucket. Draws follow from the hash of the pair
+and the round alone, so a lost task repeats them.
+
+Tokens and pairs are told apart by 64-bit hashes. Defined results: null and empty texts are a single end token; every
+row is scored by itself, with repeated or null ids as well; rows with a null id are never trained on. Without
+training rows every probability is that of the unknown token, 1. An empty table gives no rows; of the columns only the
+id and the text are read. Texts are read whole.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .store import save
-from .text import LOWER, groups, hashes, mapped, mix, slices, texts, words
+from .store import drop, save
+from .text import LOWER, binaries, mapped, mix, slices, texts, word_hashes, words
 
 END = mix(np.array([0xE0D], np.uint64))[0]
 START = mix(np.array([0x57A], np.uint64))[0]
+GOLD = np.uint64(0x9E3779B97F4A7C15)
 FIX = 1e9  # sums of logarithms are kept as integers: their order doesn't matter
-HOT_SHARE, HOT_MOST = 1 << 14, 4096
-BUCKET = 1 << 19
+HOT_SHARE = 1 << 14
+BUCKET = 1 << 21
 
 
-def tokens(piece: pa.RecordBatch, contexts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes (an end after each text), the context of each, and where each text's tokens start."""
+def tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes (an end after each text), the token before each, and where each text's tokens start."""
     flat, starts = words(mapped(texts(piece), LOWER))
     n = len(starts) - 1
-    h = np.insert(hashes(flat), starts[1:], np.full(n, END))
+    h = np.insert(word_hashes(flat), starts[1:], np.full(n, END))
     starts = starts + np.arange(n + 1)
     before = np.concatenate((np.array([START], np.uint64), h[:-1]))[: len(h)]
     before[starts[:-1]] = START
-    return h, (mix(before) % np.uint64(contexts)).astype(np.int64), starts
+    return h, before, starts
 
 
-def frequent(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Sorted hashes of at most HOT_MOST frequent tokens, and the number of all tokens."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            h, _, _ = tokens(piece, 1)
-            value, n = np.unique(h, return_counts=True)
-            many = n * HOT_SHARE >= len(h) + 16 * HOT_SHARE
-            yield pa.RecordBatch.from_arrays([pa.array([None, *value[many].view(np.int64).tolist()], pa.int64()), pa.array(np.append(len(h), n[many]))], names=["h", "n"])
-
-    found = docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).persist()
-    total = found.where("h is null").first()
-    top = found.where("h is not null").orderBy(F.desc("n"), "h").limit(HOT_MOST).collect()
-    found.unpersist()
-    return np.sort(np.array([r.h for r in top], np.int64).view(np.uint64)), int(total.n) if total else 0
+def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return mix(before * GOLD + h)
 
 
 def is_in(h: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -74,93 +68,19 @@ def is_in(h: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, ordered[at] == h
 
 
-def dealt(docs: DataFrame, hot: np.ndarray, buckets: int, contexts: int) -> DataFrame:
-    """(bucket, h, ctx, doc, n): packed tokens by bucket; buckets below 0 hold counts of frequent training tokens.
-
-    ``docs`` has doc, train and text. A document in training has its tokens' context + ``contexts``.
-    """
+def count_pairs(docs: DataFrame) -> DataFrame:
+    """(u, w, c, n): context, token, customers in training and occurrences in all texts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, int] = {}
-        seen = np.zeros((len(hot), contexts), np.int32)
         for piece in slices(batches):
-            h, ctx, starts = tokens(piece, contexts)
-            text = np.repeat(np.arange(piece.num_rows), np.diff(starts))
-            train = piece.column("train").to_numpy(zero_copy_only=False).astype(bool)[text]
-            at, frequent_ = is_in(h, hot)
-            both = frequent_ & train
-            np.add.at(seen, (at[both], ctx[both]), 1)
-            rest = np.flatnonzero(~frequent_)
-            bucket = (h[rest] >> np.uint64(20)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            rest, docs_ = rest[order], piece.column("doc")
-            full = np.flatnonzero(np.diff(cuts))
-            cols = [[h[rest[cuts[b] : cuts[b + 1]]].tobytes() for b in full], [(ctx + contexts * train)[rest[cuts[b] : cuts[b + 1]]].astype(np.uint32).tobytes() for b in full]]
-            owner = pa.ListArray.from_arrays(pa.array(np.append(cuts[full], cuts[-1]).astype(np.int32)), docs_.take(pa.array(text[rest])))
-            yield pa.RecordBatch.from_arrays([pa.array(full.astype(np.int32)), pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), owner, pa.nulls(len(full), pa.binary())], names=["bucket", "h", "ctx", "doc", "n"])
-        if len(hot) and seen.any():
-            parts = min(64, len(hot))
-            for part in range(parts):
-                w, u = np.nonzero(seen[part::parts])
-                if len(w):
-                    w = w * parts + part
-                    yield pa.RecordBatch.from_arrays([pa.array([-1 - part], pa.int32()), pa.array([hot[w].tobytes()], pa.binary()), pa.array([u.astype(np.uint32).tobytes()], pa.binary()), pa.nulls(1, pa.list_(piece.schema.field("doc").type)), pa.array([seen[w, u].astype(np.int64).tobytes()], pa.binary())], names=["bucket", "h", "ctx", "doc", "n"])
-
-    kind = docs.schema["doc"].dataType.simpleString()
-    return docs.select("doc", "train", "text").mapInArrow(run, f"bucket int, h binary, ctx binary, doc array<{kind}>, n binary")
-
-
-def buffers(table: pa.Table, column: str) -> list[pa.Buffer]:
-    return [x.as_buffer() for x in table.column(column)]
-
-
-POSTINGS = "bucket int, dish binary, ctx binary, doc array<{kind}>, hash binary, pair_dish binary, pair_ctx binary, pair_n binary, types long, customers binary, ones long, twos long, ones1 long, twos1 long"
-
-
-def dishes(rows: DataFrame, kind: str, contexts: int) -> DataFrame:
-    """One row for each bucket: dishes of its tokens, and customers of each (dish, context) in training."""
+            h, before, starts = tokens(piece)
+            train = np.repeat(piece.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
+            _, first, at, n = np.unique(pair(before, h), return_index=True, return_inverse=True, return_counts=True)
+            c = np.bincount(at[train], minlength=len(first))
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (before[first].view(np.int64), h[first].view(np.int64), c, n))], names=["u", "w", "c", "n"])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (bucket,), table in groups(batches, ["bucket"]):
-            h = np.concatenate([np.frombuffer(b, np.uint64) for b in buffers(table, "h")])
-            ctx = np.concatenate([np.frombuffer(b, np.uint32) for b in buffers(table, "ctx")]).astype(np.int64)
-            kinds, dish = np.unique(h, return_inverse=True)
-            if bucket < 0:
-                n = np.concatenate([np.frombuffer(b, np.int64) for b in buffers(table, "n")])
-                key, at = np.unique(dish * contexts + ctx, return_inverse=True)
-                count = np.bincount(at, n).astype(np.int64)
-                dish, ctx, doc = dish[:0], ctx[:0], table.column("doc").combine_chunks().slice(0, 1)
-            else:
-                train = ctx >= contexts
-                ctx = ctx % contexts
-                key, count = np.unique((dish * contexts + ctx)[train], return_counts=True)
-                values = pa.concat_arrays([c.flatten() for c in table.column("doc").chunks])
-                doc = pa.ListArray.from_arrays(pa.array([0, len(values)], pa.int32()), values)
-            each = np.bincount(key // contexts, count, len(kinds)).astype(np.int64)
-            mine = np.bincount(key % contexts, count, contexts).astype(np.int64)
-            some = [pa.array([x.tobytes()], pa.binary()) for x in (dish.astype(np.uint32), ctx.astype(np.uint16 if contexts <= 65536 else np.uint32))]
-            pairs = [pa.array([x.tobytes()], pa.binary()) for x in (kinds if bucket < 0 else kinds[:0], (key // contexts).astype(np.uint32), (key % contexts).astype(np.uint32), count.astype(np.int64))]
-            counts = [pa.array([int(x)], pa.int64()) for x in ((count == 1).sum(), (count == 2).sum(), (each == 1).sum(), (each == 2).sum())]
-            arrays = [pa.array([bucket], pa.int32()), *some, doc, *pairs, pa.array([int((each > 0).sum())], pa.int64()), pa.array([mine.tobytes()], pa.binary()), *counts]
-            yield pa.RecordBatch.from_arrays(arrays, names=[f.split()[0] for f in POSTINGS.split(", ")])
-
-    return rows.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(run, POSTINGS.format(kind=kind))
-
-
-@dataclass
-class Totals:
-    """What all dishes share: sizes, discounts and strengths, customers and tables of each context and of the parent."""
-
-    contexts: int
-    vocabulary: int
-    tokens: int
-    customers: np.ndarray
-    discount: tuple[float, float]  # of contexts, of the parent
-    strength: tuple[float, float]
-    tables: np.ndarray
-    parent_customers: float
-    parent_tables: float
+    found = docs.select("train", "text").mapInArrow(run, "u long, w long, c long, n long")
+    return found.groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
 
 
 def stirling(discount: float, most: int = 64) -> np.ndarray:
@@ -176,219 +96,302 @@ def stirling(discount: float, most: int = 64) -> np.ndarray:
     return out
 
 
-def seat(c: np.ndarray, weight: np.ndarray, discount: float, rng: np.random.Generator, table: np.ndarray) -> np.ndarray:
-    """Tables drawn for c customers of one dish, ``weight`` being (strength + discount * tables) * parent probability.
+def uniform(bits: np.ndarray) -> np.ndarray:
+    return ((mix(bits) >> np.uint64(11)).astype(np.float64) + 0.5) / (1 << 53)
+
+
+def binomial(n: np.ndarray, p: np.ndarray, bits: np.ndarray) -> np.ndarray:
+    """Successes of n trials: by the distribution function for means up to 10, beyond by the normal curve."""
+    p = np.minimum(p, 1 - 1e-12)
+    u, few = uniform(bits), n * p <= 10
+    z = np.sqrt(-2 * np.log(u)) * np.cos(2 * np.pi * uniform(bits + GOLD))
+    out = np.clip(np.round(n * p + z * np.sqrt(n * p * (1 - p))), 0, n)
+    mass = np.exp(n * np.log1p(-p))
+    total, k = mass.copy(), np.zeros(len(n))
+    for step in range(64):
+        over = (u > total) & (k == step)
+        k = k + over
+        mass = mass * np.maximum(n - step, 0) / (step + 1) * p / (1 - p)
+        total = total + mass
+    return np.where(few, np.minimum(k, n), out).astype(np.int64)
+
+
+def seat(c: np.ndarray, weight: Callable, discount: float, bits: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Tables drawn for c customers; ``weight(rows, t)`` is that of a further table for rows that have t.
 
     Up to 64 customers from the exact conditional; further ones enter in groups of a tenth, at new tables with the
-    probability that holds when the group enters.
+    probability that holds when the group enters. ``bits`` decide the draw of each row.
     """
     out = np.minimum(c, 1).astype(np.int64)
-    first, exact = np.minimum(c, 64), len(table) - 1
-    log_weight = np.log(weight)
+    exact = len(table) - 1
+    first, u = np.minimum(c, exact), uniform(bits)
     order = np.argsort(first, kind="stable")
     cuts = np.searchsorted(first[order], np.arange(2, exact + 2))
     for n in range(2, exact + 1):
         at = order[cuts[n - 2] : cuts[n - 1]]
         for part in np.array_split(at, max(1, len(at) * n >> 20)):
             if len(part):
-                scores = table[n, 1 : n + 1] + np.arange(1, n + 1) * log_weight[part, None] + rng.gumbel(size=(len(part), n))
-                out[part] = scores.argmax(1) + 1
+                scores = table[n, 1 : n + 1] + np.cumsum(np.log(weight(part[:, None], np.arange(n)[None, :])), 1)
+                mass = np.cumsum(np.exp(scores - scores.max(1, keepdims=True)), 1)
+                out[part] = 1 + np.minimum((mass < u[part, None] * mass[:, -1:]).sum(1), n - 1)
     at = np.flatnonzero(c > exact)
-    seated = np.full(len(at), exact)
+    seated, bits = np.full(len(at), exact), bits[at]
     while len(at):
-        group = np.minimum(np.maximum(seated // 10, 1), c[at] - seated)
-        out[at] += rng.binomial(group, weight[at] / (seated - discount * out[at] + weight[at]))
+        group, bits = np.minimum(seated // 10, c[at] - seated), mix(bits + GOLD)
+        new = weight(at[:, None], out[at][:, None])[:, 0]
+        out[at] += binomial(group, new / (seated - discount * out[at] + new), bits)
         seated = seated + group
         left = seated < c[at]
-        at, seated = at[left], seated[left]
+        at, seated, bits = at[left], seated[left], bits[left]
     return out
 
 
-class Dishes:
-    """The dishes of one bucket with their seating."""
+def digamma(x: np.ndarray) -> np.ndarray:
+    x, out = np.array(x, np.float64), 0.0
+    for _ in range(8):
+        out, x = out - 1 / x, x + 1
+    y = 1 / (x * x)
+    return out + np.log(x) - 0.5 / x - y * (1 / 12 - y * (1 / 120 - y / 252))
+
+
+def evidence(c: np.ndarray, t: np.ndarray, discount: float, strength: float) -> tuple[float, float]:
+    """Expected auxiliary variables of restaurants, summed: tables opened by the strength, and minus logs of betas."""
+    many = c > 1
+    c, t, ratio = c[many], t[many], strength / discount
+    return float((ratio * (digamma(t + ratio) - digamma(1 + ratio))).sum()), float((digamma(strength + c) - digamma(strength + 1)).sum())
+
+
+@dataclass(frozen=True)
+class Totals:
+    """What all rows share: sizes, discounts and strengths (of contexts, of the parent), customers and tables of the parent."""
+
+    vocabulary: int
+    tokens: int
+    discount: tuple[float, float]
+    strength: tuple[float, float]
+    customers: int = 0
+    tables: int = 0
+
+    @property
+    def base(self) -> float:
+        return (self.strength[1] + self.discount[1] * self.tables) / (self.vocabulary + 1)
+
+    def parent(self, c1, t1):
+        """Probability of a token in the parent, of which it has c1 customers and t1 tables."""
+        return (c1 - self.discount[1] * t1 + self.base) / (self.strength[1] + self.customers)
 
-    def __init__(self, row: dict, totals: Totals, seed: int):
-        self.totals, self.rng = totals, np.random.default_rng([seed, row["bucket"] + 1_000_000])
-        self.dish = np.frombuffer(row["pair_dish"], np.uint32).astype(np.int64)
-        self.ctx = np.frombuffer(row["pair_ctx"], np.uint32).astype(np.int64)
-        self.n = np.frombuffer(row["pair_n"], np.int64)
-        self.size = int(max(self.dish.max(initial=-1), np.frombuffer(row["dish"], np.uint32).astype(np.int64).max(initial=-1))) + 1
-        self.t = np.minimum(self.n, 1)
-        self.c1 = np.bincount(self.dish, self.t, self.size).astype(np.int64)
-        self.t1 = np.minimum(self.c1, 1)
-        self.stirling = [stirling(d) for d in totals.discount]
+    def predict(self, c, t, c_all, t_all, parent):
+        """Probability of a token in a context from its customers and tables, those of the context, and the parent's."""
+        d, s = self.discount[0], self.strength[0]
+        return (c - d * t + (s + d * t_all) * parent) / (s + c_all)
 
-    def parent(self) -> np.ndarray:
-        """Probability of each dish in the parent restaurant."""
-        x = self.totals
+
+def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
+    return batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
+
+
+def shares(one: int, two: int) -> float:
+    return min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
+
+
+def sums(spark: SparkSession, state: DataFrame, x: Totals, round_: int, seed: int) -> tuple[DataFrame, DataFrame, Totals]:
+    """Customers and tables of each context; those of each token in the parent, whose tables are drawn; the totals."""
+    rest = save(spark, state.where("c > 0").groupBy("u").agg(F.sum("c").alias("c_all"), F.sum("t").alias("t_all")), "restaurants")
+    before = x.tables or x.vocabulary
+
+    def drawn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, s = x.discount[1], x.strength[1]
-        return (self.c1 - d * self.t1 + (s + d * x.parent_tables) / (x.vocabulary + 1)) / (s + x.parent_customers)
-
-    def sweep(self) -> None:
-        x = self.totals
-        weight = (x.strength[0] + x.discount[0] * x.tables[self.ctx]) * self.parent()[self.dish]
-        self.t = seat(self.n, weight, x.discount[0], self.rng, self.stirling[0])
-        self.c1 = np.bincount(self.dish, self.t, self.size).astype(np.int64)
-        base = np.full(self.size, (x.strength[1] + x.discount[1] * x.parent_tables) / (x.vocabulary + 1))
-        self.t1 = seat(self.c1, base, x.discount[1], self.rng, self.stirling[1])
-
-    def average(self, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
-        """Tables of each pair and parent probability of each dish, averaged over sweeps."""
-        tables, parent = np.zeros(len(self.n)), np.zeros(self.size)
-        for _ in range(sweeps):
-            self.sweep()
-            tables += self.t / sweeps
-            parent += self.parent() / sweeps
-        return tables, parent
-
-
-def predict(x: Totals, ctx: np.ndarray, n: np.ndarray, tables: np.ndarray, parent: np.ndarray) -> np.ndarray:
-    """Probability of a dish in a context from its customers, tables and parent probability there."""
-    d, s = x.discount[0], x.strength[0]
-    return (n - d * tables + (s + d * x.tables[ctx]) * parent) / (s + x.customers[ctx])
-
-
-def rows_of(batches: Iterable[pa.RecordBatch]) -> Iterator[dict]:
-    for batch in batches:
-        for i in range(batch.num_rows):
-            cells = {n: batch.column(n)[i] for n in batch.schema.names}
-            yield {n: c.as_buffer() if pa.types.is_binary(c.type) else c if n == "doc" else c.as_py() for n, c in cells.items()}
-        pa.default_memory_pool().release_unused()
-
-
-def fit(spark: SparkSession, postings: DataFrame, contexts: int, seed: int, rounds: int, sweeps: int) -> Totals:
-    """Sizes and discounts from the counts, then rounds of sweeps, after each of which tables are summed by context."""
-    sizes = postings.agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("types", "ones", "twos", "ones1", "twos1"))).first()
-
-    def customers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(contexts, np.int64)
-        for row in rows_of(batches):
-            total += np.frombuffer(row["customers"], np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(contexts)), pa.array(total)], names=["ctx", "n"])
-
-    def summed(df: DataFrame) -> np.ndarray:
-        out = np.zeros(contexts + 2)
-        for r in df.groupBy("ctx").agg(F.sum("n").alias("n")).collect():
-            out[r.ctx] = r.n
-        return out
-
-    mine = summed(postings.select("customers").mapInArrow(customers, "ctx long, n long"))[:contexts]
-    discount = tuple(min(0.95, max(0.1, a / (a + 2 * b))) if a + b else 0.5 for a, b in ((sizes.ones, sizes.twos), (sizes.ones1, sizes.twos1)))
-    tokens_ = int(mine.sum())
-    x = Totals(contexts, int(sizes.types), tokens_, mine, discount, (10.0, 100.0), np.minimum(mine, 0.5 * mine + 1), 0.5 * tokens_ + 1, float(sizes.types))
-
-    def tables(x: Totals, round_: int):
-        def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(contexts + 2, np.int64)
-            for row in rows_of(batches):
-                d = Dishes(row, x, seed + round_)
-                for _ in range(sweeps):
-                    d.sweep()
-                total[:contexts] += np.bincount(d.ctx, d.t, contexts).astype(np.int64)
-                total[contexts:] += [d.c1.sum(), d.t1.sum()]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(contexts + 2)), pa.array(total)], names=["ctx", "n"])
-
-        return run
-
-    for r in range(rounds):
-        got = summed(postings.select("bucket", "dish", "pair_dish", "pair_ctx", "pair_n").mapInArrow(tables(x, r), "ctx long, n long"))
-        x = Totals(contexts, x.vocabulary, tokens_, mine, discount, x.strength, got[:contexts], got[contexts], got[contexts + 1])
-    return x
-
-
-def hot_table(postings: DataFrame, x: Totals, hot: np.ndarray, seed: int, sweeps: int) -> tuple[np.ndarray, np.ndarray]:
-    """Probability of each frequent token in each context (float32) and its training count: bounded by HOT_MOST."""
+        table = stirling(d)
+        for b in batches:
+            c1 = column(b, "c1")
+            others = max(before - 1, 0)
+            bits = mix(column(b, "w").view(np.uint64)) + np.uint64(2 * (seed + 64 * round_) + 1)
+            t1 = seat(c1, lambda rows, t: (s + d * (others + t)) / (x.vocabulary + 1) + 0.0 * rows, d, bits, table)
+            yield pa.RecordBatch.from_arrays([b.column("w"), b.column("c_w"), b.column("c1"), pa.array(t1)], names=["w", "c_w", "c1", "t1"])
+
+    dish = state.groupBy("w").agg(F.sum("c").alias("c_w"), F.sum("t").alias("c1")).mapInArrow(drawn, "w long, c_w long, c1 long, t1 long")
+    dish = save(spark, dish, "dishes")
+
+    def weighed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            opened, logs = evidence(column(b, "c_all"), column(b, "t_all"), x.discount[0], x.strength[0])
+            yield pa.RecordBatch.from_arrays([pa.array([opened]), pa.array([logs])], names=["opened", "logs"])
+
+    size = dish.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("c"), F.coalesce(F.sum("t1"), F.lit(0)).alias("t")).first()
+    seen = rest.mapInArrow(weighed, "opened double, logs double").agg(F.coalesce(F.sum("opened"), F.lit(0.0)).alias("a"), F.coalesce(F.sum("logs"), F.lit(0.0)).alias("b")).first()
+    above = evidence(np.array([size.c]), np.array([size.t]), x.discount[1], x.strength[1])
+    strength = tuple(min(1e6, max(1e-3, (1 + a) / (0.01 + b))) for a, b in ((seen.a, seen.b), above)) if x.tokens else x.strength
+    return rest, dish, replace(x, strength=strength, customers=int(size.c), tables=int(size.t))
+
+
+def step(state: DataFrame, rest: DataFrame, dish: DataFrame, x: Totals, bits_of_round: int, take: bool, draw: bool) -> DataFrame:
+    """The rows with their predictive probability added to ``p`` (if ``take``) and tables drawn anew (if ``draw``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            d = Dishes(row, x, seed)
-            t, parent = d.average(sweeps)
-            h = np.frombuffer(row["hash"], np.int64)
-            pairs = [pa.array([v.tobytes()], pa.binary()) for v in (h, parent, d.dish, d.ctx, d.n, t)]
-            yield pa.RecordBatch.from_arrays(pairs, names=["h", "parent", "dish", "ctx", "n", "t"])
-
-    prob = np.zeros((len(hot), x.contexts), np.float32)
-    count = np.zeros(len(hot), np.int64)
-    every = np.arange(x.contexts)
-    prob[:] = predict(x, every, 0, 0, (x.strength[1] + x.discount[1] * x.parent_tables) / (x.vocabulary + 1) / (x.strength[1] + x.parent_customers))
-    some = postings.where("bucket < 0").select("bucket", "dish", "hash", "pair_dish", "pair_ctx", "pair_n")
-    for r in some.mapInArrow(run, "h binary, parent binary, dish binary, ctx binary, n binary, t binary").toLocalIterator():
-        h, parent = np.frombuffer(r.h, np.uint64), np.frombuffer(r.parent)
-        dish, ctx, n, t = (np.frombuffer(b, k) for b, k in ((r.dish, np.int64), (r.ctx, np.int64), (r.n, np.int64), (r.t, np.float64)))
-        at = np.searchsorted(hot, h)
-        for i in range(len(h)):
-            prob[at[i]] = predict(x, every, 0, 0, parent[i])
-        prob[at[dish], ctx] = predict(x, ctx, n, t, parent[dish])
-        np.add.at(count, at[dish], n)
-    return prob, count
-
-
-def score_hot(docs: DataFrame, hot: np.ndarray, x: Totals, prob: np.ndarray, count: np.ndarray, kind: str) -> DataFrame:
-    """(doc, n_tokens, n_known, base, score) of every row, the last three over its frequent tokens; sums are fixed-point."""
-    log_base = np.round(np.log10(count + 0.1) * FIX).astype(np.int64)
+        d, s = x.discount[0], x.strength[0]
+        table = stirling(d)
+        for b in batches:
+            c, t, c_all, t_all, c1, t1, p = (column(b, n) for n in ("c", "t", "c_all", "t_all", "c1", "t1", "p"))
+            if take:
+                p = p + x.predict(c, t, c_all, t_all, x.parent(c1, t1))
+            if draw:
+                rest_, mine, above = t_all - t, c1 - t, np.minimum(t1, c1 - t)
+                sure = x.strength[1] + x.customers - t
+
+                def weight(rows, i):
+                    had = mine[rows] + i
+                    parent = (had - x.discount[1] * np.maximum(above[rows], had > 0) + x.base) / (sure[rows] + i)
+                    return (s + d * (rest_[rows] + i)) * parent
+
+                bits = pair(b.column("u").to_numpy().view(np.uint64), b.column("w").to_numpy().view(np.uint64)) + np.uint64(bits_of_round)
+                t = seat(c, weight, d, bits, table)
+            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("u", "w", "c", "n")), pa.array(t, pa.int64()), pa.array(p, pa.float64()), b.column("c_w")], names=["u", "w", "c", "n", "t", "p", "c_w"])
+
+    joined = state.drop("c_w").join(rest, "u", "left").join(dish, "w")
+    return joined.mapInArrow(run, "u long, w long, c long, n long, t long, p double, c_w long")
+
+
+def fit(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: int) -> tuple[DataFrame, Totals]:
+    """(u, w, c, n, t, p, c_w) of every pair of the texts, p its averaged predictive probability; and the totals."""
+    one = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
+    state = save(spark, count_pairs(docs).select("u", "w", "c", "n", one.alias("t"), F.lit(0.0).alias("p")), "pairs")
+    is_ = lambda name, v: F.count_if(F.col(name) == v).alias(f"{name}_{v}")
+    ofpairs = state.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), is_("c", 1), is_("c", 2)).first()
+    ofdishes = state.groupBy("w").agg(F.sum("t").alias("t")).agg(F.count_if(F.col("t") > 0).alias("v"), is_("t", 1), is_("t", 2)).first()
+    x = Totals(ofdishes.v, int(ofpairs.n), (shares(ofpairs.c_1, ofpairs.c_2), shares(ofdishes.t_1, ofdishes.t_2)), (10.0, 100.0))
+    for r in range(rounds + 1):
+        rest, dish, x = sums(spark, state, x, r, seed)
+        then = save(spark, step(state, rest, dish, x, 2 * (seed + 64 * r), r > rounds - samples, r < rounds), "pairs")
+        drop(spark, state, rest, dish)
+        state = then
+    return state.withColumn("p", F.col("p") / samples), x
+
+
+def values(state: DataFrame, buckets: int) -> DataFrame:
+    """(bucket, k, n, known, base, score): a pair's hash, occurrences, and what each occurrence adds."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            h, ctx, starts = tokens(piece, x.contexts)
-            at, there = is_in(h, hot)
-            if not len(hot):
-                known, base, score = (np.zeros(len(h), np.int64) for _ in range(3))
-            else:
-                known, base, score = there & (count[at] > 0), np.where(there, log_base[at], 0), np.zeros(len(h), np.int64)
-                score[there] = np.round(np.log10(prob[at[there], ctx[there]].astype(np.float64)) * FIX)
-            total = [np.add.reduceat(v.astype(np.int64), starts[:-1]) for v in (known, base, score)]
-            yield pa.RecordBatch.from_arrays([piece.column("doc"), pa.array(np.diff(starts)), *map(pa.array, total)], names=["doc", "n_tokens", "n_known", "base", "score"])
+        for b in batches:
+            k = pair(b.column("u").to_numpy().view(np.uint64), b.column("w").to_numpy().view(np.uint64))
+            c_w = column(b, "c_w")
+            base, score_ = (np.round(np.log10(v) * FIX).astype(np.int64) for v in (c_w + 0.1, column(b, "p")))
+            arrays = [((k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), k.view(np.int64), (c_w > 0).astype(np.int64), base, score_]
+            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), b.column("n")], names=["bucket", "k", "known", "base", "score", "n"])
+
+    return state.select("u", "w", "n", "p", "c_w").mapInArrow(run, "bucket long, k long, known long, base long, score long, n long")
+
 
-    return docs.select("doc", "text").mapInArrow(run, f"doc {kind}, n_tokens long, n_known long, base long, score long")
+PACKED = "bucket long, kind int, k long, known long, base long, score long, ks binary, places binary, doc array<{kind}>, text_hash binary, runs binary"
 
 
-def score_rest(postings: DataFrame, x: Totals, seed: int, sweeps: int, kind: str) -> DataFrame:
-    """(doc, 0, n_known, base, score) summed over the tokens of a task's buckets."""
+def packed(docs: DataFrame, hot: np.ndarray, adds: np.ndarray, buckets: int, kind: str) -> DataFrame:
+    """Two kinds of rows: what frequent pairs add to each text (bucket below 0), and the other pairs of a piece by bucket."""
+
+    def row(n: int, bucket: pa.Array, ks, places, doc, text_hash, runs) -> pa.RecordBatch:
+        none = [pa.nulls(n, pa.int64())] * 4
+        return pa.RecordBatch.from_arrays([bucket, pa.array(np.ones(n, np.int32)), *none, ks, places, doc, text_hash, runs], names=[f.split()[0] for f in PACKED.split(", ")])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for row in rows_of(batches):
-            d = Dishes(row, x, seed)
-            t, parent = d.average(sweeps)
-            dish = np.frombuffer(row["dish"], np.uint32).astype(np.int64)
-            ctx = np.frombuffer(row["ctx"], np.uint16 if x.contexts <= 65536 else np.uint32).astype(np.int64)
-            if not len(dish):
+        for piece in slices(batches):
+            h, before, starts = tokens(piece)
+            k, text = pair(before, h), np.repeat(np.arange(piece.num_rows), np.diff(starts))
+            at, frequent = is_in(k, hot)
+            docs_, text_hash = piece.column("doc"), piece.column("text_hash").to_numpy()
+            mine = np.zeros((5, piece.num_rows), np.int64)
+            mine[0], mine[1] = 1, np.diff(starts)
+            for i in range(3):
+                if len(hot):
+                    mine[2 + i] = np.add.reduceat(np.where(frequent, adds[i][at], 0), starts[:-1])
+            spread = -1 - int(text_hash[0] & 0xFFFFF)
+            whole = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), docs_)
+            yield row(1, pa.array([spread]), pa.nulls(1, pa.binary()), pa.array([mine.tobytes()], pa.binary()), whole, pa.array([text_hash.tobytes()], pa.binary()), pa.nulls(1, pa.binary()))
+            rest = np.flatnonzero(~frequent)
+            if not len(rest):
                 continue
-            key = d.dish * x.contexts + d.ctx
-            at, seen = is_in(dish * x.contexts + ctx, key)
-            n, tables = (np.where(seen, v[at], 0) if len(key) else np.zeros(len(dish)) for v in (d.n, t))
-            score = np.round(np.log10(predict(x, ctx, n, tables, parent[dish])) * FIX).astype(np.int64)
-            count = np.bincount(d.dish, d.n, d.size).astype(np.int64)
-            base = np.round(np.log10(count + 0.1) * FIX).astype(np.int64)[dish]
-            coded = row["doc"].values.dictionary_encode("encode")
-            ids = coded.indices.to_numpy(zero_copy_only=False)
-            order = np.argsort(ids, kind="stable")
-            cuts = np.flatnonzero(np.diff(ids[order], prepend=-1))
-            total = [np.add.reduceat(v[order], cuts) for v in ((count > 0)[dish].astype(np.int64), base, score)]
-            docs_ = coded.dictionary.take(pa.array(ids[order][cuts]))
-            yield pa.RecordBatch.from_arrays([docs_, pa.array(np.zeros(len(cuts), np.int64)), *map(pa.array, total)], names=["doc", "n_tokens", "n_known", "base", "score"])
-
-    return postings.where("bucket >= 0").select("bucket", "dish", "ctx", "doc", "pair_dish", "pair_ctx", "pair_n").mapInArrow(run, f"doc {kind}, n_tokens long, n_known long, base long, score long")
-
-
-def score(spark: SparkSession, docs: DataFrame, train, doc_id: str = "doc_id", contexts: int = 1024, rounds: int = 2, sweeps: int = 3, seed: int = 11) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every document.
+            kinds, at = np.unique(k[rest], return_inverse=True)
+            bucket = ((kinds >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            kinds, bucket, at = kinds[order], bucket[order], rank[at]
+            there, first = np.unique(bucket, return_index=True)
+            edges = np.append(first, len(kinds))
+            order = np.argsort(bucket[at], kind="stable")
+            at, owner = at[order], text[rest][order]
+            mine_ = np.searchsorted(there, bucket[at])
+            cuts = np.searchsorted(mine_, np.arange(len(there) + 1))
+            change = np.ones(len(at), bool)
+            change[1:] = (owner[1:] != owner[:-1]) | (mine_[1:] != mine_[:-1])
+            begin = np.flatnonzero(change)
+            ends = np.searchsorted(begin, cuts)
+            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), docs_.take(pa.array(owner[begin])))
+            lengths = np.diff(np.append(begin, len(at))).astype(np.uint32)
+            yield row(len(there), pa.array(there), binaries(edges, kinds), binaries(cuts, (at - edges[mine_]).astype(np.uint32)), lists, binaries(ends, text_hash[owner[begin]]), binaries(ends, lengths))
+
+    return docs.select("doc", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, PACKED.format(kind=kind))
+
+
+def looked_up(rows: DataFrame, kind: str) -> DataFrame:
+    """(doc, text_hash, rows, n_tokens, n_known, base, score) by parts; a bucket's values come first, its texts stream past."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        current, table = None, None
+        for b in batches:
+            buckets, kinds = b.column("bucket").to_numpy(), b.column("kind").to_numpy()
+            cuts = [0, *(np.flatnonzero((np.diff(buckets) != 0) | (np.diff(kinds) != 0)) + 1), b.num_rows] if b.num_rows else [0]
+            for i, j in zip(cuts[:-1], cuts[1:]):
+                if buckets[i] != current:
+                    held, current, table = [], buckets[i], None
+                if kinds[i] == 0:
+                    held.append(np.stack([b.column(n).slice(i, j - i).to_numpy() for n in ("k", "known", "base", "score")]))
+                    continue
+                if table is None and held:
+                    table = np.concatenate(held, 1)
+                    ordered = table[0].view(np.uint64)
+                    order = np.argsort(ordered, kind="stable")
+                    ordered, table, held = ordered[order], table[1:, order], []
+                for r in range(i, j):
+                    places, doc = b.column("places")[r].as_buffer(), b.column("doc")[r].values
+                    text_hash = pa.array(np.frombuffer(b.column("text_hash")[r].as_buffer(), np.int64))
+                    if current < 0:
+                        total = np.frombuffer(places, np.int64).reshape(5, -1)
+                    else:
+                        at, _ = is_in(np.frombuffer(b.column("ks")[r].as_buffer(), np.uint64), ordered)
+                        runs = np.frombuffer(b.column("runs")[r].as_buffer(), np.uint32).astype(np.int64)
+                        each = table[:, at][:, np.frombuffer(places, np.uint32)]
+                        total = np.zeros((5, len(runs)), np.int64)
+                        total[2:] = np.add.reduceat(each, np.cumsum(runs) - runs, axis=1)
+                    yield pa.RecordBatch.from_arrays([doc, text_hash, *map(pa.array, total)], names=["doc", "text_hash", "rows", "n_tokens", "n_known", "base", "score"])
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
+    return dealt.mapInArrow(run, f"doc {kind}, text_hash long, rows long, n_tokens long, n_known long, base long, score long")
+
+
+def score(spark: SparkSession, docs: DataFrame, train, doc_id: str = "doc_id", rounds: int = 3, samples: int = 2, seed: int = 11) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score and perplexity of every row.
 
     ``train``: a boolean column of ``docs``; rows for which it is true are learned from. base_score is that of single
     tokens with 0.1 added to each count, score the model's log10 probability of the text.
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     part = docs.select(F.col(doc_id).alias("doc"), F.coalesce(train & F.col(doc_id).isNotNull(), F.lit(False)).alias("train"), "text")
-    hot, total = frequent(part)
+    state, x = fit(spark, part, rounds, samples, seed)
+    total = int(state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     buckets = max(64, -(-total // BUCKET))
-    postings = save(spark, dishes(dealt(part, hot, buckets, contexts), kind, contexts), "postings")
-    x = fit(spark, postings, contexts, seed, rounds, sweeps)
-    prob, count = hot_table(postings, x, hot, seed + 1000, sweeps)
-    both = score_hot(part, hot, x, prob, count, kind).unionAll(score_rest(postings, x, seed + 1000, sweeps, kind))
-    out = both.groupBy("doc").agg(*(F.sum(c).alias(c) for c in ("n_tokens", "n_known", "base", "score")))
+    table = save(spark, values(state, buckets), "values")
+    top = table.where(F.col("n") * HOT_SHARE >= total).select("k", "known", "base", "score").toPandas()  # HOT_SHARE rows at most
+    hot = top["k"].to_numpy(np.int64).view(np.uint64)
+    order = np.argsort(hot)
+    hot, adds = hot[order], np.stack([top[n].to_numpy(np.int64)[order] for n in ("known", "base", "score")])
+    texts_ = packed(part, hot, adds, buckets, kind)
+    rare = table.where(F.col("n") * HOT_SHARE < total).withColumn("kind", F.lit(0)).select("bucket", "kind", "k", "known", "base", "score")
+    both = texts_.unionByName(rare, allowMissingColumns=True)
+    out = looked_up(both, kind).groupBy("doc", "text_hash").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
+    each = [F.expr(f"{c} div rows").alias(c) for c in ("n_tokens", "n_known", "base", "score")]
+    out = out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_copy"), *each)
     return out.select(
         F.col("doc").alias(doc_id), "n_tokens", "n_known", F.lit(x.tokens).cast("long").alias("train_tokens"),
         (F.col("base") / FIX - F.col("n_tokens") * float(np.log10(x.tokens + 0.1 * (x.vocabulary + 1)))).alias("base_score"),
         (F.col("score") / FIX).alias("score"), F.pow(F.lit(10.0), -F.col("score") / FIX / F.col("n_tokens")).alias("perplexity"),
     )
-
-
