@@ -13,7 +13,9 @@ and parent tables that open only where a dish has none, are the approximations.
 of the Pitman-Yor process at their expected values, each round; discounts come from how many counts are 1 and 2. The
 predictive probability of every row is averaged over the last rounds.
 
-Counts are summed in the task, then by Spark, so a frequent pair is one row for each piece of text. For scoring, pairs
+Pairs of one customer have one table whatever is drawn, so rounds work on the others alone. Pairs are counted in pieces
+of text first, so a frequent pair is one row for each piece, and travel packed. Words with 1 / 524288 of all tokens and
+more (so at most 524288 of them) join by broadcast: no key of a shuffled join is hot. For scoring, pairs
 with at least 1 / 16384 of all tokens (so at most 16384 of them) are looked up where the text is; the others travel to
 buckets by pair, packed, where rows stream past the probabilities of their bucket. Draws follow from the hash of the pair
 and the round alone, so a lost task repeats them.
@@ -35,13 +37,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import drop, save
-from .text import LOWER, binaries, mapped, mix, slices, texts, word_hashes, words
+from .text import LOWER, binaries, groups, mapped, mix, slices, texts, word_hashes, words
 
 END = mix(np.array([0xE0D], np.uint64))[0]
 START = mix(np.array([0x57A], np.uint64))[0]
 GOLD = np.uint64(0x9E3779B97F4A7C15)
 FIX = 1e9  # sums of logarithms are kept as integers: their order doesn't matter
 HOT_SHARE = 1 << 14
+FREQUENT = 1 << 19
 BUCKET = 1 << 21
 
 
@@ -68,19 +71,41 @@ def is_in(h: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, ordered[at] == h
 
 
-def count_pairs(docs: DataFrame) -> DataFrame:
-    """(u, w, c, n): context, token, customers in training and occurrences in all texts."""
+def count_pairs(docs: DataFrame, buckets: int) -> DataFrame:
+    """(u, w, c, n): context, token, customers in training and occurrences in all texts.
+
+    Pairs are summed in pieces of text, travel packed to buckets by their hash, and are summed there.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            h, before, starts = tokens(piece)
+        for piece in slices(batches, most=8 << 20):
+            h, u, starts = tokens(piece)
             train = np.repeat(piece.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
-            _, first, at, n = np.unique(pair(before, h), return_index=True, return_inverse=True, return_counts=True)
-            c = np.bincount(at[train], minlength=len(first))
-            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (before[first].view(np.int64), h[first].view(np.int64), c, n))], names=["u", "w", "c", "n"])
-
-    found = docs.select("train", "text").mapInArrow(run, "u long, w long, c long, n long")
-    return found.groupBy("u", "w").agg(F.sum("c").alias("c"), F.sum("n").alias("n"))
+            k, first, at, n = np.unique(pair(u, h), return_index=True, return_inverse=True, return_counts=True)
+            c = np.bincount(at[train], minlength=len(first)).astype(np.uint32)
+            bucket = ((k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+            order = np.lexsort((h[first], u[first], bucket))
+            parts = [v[order] for v in (u[first], h[first], c, n.astype(np.uint32))]
+            there, begin = np.unique(bucket[order], return_index=True)
+            edges = np.append(begin, len(order))
+            payload = [pa.compress(b"".join(v[i:j].tobytes() for v in parts), codec="zstd", asbytes=True) for i, j in zip(edges[:-1], edges[1:])]
+            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.diff(edges)), pa.array(payload, pa.binary())], names=["bucket", "size", "payload"])
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in groups(batches, ["bucket"]):
+            parts: list[list[np.ndarray]] = [[], [], [], []]
+            for size, payload in zip(table.column("size").to_pylist(), table.column("payload")):
+                raw = pa.decompress(payload.as_buffer(), 24 * size, codec="zstd")
+                for part, at, kind in zip(parts, (0, 8, 16, 20), (np.uint64, np.uint64, np.uint32, np.uint32)):
+                    part.append(np.frombuffer(raw, kind, size, at * size))
+            u, w, c, n = map(np.concatenate, parts)
+            _, first, at = np.unique(pair(u, w), return_index=True, return_inverse=True)
+            order = np.lexsort((w[first], u[first]))
+            total = [np.bincount(at, v).astype(np.int64)[order] for v in (c, n)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (u[first][order].view(np.int64), w[first][order].view(np.int64), *total))], names=["u", "w", "c", "n"])
+
+    found = docs.select("train", "text").mapInArrow(run, "bucket long, size long, payload binary")
+    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "u long, w long, c long, n long")
 
 
 def stirling(discount: float, most: int = 64) -> np.ndarray:
@@ -194,38 +219,54 @@ def shares(one: int, two: int) -> float:
     return min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
 
 
-def sums(spark: SparkSession, state: DataFrame, x: Totals, round_: int, seed: int) -> tuple[DataFrame, DataFrame, Totals]:
-    """Customers and tables of each context; those of each token in the parent, whose tables are drawn; the totals."""
-    rest = save(spark, state.where("c > 0").groupBy("u").agg(F.sum("c").alias("c_all"), F.sum("t").alias("t_all")), "restaurants")
+def meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
+    """Join on a word. Words with 1 / FREQUENT of all tokens, at most FREQUENT of them, are broadcast; the others are not hot."""
+    top, rest = (table.where(test).drop("m") for test in (F.col("m") * FREQUENT >= total, F.col("m") * FREQUENT < total))
+    others = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(rest, key)
+    return rows.join(F.broadcast(top), key).unionByName(others)
+
+
+def sums(spark: SparkSession, many: DataFrame, rest: DataFrame, dish: DataFrame, x: Totals, round_: int, seed: int, take: bool) -> tuple[DataFrame, DataFrame, Totals]:
+    """Customers and tables of each context; those of each token in the parent, whose tables are drawn; the totals.
+
+    Pairs of one customer have one table, ``ones`` of each word. If ``take``, the counts are added to the samples.
+    """
+    opened = F.col("ones") + F.coalesce("t2", F.lit(0))
+    tables = F.array("t_all") if take else F.slice(F.array("t_all"), 1, 0)
+    rest = rest.drop("t_all").join(many.groupBy("u").agg(F.sum("t").alias("t2")), "u", "left").withColumn("t_all", opened).drop("t2")
+    rest = save(spark, rest.withColumn("t_s", F.concat("t_s", tables)), "restaurants")
     before = x.tables or x.vocabulary
 
     def drawn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, s = x.discount[1], x.strength[1]
         table = stirling(d)
         for b in batches:
-            c1 = column(b, "c1")
             others = max(before - 1, 0)
             bits = mix(column(b, "w").view(np.uint64)) + np.uint64(2 * (seed + 64 * round_) + 1)
-            t1 = seat(c1, lambda rows, t: (s + d * (others + t)) / (x.vocabulary + 1) + 0.0 * rows, d, bits, table)
-            yield pa.RecordBatch.from_arrays([b.column("w"), b.column("c_w"), b.column("c1"), pa.array(t1)], names=["w", "c_w", "c1", "t1"])
+            t1 = seat(column(b, "c1"), lambda rows, t: (s + d * (others + t)) / (x.vocabulary + 1) + 0.0 * rows, d, bits, table)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t1)], names=[*b.schema.names, "t1"])
 
-    dish = state.groupBy("w").agg(F.sum("c").alias("c_w"), F.sum("t").alias("c1")).mapInArrow(drawn, "w long, c_w long, c1 long, t1 long")
+    dish = dish.drop("c1", "t1").join(many.groupBy("w").agg(F.sum("t").alias("t2")), "w", "left").withColumn("c1", opened).drop("t2")
+    dish = dish.mapInArrow(drawn, "w long, c_w long, ones long, m long, c1_s array<long>, t1_s array<long>, c1 long, t1 long")
+    if take:
+        dish = dish.withColumns({"c1_s": F.concat("c1_s", F.array("c1")), "t1_s": F.concat("t1_s", F.array("t1"))})
     dish = save(spark, dish, "dishes")
 
     def weighed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            opened, logs = evidence(column(b, "c_all"), column(b, "t_all"), x.discount[0], x.strength[0])
-            yield pa.RecordBatch.from_arrays([pa.array([opened]), pa.array([logs])], names=["opened", "logs"])
+            a, logs = evidence(column(b, "c_all"), column(b, "t_all"), x.discount[0], x.strength[0])
+            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([logs])], names=["a", "b"])
 
     size = dish.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("c"), F.coalesce(F.sum("t1"), F.lit(0)).alias("t")).first()
-    seen = rest.mapInArrow(weighed, "opened double, logs double").agg(F.coalesce(F.sum("opened"), F.lit(0.0)).alias("a"), F.coalesce(F.sum("logs"), F.lit(0.0)).alias("b")).first()
+    weights = rest.select("c_all", "t_all").mapInArrow(weighed, "a double, b double")
+    seen = weights.agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in ("a", "b"))).first()
     above = evidence(np.array([size.c]), np.array([size.t]), x.discount[1], x.strength[1])
     strength = tuple(min(1e6, max(1e-3, (1 + a) / (0.01 + b))) for a, b in ((seen.a, seen.b), above)) if x.tokens else x.strength
     return rest, dish, replace(x, strength=strength, customers=int(size.c), tables=int(size.t))
 
 
-def step(state: DataFrame, rest: DataFrame, dish: DataFrame, x: Totals, bits_of_round: int, take: bool, draw: bool) -> DataFrame:
-    """The rows with their predictive probability added to ``p`` (if ``take``) and tables drawn anew (if ``draw``)."""
+def step(many: DataFrame, rest: DataFrame, dish: DataFrame, x: Totals, total: int, bits_of_round: int, take: bool, draw: bool) -> DataFrame:
+    """The rows of two customers and more with their predictive probability added to ``p`` (if ``take``) and tables drawn anew (if ``draw``)."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, s = x.discount[0], x.strength[0]
@@ -247,24 +288,46 @@ def step(state: DataFrame, rest: DataFrame, dish: DataFrame, x: Totals, bits_of_
                 t = seat(c, weight, d, bits, table)
             yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("u", "w", "c", "n")), pa.array(t, pa.int64()), pa.array(p, pa.float64()), b.column("c_w")], names=["u", "w", "c", "n", "t", "p", "c_w"])
 
-    joined = state.drop("c_w").join(rest, "u", "left").join(dish, "w")
+    joined = meet(many.drop("c_w"), rest.select("u", "m", "c_all", "t_all"), "u", total)
+    joined = meet(joined, dish.select("w", "m", "c_w", "c1", "t1"), "w", total)
     return joined.mapInArrow(run, "u long, w long, c long, n long, t long, p double, c_w long")
 
 
+def few_customers(pairs: DataFrame, rest: DataFrame, dish: DataFrame, kept: list[Totals], total: int) -> DataFrame:
+    """Pairs of one customer or none: their tables are known, so one join gives the average over all samples."""
+    terms = []
+    for i, x in enumerate(kept):
+        (d, d1), (s, s1) = x.discount, x.strength
+        parent = (F.col("c1_s")[i] - d1 * F.col("t1_s")[i] + x.base) / (s1 + x.customers)
+        terms.append(((1 - d) * F.col("c") + (s + d * F.col("t_s")[i]) * parent) / (s + F.col("c_all")))
+    joined = meet(pairs.where("c < 2"), rest.select("u", "m", "c_all", "t_s"), "u", total)
+    joined = meet(joined, dish.select("w", "m", "c_w", "c1_s", "t1_s"), "w", total)
+    return joined.select("u", "w", "c", "n", F.col("c").alias("t"), (sum(terms[1:], terms[0]) / len(kept)).alias("p"), "c_w")
+
+
 def fit(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: int) -> tuple[DataFrame, Totals]:
     """(u, w, c, n, t, p, c_w) of every pair of the texts, p its averaged predictive probability; and the totals."""
-    one = F.when(F.col("c") > 0, 1).otherwise(0).cast("long")
-    state = save(spark, count_pairs(docs).select("u", "w", "c", "n", one.alias("t"), F.lit(0.0).alias("p")), "pairs")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pairs = save(spark, count_pairs(docs, max(64, size >> 23)), "pairs")
+    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    none = F.array().cast("array<bigint>")
+    both = [F.count_if(F.col("c") == 1).alias("ones"), F.sum("n").alias("m")]
+    rest = save(spark, pairs.groupBy("u").agg(F.sum("c").alias("c_all"), *both).select("*", none.alias("t_s"), F.lit(0).cast("long").alias("t_all")), "restaurants")
+    dish = pairs.groupBy("w").agg(F.sum("c").alias("c_w"), *both, F.count_if(F.col("c") > 0).alias("c1"))
+    dish = save(spark, dish.select("w", "c_w", "ones", "m", none.alias("c1_s"), none.alias("t1_s"), "c1", F.lit(0).cast("long").alias("t1")), "dishes")
     is_ = lambda name, v: F.count_if(F.col(name) == v).alias(f"{name}_{v}")
-    ofpairs = state.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), is_("c", 1), is_("c", 2)).first()
-    ofdishes = state.groupBy("w").agg(F.sum("t").alias("t")).agg(F.count_if(F.col("t") > 0).alias("v"), is_("t", 1), is_("t", 2)).first()
-    x = Totals(ofdishes.v, int(ofpairs.n), (shares(ofpairs.c_1, ofpairs.c_2), shares(ofdishes.t_1, ofdishes.t_2)), (10.0, 100.0))
+    ofpairs = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), is_("c", 1), is_("c", 2)).first()
+    ofdishes = dish.agg(F.count_if(F.col("c1") > 0).alias("v"), is_("c1", 1), is_("c1", 2)).first()
+    x = Totals(ofdishes.v, int(ofpairs.n), (shares(ofpairs.c_1, ofpairs.c_2), shares(ofdishes.c1_1, ofdishes.c1_2)), (10.0, 100.0))
+    many = save(spark, pairs.where("c > 1").select("u", "w", "c", "n", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("p")), "seating")
+    kept = []
     for r in range(rounds + 1):
-        rest, dish, x = sums(spark, state, x, r, seed)
-        then = save(spark, step(state, rest, dish, x, 2 * (seed + 64 * r), r > rounds - samples, r < rounds), "pairs")
-        drop(spark, state, rest, dish)
-        state = then
-    return state.withColumn("p", F.col("p") / samples), x
+        take, old = r > rounds - samples, (rest, dish, many)
+        rest, dish, x = sums(spark, many, rest, dish, x, r, seed, take)
+        kept += [x] * take
+        many = save(spark, step(many, rest, dish, x, total, 2 * (seed + 64 * r), take, r < rounds), "seating")
+        drop(spark, *old)
+    return many.withColumn("p", F.col("p") / samples).unionByName(few_customers(pairs, rest, dish, kept, total)), x
 
 
 def values(state: DataFrame, buckets: int) -> DataFrame:
@@ -377,9 +440,9 @@ def score(spark: SparkSession, docs: DataFrame, train, doc_id: str = "doc_id", r
     kind = docs.schema[doc_id].dataType.simpleString()
     part = docs.select(F.col(doc_id).alias("doc"), F.coalesce(train & F.col(doc_id).isNotNull(), F.lit(False)).alias("train"), "text")
     state, x = fit(spark, part, rounds, samples, seed)
-    total = int(state.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    buckets = max(64, -(-total // BUCKET))
+    buckets = max(64, -(-part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // (8 * BUCKET)))
     table = save(spark, values(state, buckets), "values")
+    total = int(table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     top = table.where(F.col("n") * HOT_SHARE >= total).select("k", "known", "base", "score").toPandas()  # HOT_SHARE rows at most
     hot = top["k"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(hot)
