@@ -305,8 +305,8 @@ def few_customers(pairs: DataFrame, rest: DataFrame, dish: DataFrame, kept: list
     return joined.select("u", "w", "c", "n", F.col("c").alias("t"), (sum(terms[1:], terms[0]) / len(kept)).alias("p"), "c_w")
 
 
-def fit(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: int) -> tuple[DataFrame, Totals]:
-    """(u, w, c, n, t, p, c_w) of every pair of the texts, p its averaged predictive probability; and the totals."""
+def fit(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: int) -> tuple[DataFrame, Totals, list[DataFrame]]:
+    """(u, w, c, n, t, p, c_w) of every pair of the texts, p its averaged predictive probability; the totals; tables it reads."""
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     pairs = save(spark, count_pairs(docs, max(64, size >> 23)), "pairs")
     total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -327,7 +327,7 @@ def fit(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: i
         kept += [x] * take
         many = save(spark, step(many, rest, dish, x, total, 2 * (seed + 64 * r), take, r < rounds), "seating")
         drop(spark, *old)
-    return many.withColumn("p", F.col("p") / samples).unionByName(few_customers(pairs, rest, dish, kept, total)), x
+    return many.withColumn("p", F.col("p") / samples).unionByName(few_customers(pairs, rest, dish, kept, total)), x, [pairs, rest, dish, many]
 
 
 def values(state: DataFrame, buckets: int) -> DataFrame:
@@ -439,9 +439,10 @@ def score(spark: SparkSession, docs: DataFrame, train, doc_id: str = "doc_id", r
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     part = docs.select(F.col(doc_id).alias("doc"), F.coalesce(train & F.col(doc_id).isNotNull(), F.lit(False)).alias("train"), "text")
-    state, x = fit(spark, part, rounds, samples, seed)
+    state, x, read = fit(spark, part, rounds, samples, seed)
     buckets = max(64, -(-part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // (8 * BUCKET)))
     table = save(spark, values(state, buckets), "values")
+    drop(spark, *read)
     total = int(table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
     top = table.where(F.col("n") * HOT_SHARE >= total).select("k", "known", "base", "score").toPandas()  # HOT_SHARE rows at most
     hot = top["k"].to_numpy(np.int64).view(np.uint64)

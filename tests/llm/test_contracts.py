@@ -297,7 +297,7 @@ def test_model_against_a_plain_gibbs_sampler(spark):
     rng, names = random.Random(8), "red green blue cat dog fish runs sleeps".split()
     texts = [" ".join(rng.choices(names[:3], [6, 2, 1]) + rng.choices(names[3:6], [5, 2, 1]) + rng.choices(names[6:])) for _ in range(40)] + ["fish never seen"]
     docs = spark.createDataFrame([(i, i < 40, x) for i, x in enumerate(texts)], "doc long, train boolean, text string")
-    state, x = fit(spark, docs, 12, 8, 11)
+    state, x, _ = fit(spark, docs, 12, 8, 11)
     rows = {(r.u, r.w): r for r in state.collect()}
     assert sum(r.c for r in rows.values()) == x.tokens == 160 and x.vocabulary == 9
     p, t = plain_model({k: r.c for k, r in rows.items()}, x)
@@ -315,7 +315,7 @@ def test_scores_follow_from_pairs_by_row(spark):
 
     d = odd(spark)
     part = d.select(F.col("doc_id").alias("doc"), F.coalesce(F.col("doc_id") > 2, F.lit(False)).alias("train"), "text")
-    state, x = lm_score.fit(spark, part, 3, 2, 11)
+    state, x, _ = lm_score.fit(spark, part, 3, 2, 11)
     prob = {(r.u, r.w): r.p for r in state.collect()}
     wanted = []
     import pyarrow as pa
