@@ -4,23 +4,25 @@ Restaurants: one for each previous token (or the start of a text) that training
 a parent for single tokens, whose base is uniform over the training vocabulary and one unknown token. A context that
 training doesn't hold is an empty restaurant, so its tokens are told by the parent alone.
 
-The seating is a table with a row for each (context, token): its customers ``c`` and tables ``t``. A round of block
-Gibbs sampling sums customers and tables by context, tables by token (the customers of the parent), joins both sums to
-the rows and draws the tables of each row by the Chinese-restaurant conditional: the generalised Stirling numbers times
-the rising weights of further tables in the context and in the parent, the row's own tables taken out. All rows are
-drawn at once from the sums of the round before, as parallel samplers do; that, groups of a tenth beyond 64 customers,
-and parent tables that open only where a dish has none, are the approximations. Strengths follow the auxiliary variables
-of the Pitman-Yor process at their expected values, each round; discounts come from how many counts are 1 and 2. The
-predictive probability of every row is averaged over the last rounds.
-
-Pairs of one customer have one table whatever is drawn, so rounds work on the others alone. Pairs are counted in pieces
-of text first, so a frequent pair is one row for each piece, and travel packed. Words with 1 / 524288 of all tokens and
-more (so at most 524288 of them) join by broadcast: no key of a shuffled join is hot. For scoring, pairs
-with at least 1 / 16384 of all tokens (so at most 16384 of them) are looked up where the text is; the others travel to
-buckets by pair, packed, where rows stream past the probabilities of their bucket. Draws follow from the hash of the pair
-and the round alone, so a lost task repeats them.
-
-Tokens and pairs are told apart by 64-bit hashes. Defined results: null and empty texts are a single end token; every
+The seating has for each (context, token) its customers ``c`` and tables ``t``. A round of block Gibbs sampling sums
+customers and tables by context, tables by token (the customers of the parent) and draws the tables of each pair by the
+Chinese-restaurant conditional: the generalised Stirling numbers times the rising weights of further tables in the
+context and in the parent, the pair's own tables taken out. All pairs are drawn at once from the sums of the round
+before, as parallel samplers do; that, groups of a tenth beyond 64 customers, and parent tables that open only where a
+dish has none, are the approximations. Strengths follow the auxiliary variables of the Pitman-Yor process at their
+expected values, each round; discounts come from how many counts are 1 and 2. The predictive probability of every pair
+is averaged over the last rounds.
+
+Texts are dealt to pieces by a hash of the row. A piece sends its different pairs, packed, to buckets by context, so
+that sums by context need no join. A context with 1 / 16384 of all tokens and more (or half of it) is dealt in shards of at most that
+share by the hash of the token; the sums of these (at most 3 * 16384 shards) are told to all. Tokens have buckets of
+their own: a bucket of contexts sends the tables of its tokens there, in the order it named the tokens at first, and is
+answered in the same order. In the end a bucket answers each piece with the values of the piece's pairs, in the order
+they came, and the piece looks its tokens up. Tokens with 1 / 131072 of all and more travel as numbers.
+Pairs of one customer have one table whatever is drawn, so rounds work on the others alone. Draws follow from the hash
+of the pair and the round alone, so a lost task repeats them.
+
+Tokens are told apart by 64-bit hashes. Defined results: null and empty texts are a single end token; every
 row is scored by itself, with repeated or null ids as well; rows with a null id are never trained on. Without
 training rows every probability is that of the unknown token, 1. An empty table gives no rows; of the columns only the
 id and the text are read. Texts are read whole.
@@ -37,26 +39,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .store import drop, save
-from .text import LOWER, binaries, groups, mapped, mix, slices, texts, word_hashes, words
+from .text import LOWER, groups, hashes, mapped, mix, slices, texts, words
 
 END = mix(np.array([0xE0D], np.uint64))[0]
 START = mix(np.array([0x57A], np.uint64))[0]
 GOLD = np.uint64(0x9E3779B97F4A7C15)
-FIX = 1e9  # sums of logarithms are kept as integers: their order doesn't matter
 HOT_SHARE = 1 << 14
-FREQUENT = 1 << 19
-BUCKET = 1 << 21
+FREQUENT = 1 << 17
+PAIRS, STATE, SAMPLE, COUNTS, PLACES = 0, 1, 2, 1000, 1001  # kinds of packed rows; SAMPLE + i is the i-th sample
+PACKED = "bucket int, kind int, sub int, payload binary"
 
 
-def tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Token hashes (an end after each text), the token before each, and where each text's tokens start."""
+def coded(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted hashes of the different tokens and of START, all tokens by their place there (an end after each text), and where each text's tokens start."""
     flat, starts = words(mapped(texts(piece), LOWER))
+    found = flat.dictionary_encode()
+    h = hashes(found.dictionary)
+    vocabulary = np.unique(np.concatenate((h, np.array([START, END], np.uint64))))
+    code = np.searchsorted(vocabulary, h)[found.indices.to_numpy(zero_copy_only=False)]
     n = len(starts) - 1
-    h = np.insert(word_hashes(flat), starts[1:], np.full(n, END))
-    starts = starts + np.arange(n + 1)
-    before = np.concatenate((np.array([START], np.uint64), h[:-1]))[: len(h)]
-    before[starts[:-1]] = START
-    return h, before, starts
+    code = np.insert(code, starts[1:], np.full(n, np.searchsorted(vocabulary, END)))
+    return vocabulary, code, starts + np.arange(n + 1)
+
+
+def previous(vocabulary: np.ndarray, code: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The code of the token before each, START at the start of a text."""
+    before = np.empty_like(code)
+    before[1:] = code[:-1]
+    before[starts[:-1]] = np.searchsorted(vocabulary, START)
+    return before
+
+
+def tokens(piece: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token hashes (an end after each text), the token before each, and where each text's tokens start."""
+    vocabulary, code, starts = coded(piece)
+    return vocabulary[code], vocabulary[previous(vocabulary, code, starts)], starts
 
 
 def pair(before: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -71,41 +88,169 @@ def is_in(h: np.ndarray, ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, ordered[at] == h
 
 
-def count_pairs(docs: DataFrame, buckets: int) -> DataFrame:
-    """(u, w, c, n): context, token, customers in training and occurrences in all texts.
+def small(values: np.ndarray) -> np.ndarray:
+    """Whole numbers from 0 in as few bytes as they need."""
+    most = int(values.max()) if len(values) else 0
+    return values.astype(np.uint8 if most < 1 << 8 else np.uint16 if most < 1 << 16 else np.uint32 if most < 1 << 32 else np.uint64)
+
+
+def pack(*arrays: np.ndarray) -> bytes:
+    head = np.array([len(arrays), *(x for a in arrays for x in (ord(a.dtype.char), len(a)))], np.int64).tobytes()
+    body = head + b"".join(a.tobytes() for a in arrays)
+    return len(body).to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True)
+
+
+def unpack(payload: pa.Scalar) -> list[np.ndarray]:
+    held = payload.as_buffer()
+    body = pa.decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little"), codec="zstd")
+    n = int(np.frombuffer(body, np.int64, 1)[0])
+    head, at, out = np.frombuffer(body, np.int64, 2 * n, 8), 8 + 16 * n, []
+    for kind, size in zip(head[::2].tolist(), head[1::2].tolist()):
+        out.append(np.frombuffer(body, np.dtype(chr(kind)), size, at))
+        at += out[-1].nbytes
+    return out
+
+
+def long(values: np.ndarray) -> np.ndarray:
+    return values.astype(np.int64)
+
+
+def summed(place: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    """Whole sums of the values of each place."""
+    return np.bincount(place, values, size).astype(np.int64)
 
-    Pairs are summed in pieces of text, travel packed to buckets by their hash, and are summed there.
-    """
+
+def rows(held: list[tuple], names: str = PACKED) -> pa.RecordBatch:
+    fields = [f.split() for f in names.split(", ")]
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary()}
+    return pa.RecordBatch.from_arrays([pa.array(list(v), kinds[kind]) for v, (_, kind) in zip(zip(*held), fields)], names=[name for name, _ in fields])
+
+
+def by_key(table: DataFrame, key: str, *then: str) -> DataFrame:
+    return table.repartition(key).sortWithinPartitions(key, *then)
+
+
+@dataclass(frozen=True)
+class Common:
+    """Sorted frequent tokens; hot contexts with their shards; the shards' ids, sorted, with the place of their context."""
+
+    top: np.ndarray
+    hot: np.ndarray
+    shards: np.ndarray
+    ids: np.ndarray
+    owner: np.ndarray
+
+    def named(self, u: np.ndarray) -> np.ndarray:
+        """The contexts of shards and of others."""
+        at, is_shard = is_in(u, self.ids)
+        return np.where(is_shard, self.hot[self.owner[at]], u) if len(self.ids) else u
+
+    def split(self, u: np.ndarray, w: np.ndarray) -> np.ndarray:
+        """Contexts as they are dealt: hot ones by shard."""
+        at, is_hot = is_in(u, self.hot)
+        if not is_hot.any():
+            return u
+        shard = (w[is_hot] >> np.uint64(32)) % self.shards[at[is_hot]]
+        out = u.copy()
+        out[is_hot] = mix(u[is_hot] + GOLD * (shard + np.uint64(1)))
+        return out
+
+
+def common(spark: SparkSession, docs: DataFrame) -> Common:
+    """A piece of text leaves out tokens of less than half the least share; who has half of it in what is counted is taken, so none of the share is missed."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches, most=8 << 20):
-            h, u, starts = tokens(piece)
-            train = np.repeat(piece.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
-            k, first, at, n = np.unique(pair(u, h), return_index=True, return_inverse=True, return_counts=True)
-            c = np.bincount(at[train], minlength=len(first)).astype(np.uint32)
-            bucket = ((k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.lexsort((h[first], u[first], bucket))
-            parts = [v[order] for v in (u[first], h[first], c, n.astype(np.uint32))]
-            there, begin = np.unique(bucket[order], return_index=True)
-            edges = np.append(begin, len(order))
-            payload = [pa.compress(b"".join(v[i:j].tobytes() for v in parts), codec="zstd", asbytes=True) for i, j in zip(edges[:-1], edges[1:])]
-            yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(np.diff(edges)), pa.array(payload, pa.binary())], names=["bucket", "size", "payload"])
+            vocabulary, code, _ = coded(piece)
+            n = np.bincount(code, minlength=len(vocabulary))
+            many = np.flatnonzero(2 * n * max(FREQUENT, HOT_SHARE) >= len(code))
+            w = pa.array(np.append(vocabulary[many].view(np.int64), 0), mask=np.append(np.zeros(len(many), bool), True))
+            yield pa.RecordBatch.from_arrays([w, pa.array(np.append(n[many], len(code)))], names=["w", "n"])
+
+    found = save(spark, docs.select("text").mapInArrow(run, "w long, n long").groupBy("w").agg(F.sum("n").alias("n")), "frequent")
+    total = found.where("w is null").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    most = found.where("w is not null").where(F.col("n") * 2 * max(FREQUENT, HOT_SHARE) >= total).toArrow()  # twice that many at most
+    drop(spark, found)
+    w, n = most.column("w").to_numpy().view(np.uint64), most.column("n").to_numpy()
+    top = np.sort(w[2 * n * FREQUENT >= total])
+    hot = np.flatnonzero(2 * n * HOT_SHARE >= total)
+    u, shards = np.where(w[hot] == END, START, w[hot]), -(-n[hot] * HOT_SHARE // max(total, 1))
+    order = np.argsort(u)
+    u, shards = u[order], shards[order].astype(np.uint64)
+    owner = np.repeat(np.arange(len(u)), long(shards))
+    shard = np.arange(len(owner)) - np.repeat(np.cumsum(long(shards)) - long(shards), long(shards))
+    ids = mix(u[owner] + GOLD * (shard.astype(np.uint64) + np.uint64(1)))
+    order = np.argsort(ids)
+    return Common(top, u, shards, ids[order], owner[order])
+
+
+def dealt(docs: DataFrame, pieces: int) -> DataFrame:
+    return docs.withColumn("piece", F.pmod(F.xxhash64("doc", "text"), F.lit(pieces)).cast("int"))
+
+
+def order_of(vocabulary: np.ndarray, key: np.ndarray, c: Common) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Contexts as dealt and tokens of sorted different pairs, and the order in which buckets hold them."""
+    u, w = vocabulary[key // len(vocabulary)], vocabulary[key % len(vocabulary)]
+    u = c.split(u, w)
+    order = np.argsort(u, kind="stable")
+    return u[order], w[order], order
+
+
+def one(table: pa.Table) -> pa.RecordBatch:
+    return table.combine_chunks().to_batches()[0]
+
+
+def count_pairs(docs: DataFrame, c: Common, pieces: int, bits: int) -> DataFrame:
+    """Packed rows of the different pairs of each bucket, and of the places there of each piece's pairs, in order.
+
+    PAIRS: contexts, pairs of each, tokens of the bucket, token of each pair, customers in training, occurrences.
+    """
+    low = np.uint64(64 - bits)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (piece,), table in groups(batches, ["piece"]):
+            batch = one(table)
+            vocabulary, code, starts = coded(batch)
+            train = np.repeat(batch.column("train").to_numpy(zero_copy_only=False).astype(bool), np.diff(starts))
+            both, n = np.unique((previous(vocabulary, code, starts) * len(vocabulary) + code) * 2 + train, return_counts=True)
+            key = both >> 1
+            begin = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+            u, w, order = order_of(vocabulary, key[begin], c)
+            customers, n = np.add.reduceat(n * (both & 1), begin)[order], np.add.reduceat(n, begin)[order]
+            at, is_top = is_in(w, c.top)
+            number = np.where(is_top, at + 1, 0)
+            cuts = np.searchsorted(u >> low, np.arange((1 << bits) + 1, dtype=np.uint64))
+            held = []
+            for b in np.flatnonzero(np.diff(cuts)).tolist():
+                part = slice(cuts[b], cuts[b + 1])
+                mine = u[part]
+                first = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
+                size = np.diff(np.append(first, len(mine)))
+                held.append((b, 0, piece, pack(mine[first], small(size), small(number[part]), w[part][~is_top[part]], small(customers[part]), small(n[part]))))
+            yield rows(held)
 
     def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, table in groups(batches, ["bucket"]):
-            parts: list[list[np.ndarray]] = [[], [], [], []]
-            for size, payload in zip(table.column("size").to_pylist(), table.column("payload")):
-                raw = pa.decompress(payload.as_buffer(), 24 * size, codec="zstd")
-                for part, at, kind in zip(parts, (0, 8, 16, 20), (np.uint64, np.uint64, np.uint32, np.uint32)):
-                    part.append(np.frombuffer(raw, kind, size, at * size))
-            u, w, c, n = map(np.concatenate, parts)
-            _, first, at = np.unique(pair(u, w), return_index=True, return_inverse=True)
-            order = np.lexsort((w[first], u[first]))
-            total = [np.bincount(at, v).astype(np.int64)[order] for v in (c, n)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(v) for v in (u[first][order].view(np.int64), w[first][order].view(np.int64), *total))], names=["u", "w", "c", "n"])
-
-    found = docs.select("train", "text").mapInArrow(run, "bucket long, size long, payload binary")
-    return found.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(merged, "u long, w long, c long, n long")
+        for (bucket,), table in groups(batches, ["bucket"]):
+            parts: list[tuple] = []
+            for payload in table.column("payload"):
+                contexts, size, number, rest, customers, n = unpack(payload)
+                w = np.zeros(len(number), np.uint64)
+                w[number == 0] = rest
+                w[number > 0] = c.top[long(number[number > 0]) - 1]
+                parts.append((contexts, size, w, customers, n))
+            contexts, tokens_ = np.unique(np.concatenate([p[0] for p in parts])), np.unique(np.concatenate([p[2] for p in parts]))
+            owner = np.concatenate([np.repeat(np.searchsorted(contexts, p[0]), p[1]) for p in parts])
+            key, at = np.unique(owner * len(tokens_) + np.searchsorted(tokens_, np.concatenate([p[2] for p in parts])), return_inverse=True)
+            customers, n = (summed(at, np.concatenate([p[i] for p in parts]), len(key)) for i in (3, 4))
+            each = np.bincount(key // len(tokens_), minlength=len(contexts))
+            held = [(bucket, PAIRS, 0, pack(contexts, small(each), tokens_, small(key % len(tokens_)), small(customers), small(n)))]
+            cuts = np.cumsum([0, *(len(p[2]) for p in parts)])
+            for piece, i, j in zip(table.column("sub").to_pylist(), cuts[:-1], cuts[1:]):
+                held.append((bucket, PLACES, piece, pack(small(np.diff(at[i:j], prepend=0)))))
+            yield rows(held)
+
+    found = by_key(dealt(docs, pieces).select("piece", "train", "text"), "piece").mapInArrow(run, PACKED)
+    return by_key(found, "bucket", "sub").mapInArrow(merged, PACKED)
 
 
 def stirling(discount: float, most: int = 64) -> np.ndarray:
@@ -188,7 +333,8 @@ def evidence(c: np.ndarray, t: np.ndarray, discount: float, strength: float) ->
 
 @dataclass(frozen=True)
 class Totals:
-    """What all rows share: sizes, discounts and strengths (of contexts, of the parent), customers and tables of the parent."""
+    """What all rows share: sizes, discounts and strengths (of contexts, of the parent), customers and tables of the parent
+    and of hot contexts."""
 
     vocabulary: int
     tokens: int
@@ -196,6 +342,7 @@ class Totals:
     strength: tuple[float, float]
     customers: int = 0
     tables: int = 0
+    above: tuple = ()
 
     @property
     def base(self) -> float:
@@ -211,224 +358,264 @@ class Totals:
         return (c - d * t + (s + d * t_all) * parent) / (s + c_all)
 
 
-def column(batch: pa.RecordBatch, name: str) -> np.ndarray:
-    return batch.column(name).fill_null(0).to_numpy(zero_copy_only=False)
-
-
 def shares(one: int, two: int) -> float:
     return min(0.95, max(0.1, one / (one + 2 * two))) if one + two else 0.5
 
 
-def meet(rows: DataFrame, table: DataFrame, key: str, total: int) -> DataFrame:
-    """Join on a word. Words with 1 / FREQUENT of all tokens, at most FREQUENT of them, are broadcast; the others are not hot."""
-    top, rest = (table.where(test).drop("m") for test in (F.col("m") * FREQUENT >= total, F.col("m") * FREQUENT < total))
-    others = rows.join(F.broadcast(top.select(key)), key, "left_anti").join(rest, key)
-    return rows.join(F.broadcast(top), key).unionByName(others)
+def cuts_of(ordered: np.ndarray, bits: int) -> np.ndarray:
+    """Where the hashes of each bucket of tokens start."""
+    return np.searchsorted(ordered >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
 
 
-def sums(spark: SparkSession, many: DataFrame, rest: DataFrame, dish: DataFrame, x: Totals, round_: int, seed: int, take: bool) -> tuple[DataFrame, DataFrame, Totals]:
-    """Customers and tables of each context; those of each token in the parent, whose tables are drawn; the totals.
+def dishes(pairs: DataFrame, bits: int) -> DataFrame:
+    """Packed rows by bucket of tokens (sub). STATE: tokens, pairs of one customer of each; PLACES: the places there of the
+    tokens of each bucket of contexts; COUNTS: all customers of these. Tokens with 1, 2 and any tables of the parent's customers
+    are counted in ones, twos, all."""
 
-    Pairs of one customer have one table, ``ones`` of each word. If ``take``, the counts are added to the samples.
-    """
-    opened = F.col("ones") + F.coalesce("t2", F.lit(0))
-    tables = F.array("t_all") if take else F.slice(F.array("t_all"), 1, 0)
-    rest = rest.drop("t_all").join(many.groupBy("u").agg(F.sum("t").alias("t2")), "u", "left").withColumn("t_all", opened).drop("t2")
-    rest = save(spark, rest.withColumn("t_s", F.concat("t_s", tables)), "restaurants")
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+                _, _, w, at, c, _ = unpack(payload)
+                sums = [summed(at, v, len(w)) for v in (c, c == 1, c > 0)]
+                cuts = cuts_of(w, bits)
+                yield rows([(bucket, 0, d, pack(w[i:j], *(small(v[i:j]) for v in sums))) for d, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j])
+
+    def merged(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (dish,), table in groups(batches, ["sub"]):
+            parts = [unpack(p) for p in table.column("payload")]
+            w, at = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+            c, single, any_ = (summed(at, np.concatenate([p[i] for p in parts]), len(w)) for i in (1, 2, 3))
+            held = [(-1, STATE, dish, pack(w, small(single)), *(int((any_ == i).sum()) for i in (1, 2)), int((any_ > 0).sum()))]
+            cuts = np.cumsum([0, *(len(p[0]) for p in parts)])
+            for bucket, i, j in zip(table.column("bucket").to_pylist(), cuts[:-1], cuts[1:]):
+                held.append((bucket, PLACES, dish, pack(small(np.diff(at[i:j], prepend=0))), 0, 0, 0))
+                held.append((bucket, COUNTS, dish, pack(small(c[at[i:j]])), 0, 0, 0))
+            yield rows(held, PACKED + ", ones long, twos long, all long")
+
+    return by_key(pairs.where(F.col("kind") == PAIRS).mapInArrow(run, PACKED), "sub", "bucket").mapInArrow(merged, PACKED + ", ones long, twos long, all long")
+
+
+SEATED = PACKED + ", a double, b double, hot binary"
+
+
+def told(bucket: int, c_all: np.ndarray, single: np.ndarray, hot: np.ndarray, mu: np.ndarray, mw: np.ndarray, t: np.ndarray, cuts: np.ndarray, x: Totals) -> tuple[list[tuple], tuple]:
+    """What a bucket of contexts sends: its tables by token, to the tokens' buckets, and what its contexts add to the totals."""
+    t_all = single + summed(mu, t, len(c_all))
+    cold = hot == 0
+    a, b = evidence(c_all[cold], t_all[cold], x.discount[0], x.strength[0])
+    sums = pack(small(hot[~cold]), small(c_all[~cold]), small(t_all[~cold]))
+    t2 = summed(mw, t, int(cuts[-1]))
+    messages = [(bucket, SAMPLE, d, pack(small(t2[i:j])), 0.0, 0.0, None) for d, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j]
+    return messages, (a, b, sums)
+
+
+def begin(pairs: DataFrame, c: Common, x: Totals, bits: int) -> DataFrame:
+    """STATE rows of the pairs of two customers and more, one table each: contexts' customers, pairs of one customer and hot
+    number, context, token, customers, tables and summed probability of each pair, cuts of the tokens, sampled tables of the
+    contexts, half the pairs' hashes; SAMPLE rows for the tokens' buckets."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for bucket, payload in zip(batch.column("bucket").to_pylist(), batch.column("payload")):
+                u, size, w, at, customers, _ = unpack(payload)
+                owner = np.repeat(np.arange(len(u)), size)
+                place, is_hot = is_in(u, c.ids)
+                hot = np.where(is_hot, c.owner[place] + 1, 0) if len(c.ids) else np.zeros(len(u), np.int64)
+                c_all, single, many = summed(owner, customers, len(u)), summed(owner, customers == 1, len(u)), customers > 1
+                mu, mw, t, cuts = owner[many], long(at[many]), np.ones(int(many.sum()), np.int64), cuts_of(w, bits)
+                draws = (pair(c.named(u)[mu], w[mw]) >> np.uint64(32)).astype(np.uint32)
+                messages, sums = told(bucket, c_all, single, hot, mu, mw, t, cuts, x)
+                state = pack(small(c_all), small(single), small(hot), small(mu), small(mw), customers[many], small(t), np.zeros(0, np.float32), cuts, small(np.zeros(0)), draws)
+                yield rows([(bucket, STATE, 0, state, *sums), *messages], SEATED)
+
+    return pairs.where(F.col("kind") == PAIRS).mapInArrow(run, SEATED)
+
+
+def parents(seated: DataFrame, dish: DataFrame, x: Totals, round_: int, seed: int) -> DataFrame:
+    """SAMPLE rows that answer each bucket of contexts: customers and tables of its tokens in the parent, the tables drawn; all of these in c, t."""
     before = x.tables or x.vocabulary
 
     def drawn(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        d, s = x.discount[1], x.strength[1]
+        d, s, others = x.discount[1], x.strength[1], max(before - 1, 0)
         table = stirling(d)
-        for b in batches:
-            others = max(before - 1, 0)
-            bits = mix(column(b, "w").view(np.uint64)) + np.uint64(2 * (seed + 64 * round_) + 1)
-            t1 = seat(column(b, "c1"), lambda rows, t: (s + d * (others + t)) / (x.vocabulary + 1) + 0.0 * rows, d, bits, table)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(t1)], names=[*b.schema.names, "t1"])
-
-    dish = dish.drop("c1", "t1").join(many.groupBy("w").agg(F.sum("t").alias("t2")), "w", "left").withColumn("c1", opened).drop("t2")
-    dish = dish.mapInArrow(drawn, "w long, c_w long, ones long, m long, c1_s array<long>, t1_s array<long>, c1 long, t1 long")
-    if take:
-        dish = dish.withColumns({"c1_s": F.concat("c1_s", F.array("c1")), "t1_s": F.concat("t1_s", F.array("t1"))})
-    dish = save(spark, dish, "dishes")
-
-    def weighed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            a, logs = evidence(column(b, "c_all"), column(b, "t_all"), x.discount[0], x.strength[0])
-            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([logs])], names=["a", "b"])
-
-    size = dish.agg(F.coalesce(F.sum("c1"), F.lit(0)).alias("c"), F.coalesce(F.sum("t1"), F.lit(0)).alias("t")).first()
-    weights = rest.select("c_all", "t_all").mapInArrow(weighed, "a double, b double")
-    seen = weights.agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in ("a", "b"))).first()
-    above = evidence(np.array([size.c]), np.array([size.t]), x.discount[1], x.strength[1])
-    strength = tuple(min(1e6, max(1e-3, (1 + a) / (0.01 + b))) for a, b in ((seen.a, seen.b), above)) if x.tokens else x.strength
-    return rest, dish, replace(x, strength=strength, customers=int(size.c), tables=int(size.t))
-
-
-def step(many: DataFrame, rest: DataFrame, dish: DataFrame, x: Totals, total: int, bits_of_round: int, take: bool, draw: bool) -> DataFrame:
-    """The rows of two customers and more with their predictive probability added to ``p`` (if ``take``) and tables drawn anew (if ``draw``)."""
+        for (dish_,), held in groups(batches, ["sub"]):
+            kinds, buckets, payloads = held.column("kind").to_pylist(), held.column("bucket").to_pylist(), held.column("payload")
+            w, c1 = (unpack(payloads[0]))
+            c1, places = long(c1), {}
+            for i in range(1, len(kinds)):  # each bucket's SAMPLE row follows its PLACES row
+                if kinds[i] == PLACES:
+                    places[buckets[i]] = np.cumsum(long(unpack(payloads[i])[0]))
+                else:
+                    c1[places[buckets[i]]] += long(unpack(payloads[i])[0])
+            bits = mix(w) + np.uint64(2 * (seed + 64 * round_) + 1)
+            t1 = seat(c1, lambda rows_, t: (s + d * (others + t)) / (x.vocabulary + 1) + 0.0 * rows_, d, bits, table)
+            yield rows([(-1, STATE, dish_, None, int(c1.sum()), int(t1.sum()))] + [(b, SAMPLE, dish_, pack(small(c1[at]), small(t1[at])), 0, 0) for b, at in places.items()], PACKED + ", c long, t long")
+
+    names = PACKED.replace(" int", "").replace(" binary", "").split(", ")
+    both = dish.where(F.col("kind") != COUNTS).select(*names).unionByName(seated.where(F.col("kind") == SAMPLE).select(*names))
+    return by_key(both, "sub", "bucket", F.col("kind").desc()).mapInArrow(drawn, PACKED + ", c long, t long")
+
+
+def answer(table: pa.Table, kind: int) -> list[np.ndarray]:
+    """The arrays of a bucket's rows of one kind, end to end."""
+    found = [unpack(p) for k, p in zip(table.column("kind").to_pylist(), table.column("payload")) if k == kind]
+    return [long(np.concatenate(part)) for part in zip(*found)]
+
+
+def step(seated: DataFrame, replies: DataFrame, x: Totals, above: tuple[np.ndarray, np.ndarray], bits_of_round: int, take: bool, draw: bool) -> DataFrame:
+    """STATE with the pairs' predictive probabilities added (if ``take``) and tables drawn anew (if ``draw``), and what it tells. ``above``: customers and tables of hot contexts."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         d, s = x.discount[0], x.strength[0]
         table = stirling(d)
-        for b in batches:
-            c, t, c_all, t_all, c1, t1, p = (column(b, n) for n in ("c", "t", "c_all", "t_all", "c1", "t1", "p"))
+        for (bucket,), held in groups(batches, ["bucket"]):
+            own, single, hot, mu, mw, c, t, p, cuts, sampled, draws = (v if v.dtype.kind == "f" else long(v) for v in unpack(held.column("payload")[0]))
+            c1, t1 = answer(held, SAMPLE)
+            c_all, t_all = own.copy(), single + summed(mu, t, len(own))
+            is_hot = hot > 0
+            c_all[is_hot], t_all[is_hot] = (v[hot[is_hot] - 1] for v in above)
             if take:
-                p = p + x.predict(c, t, c_all, t_all, x.parent(c1, t1))
+                more = x.predict(c, t, c_all[mu], t_all[mu], x.parent(c1[mw], t1[mw]))
+                p, sampled = (p + more if len(p) else more), np.concatenate((sampled, t_all))
             if draw:
-                rest_, mine, above = t_all - t, c1 - t, np.minimum(t1, c1 - t)
+                rest, mine, over = (t_all[mu] - t), c1[mw] - t, np.minimum(t1[mw], c1[mw] - t)
                 sure = x.strength[1] + x.customers - t
 
-                def weight(rows, i):
-                    had = mine[rows] + i
-                    parent = (had - x.discount[1] * np.maximum(above[rows], had > 0) + x.base) / (sure[rows] + i)
-                    return (s + d * (rest_[rows] + i)) * parent
-
-                bits = pair(b.column("u").to_numpy().view(np.uint64), b.column("w").to_numpy().view(np.uint64)) + np.uint64(bits_of_round)
-                t = seat(c, weight, d, bits, table)
-            yield pa.RecordBatch.from_arrays([*(b.column(n) for n in ("u", "w", "c", "n")), pa.array(t, pa.int64()), pa.array(p, pa.float64()), b.column("c_w")], names=["u", "w", "c", "n", "t", "p", "c_w"])
+                def weight(rows_, i):
+                    had = mine[rows_] + i
+                    parent = (had - x.discount[1] * np.maximum(over[rows_], had > 0) + x.base) / (sure[rows_] + i)
+                    return (s + d * (rest[rows_] + i)) * parent
 
-    joined = meet(many.drop("c_w"), rest.select("u", "m", "c_all", "t_all"), "u", total)
-    joined = meet(joined, dish.select("w", "m", "c_w", "c1", "t1"), "w", total)
-    return joined.mapInArrow(run, "u long, w long, c long, n long, t long, p double, c_w long")
+                t = seat(c, weight, d, mix(draws.astype(np.uint64)) + np.uint64(bits_of_round), table)
+            messages, sums = told(bucket, own, single, hot, mu, mw, t, cuts, x) if draw else ([], (0.0, 0.0, None))
+            state = pack(small(own), small(single), small(hot), small(mu), small(mw), small(c), small(t), p.astype(np.float32), cuts, small(sampled), draws.astype(np.uint32))
+            yield rows([(bucket, STATE, 0, state, *sums), *messages], SEATED)
 
+    both = seated.where(F.col("kind") == STATE).select("bucket", "kind", "sub", "payload").unionByName(replies.where("bucket >= 0").select("bucket", "kind", "sub", "payload"))
+    return by_key(both, "bucket", "kind", "sub").mapInArrow(run, SEATED)
 
-def few_customers(pairs: DataFrame, rest: DataFrame, dish: DataFrame, kept: list[Totals], total: int) -> DataFrame:
-    """Pairs of one customer or none: their tables are known, so one join gives the average over all samples."""
-    terms = []
-    for i, x in enumerate(kept):
-        (d, d1), (s, s1) = x.discount, x.strength
-        parent = (F.col("c1_s")[i] - d1 * F.col("t1_s")[i] + x.base) / (s1 + x.customers)
-        terms.append(((1 - d) * F.col("c") + (s + d * F.col("t_s")[i]) * parent) / (s + F.col("c_all")))
-    joined = meet(pairs.where("c < 2"), rest.select("u", "m", "c_all", "t_s"), "u", total)
-    joined = meet(joined, dish.select("w", "m", "c_w", "c1_s", "t1_s"), "w", total)
-    return joined.select("u", "w", "c", "n", F.col("c").alias("t"), (sum(terms[1:], terms[0]) / len(kept)).alias("p"), "c_w")
 
+def hot_sums(seated: DataFrame, c: Common, x: Totals) -> tuple[float, float, tuple[np.ndarray, np.ndarray]]:
+    """Expected auxiliary variables of all contexts, summed; customers and tables of the hot ones. The rows name each shard once."""
+    found = seated.where(F.col("kind") == STATE).agg(*(F.coalesce(F.sum(n), F.lit(0.0)).alias(n) for n in ("a", "b"))).first()
+    above = np.zeros(len(c.hot), np.int64), np.zeros(len(c.hot), np.int64)
+    for batch in seated.where("hot is not null").select("hot").toArrow().to_batches():
+        for held in batch.column("hot"):
+            at, *values = map(long, unpack(held))
+            for total, v in zip(above, values):
+                np.add.at(total, at - 1, v)
+    a, b = evidence(*above, x.discount[0], x.strength[0])
+    return found.a + a, found.b + b, above
 
-def fit(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: int) -> tuple[DataFrame, Totals, list[DataFrame]]:
-    """(u, w, c, n, t, p, c_w) of every pair of the texts, p its averaged predictive probability; the totals; tables it reads."""
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    pairs = save(spark, count_pairs(docs, max(64, size >> 23)), "pairs")
-    total = pairs.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    none = F.array().cast("array<bigint>")
-    both = [F.count_if(F.col("c") == 1).alias("ones"), F.sum("n").alias("m")]
-    rest = save(spark, pairs.groupBy("u").agg(F.sum("c").alias("c_all"), *both).select("*", none.alias("t_s"), F.lit(0).cast("long").alias("t_all")), "restaurants")
-    dish = pairs.groupBy("w").agg(F.sum("c").alias("c_w"), *both, F.count_if(F.col("c") > 0).alias("c1"))
-    dish = save(spark, dish.select("w", "c_w", "ones", "m", none.alias("c1_s"), none.alias("t1_s"), "c1", F.lit(0).cast("long").alias("t1")), "dishes")
-    is_ = lambda name, v: F.count_if(F.col(name) == v).alias(f"{name}_{v}")
-    ofpairs = pairs.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), is_("c", 1), is_("c", 2)).first()
-    ofdishes = dish.agg(F.count_if(F.col("c1") > 0).alias("v"), is_("c1", 1), is_("c1", 2)).first()
-    x = Totals(ofdishes.v, int(ofpairs.n), (shares(ofpairs.c_1, ofpairs.c_2), shares(ofdishes.c1_1, ofdishes.c1_2)), (10.0, 100.0))
-    many = save(spark, pairs.where("c > 1").select("u", "w", "c", "n", F.lit(1).cast("long").alias("t"), F.lit(0.0).alias("p")), "seating")
-    kept = []
-    for r in range(rounds + 1):
-        take, old = r > rounds - samples, (rest, dish, many)
-        rest, dish, x = sums(spark, many, rest, dish, x, r, seed, take)
-        kept += [x] * take
-        many = save(spark, step(many, rest, dish, x, total, 2 * (seed + 64 * r), take, r < rounds), "seating")
-        drop(spark, *old)
-    return many.withColumn("p", F.col("p") / samples).unionByName(few_customers(pairs, rest, dish, kept, total)), x, [pairs, rest, dish, many]
 
-
-def values(state: DataFrame, buckets: int) -> DataFrame:
-    """(bucket, k, n, known, base, score): a pair's hash, occurrences, and what each occurrence adds."""
+def values(rows_: DataFrame, c: Common, kept: list[Totals], whole: bool) -> DataFrame:
+    """Of each bucket: what each piece's pairs add (score and the customers of the token), in the piece's order; if ``whole`` instead every pair once."""
+    names = "u long, w long, c long, n long, t long, p double, c_w long"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            k = pair(b.column("u").to_numpy().view(np.uint64), b.column("w").to_numpy().view(np.uint64))
-            c_w = column(b, "c_w")
-            base, score_ = (np.round(np.log10(v) * FIX).astype(np.int64) for v in (c_w + 0.1, column(b, "p")))
-            arrays = [((k >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64), k.view(np.int64), (c_w > 0).astype(np.int64), base, score_]
-            yield pa.RecordBatch.from_arrays([*map(pa.array, arrays), b.column("n")], names=["bucket", "k", "known", "base", "score", "n"])
+        for (bucket,), held in groups(batches, ["bucket"]):
+            payloads = held.column("payload")
+            u, size, w, at, customers, n = unpack(payloads[0])
+            own, _, hot, _, _, _, mt, mp, _, sampled, _ = unpack(payloads[1])
+            owner, customers, at = np.repeat(np.arange(len(u)), size), long(customers), long(at)
+            is_hot = hot > 0
+            c_all = long(own)
+            c_all[is_hot] = above[0][long(hot[is_hot]) - 1]
+            p = np.zeros(len(at))
+            for i, (x, t_all) in enumerate(zip(kept, long(sampled).reshape(len(kept), len(u)))):
+                c1, t1 = answer(held, SAMPLE + i)
+                p += x.predict(customers, customers, c_all[owner], t_all[owner], x.parent(c1, t1)[at])
+            many, t = customers > 1, customers.copy()
+            p[many], t[many] = mp, mt
+            p /= len(kept)
+            c_w = answer(held, COUNTS)[0][at]
+            if whole:
+                arrays = [c.named(u)[owner].view(np.int64), w[at].view(np.int64), customers, long(n), t, p, c_w]
+                yield pa.RecordBatch.from_arrays(list(map(pa.array, arrays)), names=[f.split()[0] for f in names.split(", ")])
+                continue
+            score_ = np.log10(p).astype(np.float32)
+            for kind, piece, payload in zip(held.column("kind").to_pylist(), held.column("sub").to_pylist(), payloads):
+                if kind == PLACES:
+                    place = np.cumsum(long(unpack(payload)[0]))
+                    yield rows([(bucket, 0, piece, pack(score_[place], small(c_w[place])))])
 
-    return state.select("u", "w", "n", "p", "c_w").mapInArrow(run, "bucket long, k long, known long, base long, score long, n long")
+    above = kept[-1].above
+    return by_key(rows_, "bucket", "kind", "sub").mapInArrow(run, names if whole else PACKED)
 
 
-PACKED = "bucket long, kind int, k long, known long, base long, score long, ks binary, places binary, doc array<{kind}>, text_hash binary, runs binary"
+def model(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: int) -> tuple[DataFrame, Common, list[Totals], int, list[DataFrame]]:
+    """Packed rows that ``values`` reads; frequent tokens and hot contexts; totals of the samples; number of pieces; tables that are read."""
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    pieces, bits = max(24, size >> 23), max(5, ((size >> 24) - 1).bit_length() if size >> 24 else 0)
+    few = max(4, bits - 2)
+    c = common(spark, docs)
+    pairs = save(spark, count_pairs(docs, c, pieces, bits), "pairs")
+    dish = save(spark, dishes(pairs, few), "dishes")
+
+    def counted(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for payload in batch.column("payload"):
+                v = unpack(payload)[4]
+                yield rows([(int(long(v).sum()), int((v == 1).sum()), int((v == 2).sum()))], "n long, ones long, twos long")
+
+    total = lambda table, *names: table.agg(*(F.coalesce(F.sum(n), F.lit(0)).alias(n) for n in names)).first()
+    of = total(pairs.where(F.col("kind") == PAIRS).mapInArrow(counted, "n long, ones long, twos long"), "n", "ones", "twos")
+    ofdishes = total(dish, "ones", "twos", "all")
+    x = Totals(int(ofdishes["all"]), int(of.n), (shares(of.ones, of.twos), shares(ofdishes.ones, ofdishes.twos)), (10.0, 100.0))
+    seated = save(spark, begin(pairs, c, x, few), "seating")
+    kept, samples_ = [], []
+    for r in range(rounds + 1):
+        take, draw = r > rounds - samples, r < rounds
+        a, b, above = hot_sums(seated, c, x)
+        replies = save(spark, parents(seated, dish, x, r, seed), "replies")
+        size_ = total(replies, "c", "t")
+        parent = evidence(np.array([size_.c]), np.array([size_.t]), x.discount[1], x.strength[1])
+        strength = tuple(min(1e6, max(1e-3, (1 + i) / (0.01 + j))) for i, j in ((a, b), parent)) if x.tokens else x.strength
+        x = replace(x, strength=strength, customers=int(size_.c), tables=int(size_.t), above=above)
+        old, seated = seated, save(spark, step(seated, replies, x, above, 2 * (seed + 64 * r), take, draw), "seating")
+        drop(spark, old)
+        if take:
+            kept.append(x)
+            samples_.append(replies)
+        else:
+            drop(spark, replies)
+    names = ["bucket", "kind", "sub", "payload"]
+    read = pairs.unionByName(seated.where(F.col("kind") == STATE).select(*names)).unionByName(dish.where(F.col("kind") == COUNTS).select(*names))
+    for i, replies in enumerate(samples_):
+        read = read.unionByName(replies.where("bucket >= 0").withColumn("kind", F.lit(SAMPLE + i)).select(*names))
+    return read, c, kept, pieces, [pairs, dish, seated, *samples_]
 
 
-def packed(docs: DataFrame, hot: np.ndarray, adds: np.ndarray, buckets: int, kind: str) -> DataFrame:
-    """Two kinds of rows: what frequent pairs add to each text (bucket below 0), and the other pairs of a piece by bucket."""
+def fit(spark: SparkSession, docs: DataFrame, rounds: int, samples: int, seed: int) -> tuple[DataFrame, Totals, list[DataFrame]]:
+    """(u, w, c, n, t, p, c_w) of every pair of the texts, p its averaged predictive probability; the totals; tables it reads."""
+    read, c, kept, _, tables = model(spark, docs, rounds, samples, seed)
+    return values(read, c, kept, True), kept[-1], tables
 
-    def row(n: int, bucket: pa.Array, ks, places, doc, text_hash, runs) -> pa.RecordBatch:
-        none = [pa.nulls(n, pa.int64())] * 4
-        return pa.RecordBatch.from_arrays([bucket, pa.array(np.ones(n, np.int32)), *none, ks, places, doc, text_hash, runs], names=[f.split()[0] for f in PACKED.split(", ")])
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            h, before, starts = tokens(piece)
-            k, text = pair(before, h), np.repeat(np.arange(piece.num_rows), np.diff(starts))
-            at, frequent = is_in(k, hot)
-            docs_, text_hash = piece.column("doc"), piece.column("text_hash").to_numpy()
-            mine = np.zeros((5, piece.num_rows), np.int64)
-            mine[0], mine[1] = 1, np.diff(starts)
-            for i in range(3):
-                if len(hot):
-                    mine[2 + i] = np.add.reduceat(np.where(frequent, adds[i][at], 0), starts[:-1])
-            spread = -1 - int(text_hash[0] & 0xFFFFF)
-            whole = pa.ListArray.from_arrays(pa.array([0, piece.num_rows], pa.int32()), docs_)
-            yield row(1, pa.array([spread]), pa.nulls(1, pa.binary()), pa.array([mine.tobytes()], pa.binary()), whole, pa.array([text_hash.tobytes()], pa.binary()), pa.nulls(1, pa.binary()))
-            rest = np.flatnonzero(~frequent)
-            if not len(rest):
-                continue
-            kinds, at = np.unique(k[rest], return_inverse=True)
-            bucket = ((kinds >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            kinds, bucket, at = kinds[order], bucket[order], rank[at]
-            there, first = np.unique(bucket, return_index=True)
-            edges = np.append(first, len(kinds))
-            order = np.argsort(bucket[at], kind="stable")
-            at, owner = at[order], text[rest][order]
-            mine_ = np.searchsorted(there, bucket[at])
-            cuts = np.searchsorted(mine_, np.arange(len(there) + 1))
-            change = np.ones(len(at), bool)
-            change[1:] = (owner[1:] != owner[:-1]) | (mine_[1:] != mine_[:-1])
-            begin = np.flatnonzero(change)
-            ends = np.searchsorted(begin, cuts)
-            lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), docs_.take(pa.array(owner[begin])))
-            lengths = np.diff(np.append(begin, len(at))).astype(np.uint32)
-            yield row(len(there), pa.array(there), binaries(edges, kinds), binaries(cuts, (at - edges[mine_]).astype(np.uint32)), lists, binaries(ends, text_hash[owner[begin]]), binaries(ends, lengths))
-
-    return docs.select("doc", "text", F.xxhash64("text").alias("text_hash")).mapInArrow(run, PACKED.format(kind=kind))
-
-
-def looked_up(rows: DataFrame, kind: str) -> DataFrame:
-    """(doc, text_hash, rows, n_tokens, n_known, base, score) by parts; a bucket's values come first, its texts stream past."""
+def looked_up(docs: DataFrame, found: DataFrame, c: Common, pieces: int, kind: str) -> DataFrame:
+    """(doc, n_tokens, n_known, base, score) of every row: a piece's values come first, in the order of its pairs."""
+    names = f"doc {kind}, n_tokens long, n_known long, base double, score double"
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        current, table = None, None
-        for b in batches:
-            buckets, kinds = b.column("bucket").to_numpy(), b.column("kind").to_numpy()
-            cuts = [0, *(np.flatnonzero((np.diff(buckets) != 0) | (np.diff(kinds) != 0)) + 1), b.num_rows] if b.num_rows else [0]
-            for i, j in zip(cuts[:-1], cuts[1:]):
-                if buckets[i] != current:
-                    held, current, table = [], buckets[i], None
-                if kinds[i] == 0:
-                    held.append(np.stack([b.column(n).slice(i, j - i).to_numpy() for n in ("k", "known", "base", "score")]))
-                    continue
-                if table is None and held:
-                    table = np.concatenate(held, 1)
-                    ordered = table[0].view(np.uint64)
-                    order = np.argsort(ordered, kind="stable")
-                    ordered, table, held = ordered[order], table[1:, order], []
-                for r in range(i, j):
-                    places, doc = b.column("places")[r].as_buffer(), b.column("doc")[r].values
-                    text_hash = pa.array(np.frombuffer(b.column("text_hash")[r].as_buffer(), np.int64))
-                    if current < 0:
-                        total = np.frombuffer(places, np.int64).reshape(5, -1)
-                    else:
-                        at, _ = is_in(np.frombuffer(b.column("ks")[r].as_buffer(), np.uint64), ordered)
-                        runs = np.frombuffer(b.column("runs")[r].as_buffer(), np.uint32).astype(np.int64)
-                        each = table[:, at][:, np.frombuffer(places, np.uint32)]
-                        total = np.zeros((5, len(runs)), np.int64)
-                        total[2:] = np.add.reduceat(each, np.cumsum(runs) - runs, axis=1)
-                    yield pa.RecordBatch.from_arrays([doc, text_hash, *map(pa.array, total)], names=["doc", "text_hash", "rows", "n_tokens", "n_known", "base", "score"])
-
-    dealt = rows.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    return dealt.mapInArrow(run, f"doc {kind}, text_hash long, rows long, n_tokens long, n_known long, base long, score long")
+        for _, table in groups(batches, ["piece"]):
+            is_text = table.column("kind").to_numpy()
+            n = int(np.count_nonzero(is_text == 0))
+            score_, c_w = (np.concatenate(part) for part in zip(*(unpack(p) for p in table.column("payload")[:n])))
+            batch = one(table.slice(n))
+            vocabulary, code, starts = coded(batch)
+            key, at = np.unique(previous(vocabulary, code, starts) * len(vocabulary) + code, return_inverse=True)
+            _, _, order = order_of(vocabulary, key, c)
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            at = place[at]
+            c_w, score_ = long(c_w), score_.astype(np.float64)
+            base = np.log10(c_w + 0.1)
+            sums = [np.add.reduceat(v[at], starts[:-1]) for v in (long(c_w > 0), base, score_)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), *map(pa.array, (np.diff(starts), *sums))], names=[f.split()[0] for f in names.split(", ")])
+
+    answers = found.select(F.col("sub").alias("piece"), F.lit(0).alias("kind"), "bucket", "payload")
+    both = dealt(docs, pieces).select("piece", F.lit(1).alias("kind"), "doc", "text").unionByName(answers, allowMissingColumns=True)
+    return by_key(both, "piece", "kind", "bucket").mapInArrow(run, names)
 
 
 def score(spark: SparkSession, docs: DataFrame, train, doc_id: str = "doc_id", rounds: int = 3, samples: int = 2, seed: int = 11) -> DataFrame:
@@ -439,23 +626,13 @@ def score(spark: SparkSession, docs: DataFrame, train, doc_id: str = "doc_id", r
     """
     kind = docs.schema[doc_id].dataType.simpleString()
     part = docs.select(F.col(doc_id).alias("doc"), F.coalesce(train & F.col(doc_id).isNotNull(), F.lit(False)).alias("train"), "text")
-    state, x, read = fit(spark, part, rounds, samples, seed)
-    buckets = max(64, -(-part.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0] // (8 * BUCKET)))
-    table = save(spark, values(state, buckets), "values")
-    drop(spark, *read)
-    total = int(table.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0])
-    top = table.where(F.col("n") * HOT_SHARE >= total).select("k", "known", "base", "score").toPandas()  # HOT_SHARE rows at most
-    hot = top["k"].to_numpy(np.int64).view(np.uint64)
-    order = np.argsort(hot)
-    hot, adds = hot[order], np.stack([top[n].to_numpy(np.int64)[order] for n in ("known", "base", "score")])
-    texts_ = packed(part, hot, adds, buckets, kind)
-    rare = table.where(F.col("n") * HOT_SHARE < total).withColumn("kind", F.lit(0)).select("bucket", "kind", "k", "known", "base", "score")
-    both = texts_.unionByName(rare, allowMissingColumns=True)
-    out = looked_up(both, kind).groupBy("doc", "text_hash").agg(*(F.sum(c).alias(c) for c in ("rows", "n_tokens", "n_known", "base", "score")))
-    each = [F.expr(f"{c} div rows").alias(c) for c in ("n_tokens", "n_known", "base", "score")]
-    out = out.select("doc", F.explode(F.sequence(F.lit(1).cast("long"), "rows")).alias("_copy"), *each)
+    read, c, kept, pieces, tables = model(spark, part, rounds, samples, seed)
+    found = save(spark, values(read, c, kept, False), "values")
+    drop(spark, *tables)
+    x = kept[-1]
+    out = looked_up(part, found, c, pieces, kind)
     return out.select(
         F.col("doc").alias(doc_id), "n_tokens", "n_known", F.lit(x.tokens).cast("long").alias("train_tokens"),
-        (F.col("base") / FIX - F.col("n_tokens") * float(np.log10(x.tokens + 0.1 * (x.vocabulary + 1)))).alias("base_score"),
-        (F.col("score") / FIX).alias("score"), F.pow(F.lit(10.0), -F.col("score") / FIX / F.col("n_tokens")).alias("perplexity"),
+        (F.col("base") - F.col("n_tokens") * float(np.log10(x.tokens + 0.1 * (x.vocabulary + 1)))).alias("base_score"),
+        "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"),
     )

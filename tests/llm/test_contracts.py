@@ -360,3 +360,12 @@ def test_recall_of_near_lines_over_all_pairs(spark):
     wanted = {first[x] for i in linked for x in (max([lines[i], *(lines[j] for j in linked[i])], key=lambda x: first[x]),)}
     gone = {(r.doc, n) for r in line_dedup.removals(spark, docs).collect() for n in r.gone}
     assert len(wanted & gone) >= 0.9 * len(wanted)
+
+
+def test_pairs_of_the_model_are_held_in_blocks(spark):
+    """The tables of the fit have rows for blocks of pairs, not for pairs: rows of their own filled the disk."""
+    from regloom.llm import lm_score
+
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 10 != 0).alias("train"), "text")
+    state, _, tables = lm_score.fit(spark, docs, 3, 2, 11)
+    assert sum(t.count() for t in tables) < state.count() / 2
