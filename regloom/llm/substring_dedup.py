@@ -2,8 +2,9 @@
 
 A window is k = 20 consecutive words. The minimiser of a window is the least hash among its m-word runs; consecutive
 windows that share it travel together as one packed string (a super-k-mer) to the minimiser's bucket, about three
-times the text in all. Equal windows have equal minimisers, so each bucket sorts its windows by hash, compares equal
-hashes word by word, and finds exactly which windows start earlier elsewhere.
+times the text in all; super-k-mers of a bucket travel in compressed blocks. Equal windows have equal minimisers, so each
+bucket sorts its windows by hash, compares equal hashes word by word, and finds exactly which windows start earlier
+elsewhere.
 
 Hot minimisers (a passage in a large share of all documents) are dealt over shards by document. A shard settles what
 it can, and the first occurrences that are left travel on, one window each, dealt by the whole window's hash.
@@ -20,16 +21,18 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .frames import with_columns
 from .store import drop, save
-from .text import covered, grams, hashes, mix, raw, slices, spans, sums, texts, words, wrap
+from .text import covered, grams, groups, hashes, mix, raw, slices, spans, sums, texts, words, wrap
 
 K, M = 20, 3
 SHARDS = 32
-ROOM = 1 << 15  # super-k-mers that a bucket's task sorts at once
+ROOM = 1 << 15  # super-k-mers whose windows a bucket's task sorts at once
+BLOCK = 24 << 20  # bytes of super-k-mers that are split into blocks at once
 
 
 def packed(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -63,10 +66,49 @@ def superkmers(flat: pa.Array, starts: np.ndarray, k: int = K, m: int = M) -> tu
     return mini[begin], first[begin], first[end] + k, text[begin]
 
 
-def pieces(docs: DataFrame, doc_id: str, k: int, hot: np.ndarray) -> DataFrame:
-    """(key, doc, start, words, hot) of all super-k-mers; the key is the minimiser, or for hot ones that and a shard."""
+def blocks(batches: Iterable[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
+    """(bucket, payload) of rows (key, doc, start, words, hot): those of one bucket of keys, compressed together."""
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = one(held)
+        bucket = (mix(rows.column("key").to_numpy().view(np.uint64)) % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        there, first = np.unique(bucket[order], return_index=True)
+        rows, payload = rows.take(pa.array(order)), []
+        for i, j in zip(first, np.append(first[1:], len(order))):
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, rows.schema) as out:
+                out.write_batch(rows.slice(i, j - i))
+            body = sink.getvalue()
+            payload.append(body.size.to_bytes(8, "little") + pa.compress(body, codec="zstd", asbytes=True))
+        return pa.RecordBatch.from_arrays([pa.array(there), pa.array(payload, pa.binary())], names=["bucket", "payload"])
+
+    held, size = [], 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= BLOCK:
+            yield flush(held)
+            held, size = [], 0
+    if held:
+        yield flush(held)
+
+
+def unblock(payload: pa.Scalar) -> list[pa.RecordBatch]:
+    held = payload.as_buffer()
+    body = pa.decompress(held.slice(8), int.from_bytes(held.slice(0, 8).to_pybytes(), "little"), codec="zstd")
+    return list(pa.ipc.open_stream(body))
+
+
+def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+    return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
+def pieces(docs: DataFrame, doc_id: str, k: int, hot: np.ndarray, buckets: int) -> DataFrame:
+    """Blocks of (key, doc, start, words, hot) of all super-k-mers; the key is the minimiser, or for hot ones that and a shard."""
+
+    def found(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
             flat, starts = words(texts(piece))
             mini, first, last, text = superkmers(flat, starts, k)
@@ -81,12 +123,11 @@ def pieces(docs: DataFrame, doc_id: str, k: int, hot: np.ndarray) -> DataFrame:
                 key = np.where(is_hot, mix(mini ^ mix(shard + np.uint64(1))).view(np.int64), key)
             yield pa.RecordBatch.from_arrays([pa.array(key), piece.column("doc").take(pa.array(text)), pa.array((first - starts[text]).astype(np.int32)), wrap(offs, data[chars]), pa.array(is_hot)], names=["key", "doc", "start", "words", "hot"])
 
-    kind = docs.schema[doc_id].dataType.simpleString()
     part = docs.select(F.col(doc_id).alias("doc"), F.pmod(F.xxhash64(doc_id), F.lit(SHARDS)).alias("shard"), "text")
-    return part.mapInArrow(run, f"key long, doc {kind}, start int, words string, hot boolean")
+    return part.mapInArrow(lambda batches: blocks(found(batches), buckets), "bucket long, payload binary")
 
 
-def hot_minimisers(docs: DataFrame, k: int, least: int = 2048) -> np.ndarray:
+def hot_minimisers(spark: SparkSession, docs: DataFrame, k: int, least: int = 2048) -> np.ndarray:
     """Sorted minimisers with over max(``least``, total / 2^22) super-k-mers: at most 2^22 values, 32 MB."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -96,10 +137,10 @@ def hot_minimisers(docs: DataFrame, k: int, least: int = 2048) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(n)], names=["mini", "n"])
 
     counted = docs.select("text").mapInArrow(run, "mini long, n long").groupBy("mini").agg(F.sum("n").alias("n"))
-    many = counted.where(F.col("n") > least).persist()
+    many = save(spark, counted.where(F.col("n") > least), "minimisers")
     total = many.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
     top = many.where(F.col("n") > max(least, total >> 22)).select("mini").toArrow()  # fewer than 2^22 can be above it
-    many.unpersist()
+    drop(spark, many)
     return np.sort(top.column("mini").to_numpy())
 
 
@@ -137,11 +178,11 @@ def settle(rows: pa.Table, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray,
 def sort_buckets(rows: DataFrame, kind: str, k: int) -> DataFrame:
     """(doc, start, stop, h, words): spans covered by later windows, h null; and the first windows of hot shards, h set.
 
-    Rows are dealt and sorted by key; a task sorts the windows of whole keys, of about ROOM super-k-mers at a time.
+    ``rows`` are blocks. A task sorts a bucket's super-k-mers by (key, doc, start), null ids first, and then the windows of
+    whole keys, of about ROOM super-k-mers at a time.
     """
 
-    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        table = pa.Table.from_batches(held)
+    def flush(table: pa.Table) -> pa.RecordBatch:
         row, begin, later, first, flat, h = settle(table, k)
         hit = np.flatnonzero(later)
         new = np.ones(len(hit), bool)  # neighbouring later windows of one super-k-mer make one span
@@ -158,35 +199,28 @@ def sort_buckets(rows: DataFrame, kind: str, k: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([doc, pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32)), h_, pa.array(strings, pa.string())], names=["doc", "start", "stop", "h", "words"])
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        n = 0
-        for batch in batches:
-            while batch.num_rows:
-                if n < ROOM:
-                    held.append(batch.slice(0, ROOM - n))
-                    batch = batch.slice(ROOM - n) if batch.num_rows > ROOM - n else batch.slice(0, 0)
-                    n += held[-1].num_rows
-                    continue
-                other = batch.column("key").to_numpy() != held[-1].column("key")[-1].as_py()
-                stop = int(np.argmax(other)) if other.any() else len(other)  # full: go on to the end of the key
-                if stop:
-                    held.append(batch.slice(0, stop))
-                if stop < len(other):
-                    yield flush(held)
-                    held, n = [], 0
-                batch = batch.slice(stop)
-        if held:
-            yield flush(held)
-
-    dealt = rows.select("key", "doc", "start", "words", "hot").repartition("key").sortWithinPartitions("key", "doc", "start")
+        for _, table in groups(batches, ["bucket"]):
+            held = pa.Table.from_batches([b for payload in table.column("payload") for b in unblock(payload)]).combine_chunks()
+            order = pc.sort_indices(held, [(c, "ascending") for c in ("key", "doc", "start")], null_placement="at_start")
+            key = held.column("key").to_numpy()[order.to_numpy()]
+            ends, start = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)), 0
+            while start < len(key):
+                stop = int(ends[min(np.searchsorted(ends, start + ROOM), len(ends) - 1)])  # full: go on to the end of the key
+                yield flush(held.take(order.slice(start, stop - start)))
+                start = stop
+
+    dealt = rows.repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(run, f"doc {kind}, start int, stop int, h long, words string")
 
 
 def covers(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", k: int = K) -> DataFrame:
     """(doc, spans): for each document with any, the word spans of windows whose word sequence also starts earlier."""
     kind = docs.schema[doc_id].dataType.simpleString()
-    found = save(spark, sort_buckets(pieces(docs, doc_id, k, hot_minimisers(docs, k)), kind, k), "windows")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    buckets = max(64, size >> 24)
+    found = save(spark, sort_buckets(pieces(docs, doc_id, k, hot_minimisers(spark, docs, k), buckets), kind, k), "windows")
     lone = found.where("h is not null").select(F.col("h").alias("key"), "doc", "start", "words", F.lit(False).alias("hot"))
+    lone = lone.mapInArrow(lambda batches: blocks(batches, buckets), "bucket long, payload binary")
     again = sort_buckets(lone, kind, k).select("doc", "start", "stop")
     both = found.where("h is null").select("doc", "start", "stop").unionAll(again)
     out = both.where("doc is not null").groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))

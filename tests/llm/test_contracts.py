@@ -369,3 +369,28 @@ def test_pairs_of_the_model_are_held_in_blocks(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").select(F.col("doc_id").alias("doc"), (F.col("doc_id") % 10 != 0).alias("train"), "text")
     state, _, tables = lm_score.fit(spark, docs, 3, 2, 11)
     assert sum(t.count() for t in tables) < state.count() / 2
+
+
+def moved(spark, run):
+    """Bytes that ``run`` writes to shuffles."""
+
+    def written():
+        core = spark.sparkContext._jsc.sc()
+        core.listenerBus().waitUntilEmpty()
+        found = core.statusStore().executorList(False)
+        return sum(found.apply(i).totalShuffleWrite() for i in range(found.size()))
+
+    before = written()
+    run()
+    return written() - before
+
+
+def test_superkmers_travel_in_few_bytes(spark):
+    """Super-k-mers are about three times the text; compressed in blocks they take less than 1.8 times its bytes."""
+    from regloom.llm import substring_dedup
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    text = docs.selectExpr("sum(octet_length(text))").first()[0]
+    size = moved(spark, lambda: substring_dedup.covers(spark, docs))
+    print(size / text)
+    assert size < 1.8 * text
