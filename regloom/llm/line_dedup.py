@@ -63,7 +63,7 @@ def features(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) ->
     after = np.append(word[1:], np.uint64(0))
     after[starts + n - 1] = 0
     long = pc.binary_length(flat).to_numpy(zero_copy_only=False)[place] >= ALONE
-    return np.where(long, mix(word + np.uint64(1)), mix(word * GOLD + after)), starts, n
+    return mix(np.where(long, word + np.uint64(1), word * GOLD + after)), starts, n
 
 
 def simhashes(feature: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -137,10 +137,10 @@ def whole_keys(held: bytes) -> np.ndarray:
 
 def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 128-bit hash of each line's words in order, as two numbers."""
-    place = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at))
+    place, most = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at)), int(np.diff(at).max(initial=0))
     out = []
     for c in (1, 2):
-        v = mix(h + mix((place.astype(np.uint64) << np.uint64(2)) + np.uint64(c)))
+        v = mix(h + mix((np.arange(most, dtype=np.uint64) << np.uint64(2)) + np.uint64(c))[place])
         total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
         out.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
     return np.stack(out, 1)
@@ -277,8 +277,7 @@ def edit_distance(a: str, b: str, most: int) -> int:
     for i, ch in enumerate(a):
         peq[ch] = peq.get(ch, 0) | (1 << i)
     ones = (1 << len(a)) - 1
-    top = 1 << (len(a) - 1)
-    plus, minus, score = ones, 0, len(a)  # vertical differences of +1 and -1
+    plus, minus = ones, 0  # vertical differences of +1 and -1
     look = max(LOOK, most)  # columns before which no look is worth its cost
     for j, ch in enumerate(b):
         if j == look:
@@ -289,16 +288,10 @@ def edit_distance(a: str, b: str, most: int) -> int:
         eq = peq.get(ch, 0)
         vertical = eq | minus
         level = (((eq & plus) + plus) ^ plus) | eq
-        rise = (minus | ~(level | plus)) & ones
-        fall = plus & level
-        score += bool(rise & top) - bool(fall & top)
-        if score - (len(b) - j - 1) > most:
-            return most + 1
-        rise = ((rise << 1) | 1) & ones
-        fall = (fall << 1) & ones
-        plus = (fall | ~(vertical | rise)) & ones
+        rise = ((minus | ~(level | plus)) << 1 | 1) & ones
+        plus = ((plus & level) << 1 | ~(vertical | rise)) & ones
         minus = rise & vertical
-    return score
+    return min(len(b) + plus.bit_count() - minus.bit_count(), most + 1)
 
 
 def same_until(a: str, b: str, i: int, j: int) -> int:
@@ -387,7 +380,28 @@ def matcher(similarity: float, most: int = BITS):
     whose counts of characters differ by more than the edits allowed are unlike without a comparison.
     """
 
+    def alike(a: bytes, b: bytes) -> bool:
+        """Whether two payloads meet and are like enough."""
+        bits = (int.from_bytes(a[:8], "little") ^ int.from_bytes(b[:8], "little")).bit_count()
+        chunks = lambda p, i: [p[j : j + 2 * EACH] for j in range(9 + i * WIDE, 9 + (i + 1) * WIDE, 2 * EACH)]
+        if bits > most or not any(x == y for x, y in zip(chunks(a, 0), chunks(b, 0))):
+            if a[8] < 2 or b[8] < 2 or set(chunks(a, 1)).isdisjoint(chunks(b, 1)):
+                return False
+        x, y = (p[9 + WIDE * p[8] :].decode() for p in (a, b))
+        allowed = int((1 - similarity) * max(len(x), len(y)) + 1e-9)
+        if abs(len(x) - len(y)) > allowed:
+            return False
+        if script_cost(y, x, allowed) <= allowed:
+            return True
+        one, two = (np.bincount(np.frombuffer(v.encode("utf-32-le"), np.uint32) % SIGNS, minlength=SIGNS) for v in (x, y))
+        change = one - two
+        return max(change[change > 0].sum(), -change[change < 0].sum()) <= allowed and edit_distance(y, x, allowed) <= allowed
+
     def match(payloads: list[bytes]) -> Iterator[tuple[int, int]]:
+        if len(payloads) == 2:  # most groups
+            if alike(*payloads):
+                yield 0, 1
+            return
         sims = np.array([int.from_bytes(p[:8], "little") for p in payloads], np.uint64)
         keys = whole_keys(b"".join(p[9 : 9 + WIDE] for p in payloads))
         further = [whole_keys(p[9 + WIDE : 9 + 2 * WIDE])[0].tolist() if p[8] > 1 else () for p in payloads]
@@ -447,15 +461,19 @@ def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            ids, out = [], []
-            for text, wants in zip(texts(piece).to_pylist(), piece.column("wants").to_pylist()):
+            chosen, wants = [], []
+            for text, some in zip(texts(piece).to_pylist(), piece.column("wants").to_pylist()):
                 flat = text.split("\n")
-                some = [w for w in wants if w["line"] < len(flat)]
-                starts, found, at = normal_lines(pa.array([flat[w["line"]] for w in some], pa.string()))
-                for i, w in enumerate(some):
-                    ids.append(w["node"])
-                    out.append(w["sim"].to_bytes(8, "little", signed=True) + bytes([len(w["keys"]) // WIDE]) + w["keys"] + " ".join(found.slice(at[i], at[i + 1] - at[i]).to_pylist()).encode())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.binary()), pa.array(out, pa.binary())], names=["id", "payload"])
+                some = [w for w in some if w["line"] < len(flat)]
+                wants += some
+                chosen += [flat[w["line"]] for w in some]
+            _, found, at = normal_lines(pa.array(chosen, pa.string()))
+            words_, at = found.to_pylist(), at.tolist()
+            out = [
+                w["sim"].to_bytes(8, "little", signed=True) + bytes([len(w["keys"]) // WIDE]) + w["keys"] + " ".join(words_[i:j]).encode()
+                for w, i, j in zip(wants, at[:-1], at[1:])
+            ]
+            yield pa.RecordBatch.from_arrays([pa.array([w["node"] for w in wants], pa.binary()), pa.array(out, pa.binary())], names=["id", "payload"])
 
     per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "node", "sim", "keys")).alias("wants"))
     chosen = docs.select(F.col(doc_id).alias("doc"), "text")
@@ -467,16 +485,17 @@ def removals(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_w
     table = save(spark, line_table(docs, doc_id, min_words), "lines")
     nodes = save(spark, table.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.min(F.struct("sim", "size", "keys")).alias("sketch"), F.count("*").alias("n")).select("node", "first", "sketch.*", "n"), "line-nodes")
     near = components(spark, near_sketches(nodes.where("sim is not null"), similarity), "sketches")
-    rooted = nodes.where("sim is not null").select("node", "sim", "keys", "first", "n").join(near.withColumnRenamed("node", "sim"), "sim", "left").withColumn("root", F.coalesce("root", "sim"))
-    shared = rooted.groupBy("root").agg(F.count("*").alias("nodes")).where("nodes > 1").select("root")
-    members = save(spark, rooted.join(shared, "root").select("node", "root", "sim", "keys", "first"), "line-members")
+    alone = nodes.where("sim is not null").groupBy("sim").agg(F.count("*").alias("nodes")).where("nodes > 1").select("sim", F.col("sim").alias("root"))
+    grouped = near.select(F.col("node").alias("sim"), "root").unionAll(near.select(F.col("root").alias("sim"), "root")).unionAll(alone)
+    roots = grouped.groupBy("sim").agg(F.min("root").alias("root"))  # a group's root is its least sketch
+    members = save(spark, nodes.join(roots.hint("shuffle_hash"), "sim").select("node", "root", "sim", "keys", "first"), "line-members")
     wanted = members.select("first.doc", "first.line", "node", "sim", "keys")
     found = linked(spark, members.select("node", "root"), wanted_lines(docs, doc_id, wanted), matcher(similarity), "near-lines")
     found = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())  # a root with one occurrence counts too
-    grouped = nodes.join(found, "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
+    grouped = nodes.join(found.hint("shuffle_hash"), "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
     firsts = grouped.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
     again = grouped.select("node", "root").join(firsts.select("root", "first"), "root").select("node", "first")
-    gone = table.join(again, "node").where(F.struct("doc", "line") != F.col("first"))
+    gone = table.join(again.hint("shuffle_hash"), "node").where(F.struct("doc", "line") != F.col("first"))
     out = save(spark, gone.groupBy("doc").agg(F.collect_set("line").alias("gone")), "gone-lines")
     drop(spark, table, nodes, members)
     return out
@@ -487,7 +506,7 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_word
     gone = removals(spark, docs, doc_id, min_words, similarity).select(F.col("doc").alias("_doc"), F.col("gone").alias("_gone"))
     held = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
     split = F.split("text", "\n", -1)
-    out = docs.select(*held).join(gone.hint("merge"), F.col(doc_id) == F.col("_doc"), "left")
+    out = docs.select(*held).join(gone.hint("shuffle_hash"), F.col(doc_id) == F.col("_doc"), "left")
     kept = F.array_join(F.filter(split, lambda line, i: ~F.array_contains("_gone", i.cast("int"))), "\n")
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     return out.select(

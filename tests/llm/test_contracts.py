@@ -394,3 +394,21 @@ def test_superkmers_travel_in_few_bytes(spark):
     size = moved(spark, lambda: substring_dedup.covers(spark, docs))
     print(size / text)
     assert size < 1.8 * text
+
+
+def test_groups_of_two_lines_are_matched_without_arrays(monkeypatch):
+    """Most groups hold two lines; they are compared directly, with the links of larger groups."""
+    import pyarrow as pa
+
+    from regloom.llm import line_dedup
+    from regloom.llm.text import word_hashes
+
+    base = "the quick brown fox jumps over a lazy dog near some river bank while many people watch from afar".split()
+    lines = [" ".join(base[:n]) for n in (6, 19)] + [" ".join([*base[:3], "purple", *base[4:n]]) for n in (6, 19)] + [" ".join(base[9:] + base[:9]), "nothing like any of those other lines at all"]
+    _, flat, at = line_dedup.normal_lines(pa.array(lines))
+    sims, _, keys = line_dedup.sketches(flat, word_hashes(flat), at, np.arange(len(lines)))
+    payload = [int(s).to_bytes(8, "little", signed=True) + bytes([len(k) // line_dedup.WIDE]) + k + x.encode() for s, k, x in zip(sims, keys.to_pylist(), lines)]
+    match, pairs = line_dedup.matcher(0.8), [(i, j) for i in range(5) for j in range(i)]
+    wanted = [(0, 1) in list(match([payload[i], payload[j], payload[5]])) for i, j in pairs]
+    monkeypatch.setattr(line_dedup, "whole_keys", None)
+    assert [list(match([payload[i], payload[j]])) == [(0, 1)] for i, j in pairs] == wanted and 2 <= sum(wanted) < len(pairs)
