@@ -5,7 +5,8 @@ agree on all of at least one of H + 1 parts of the hash space, H being the large
 threshold allows at their sizes; the fuller parts are the keys that bring candidates together, so no link is lost. Each
 candidate group stores its sets in a compressed trie. A set walks the trie with a running count of what either side
 misses, shared by all sets below a node; a subtree is left as soon as misses plus the bound on remaining lengths
-exceed what its sizes allow, or if all of it is in the walker's group already.
+exceed what its sizes allow, and never entered if all of it is in the walker's group already or further from it than a
+link allows by parities of elements in bins, which never differ in more bins than the sets do in elements.
 
 Equal sets are one class (128-bit digest), represented by the least doc_id, so copies are never expanded into pairs.
 
@@ -24,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .cluster import Union, candidates, linked
+from .cluster import candidates, linked
 from .graph import stars
 from .store import drop, save
 from .text import LOWER, binaries, grams, groups, hashes, mapped, mix, slices, texts, words
@@ -80,96 +81,115 @@ def signatures(s: np.ndarray, low: np.ndarray, threshold: float) -> np.ndarray:
     return np.concatenate(keys)
 
 
-class Node:
-    __slots__ = ("label", "kids", "low", "high", "ends", "group")
-
-    def __init__(self, label: np.ndarray, size: int, group: int):
-        self.label, self.kids, self.low, self.high, self.ends, self.group = label, {}, size, size, [], group
+class Trie:
+    """Compressed trie of the ordered sets of a group: a node is a run of sets, in the order of their elements, with a common start.
 
+    A set walks it only where sets lie that could still link to it; ``Sketches`` name them.
+    """
 
-class Trie:
-    """Compressed trie of ordered sets that links each new set to what it already holds."""
-
-    def __init__(self, n: int, num: int, den: int):
-        self.sets: list[np.ndarray] = []
-        self.union, self.num, self.den = Union(n), num, den
-        self.share = (den - num) / (den + num)
-        self.root = Node(np.zeros(0, np.uint64), 0, -1)
-        self.root.low = 1 << 60
-
-    def uniform(self, node: Node) -> int:
-        """The one group of all sets below a node, or -1."""
-        if node.group >= 0:
-            return self.union.find(node.group)
-        found = {self.union.find(e) for e in node.ends} | {self.union.find(k.group) if k.group >= 0 else -1 for k in node.kids.values()}
-        if len(found) == 1 and -1 not in found:
-            node.group = found.pop()
-            return node.group
-        return -1
-
-    def search(self, x: np.ndarray, me: int) -> Iterator[tuple[int, int]]:
-        a, find = len(x), self.union.find
-        todo = [(k, 0, 0, 0) for k in self.root.kids.values()]
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        strings = [s.astype(">u8").tobytes() for s in sets]
+        self.order = np.array(sorted(range(len(sets)), key=strings.__getitem__), np.int64)
+        self.sets = [sets[i] for i in self.order.tolist()]
+        self.place = np.empty_like(self.order)
+        self.place[self.order] = np.arange(len(sets))
+        self.sizes = np.array([len(s) for s in self.sets])
+        self.common = np.array([0, *(shared(a, b) for a, b in zip(self.sets[:-1], self.sets[1:]))])
+        self.num, self.den, self.share = num, den, (den - num) / (den + num)
+        self.nodes: dict[tuple[int, int], tuple[int, np.ndarray, int, int]] = {}
+
+    def node(self, a: int, b: int) -> tuple[int, np.ndarray, int, int]:
+        """Of the sets a to b: how many elements all begin with, where each branch starts and the last ends, least and largest size."""
+        if (a, b) not in self.nodes:
+            inner = self.common[a + 1 : b]
+            depth, sizes = int(inner.min()), self.sizes[a:b]
+            self.nodes[a, b] = depth, np.concatenate(([a], a + 1 + np.flatnonzero(inner == depth), [b])), int(sizes.min()), int(sizes.max())
+        return self.nodes[a, b]
+
+    def search(self, me: int, others: np.ndarray, label: np.ndarray) -> Iterator[int]:
+        """Those of ``others`` that link to ``me`` and have another label by then. The caller changes labels at each."""
+        x = self.sets[self.place[me]]
+        a = len(x)
+        todo = [(0, len(self.sets), np.sort(self.place[others]), 0, 0, 0)]
         while todo:
-            node, at, missed, depth = todo.pop()
-            if self.uniform(node) == find(me):
+            low, high, some, at, missed, depth = todo.pop()
+            some = some[label[self.order[some]] != label[me]]
+            if not len(some):
                 continue
-            most = self.share * (a + node.high) + 1e-9
-            if missed > most:
-                continue
-            label = node.label
-            place = np.searchsorted(x, label)
-            same = int((x[np.minimum(place, a - 1)] == label).sum())
-            depth += len(label)
-            to = int(np.searchsorted(x, label[-1], "right"))
-            missed += (to - at - same) + (len(label) - same)
+            if len(some) == 1:  # what is left is one path
+                low, high = int(some[0]), int(some[0]) + 1
+            if high - low == 1:
+                path, least, most = self.sets[low][depth:], int(self.sizes[low]), int(self.sizes[low])
+            else:
+                upto, branches, least, most = self.node(low, high)
+                path = self.sets[low][depth:upto]
+            allowed = self.share * (a + most) + 1e-9
+            to = at
+            if len(path):
+                place = np.searchsorted(x, path)
+                same = int((x[np.minimum(place, a - 1)] == path).sum())
+                to = int(np.searchsorted(x, path[-1], "right"))
+                missed += (to - at - same) + (len(path) - same)
+                depth += len(path)
             rest = a - to
-            if missed + max(0, rest - (node.high - depth), (node.low - depth) - rest) > most:
+            if missed + max(0, rest - (most - depth), (least - depth) - rest) > allowed:
+                continue
+            if high - low == 1:
+                both = (a + least - missed - rest) // 2
+                if self.den * both >= self.num * (a + least - both):
+                    yield int(self.order[low])
                 continue
-            for e in node.ends:
-                b = len(self.sets[e])
-                both = (a + b - missed - rest) // 2
-                if self.den * both >= self.num * (a + b - both) and self.union.join(e, me):
-                    yield e, me
-            todo.extend((k, to, missed, depth) for k in node.kids.values())
-
-    def insert(self, x: np.ndarray, me: int) -> None:
-        node, at = self.root, 0
-        while True:
-            node.low, node.high = min(node.low, len(x)), max(node.high, len(x))
-            if node is not self.root and self.uniform(node) != self.union.find(me):
-                node.group = -1
-            if at == len(x):
-                node.ends.append(me)
-                return
-            kid = node.kids.get(int(x[at]))
-            if kid is None:
-                new = Node(x[at:], len(x), me)
-                new.ends.append(me)
-                node.kids[int(x[at])] = new
-                return
-            n = min(len(kid.label), len(x) - at)
-            differ = kid.label[:n] != x[at : at + n]
-            common = int(differ.argmax()) if differ.any() else n
-            if common < len(kid.label):  # split the edge
-                top = Node(kid.label[:common], kid.low, kid.group)
-                top.high = kid.high
-                kid.label = kid.label[common:]
-                top.kids[int(kid.label[0])] = kid
-                node.kids[int(x[at])] = top
-                kid = top
-            node, at = kid, at + common
+            branch = np.searchsorted(branches, some, "right") - 1
+            cuts = np.flatnonzero(np.diff(branch, prepend=-1, append=-1))
+            for i, j in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                k = branch[i]
+                todo.append((int(branches[k]), int(branches[k + 1]), some[i:j], to, missed, depth))
+
+
+def shared(a: np.ndarray, b: np.ndarray) -> int:
+    """How many elements both begin with."""
+    n = min(len(a), len(b))
+    differ = a[:n] != b[:n]
+    return int(differ.argmax()) if differ.any() else n
+
+
+class Sketches:
+    """Parities of each set's numbers of elements in bins; as many bins differ for two sets as they have different elements, or fewer.
+
+    There are some 16 bins for each element in which two sets of middle size may differ.
+    """
+
+    def __init__(self, sets: list[np.ndarray], share: float):
+        sizes = np.array([len(s) for s in sets])
+        self.sizes, self.share, self.wide = sizes, share, max(4, int(sizes.mean() * 2 * share / 4) + 1)
+        bins = np.uint64(64 * self.wide)
+        self.held = np.zeros((self.wide, len(sets)), np.uint64)
+        for i, s in enumerate(sets):
+            odd = np.bincount((mix(s + np.uint64(0x0DD)) % bins).astype(np.int64), minlength=64 * self.wide) & 1
+            self.held[:, i] = np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+    def near(self, me: int, first: int) -> np.ndarray:
+        """The sets from ``first`` up to ``me`` that may link to it: all that do, and few others."""
+        differ = np.zeros(me - first, np.int32)
+        for part in self.held:
+            differ += np.bitwise_count(part[first:me] ^ part[me])
+        return first + np.flatnonzero(differ <= self.share * (self.sizes[first:me] + self.sizes[me]) + 1e-9)
 
 
 def matcher(num: int, den: int):
     """Links of sets given as bytes, enough to connect all of Jaccard similarity num / den and more."""
 
     def match(payloads: list[bytes]) -> Iterator[tuple[int, int]]:
-        trie = Trie(len(payloads), num, den)
-        trie.sets = [np.frombuffer(p, np.uint64) for p in payloads]
-        for me in sorted(range(len(payloads)), key=lambda i: len(payloads[i])):
-            yield from trie.search(trie.sets[me], me)
-            trie.insert(trie.sets[me], me)
+        ranked = sorted(range(len(payloads)), key=lambda i: len(payloads[i]))
+        sets = [np.frombuffer(payloads[i], np.uint64) for i in ranked]
+        trie = Trie(sets, num, den)
+        sketches, label = Sketches(sets, trie.share), np.arange(len(sets))
+        for me in range(1, len(sets)):
+            first = int(np.searchsorted(sketches.sizes, -(-num * len(sets[me]) // den)))  # smaller sets can't link
+            if first < me and len(others := sketches.near(me, first)):
+                for other in trie.search(me, others, label):
+                    yield ranked[other], ranked[me]
+                    label[label == label[other]] = label[me]
 
     return match
 

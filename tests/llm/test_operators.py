@@ -62,6 +62,43 @@ def test_jaccard_join_against_brute_force(spark, n, num):
     assert got == {d: (len(sets[d]), find(d)) for d in ids}
 
 
+def test_many_like_sets_that_do_not_link():
+    """2,000 variants of one text, most of them about as unlike as pairs of candidates are: all links, in a few seconds of CPU."""
+    import random
+    import time
+
+    import numpy as np
+
+    from regloom.llm.cluster import Union
+    from regloom.llm.jaccard_join import matcher
+
+    r = random.Random(7)
+    base = [r.getrandbits(64) for _ in range(148)]
+    sets = [sorted({x if r.random() > share else r.getrandbits(64) for x in base}) for share in (r.choice((0.02, 0.15, 0.2, 0.25)) for _ in range(2000))]
+    began = time.process_time()
+    links = list(matcher(90, 100)([np.array(s, np.uint64).tobytes() for s in sets]))
+    took = time.process_time() - began
+    values, code = np.unique(np.concatenate([np.array(s, np.uint64) for s in sets]), return_inverse=True)
+    size = np.array([len(s) for s in sets])
+    held = np.zeros((len(sets), len(base) + 1), np.float32)  # other elements occur once
+    at = np.searchsorted(values, np.array(sorted(base), np.uint64))
+    rank = np.full(len(values), -1)
+    rank[at] = np.arange(len(at))
+    owner = np.repeat(np.arange(len(sets)), size)
+    common = rank[code] >= 0
+    held[owner[common], rank[code][common]] = 1
+    both = held @ held.T
+    want = 100 * both >= 90 * (size[:, None] + size - both)
+    assert all(want[i, j] for i, j in links)
+    found, all_ = Union(len(sets)), Union(len(sets))
+    for i, j in links:
+        found.join(i, j)
+    for i, j in np.argwhere(want).tolist():
+        all_.join(i, j)
+    assert [found.find(i) for i in range(len(sets))] == [all_.find(i) for i in range(len(sets))]
+    assert len(links) > 100 and took < 12, took
+
+
 def test_linked_sets_share_a_key():
     import random
 
