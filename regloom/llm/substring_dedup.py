@@ -33,6 +33,7 @@ K, M = 20, 3
 SHARDS = 32
 ROOM = 1 << 15  # super-k-mers whose windows a bucket's task sorts at once
 BLOCK = 24 << 20  # bytes of super-k-mers that are split into blocks at once
+BATCH = 8 << 20  # bytes of blocks that travel to a worker at once
 
 
 def packed(flat: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -105,6 +106,14 @@ def one(held: list[pa.RecordBatch]) -> pa.RecordBatch:
     return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
 
 
+def bucket_count(size: int) -> int:
+    """Buckets for ``size`` bytes of text: of 1 MB of it up to 512 of them, then of 8 MB, so that blocks do not get small.
+
+    A task has several, so that tasks are alike, and holds one at a time.
+    """
+    return max(64, min(512, size >> 20), size >> 23)
+
+
 def pieces(docs: DataFrame, doc_id: str, k: int, hot: np.ndarray, buckets: int) -> DataFrame:
     """Blocks of (key, doc, start, words, hot) of all super-k-mers; the key is the minimiser, or for hot ones that and a shard."""
 
@@ -201,6 +210,7 @@ def sort_buckets(rows: DataFrame, kind: str, k: int) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in groups(batches, ["bucket"]):
             held = pa.Table.from_batches([b for payload in table.column("payload") for b in unblock(payload)]).combine_chunks()
+            del table
             order = pc.sort_indices(held, [(c, "ascending") for c in ("key", "doc", "start")], null_placement="at_start")
             key = held.column("key").to_numpy()[order.to_numpy()]
             ends, start = np.append(np.flatnonzero(key[1:] != key[:-1]) + 1, len(key)), 0
@@ -217,14 +227,14 @@ def covers(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", k: int
     """(doc, spans): for each document with any, the word spans of windows whose word sequence also starts earlier."""
     kind = docs.schema[doc_id].dataType.simpleString()
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    buckets = max(64, size >> 24)
-    found = save(spark, sort_buckets(pieces(docs, doc_id, k, hot_minimisers(spark, docs, k), buckets), kind, k), "windows")
+    buckets = bucket_count(size)
+    found = save(spark, sort_buckets(pieces(docs, doc_id, k, hot_minimisers(spark, docs, k), buckets), kind, k), "windows", batch=BATCH)
     lone = found.where("h is not null").select(F.col("h").alias("key"), "doc", "start", "words", F.lit(False).alias("hot"))
     lone = lone.mapInArrow(lambda batches: blocks(batches, buckets), "bucket long, payload binary")
     again = sort_buckets(lone, kind, k).select("doc", "start", "stop")
     both = found.where("h is null").select("doc", "start", "stop").unionAll(again)
     out = both.where("doc is not null").groupBy("doc").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
-    out = save(spark, out, "covers")
+    out = save(spark, out, "covers", batch=BATCH)
     drop(spark, found)
     return out
 

@@ -412,3 +412,20 @@ def test_groups_of_two_lines_are_matched_without_arrays(monkeypatch):
     wanted = [(0, 1) in list(match([payload[i], payload[j], payload[5]])) for i, j in pairs]
     monkeypatch.setattr(line_dedup, "whole_keys", None)
     assert [list(match([payload[i], payload[j]])) == [(0, 1)] for i, j in pairs] == wanted and 2 <= sum(wanted) < len(pairs)
+
+
+def test_superkmers_lie_in_small_buckets(spark, monkeypatch):
+    """A task holds one bucket at a time, of 1 MB of text at 0.5 GB and 8 MB at most; blocks travel to workers a few MB at a time."""
+    from regloom.llm import store, substring_dedup
+
+    docs, seen = spark.read.parquet("/root/testdata/sf0.01/documents.parquet"), {}
+
+    def noted(spark, df, name, *rest, **more):
+        seen[name] = more.get("batch")
+        return store.save(spark, df, name, *rest, **more)
+
+    monkeypatch.setattr(substring_dedup, "save", noted)
+    held = spark.conf.get(store.BATCH)
+    substring_dedup.covers(spark, docs)
+    assert 0 < seen["windows"] <= 16 << 20 and 0 < seen["covers"] <= 16 << 20 and spark.conf.get(store.BATCH) == held
+    assert all(size / substring_dedup.bucket_count(size) <= most for size, most in ((510 << 20, 1.1 * (1 << 20)), (30 << 30, 1.1 * (8 << 20))))
