@@ -44,6 +44,8 @@ NONE, GOLD = ~np.uint64(0), np.uint64(0x9E3779B97F4A7C15)
 #: Bit i of a byte as byte i of a word: sums of up to 255 such words count eight bits at once.
 _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in range(256)], np.uint64)
 LOOK = 32
+#: Grams and window of the second look for an edit script, which costs a tenth of an exact distance and less.
+AGAIN = 6, 128
 BUCKET = 1 << 20  # keys that a task holds at a time, but for those of one key
 
 
@@ -395,7 +397,9 @@ def matcher(similarity: float, most: int = BITS):
             return True
         one, two = (np.bincount(np.frombuffer(v.encode("utf-32-le"), np.uint32) % SIGNS, minlength=SIGNS) for v in (x, y))
         change = one - two
-        return max(change[change > 0].sum(), -change[change < 0].sum()) <= allowed and edit_distance(y, x, allowed) <= allowed
+        if max(change[change > 0].sum(), -change[change < 0].sum()) > allowed:
+            return False
+        return script_cost(y, x, allowed, *AGAIN) <= allowed or edit_distance(y, x, allowed) <= allowed
 
     def match(payloads: list[bytes]) -> Iterator[tuple[int, int]]:
         if len(payloads) == 2:  # most groups
@@ -445,7 +449,11 @@ def matcher(similarity: float, most: int = BITS):
                         else:
                             rest.append((other, edits))
                 rest = [(other, edits) for other, edits in rest if label[other] != label[me]]
-                found = distances(strings[me], [strings[o] for o, _ in rest]) if len(rest) > 2 else [edit_distance(strings[me], strings[o], e) for o, e in rest]
+                if len(rest) > 2:
+                    found = distances(strings[me], [strings[o] for o, _ in rest])
+                else:  # a script's cost does as well as the distance, if that is small enough
+                    found = [script_cost(strings[me], strings[o], e, *AGAIN) for o, e in rest]
+                    found = [f if f <= e else edit_distance(strings[me], strings[o], e) for f, (o, e) in zip(found, rest)]
                 for (other, edits), distance in zip(rest, found):
                     if distance <= edits and label[other] != label[me]:
                         yield link(me, other)

@@ -429,3 +429,29 @@ def test_superkmers_lie_in_small_buckets(spark, monkeypatch):
     substring_dedup.covers(spark, docs)
     assert 0 < seen["windows"] <= 16 << 20 and 0 < seen["covers"] <= 16 << 20 and spark.conf.get(store.BATCH) == held
     assert all(size / substring_dedup.bucket_count(size) <= most for size, most in ((510 << 20, 1.1 * (1 << 20)), (30 << 30, 1.1 * (8 << 20))))
+
+
+def test_moved_passages_of_a_line_need_no_exact_distance(monkeypatch):
+    """Like lines whose differences are longer than the first look's window are told by a second one; unlike ones stay unlike."""
+    import random
+
+    from regloom.llm import line_dedup
+
+    r, asked, real = random.Random(11), [], line_dedup.edit_distance
+
+    def counted(a, b, most):
+        asked.append(1)
+        return real(a, b, most)
+
+    monkeypatch.setattr(line_dedup, "edit_distance", counted)
+    words = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(120)]
+    other = ["".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(8)]
+    lines = [" ".join(words), " ".join(words[:50] + other + words[58:]), " ".join(r.sample(words, len(words)))]
+    head = bytes(8) + b"\1" + bytes(line_dedup.WIDE)
+    match = line_dedup.matcher(0.8)
+    payloads = [head + x.encode() for x in lines]
+    assert list(match(payloads[:2])) == [(0, 1)] and not asked
+    assert not list(match([payloads[0], payloads[2]]))
+    asked.clear()
+    assert [sorted(x) for x in match([payloads[0], payloads[1], payloads[2]])] == [[0, 1]]
+    assert real(lines[0], lines[1], 200) <= 0.2 * len(lines[0]) < real(lines[0], lines[2], 800)
