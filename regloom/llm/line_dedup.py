@@ -23,17 +23,19 @@ Texts and lines of any length are handled whole. Input columns named n_lines or
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .cluster import linked
 from .graph import components, stars, united
 from .store import drop, save
-from .text import FOLD, binaries, groups, lines, mapped, mix, slices, texts, word_hashes, words
+from .text import FOLD, binaries, groups, hashes, lines, mapped, mix, raw, slices, texts, words
 
 _NORMAL = FOLD.copy()
 _NORMAL[48:58] = 48
@@ -46,9 +48,26 @@ _LANES = np.array([sum(((b >> i) & 1) << (8 * i) for i in range(8)) for b in ran
 LOOK = 32
 #: Grams and window of the second look for an edit script, which costs a tenth of an exact distance and less.
 AGAIN = 6, 128
+#: Lines whose keys lie in one value, and its parts.
+BLOCK, PARTS = 1 << 14, ["nodes", "sims", "sizes", "wide", "keys"]
 BUCKET = 1 << 20  # keys that a task holds at a time, but for those of one key
 
 
+#: Bytes of a word that are hashed eight at a time; longer words are hashed whole.
+EIGHTS = 64
+_LOW = np.array([(1 << (8 * i)) - 1 for i in range(9)], np.uint64)
+
+
+class Lines(NamedTuple):
+    """What is counted of the words of all normalised lines of some texts."""
+
+    starts: np.ndarray  # of each text, in lines (one more than texts)
+    at: np.ndarray  # of each line, in words (one more than lines)
+    signs: np.ndarray  # characters of each line, words joined by one blank
+    length: np.ndarray  # of each word, in bytes
+    h: np.ndarray  # of each word
+
+
 def normal_lines(strings: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     """Where each text's lines start, the words of all normalised lines, and where each line's words start."""
     flat, starts = lines(strings)
@@ -56,7 +75,42 @@ def normal_lines(strings: pa.Array) -> tuple[np.ndarray, pa.Array, np.ndarray]:
     return starts, words_, at
 
 
-def features(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def counted_lines(strings: pa.Array) -> Lines:
+    """The words of ``normal_lines``, hashed and counted where they lie, without a string for each."""
+    offs, plain = raw(pc.binary_join_element_wise(strings, "\n", ""))
+    ends = np.flatnonzero(plain == 10)
+    data = _NORMAL[plain]
+    edges = np.flatnonzero(np.diff((data != 32).view(np.int8), prepend=np.int8(0)))
+    begin, length = edges[::2], edges[1::2] - edges[::2]
+    at = np.concatenate(([0], np.searchsorted(begin, ends)))
+    size = np.concatenate(([0], np.cumsum(length)))
+    inner = np.searchsorted(np.flatnonzero((plain & 0xC0) == 0x80), ends)  # bytes that begin no character
+    signs = np.diff(size[at]) - np.diff(inner, prepend=0) + np.maximum(np.diff(at) - 1, 0)
+    return Lines(np.searchsorted(ends, offs), at, signs, length, spelled(data, begin, length))
+
+
+def spelled(data: np.ndarray, begin: np.ndarray, length: np.ndarray) -> np.ndarray:
+    """64-bit hashes of words without zero bytes, read eight bytes at a time; of words up to eight bytes no two are equal."""
+    held = np.append(data, np.zeros(8, np.uint8))  # room for reading behind the last word
+    eight = np.ndarray((len(data) + 1,), "<u8", held, 0, (1,))
+    h = mix((eight[begin] & _LOW[np.minimum(length, 8)]) ^ GOLD)
+    more, k = np.flatnonzero(length > 8), 8
+    while len(more) and k < EIGHTS:
+        h[more] = mix(h[more] * GOLD + (eight[begin[more] + k] & _LOW[np.minimum(length[more] - k, 8)]))
+        k += 8
+        more = more[length[more] > k]
+    if len(more):
+        h[more] = hashes(pa.array([held[i:j].tobytes() for i, j in zip(begin[more].tolist(), (begin + length)[more].tolist())], pa.binary()), 1)
+    return h
+
+
+def spelled_words(flat: pa.Array) -> np.ndarray:
+    """``spelled`` of words that are strings."""
+    offs, data = raw(flat)
+    return spelled(data, offs[:-1], np.diff(offs))
+
+
+def features(length: np.ndarray, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Hashes of the features of the lines ``take`` in a row, where each line's start, and how many it has."""
     n = np.diff(at)[take]
     starts = np.cumsum(n) - n
@@ -64,8 +118,7 @@ def features(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) ->
     word = h[place]
     after = np.append(word[1:], np.uint64(0))
     after[starts + n - 1] = 0
-    long = pc.binary_length(flat).to_numpy(zero_copy_only=False)[place] >= ALONE
-    return mix(np.where(long, word + np.uint64(1), word * GOLD + after)), starts, n
+    return mix(np.where(length[place] >= ALONE, word + np.uint64(1), word * GOLD + after)), starts, n
 
 
 def simhashes(feature: np.ndarray, starts: np.ndarray, n: np.ndarray) -> np.ndarray:
@@ -85,7 +138,8 @@ def minima(feature: np.ndarray, n: np.ndarray) -> np.ndarray:
     line = np.repeat(np.arange(len(n)), n)
     place = lambda h: (((h >> np.uint64(32)) * np.uint64(BINS)) >> np.uint64(32)).astype(np.int64)
     least = np.full(len(n) * BINS, NONE)
-    np.minimum.at(least, line * BINS + place(feature), np.minimum(mix(feature ^ np.uint64(0x51ED27)), NONE - np.uint64(1)))
+    turned = (feature << np.uint64(32)) | (feature >> np.uint64(32))  # ordered by the half that does not choose the bin
+    np.minimum.at(least, line * BINS + place(feature), np.minimum(turned, NONE - np.uint64(1)))
     out, empty, turn = least.copy(), np.flatnonzero(least == NONE), 0
     while len(empty):
         turn += 1
@@ -111,15 +165,19 @@ def without_one(h: np.ndarray, begin: np.ndarray, n: np.ndarray) -> np.ndarray:
 
 
 def sketches(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """``sketched`` of lines whose words are strings."""
+    signs = np.concatenate(([0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False))))
+    return sketched(pc.binary_length(flat).to_numpy(zero_copy_only=False), signs[at[1:]] - signs[at[:-1]] + np.maximum(np.diff(at) - 1, 0), h, at, take)
+
+
+def sketched(length: np.ndarray, signs: np.ndarray, h: np.ndarray, at: np.ndarray, take: np.ndarray) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """SimHash, characters and keys of the lines ``take``: KEYS of 48 bits, as three numbers of 16 each, twice as many for short lines.
 
     The lowest bit of a key tells the further keys of short lines, which have no order, from those of a place.
     """
     if not len(take):
         return np.zeros(0, np.int64), np.zeros(0, np.int32), pa.array([], pa.binary())
-    feature, starts, n = features(flat, h, at, take)
-    signs = np.concatenate(([0], np.cumsum(pc.utf8_length(flat).to_numpy(zero_copy_only=False))))
-    size = (signs[at[take + 1]] - signs[at[take]] + n - 1).astype(np.int32)
+    feature, starts, n = features(length, h, at, take)
     short = n <= SHORT
     key, parts = np.zeros((len(take), 2 * KEYS), np.uint64), minima(feature, n).reshape(-1, KEYS, EACH)
     for i in range(EACH):
@@ -128,10 +186,10 @@ def sketches(flat: pa.Array, h: np.ndarray, at: np.ndarray, take: np.ndarray) ->
     key[short, KEYS:] = without_one(h, at[take[short]], n[short]) | np.uint64(1)
     held = key.view(np.uint16).reshape(len(take), 2 * KEYS, 4)[:, :, :3].reshape(len(take), 2 * BINS)
     there = np.repeat(np.stack((np.ones(len(take), bool), short), 1), BINS, axis=1)
-    return simhashes(feature, starts, n), size, binaries(np.concatenate(([0], np.cumsum(BINS + BINS * short))), held[there])
+    return simhashes(feature, starts, n), signs[take].astype(np.int32), binaries(np.concatenate(([0], np.cumsum(BINS + BINS * short))), held[there])
 
 
-def whole_keys(held: bytes) -> np.ndarray:
+def whole_keys(held: bytes | np.ndarray) -> np.ndarray:
     """KEYS numbers below 2^48 for each line, from the bytes of as many keys of all."""
     parts = np.frombuffer(held, "<u2").reshape(-1, KEYS, EACH).astype(np.int64)
     return parts[:, :, 0] | (parts[:, :, 1] << 16) | (parts[:, :, 2] << 32)
@@ -140,41 +198,51 @@ def whole_keys(held: bytes) -> np.ndarray:
 def digests(h: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 128-bit hash of each line's words in order, as two numbers."""
     place, most = np.arange(len(h)) - np.repeat(at[:-1], np.diff(at)), int(np.diff(at).max(initial=0))
+    v = mix(h + mix(np.arange(1, most + 1, dtype=np.uint64) * GOLD)[place])
     out = []
-    for c in (1, 2):
-        v = mix(h + mix((np.arange(most, dtype=np.uint64) << np.uint64(2)) + np.uint64(c))[place])
-        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
+    for x in (v, (v ^ (v >> np.uint64(31))) * (v | np.uint64(1))):
+        total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(x, dtype=np.uint64)))
         out.append(mix(total[at[1:]] - total[at[:-1]] + np.diff(at).astype(np.uint64)))
     return np.stack(out, 1)
 
 
 def line_table(docs: DataFrame, doc_id: str, min_words: int) -> DataFrame:
-    """(doc, line, node, sim, size, keys) of every line with a word; the last three are null for lines of fewer than ``min_words`` words."""
+    """(doc, line, node, sim) of every line with a word; sim is null for lines of fewer than ``min_words`` words.
+
+    The keys of longer lines are only compared with each other, so they stay in blocks of BLOCK lines at most: nodes, sims,
+    sizes, wide (how many times KEYS they are) and keys, which lie in one row of their lines and are null in the others.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for piece in slices(batches):
-            starts, flat, at = normal_lines(texts(piece))
-            h = word_hashes(flat)
-            take = np.flatnonzero(np.diff(at) > 0)
-            full = np.diff(at)[take] >= max(min_words, 1)
-            text = np.searchsorted(starts, take, "right") - 1
-            node, (sim, size, keys) = digests(h, at), sketches(flat, h, at, take[full])
-            near = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full)
-            yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), binaries(np.arange(len(take) + 1) * 2, node[take].ravel()), pa.array(sim).take(near), pa.array(size).take(near), keys.take(near)], names=["doc", "line", "node", "sim", "size", "keys"])
+        for piece in slices(batches, most=1 << 20):
+            starts, at, signs, length, h = counted_lines(texts(piece))
+            n, node = np.diff(at), digests(h, at)
+            lines_ = np.flatnonzero(n > 0)
+            for i in range(0, len(lines_), BLOCK):
+                take = lines_[i : i + BLOCK]
+                full = n[take] >= min_words
+                text = np.searchsorted(starts, take, "right") - 1
+                sim, size, keys = sketched(length, signs, h, at, take[full])
+                offs, held = raw(keys)
+                block = [x.tobytes() for x in (node[take[full]], sim, size, (np.diff(offs) // WIDE).astype(np.uint8), held)]
+                near, rest = pa.array(np.where(full, np.cumsum(full) - 1, 0), mask=~full), [None] * (len(take) - 1)
+                yield pa.RecordBatch.from_arrays([piece.column("doc").take(pa.array(text)), pa.array((take - starts[text]).astype(np.int32)), binaries(np.arange(len(take) + 1) * 2, node[take].ravel()), pa.array(sim).take(near), *(pa.array([x if len(sim) else None, *rest], pa.binary()) for x in block)], names=["doc", "line", "node", "sim", *PARTS])
 
     kind = docs.schema[doc_id].dataType.simpleString()
-    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, line int, node binary, sim long, size int, keys binary")
+    parts = ", ".join(f"{x} binary" for x in PARTS)
+    return docs.where(F.col(doc_id).isNotNull()).select(F.col(doc_id).alias("doc"), "text").mapInArrow(run, f"doc {kind}, line int, node binary, sim long, {parts}")
 
 
 def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> DataFrame:
-    """Links (a, b) that connect the sketches (sim, size, keys) which share a key, are at most ``most`` bits apart (or have
-    the key of short lines) and are of like size.
+    """Links (a, b) that connect the lines of ``line_table`` which share a key, have SimHashes at most ``most`` bits apart (or
+    the key of short lines in common) and are of like size.
 
     Rows are dealt by key, packed by bucket of keys; each is compared with the others of its key until all of them are
-    connected: many variants of one line need a few comparisons each. Unlike rows of one key are all compared. What
-    connects is thinned to stars before it leaves the task, so a group of n gives about n links.
+    connected: many variants of one line need a few comparisons each. Unlike rows of one key are all compared. Copies of a
+    line travel once for each run of BUCKET keys of a task, and all but one are dropped where they meet.
+    What connects is thinned to stars before it leaves the task, so a group of n gives about n links.
     """
-    buckets = max(64, -(-lines_.count() * KEYS // BUCKET))
+    buckets = max(64, -(-lines_.where("sim is not null").count() * KEYS // BUCKET))
 
     def packed(held: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         key, sim, size = (np.concatenate(x) for x in zip(*held))
@@ -187,27 +255,39 @@ def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> Dat
     def keyed(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys, sim, size = batch.column("keys"), batch.column("sim").to_numpy(), batch.column("size").to_numpy()
-            key = whole_keys(b"".join(keys[i].as_buffer().slice(0, WIDE) for i in range(len(keys))))
-            held.append(((key << 4 | np.arange(KEYS)).ravel(), np.repeat(sim, KEYS), np.repeat(size, KEYS)))
-            short = np.flatnonzero(pc.binary_length(keys).to_numpy() > WIDE)
-            key = whole_keys(b"".join(keys[i].as_buffer().slice(WIDE) for i in short.tolist()))
-            line, c = np.nonzero((key != key[:, :1]) | (np.arange(KEYS) == 0))
-            held.append((key[line, c] << 4 | 15, sim[short[line]], size[short[line]]))
-            n += sum(len(x[0]) for x in held[-2:])
-            if n >= BUCKET:
-                yield packed(held)
-                held, n = [], 0
+            for row in zip(*(batch.column(c) for c in PARTS)):
+                held.append([np.frombuffer(x.as_buffer(), kind) for x, kind in zip(row, (np.uint64, np.int64, np.int32, np.uint8, np.uint8))])
+                n += len(held[-1][1])
+                if n * KEYS >= BUCKET:
+                    yield packed(expanded(*(np.concatenate(x) for x in zip(*held))))
+                    held, n = [], 0
         if n:
-            yield packed(held)
+            yield packed(expanded(*(np.concatenate(x) for x in zip(*held))))
+
+    def expanded(node: np.ndarray, sim: np.ndarray, size: np.ndarray, wide: np.ndarray, keys: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Each key with its line's SimHash and size, copies of a line once."""
+        node = node.reshape(-1, 2)
+        order = np.lexsort((node[:, 1], node[:, 0]))
+        once = np.sort(order[np.append(True, (node[order[1:]] != node[order[:-1]]).any(1))])
+        first = (np.cumsum(wide, dtype=np.int64) - wide)[once]
+        key, sim, size, short = whole_keys(keys), sim[once], size[once], np.flatnonzero(wide[once] > 1)
+        further = key[first[short] + 1]
+        line, c = np.nonzero((further != further[:, :1]) | (np.arange(KEYS) == 0))
+        return [
+            ((key[first] << 4 | np.arange(KEYS)).ravel(), np.repeat(sim, KEYS), np.repeat(size, KEYS)),
+            (further[line, c] << 4 | 15, sim[short[line]], size[short[line]]),
+        ]
 
     def pairs(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in groups(batches, ["bucket"]):
             key, sim, size = (np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in table.column(c)]) for c, kind in (("key", np.int64), ("sim", np.int64), ("size", np.int32)))
             order = np.argsort(key)
-            yield from (thin(x) for x in joins(key[order], sim[order], size[order]))
+            same = key[order[1:]] == key[order[:-1]]
+            order = order[np.append(same, False) | np.append(False, same)]
+            order = order[np.lexsort((size[order], sim[order], key[order]))]
+            key, sim, size = key[order], sim[order], size[order]
+            other = np.append(True, (key[1:] != key[:-1]) | (sim[1:] != sim[:-1]) | (size[1:] != size[:-1]))[: len(key)]
+            yield from (thin(x) for x in joins(key[other], sim[other], size[other]))
 
     def thin(found: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays(list(stars(*(pa.array(np.concatenate(x)) for x in zip(*found)))), names=["a", "b"])
@@ -240,7 +320,7 @@ def near_sketches(lines_: DataFrame, similarity: float, most: int = BITS) -> Dat
         if n:
             yield found
 
-    dealt = lines_.select("sim", "size", "keys").mapInArrow(keyed, "bucket int, key binary, sim binary, size binary").repartition("bucket").sortWithinPartitions("bucket")
+    dealt = lines_.where("nodes is not null").select(*PARTS).mapInArrow(keyed, "bucket int, key binary, sim binary, size binary").repartition("bucket").sortWithinPartitions("bucket")
     return dealt.mapInArrow(pairs, "a long, b long").where("a <> b")
 
 
@@ -464,48 +544,65 @@ def matcher(similarity: float, most: int = BITS):
     return match
 
 
-def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame) -> DataFrame:
-    """(id, payload) of the lines named by ``wanted`` (doc, line, node, sim, keys): SimHash, keys and normalised line."""
+def places(table: DataFrame) -> tuple[Column, Column, Column]:
+    """A column that orders the rows of ``table`` by (doc, line), and the doc and the line of such a value, named place.
+
+    Whole numbers are packed into one decimal: Spark takes the least of those by hashing, that of a struct by sorting.
+    """
+    kind = table.schema["doc"].dataType
+    if not isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return F.struct("doc", "line"), F.col("place.doc"), F.col("place.line")
+    room = F.lit(1 << 31).cast("decimal(10,0)")
+    pack = (F.col("doc").cast("decimal(19,0)") * room + F.col("line").cast("decimal(10,0)")).cast("decimal(31,0)")
+    line = F.pmod(F.col("place"), room)
+    return pack, ((F.col("place") - line) / room).cast(kind), line.cast("int")
+
+
+def wanted_lines(docs: DataFrame, doc_id: str, wanted: DataFrame, min_words: int) -> DataFrame:
+    """(id, payload) of the lines named by ``wanted`` (doc, line): node; SimHash, keys and normalised line.
+
+    All is found from the text again: far fewer lines are wanted than there are, and so only their places travel.
+    """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for piece in slices(batches):
-            chosen, wants = [], []
-            for text, some in zip(texts(piece).to_pylist(), piece.column("wants").to_pylist()):
-                flat = text.split("\n")
-                some = [w for w in some if w["line"] < len(flat)]
-                wants += some
-                chosen += [flat[w["line"]] for w in some]
-            _, found, at = normal_lines(pa.array(chosen, pa.string()))
-            words_, at = found.to_pylist(), at.tolist()
-            out = [
-                w["sim"].to_bytes(8, "little", signed=True) + bytes([len(w["keys"]) // WIDE]) + w["keys"] + " ".join(words_[i:j]).encode()
-                for w, i, j in zip(wants, at[:-1], at[1:])
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([w["node"] for w in wants], pa.binary()), pa.array(out, pa.binary())], names=["id", "payload"])
-
-    per_doc = wanted.groupBy("doc").agg(F.collect_list(F.struct("line", "node", "sim", "keys")).alias("wants"))
+            flat, starts = lines(texts(piece))
+            wants = piece.column("wants")
+            text, line = np.repeat(np.arange(len(wants)), pc.list_value_length(wants).to_numpy()), wants.flatten().to_numpy()
+            there = line < np.diff(starts)[text]  # not in each of the rows that repeat a doc_id
+            _, found, at = normal_lines(flat.take(pa.array((starts[text] + line)[there])))
+            h, take = spelled_words(found), np.flatnonzero(np.diff(at) >= min_words)
+            sim, _, keys = sketches(found, h, at, take)
+            words_, at_ = found.to_pylist(), at.tolist()
+            out = [s.tobytes() + bytes([len(k) // WIDE]) + k + " ".join(words_[at_[x] : at_[x + 1]]).encode() for s, k, x in zip(sim, keys.to_pylist(), take.tolist())]
+            yield pa.RecordBatch.from_arrays([binaries(np.arange(len(take) + 1) * 2, digests(h, at)[take].ravel()), pa.array(out, pa.binary())], names=["id", "payload"])
+
+    per_doc = wanted.groupBy("doc").agg(F.collect_list("line").alias("wants"))
     chosen = docs.select(F.col(doc_id).alias("doc"), "text")
-    return chosen.join(per_doc.hint("merge"), "doc").select("text", "wants").mapInArrow(run, "id binary, payload binary").dropDuplicates(["id"])
+    return chosen.join(per_doc.hint("shuffle_hash"), "doc").select("text", "wants").mapInArrow(run, "id binary, payload binary").dropDuplicates(["id"])
 
 
 def removals(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_words: int = 5, similarity: float = 0.8) -> DataFrame:
     """(doc, gone): for each document with any, the numbers of the lines that occur earlier in their group."""
+    min_words = max(min_words, 1)
     table = save(spark, line_table(docs, doc_id, min_words), "lines")
-    nodes = save(spark, table.groupBy("node").agg(F.min(F.struct("doc", "line")).alias("first"), F.min(F.struct("sim", "size", "keys")).alias("sketch"), F.count("*").alias("n")).select("node", "first", "sketch.*", "n"), "line-nodes")
-    near = components(spark, near_sketches(nodes.where("sim is not null"), similarity), "sketches")
+    pack, doc, line = places(table)
+    nodes = table.groupBy("node").agg(F.min(pack).alias("place"), F.min("sim").alias("sim"), F.count("*").alias("n"))
+    nodes = save(spark, nodes, "line-nodes")
+    near = components(spark, near_sketches(table, similarity), "sketches")
     alone = nodes.where("sim is not null").groupBy("sim").agg(F.count("*").alias("nodes")).where("nodes > 1").select("sim", F.col("sim").alias("root"))
     grouped = near.select(F.col("node").alias("sim"), "root").unionAll(near.select(F.col("root").alias("sim"), "root")).unionAll(alone)
     roots = grouped.groupBy("sim").agg(F.min("root").alias("root"))  # a group's root is its least sketch
-    members = save(spark, nodes.join(roots.hint("shuffle_hash"), "sim").select("node", "root", "sim", "keys", "first"), "line-members")
-    wanted = members.select("first.doc", "first.line", "node", "sim", "keys")
-    found = linked(spark, members.select("node", "root"), wanted_lines(docs, doc_id, wanted), matcher(similarity), "near-lines")
+    members = save(spark, nodes.join(roots.hint("shuffle_hash"), "sim").select("node", "root", "place"), "line-members")
+    found = linked(spark, members.select("node", "root"), wanted_lines(docs, doc_id, members.select(doc.alias("doc"), line.alias("line")), min_words), matcher(similarity), "near-lines")
     found = found.unionAll(found.select(F.col("root").alias("node"), "root").distinct())  # a root with one occurrence counts too
-    grouped = nodes.join(found.hint("shuffle_hash"), "node", "left").where("n > 1 or root is not null").withColumn("root", F.coalesce("root", "node"))
-    firsts = grouped.groupBy("root").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1")
+    grouped = nodes.join(found.hint("shuffle_hash"), "node", "left").where("n > 1 or root is not null")
+    grouped = save(spark, grouped.select("node", F.coalesce("root", "node").alias("root"), "place", "n"), "line-groups")
+    firsts = grouped.groupBy("root").agg(F.min("place").alias("first"), F.sum("n").alias("n")).where("n > 1")
     again = grouped.select("node", "root").join(firsts.select("root", "first"), "root").select("node", "first")
-    gone = table.join(again.hint("shuffle_hash"), "node").where(F.struct("doc", "line") != F.col("first"))
+    gone = table.select("doc", "line", "node").join(again.hint("shuffle_hash"), "node").where(pack != F.col("first"))
     out = save(spark, gone.groupBy("doc").agg(F.collect_set("line").alias("gone")), "gone-lines")
-    drop(spark, table, nodes, members)
+    drop(spark, table, nodes, members, grouped)
     return out
 
 
@@ -519,6 +616,6 @@ def dedup(spark: SparkSession, docs: DataFrame, doc_id: str = "doc_id", min_word
     text = F.when(F.col("_gone").isNull() | F.col("text").isNull(), F.col("text")).otherwise(kept)
     return out.select(
         *(text.alias("text") if c == "text" else F.col(c) for c in held),
-        F.when(F.col("text").isNull(), 0).otherwise(F.size(split)).cast("long").alias("n_lines"),
+        F.when(F.col("text").isNull(), 0).otherwise(F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit(""))) + 1).cast("long").alias("n_lines"),
         F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long").alias("n_removed"),
     )

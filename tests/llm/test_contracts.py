@@ -455,3 +455,55 @@ def test_moved_passages_of_a_line_need_no_exact_distance(monkeypatch):
     asked.clear()
     assert [sorted(x) for x in match([payloads[0], payloads[1], payloads[2]])] == [[0, 1]]
     assert real(lines[0], lines[1], 200) <= 0.2 * len(lines[0]) < real(lines[0], lines[2], 800)
+
+
+def test_lines_are_counted_where_they_lie():
+    """Words hashed and counted in the bytes of a text are those of the strings, in odd texts and cut arrays as well."""
+    import random
+
+    import pyarrow as pa
+
+    from regloom.llm import line_dedup
+
+    r = random.Random(1)
+    parts = ["a", "B", "7", " ", "\t", "\n", "\u00e9", "\U0001f600", ".", "\r", "\0", "wordword", "x" * 9, "y" * 70, "y" * 71, "\x7f", "\u3000"]
+    some = ["".join(r.choice(parts) for _ in range(r.choice((0, 1, 3, 20, 200)))) for _ in range(200)] + ["", "\n", "a", "\n\n"]
+    for strings in (some, some[7:9], [""], []):
+        held = pa.array(["before", *strings, "behind"]).slice(1, len(strings))
+        starts, flat, at = line_dedup.normal_lines(held)
+        read, h, take = line_dedup.counted_lines(held), line_dedup.spelled_words(flat), np.flatnonzero(np.diff(at) > 0)
+        assert read.starts.tolist() == starts.tolist() and read.at.tolist() == at.tolist() and read.h.tolist() == h.tolist()
+        for x, y in zip(line_dedup.sketches(flat, h, at, take), line_dedup.sketched(read.length, read.signs, read.h, read.at, take)):
+            assert pa.array(x).equals(pa.array(y))
+        assert len(set(h.tolist())) == len(set(flat.to_pylist())) == len(set(zip(flat.to_pylist(), h.tolist())))
+
+
+def test_keys_of_lines_travel_in_blocks_and_nodes_are_not_sorted(spark, monkeypatch):
+    """Keys are in few rows of the line table and in no other; the least place of a node is found by hashing."""
+    from regloom.llm import line_dedup, store
+
+    docs, seen = spark.read.parquet(f"{SF}/documents.parquet"), {}
+
+    def noted(spark, df, name, *rest, **more):
+        held = store.save(spark, df, name, *rest, **more)
+        seen[name] = (df.columns, df._jdf.queryExecution().executedPlan().toString(), held.where("keys is not null").count() if "keys" in df.columns else 0, held.count())
+        return held
+
+    monkeypatch.setattr(line_dedup, "save", noted)
+    assert line_dedup.removals(spark, docs).count() > 0
+    assert 0 < seen["lines"][2] <= 20 < seen["lines"][3]
+    assert all("keys" not in seen[name][0] for name in ("line-nodes", "line-members", "line-groups"))
+    assert "HashAggregate" in seen["line-nodes"][1] and "SortAggregate" not in seen["line-nodes"][1]
+
+
+def test_lines_of_ids_of_any_kind(spark):
+    """Ids as whole numbers, below zero and repeated, give the results of ids that have to be compared as they are."""
+    from regloom.llm import line_dedup
+
+    long = "one line of a good many words that is held by several of the documents here"
+    rows = [(-(2**63), f"x\n{long}"), (-7, f"a b\n{long}!\n{long}"), (-7, f"{long}\nonly here"), (3, f"{long} too\na b"), (2**63 - 1, "a b\nc d"), (None, long)]
+    rows += [(i, f"{long}\nown {'xyz'[i % 3]}{i}") for i in range(10, 40)]
+    order = sorted({r[0] for r in rows if r[0] is not None})
+    texts = [(None if i is None else f"{order.index(i):03d}", text) for i, text in rows]
+    got = [sorted(map(str, ((r.text, r.n_lines, r.n_removed) for r in line_dedup.dedup(spark, spark.createDataFrame(x, f"doc_id {kind}, text string").repartition(5)).collect()))) for x, kind in ((rows, "bigint"), (texts, "string"))]
+    assert got[0] == got[1] and str((f"x\n{long}", 2, 0)) in got[0] and str(("", 2, 3)) in got[0] and str(("c d", 2, 1)) in got[0]
